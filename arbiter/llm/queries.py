@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, packing
+from . import byte_bpe, exact_dedup, matroska, packing, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,5 +23,14 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_byte_bpe": op3_byte_bpe, "op8_best_fit_packing": op8_best_fit_packing, "op9_exact_dedup": op9_exact_dedup}
+def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.media_digests(_table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+QUERIES = {q.__name__: q for q in (op3_byte_bpe, op6_matroska, op8_best_fit_packing, op9_exact_dedup, op10_toxicity)}
 ORACLE = {"op9_exact_dedup": exact_dedup.ORACLE}
