@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, matroska, packing, toxicity
+from . import byte_bpe, exact_dedup, license_scan, matroska, packing, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(_table(spark, sf_dir, "documents"))
 
@@ -32,5 +40,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {q.__name__: q for q in (op3_byte_bpe, op6_matroska, op8_best_fit_packing, op9_exact_dedup, op10_toxicity)}
-ORACLE = {"op9_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {q.__name__: q for q in (op2_url_filter, op3_byte_bpe, op5_license_scan, op6_matroska, op8_best_fit_packing, op9_exact_dedup, op10_toxicity)}
+ORACLE = {"op2_url_filter": url_filter.ORACLE, "op5_license_scan": license_scan.oracle(), "op9_exact_dedup": exact_dedup.ORACLE}
