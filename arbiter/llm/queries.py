@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, license_scan, matroska, packing, toxicity, url_filter
+from . import byte_bpe, exact_dedup, html_template, license_scan, matroska, packing, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(_table(spark, sf_dir, "documents"))
 
 
+def op7_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {q.__name__: q for q in (op2_url_filter, op3_byte_bpe, op5_license_scan, op6_matroska, op8_best_fit_packing, op9_exact_dedup, op10_toxicity)}
+QUERIES = {q.__name__: q for q in (op2_url_filter, op3_byte_bpe, op5_license_scan, op6_matroska, op7_html_template, op8_best_fit_packing, op9_exact_dedup, op10_toxicity)}
 ORACLE = {"op2_url_filter": url_filter.ORACLE, "op5_license_scan": license_scan.oracle(), "op9_exact_dedup": exact_dedup.ORACLE}
