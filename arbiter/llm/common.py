@@ -147,5 +147,5 @@ def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
     for k in range(n):
         total = mix(total * _WEIGHTS[4] + words[k : len(words) - n + 1 + k] * _WEIGHTS[k % 5] + np.uint64(k + 1))
     if n < width:
-        total = mix(total + np.uint64(n) * _WEIGHTS[0])
+        total = mix(total + np.full(1, n, np.uint64) * _WEIGHTS[0])
     return np.unique(total)
