@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, html_template, license_scan, matroska, ngram_join, packing, toxicity, url_filter
+from . import byte_bpe, exact_dedup, html_template, license_scan, matroska, ngram_join, packing, suffix_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_digests(_table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {q.__name__: q for q in (op1_ngram_join, op2_url_filter, op3_byte_bpe, op5_license_scan, op6_matroska, op7_html_template, op8_best_fit_packing, op9_exact_dedup, op10_toxicity)}
+QUERIES = {q.__name__: q for q in (op1_ngram_join, op2_url_filter, op3_byte_bpe, op4_suffix_dedup, op5_license_scan, op6_matroska, op7_html_template, op8_best_fit_packing, op9_exact_dedup, op10_toxicity)}
 ORACLE = {"op1_ngram_join": ngram_join.ORACLE, "op2_url_filter": url_filter.ORACLE, "op5_license_scan": license_scan.oracle(), "op9_exact_dedup": exact_dedup.ORACLE}
