@@ -1,4 +1,9 @@
 """The registered queries of the reference's own operators, and the SQL that checks them."""
 
-QUERIES = {}
-ORACLE = {}
+from __future__ import annotations
+
+from arbiter.plans import relevance_queries
+
+_ALL = {**relevance_queries.QUERIES}
+QUERIES = {name: run for name, (run, _) in _ALL.items()}
+ORACLE = {name: sql for name, (_, sql) in _ALL.items() if sql}
