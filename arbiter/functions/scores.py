@@ -39,3 +39,9 @@ def wilson(hits, n, z: float = 1.96) -> Column:
 def upper_median(values) -> Column:
     """The element at ``n // 2`` of the sorted array."""
     return F.try_element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
+
+
+def pearson(x: str, y: str) -> Column:
+    """Correlation of two columns over a group; null if one of them doesn't vary."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 0, F.try_divide(F.covar_pop(x, y), spread))
