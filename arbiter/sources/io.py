@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arbiter.operators import etl
 
@@ -61,7 +62,7 @@ def load_corpus(spark: SparkSession, path: str, ids: str | None = None, distract
 
 def completions(df: DataFrame, prompt: str, complete: Callable[[str], str | None], out: str = "completion", retries: int = 3) -> DataFrame:
     """A column made by a caller's model, batch by batch; None after the last failure."""
-    schema = df.schema.add(out, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches):
         import time
