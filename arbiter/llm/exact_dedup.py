@@ -39,6 +39,7 @@ class CuckooIndex:
         self.mask = buckets - 1
         self.prints = np.zeros((buckets, SLOTS), np.uint16).tolist()
         self.store = {}  # home bucket -> {digest: value}
+        self.extra = {}  # marks of digests that no table size would tell apart -> how many
 
     def _place(self, digest: bytes) -> tuple[int, int, int]:
         mark = int.from_bytes(digest[:2], "little") or 1
@@ -48,7 +49,7 @@ class CuckooIndex:
     def _seen(self, digest: bytes) -> dict | None:
         """The bucket of stored digests, if the filter says that the digest may be there."""
         mark, one, two = self._place(digest)
-        if mark in self.prints[one] or mark in self.prints[two]:
+        if mark in self.prints[one] or mark in self.prints[two] or mark in self.extra:
             return self.store.get(one)
         return None
 
@@ -60,8 +61,12 @@ class CuckooIndex:
         found = self._seen(digest)
         if found is not None and digest in found:
             return found[digest]
-        while not self._mark(digest):
-            self._grow()
+        if not self._mark(digest):
+            # A full table doubles; in a mostly empty one the digests have one mark and home, which no size tells apart.
+            if 4 * self.count >= SLOTS * (self.mask + 1):
+                self._grow()
+            if not self._mark(digest):
+                self._beside(digest)
         self.store.setdefault(self._place(digest)[1], {})[digest] = value
         self.count += 1
         return None
@@ -78,6 +83,10 @@ class CuckooIndex:
             if mark in self.prints[at]:
                 self.prints[at][self.prints[at].index(mark)] = 0
                 break
+        else:
+            self.extra[mark] -= 1
+            if not self.extra[mark]:
+                del self.extra[mark]
         del found[digest]
         self.count -= 1
         return True
@@ -102,15 +111,18 @@ class CuckooIndex:
         return False
 
     def _grow(self) -> None:
-        kept, size = list(self.items()), 2 * (self.mask + 1)
-        while True:
-            self._start(size)
-            if all(self._mark(d) for d, _ in kept):
-                break
-            size *= 2
+        """Twice the buckets, filled from the stored keys."""
+        kept = list(self.items())
+        self._start(2 * (self.mask + 1))
         for digest, value in kept:
+            if not self._mark(digest):
+                self._beside(digest)
             self.store.setdefault(self._place(digest)[1], {})[digest] = value
 
+    def _beside(self, digest: bytes) -> None:
+        mark = self._place(digest)[0]
+        self.extra[mark] = self.extra.get(mark, 0) + 1
+
     def items(self):
         for bucket in self.store.values():
             yield from bucket.items()
