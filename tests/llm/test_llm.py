@@ -260,7 +260,7 @@ def test_suffix_sort_is_a_sort():
 def test_license_scan(docs, none, spark):
     apache = license_scan.TEMPLATES["Apache-2.0 header"]
     more = spark.createDataFrame([(900, prose(300) + " " + apache + " " + prose(100)), (901, apache.replace("software", "things")), (902, apache[: len(apache) // 2])], "doc_id long, text string")
-    every = docs.select("doc_id", "text").unionAll(more)
+    every = docs.select("doc_id", "text").unionAll(more).where("doc_id IS NOT NULL")  # pandas would make ids floats
     con = duckdb.connect()
     con.register("documents", every.toPandas())
     got = license_scan.scan(every.withColumn("license", F.lit("x")).withColumn("words", F.lit(1)))
