@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, Workspace, binary_texts, bounded, mix, powers
+from .common import BASE, Workspace, binary_texts, mix, powers
 
 LENGTH, GRAM = 400, 64
 SPAN = LENGTH - GRAM + 1  # grams of a window
@@ -273,7 +273,7 @@ def repeated_spans(docs: DataFrame, work: Workspace, id_col: str = "doc_id", tex
     all_of = work.save(keyed.where(F.octet_length("text") >= LENGTH).mapInArrow(_occurrences, "anchor long, context long, doc_id long, text_key long, pos long, lo int, hi int"))
     often = work.save(all_of.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b")).where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed")))
     work.free()
-    some = work.save(all_of.join(bounded(often, 24), "anchor"))
+    some = work.save(all_of.join(often, "anchor"))
     work.drop(all_of)
     per = work.save(some.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.min("hi").alias("hi"), F.bool_or("mixed").alias("mixed"), F.min(F.struct("doc_id", "text_key", "pos")).alias("rep")))
     work.free()
@@ -281,7 +281,7 @@ def repeated_spans(docs: DataFrame, work: Workspace, id_col: str = "doc_id", tex
     wanted = per.where("mixed").groupBy("rep.doc_id", "rep.text_key").agg(F.collect_list(F.struct("anchor", "context", "lo", "hi", F.col("rep.pos").alias("pos"))).alias("wanted"))
     wanted = work.save(wanted)
     # Repeated rows have the same contexts, so one of them is enough.
-    fetched = keyed.join(bounded(wanted, 400), ["doc_id", "text_key"]).select("text", "wanted").mapInArrow(_fetch, "anchor long, context long, lo int, hi int, bytes binary")
+    fetched = keyed.join(wanted, ["doc_id", "text_key"]).select("text", "wanted").mapInArrow(_fetch, "anchor long, context long, lo int, hi int, bytes binary")
     found = work.save(fetched.repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(_sorted, _FOUND))
     work.free()
     cover = whole.unionAll(found)
@@ -314,7 +314,7 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def _joined(docs: DataFrame, work: Workspace, id_col: str, text_col: str) -> DataFrame:
     spans = repeated_spans(docs, work, id_col, text_col)
     keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("key_id"), F.xxhash64(text_col).alias("key_text")]
-    side = bounded(spans.select(F.col("doc_id").alias("span_id"), F.col("text_key").alias("span_key"), "spans"), 200)
+    side = spans.select(F.col("doc_id").alias("span_id"), F.col("text_key").alias("span_key"), "spans")
     rows = docs.select("*", *keys)
     return rows.join(side, (F.col("key_id") == F.col("span_id")) & (F.col("key_text") == F.col("span_key")), "left").select(*[rows[c] for c in docs.columns], "spans")
 
