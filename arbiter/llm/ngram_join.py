@@ -37,7 +37,8 @@ _BLOCK = 4096
 POSTING = np.dtype([("token", "<u8"), ("class", "<u8"), ("n", "<u4"), ("pos", "<u2")])
 #: Postings of a bucket, about, and of a hot shingle within one bucket.
 BUCKET_ROWS, HOT_ROWS = 400_000, 50_000
-STAR_ROUNDS = 3
+#: Hubs that a group's classes are paired with, round by round.
+HUBS = (1, 4, 8)
 
 
 def class_id(shingles: np.ndarray) -> int:
@@ -221,6 +222,8 @@ def class_links(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]
     work.free()
     homes = rows.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
 
+    unique = rows.count() == rows.select("doc_id").distinct().count()
+
     def verified(pairs: DataFrame) -> DataFrame:
         needed = work.save(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(homes, "class").select("class", "doc_id"))
 
@@ -231,20 +234,21 @@ def class_links(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]
                 yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["class", "set"])
 
         side = docs.join(bounded(needed, 24), "doc_id").select("doc_id", "text", "class")
-        known = work.save(side.mapInArrow(sets, "class long, set binary"))
-        known = known.groupBy("class").agg(F.min("set").alias("set")) if rows.count() != rows.select("doc_id").distinct().count() else known
+        made = work.save(side.mapInArrow(sets, "class long, set binary"))
+        known = made if unique else made.groupBy("class").agg(F.min("set").alias("set"))
         both = pairs.join(known.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a").join(known.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b")
         out = work.save(both.select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long"))
+        work.drop(needed, made)
         work.free()
         return out
 
     links = spark.createDataFrame([], "a long, b long")
-    tried, labelled = links, shared.withColumn("part", F.col("class"))
-    for round_no in range(STAR_ROUNDS + 1):
-        labelled.createOrReplaceTempView("ngram_postings")
-        if round_no < STAR_ROUNDS:
-            # Each shingle's classes against one of them, of another component.
-            lead = "min_by(struct(class, n, pos, part), struct(part, class))" if round_no % 2 == 0 else "max_by(struct(class, n, pos, part), struct(part, class))"
+    tried, labelled, done = links, shared.withColumn("part", F.col("class")), [shared]
+    for round_no, n_hubs in enumerate((*HUBS, None)):
+        if n_hubs:
+            # Each shingle's classes against one of them, of another component. The hub is the class of
+            # least hash, so shingles that share their classes share their hubs, ``n_hubs`` in a round.
+            lead = f"min_by(struct(class, n, pos, part), xxhash64(class, {round_no}, pmod(token, {n_hubs})))"
             hubs = labelled.groupBy("token").agg(F.expr(lead).alias("h")).select("token", "h.*")
             x, y, apart = labelled.alias("x"), hubs.alias("y"), "x.part <> y.part"
         else:
@@ -256,7 +260,8 @@ def class_links(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]
         if n_pairs:
             new = verified(pairs)
             tried, links = tried.unionAll(pairs), links.unionAll(new)
-        if round_no == STAR_ROUNDS:
+        done.append(pairs)
+        if n_hubs is None:
             break
         if n_pairs:
             parts_of = connected_components(links, work).select(F.col("node").alias("class"), F.col("component").alias("to"))
@@ -264,8 +269,12 @@ def class_links(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]
             # Shingles whose classes are all of one component have nothing left to tell.
             mixed = joined.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token")
             labelled = work.save(joined.join(mixed, "token", "left_semi"))
+            done.append(labelled)
+            work.free()
         if labelled.isEmpty():
             break
+    work.drop(*done)
+    work.free()
     return rows, links
 
 

@@ -99,7 +99,7 @@ def test_ngram_join(docs, none):
 
 def test_ngram_join_chain_below_the_threshold(spark, monkeypatch):
     """A group in which only neighbours are similar stays one component, in however many rounds."""
-    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(ngram_join, "HUBS", (1,))
     words = [f"w{i}" for i in range(200)]
     texts = [" ".join(words[k * 6 : k * 6 + 100]) for k in range(12)] + [prose(60)]
     rows = list(enumerate(texts))
