@@ -81,8 +81,17 @@ def bm25(corpus, queries, k: int | None = None, tokenizer="w", dup_terms=False,
 
 
 def bm25_pairs(pairs: DataFrame, corpus: DataFrame, tokenizer: str = "l2") -> DataFrame:
-    """Scores of given ``qid, query, doc_id`` pairs only; pairs without a shared term score 0."""
-    found = bm25_scores(corpus, pairs.select("qid", "query").distinct(), tokenizer)
+    """Scores of given ``qid, query, doc_id`` pairs only; pairs without a shared term score 0.
+
+    Terms meet their own document only, so that as many questions as documents cost no pair of others.
+    """
+    terms = query_terms(pairs.select("qid", "query").distinct(), tokenizer)
+    wanted = pairs.select("qid", "doc_id").distinct().join(terms, "qid")
+    tf = postings(corpus, tokenizer)
+    df = tf.groupBy("tok").agg(F.count("*").alias("df"))
+    hits = wanted.join(tf, ["doc_id", "tok"]).join(df, "tok").join(lengths(corpus, tokenizer), "doc_id").crossJoin(F.broadcast(collection_stats(corpus, tokenizer)))
+    weight = scores.idf(F.col("n_docs"), F.col("df")) * scores.bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))
+    found = hits.groupBy("qid", "doc_id").agg(F.round(F.sum(weight * F.col("qtf")), DIGITS).alias("score"))
     return pairs.select("qid", "doc_id").join(found, ["qid", "doc_id"], "left").select("qid", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

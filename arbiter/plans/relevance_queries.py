@@ -175,10 +175,17 @@ def labels_wilson(spark: SparkSession, d: str) -> DataFrame:
     return metrics.rate_interval(rows.withColumn("good", F.col("quality") == 1), "good", ["lang"])
 
 
+def _thirds(spark, d) -> DataFrame:
+    """``id, query, disclosure, patch``: the thirds of every document's words; no word is cut or left out."""
+    w = F.split(F.coalesce("text", F.lit("")), r"\s+")
+    n = F.size(w)
+    a, b = F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int")
+    part = lambda lo, hi: F.array_join(F.slice(w, lo + 1, hi - lo), " ")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), part(F.lit(0), a).alias("query"), part(a, b).alias("disclosure"), part(b, n).alias("patch"))
+
+
 def jaccard_gap(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    rows = docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("query"), F.substring("text", 101, 300).alias("disclosure"), F.substring("text", 301, 300).alias("patch"))
-    return vocab.jaccard_gap(rows)
+    return vocab.jaccard_gap(_thirds(spark, d))
 
 
 def jaccard_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -186,10 +193,10 @@ def jaccard_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_gap(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    q = docs.where("doc_id % 25 = 0").select(F.col("doc_id").alias("qid"), F.substring("text", 1, 200).alias("query"))
-    one = lambda a, n: relevance.bm25_pairs(q.withColumn("doc_id", F.col("qid")), docs.select("doc_id", F.substring("text", a, n).alias("text")))
-    return vocab.bm25_gap(one(101, 300), one(301, 300))
+    t = _thirds(spark, d)
+    q = t.select(F.col("id").alias("qid"), "query", F.col("id").alias("doc_id"))
+    one = lambda c: relevance.bm25_pairs(q, t.select(F.col("id").alias("doc_id"), F.col(c).alias("text")))
+    return vocab.bm25_gap(one("disclosure"), one("patch"))
 
 
 def vocab_venn(spark: SparkSession, d: str) -> DataFrame:
