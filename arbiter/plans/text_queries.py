@@ -165,7 +165,7 @@ def resume_anti(spark: SparkSession, d: str) -> DataFrame:
 
 
 def non_gold_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return etl.non_gold_pairs(table(spark, d, "customer").select("c_nationkey", "c_mktsegment").where("c_nationkey < 20 AND c_nationkey % 4 <> length(c_mktsegment) % 4"), "c_nationkey", "c_mktsegment")
+    return etl.non_gold_pairs(table(spark, d, "customer").select("c_nationkey", "c_mktsegment"), "c_nationkey", "c_mktsegment")
 
 
 def latest_value(spark: SparkSession, d: str) -> DataFrame:
@@ -180,14 +180,14 @@ def corpus_union(spark: SparkSession, d: str) -> DataFrame:
 
 def scope_filter(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    q = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.when(F.col("doc_id") % 200 == 0, F.col("lang")).alias("lang"), "source")
+    q = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.when(F.col("doc_id") % 200 == 0, F.col("lang")).alias("lang"), "source")
     cand = docs.select("doc_id", "lang", "source").crossJoin(q.select("qid"))
     return etl.scope_filter(cand, q, ["lang", "source"], need_all=False).select("qid", "doc_id")
 
 
 def scope_filter_all(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    q = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.when(F.col("doc_id") % 200 == 0, F.col("lang")).alias("lang"), "source")
+    q = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.when(F.col("doc_id") % 200 == 0, F.col("lang")).alias("lang"), "source")
     cand = docs.select("doc_id", "lang", "source").crossJoin(q.select("qid"))
     return etl.scope_filter(cand, q, ["lang", "source"], need_all=True).groupBy("qid").agg(F.count("*").alias("n"))
 
