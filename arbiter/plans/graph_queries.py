@@ -115,8 +115,8 @@ def rssg_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ranking(spark, d) -> DataFrame:
-    """Each user's events by value."""
-    return relevance.ranked(events(spark, d).select(F.col("user_id").alias("qid"), F.col("event_id").alias("doc_id"), F.col("value").alias("score"))).where("rank <= 60").select("qid", "doc_id", "rank")
+    """All of each user's events by value."""
+    return relevance.ranked(events(spark, d).select(F.col("user_id").alias("qid"), F.col("event_id").alias("doc_id"), F.col("value").alias("score"))).select("qid", "doc_id", "rank")
 
 
 def anchor_probe(spark: SparkSession, d: str) -> DataFrame:

@@ -69,6 +69,9 @@ WHOLE = {
     "scope_filter": [("q.doc_id % 100 = 0", "q.doc_id % 50 = 0")],
     "scope_filter_all": [("q.doc_id % 100 = 0", "q.doc_id % 50 = 0")],
     "non_gold_pairs": [(" WHERE c_nationkey < 20 AND c_nationkey % 4 <> length(c_mktsegment) % 4", "")],
+    "audit_rerank": [(") WHERE rank <= 60)", "))")],
+    "probe_rerank": [(") WHERE rank <= 60)", "))")],
+    "probe_rerank_plain": [(") WHERE rank <= 60)", "))")],
 }
 
 
@@ -78,3 +81,12 @@ def test_equals_sql_without_its_cuts(spark, sf, duck, name):
     for cut, whole in WHOLE[name]:
         sql = sql.replace(cut, whole)
     assert plain(QUERIES[name](spark, sf).toPandas()) == plain(duck.execute(sql).df())
+
+
+@pytest.mark.parametrize("name", ["audit_rerank", "probe_rerank", "probe_rerank_plain"])
+def test_rerankers_keep_the_tail(spark, sf, name):
+    from arbiter.plans import graph_queries as G
+
+    every = {(r["user_id"], r["event_id"]) for r in G.events(spark, sf).collect()}
+    got = [(r["qid"], r["doc_id"]) for r in QUERIES[name](spark, sf).collect()]
+    assert len(got) == len(set(got)) and set(got) >= every
