@@ -42,8 +42,14 @@ CLOSES_P = BLOCKS - {"br", "option", "td", "th", "tr", "tbody", "thead", "tfoot"
 SIDE = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored promo promotion promotions banner banners cookie cookies consent gdpr notice notices alert sidebar sidebars side rail widget widgets menu menus nav navbar navigation navi topnav breadcrumb breadcrumbs crumbs header masthead topbar footer foot colophon comment comments commentlist disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup login search searchbox pagination pager popup modal overlay skip toc banner contentinfo complementary form".split()
 )
+# First words of layout names, which say what a page has and not what an element is.
+LAYOUT = frozenset("has have no not non without with is hide hides show shows toggle js".split())
+# Of those above, what may be longer than the article it belongs to.
+TALK = frozenset("comment comments commentlist disqus reply replies respond related recommended".split())
+# Elements that aren't content, but may be wrapped around a page.
+WRAPS = frozenset(("form", "fieldset"))
 ROOTS = frozenset(("html", "body", "article", "main"))
-SEMANTIC = {"article": 2, "main": 1}
+SEMANTIC = ("article", "main")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -53,15 +59,57 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([^\s=\"'/>]+)\s*+(?:=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 
 
-def _marks(attrs: str) -> tuple[str, bool]:
-    """Class and id words in order, and whether they say that the element isn't content."""
+def _marks(attrs: str) -> tuple[str, int, bool]:
+    """Class and id words in order, how far they say that the element isn't content, and whether it is hidden.
+
+    3: a name or role is a whole word of ``SIDE``. 2, 1: it is compounded with one, of ``TALK`` or not. 0: neither.
+    """
     if not attrs.strip():
-        return "", False
+        return "", 0, False
     found = {a.lower(): x or y or z or "" for a, x, y, z in _ATTR.findall(attrs)}
     name = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
-    words = {w for n in [*name, *found.get("role", "").lower().split()] for w in re.split(r"[^a-z]+", n)}
+    mark = 0
+    for n in [*name, *found.get("role", "").lower().split()]:
+        words = [w for w in re.split(r"[^a-z]+", n) if w]
+        if len(words) == 1:
+            mark = max(mark, 3 * (words[0] in SIDE))
+        elif words and words[0] not in LAYOUT:
+            mark = max(mark, 2 if TALK.intersection(words) else not SIDE.isdisjoint(words))
     hidden = "hidden" in found or re.search(r"display\s*:\s*none", found.get("style", ""), re.I)
-    return ".".join(re.sub(r"\d+", "#", n) for n in name), bool(words & SIDE or hidden)
+    return ".".join(re.sub(r"\d+", "#", n) for n in name), int(mark), bool(hidden)
+
+
+def _sides(up: list[int], tags: list[str], hard: list[bool], marks: list[int], size: list[int]) -> list[bool]:
+    """Of each element, in page order, whether it lies in something that isn't content; 0 is the page.
+
+    A mark is no proof: an element that holds the article, or most of the page's text, is content.
+    """
+    n = len(up)
+    under = hard[:]
+    for k in range(1, n):
+        under[k] = hard[k] or under[up[k]]
+    mass = [0 if u else m for u, m in zip(under, size, strict=True)]
+    for k in range(n - 1, 0, -1):
+        mass[up[k]] += mass[k]
+
+    def spread() -> list[bool]:
+        off = under[:]
+        for k in range(1, n):
+            off[k] = off[k] or off[up[k]] or marks[k] > 0
+        return off
+
+    marks = [0 if m == 1 and 2 * x > mass[0] else m for m, x in zip(marks, mass, strict=True)]
+    off = spread()
+    articles = [k for k in range(1, n) if tags[k] in SEMANTIC and mass[k] and not under[k]]
+    if articles and all(off[k] for k in articles):
+        k = max(articles, key=lambda k: (mass[k], -k))
+        while k:
+            marks[k], k = 0, up[k]
+        return spread()
+    if not articles and mass[0] and not any(m for m, o in zip(size, off, strict=True) if not o):
+        marks = [0 if 2 * x > mass[0] else m for m, x in zip(marks, mass, strict=True)]
+        return spread()
+    return off
 
 
 def read(page: str):
@@ -70,21 +118,24 @@ def read(page: str):
     ``path`` is a tuple of the open elements, each with its class and id words; ``side`` tells that it lies
     in something that isn't content; ``block`` counts block boundaries so far.
     """
-    stack: list[tuple[str, str, bool]] = []
+    stack: list[tuple[str, int]] = []
     path: tuple[str, ...] = ()
-    side, block, at, n = False, 0, 0, len(page)
+    node, block, at, n = 0, 0, 0, len(page)
+    events: list[tuple] = []
+    up, tags, hard, marked, size = [0], [""], [False], [0], [0]
 
     def pop_to(depth: int) -> None:
-        nonlocal path, side
+        nonlocal path, node
         del stack[depth:]
         path = path[:depth]
-        side = stack[-1][2] if stack else False
+        node = stack[-1][1] if stack else 0
 
     while at < n:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else n]
         if text:
-            yield "text", path, text, side, block
+            events.append(("text", path, text, node, block))
+            size[node] += len(text.strip())
         if not m:
             break
         at = m.end()
@@ -109,17 +160,24 @@ def read(page: str):
                     break
         if tag in VOID:
             continue
-        marks, off = _marks(m["attrs"] or "")
-        off = side or tag in NOT_CONTENT or (off and tag not in ROOTS)
-        token = f"{tag}.{marks}" if marks else tag
+        name, mark, hidden = _marks(m["attrs"] or "")
+        token = f"{tag}.{name}" if name else tag
+        up.append(node)
+        tags.append(tag)
+        hard.append(tag in NOT_CONTENT - WRAPS or (hidden and tag not in ROOTS))
+        marked.append(0 if tag in ROOTS else max(mark, int(tag in WRAPS)))
+        size.append(0)
+        new = len(up) - 1
+        events.append(("open", (*path, token), new))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            yield "open", (*path, token), True
             at = end.end() if end else n
             continue
-        stack.append((tag, token, off))
-        path, side = (*path, token), off
-        yield "open", path, off
+        stack.append((tag, new))
+        path, node = (*path, token), new
+    sides = _sides(up, tags, hard, marked, size)
+    for e in events:
+        yield (*e[:2], sides[e[2]]) if e[0] == "open" else (*e[:3], sides[e[3]], e[4])
 
 
 def _key(x: str) -> int:
@@ -191,13 +249,16 @@ def template(pages: DataFrame, support: float = 0.5) -> DataFrame:
 
 def content_elements(classes: DataFrame) -> DataFrame:
     """``host, content``: of each host's template, the element whose slots are the main text."""
-    last = F.element_at(F.split("token", "/"), -1)
-    tag = F.split(last, r"\.")[0]
-    depth = F.size(F.split("token", "/"))
-    rank = F.when(tag == "article", 2).when(tag == "main", 1).otherwise(0)
-    most = F.max("mass").over(W.partitionBy("host"))
+    tags = F.transform(F.split("token", "/"), lambda x: F.split(x, r"\.")[0])
+    tag, depth = F.element_at(tags, -1), F.size(tags)
+    of_host = W.partitionBy("host")
+    # Articles go before main if they hold most of its text; those within another count with it.
+    outer = F.size(F.filter(tags, lambda x: x == tag)) == 1
+    text_of = lambda kind: F.coalesce(F.sum(F.when((tag == kind) & outer, F.col("mass"))).over(of_host), F.lit(0))
+    classes = classes.withColumn("most", F.max("mass").over(of_host)).withColumn("articles", 2 * text_of("article") > text_of("main"))
+    rank = F.when(tag == "article", F.when(F.col("articles"), 2).otherwise(0)).when(tag == "main", 1).otherwise(0)
     # An element without text isn't content; without article or main, the deepest that holds most of it.
-    fit = classes.withColumn("most", most).where((F.col("mass") > 0) & ((rank > 0) | ((F.col("mass") > 0.5 * F.col("most")) & (F.col("total") == F.col("pages")))))
+    fit = classes.where((F.col("mass") > 0) & ((rank > 0) | ((F.col("mass") > 0.5 * F.col("most")) & (F.col("total") == F.col("pages")))))
     key = F.struct(rank.alias("rank"), F.when(rank > 0, F.col("mass")).otherwise(depth).alias("by"), F.when(rank > 0, -depth).otherwise(F.col("mass")).alias("then"), F.col("token"))
     return fit.groupBy("host").agg(F.max(key)["token"].alias("content"))
 
@@ -220,7 +281,10 @@ def slots(page: str, content: str | None) -> list[str]:
         want = None
     tag = lambda p: p[-1].split(".")[0]
     # Elements of the template's kind, wherever they stand: pages may have several.
-    kind = tag(want) if want else max((tag(p) for p in seen if tag(p) in SEMANTIC), key=SEMANTIC.get, default=None)
+    kind = tag(want) if want else None
+    if not want:
+        held = {k: sum(len(text.strip()) for path, text, _ in found if any(x.split(".")[0] == k for x in path)) for k in SEMANTIC}
+        kind = "article" if 2 * held["article"] > held["main"] else "main" if held["main"] else None
     if kind in SEMANTIC:
         inside = lambda p: any(x.split(".")[0] == kind for x in p)
     elif want:
