@@ -1,10 +1,12 @@
 """HTML extraction by equivalence-class template deduction.
 
-A page is a sequence of tokens: element paths with the classes on them. Over all pages of a host, tokens
-with the same occurrence vector (how often each page has them) form an equivalence class. A class that
-most of the host's pages have, of at least two tokens, is valid; classes nest by the paths of their
-tokens, and the nested valid classes are the host's template. What lies between template tokens are
-slots. The main text is what fills the slots of one element of the template, the content element:
+A page is a sequence of tokens: element paths with the classes on them, and blocks of text. Over all pages
+of a host, tokens with the same occurrence vector (how often each page has them) form an equivalence class.
+A class that most of the host's pages have, of at least two tokens, is valid; a block of several words has
+as many. Classes nest by the paths of their tokens, not by their order in the pages, and the nested valid
+classes are the host's template. What lies between template tokens are slots; template blocks on three
+pages at least are left out of them, unless they are most of a page's main text, as on pages that are
+near copies of each other. The main text is what fills the slots of one element of the template, the content element:
 ``article`` or ``main`` if the template has one, else the deepest element that holds most of the text.
 Slots in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
 aren't content. A page without its host's content element is read by the same rule on its own.
@@ -184,18 +186,37 @@ def _key(x: str) -> int:
     return int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
+# Tokens of text: no path has a line break. The mark tells a word from a block of several.
+ONE, MANY = "\n1", "\n2"
+LEAST_PAGES = 3
+
+
+def _plain(parts: list[str]) -> str:
+    return " ".join(entities.unescape("".join(parts)).split())
+
+
+def _text_key(text: str) -> int:
+    return _key(text) - 2**63
+
+
 def tokens_of(page: str) -> tuple[dict[tuple, int], dict[tuple, int]]:
-    """How often each path opens, and how much content text lies below each."""
+    """How often each path opens and each block of text stands, and how much content text lies below each path."""
     opens: dict[tuple, int] = {}
     mass: dict[tuple, int] = {}
+    blocks: dict[int, list[str]] = {}
     for event in read(page):
         path = event[1]
         if event[0] == "open":
             opens[path] = opens.get(path, 0) + 1
         elif not event[3]:
+            blocks.setdefault(event[4], []).append(event[2])
             size = len(event[2].strip())
             for k in range(1, len(path) + 1):
                 mass[path[:k]] = mass.get(path[:k], 0) + size
+    for parts in blocks.values():
+        if text := _plain(parts):
+            token = (f"{ONE if ' ' not in text else MANY}{_text_key(text)}",)
+            opens[token] = opens.get(token, 0) + 1
     return opens, mass
 
 
@@ -205,7 +226,7 @@ _KINDS = (pa.string(), pa.string(), *[pa.int64()] * 5)
 
 
 def _count(batches):
-    """Each task's sums per host and token; a page repeated within a task is read once."""
+    """Each task's sums per host and token."""
     sums: dict[tuple[str, str], list[int]] = {}
 
     def flush():
@@ -236,19 +257,23 @@ def _count(batches):
 def template(pages: DataFrame, support: float = 0.5) -> DataFrame:
     """Valid classes of every host: ``host, token, vector, pages, total, mass, class_size, host_pages``.
 
-    ``vector`` identifies the class; ``token`` is an element path, whose prefixes nest it in others.
+    ``vector`` identifies the class; ``token`` is an element path, whose prefixes nest it in others, or a block
+    of text by its key. A page that a host has several times counts once.
     """
-    rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html"))
+    rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html")).dropDuplicates(["host", "html"])
     sums = rows.mapInArrow(_count, _COUNTED).groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in _NAMES[2:]))
+    # Most texts are a page's own and go before anything is dealt by host.
+    sums = sums.where(~F.col("token").startswith("\n") | (F.col("pages") >= LEAST_PAGES))
     of_host = W.partitionBy("host", "low", "high", "pages", "total")
     root = F.max(F.when(F.col("token") == "", F.col("pages"))).over(W.partitionBy("host"))
-    sums = sums.withColumn("host_pages", root).withColumn("class_size", F.count("*").over(of_host))
+    sums = sums.withColumn("host_pages", root).withColumn("class_size", F.sum(F.when(F.col("token").startswith(MANY), 2).otherwise(1)).over(of_host))
     valid = sums.where((F.col("token") != "") & (F.col("pages") >= support * F.col("host_pages")) & (F.col("class_size") >= 2))
     return valid.select("host", "token", F.xxhash64("low", "high", "pages", "total").alias("vector"), "pages", "total", "mass", "class_size", "host_pages")
 
 
 def content_elements(classes: DataFrame) -> DataFrame:
     """``host, content``: of each host's template, the element whose slots are the main text."""
+    classes = classes.where(~F.col("token").startswith("\n"))
     tags = F.transform(F.split("token", "/"), lambda x: F.split(x, r"\.")[0])
     tag, depth = F.element_at(tags, -1), F.size(tags)
     of_host = W.partitionBy("host")
@@ -263,10 +288,14 @@ def content_elements(classes: DataFrame) -> DataFrame:
     return fit.groupBy("host").agg(F.max(key)["token"].alias("content"))
 
 
-def slots(page: str, content: str | None) -> list[str]:
-    """The texts that fill the content element's slots, a string per block, in page order."""
+def template_texts(classes: DataFrame) -> DataFrame:
+    """``host, texts``: keys of the blocks of each host's template."""
+    return classes.where(F.col("token").startswith("\n")).groupBy("host").agg(F.collect_set(F.substring("token", 3, 20).cast("long")).alias("texts"))
+
+
+def slots(page: str, content: str | None, texts: frozenset[int] = frozenset()) -> list[str]:
+    """The texts that fill the content element's slots, a string per block, in page order; ``texts`` are the template's."""
     want = tuple(content.split("/")) if content else None
-    own = None
     found: list[tuple[tuple, str, int]] = []
     seen: set[tuple] = set()
     mass: dict[tuple, int] = {}
@@ -294,27 +323,31 @@ def slots(page: str, content: str | None) -> list[str]:
             for k in range(1, len(path) + 1):
                 mass[path[:k]] = mass.get(path[:k], 0) + len(text.strip())
         best = max(mass.values(), default=0)
-        own = max((p for p, m in mass.items() if 2 * m > best and tag(p) in BLOCKS - {"p", "li", "td", "br"}), key=len, default=())
-        inside = lambda p: p[: len(own)] == own
+        deepest = max((p for p, m in mass.items() if 2 * m > best and tag(p) in BLOCKS - {"p", "li", "td", "br"}), key=len, default=())
+        inside = lambda p: p[: len(deepest)] == deepest
     blocks: dict[int, list[str]] = {}
     for path, text, block in found:
         if inside(path):
             blocks.setdefault(block, []).append(text)
-    texts = (" ".join(entities.unescape("".join(parts)).split()) for parts in blocks.values())
-    return [t for t in texts if t]
+    every = [t for t in map(_plain, blocks.values()) if t]
+    own = [t for t in every if _text_key(t) not in texts] if texts else every
+    return own if 2 * sum(map(len, own)) >= sum(map(len, every)) else every
 
 
 def page_slots(pages: DataFrame) -> DataFrame:
     """``page_id, url, blocks``: of every page, the blocks of its main text."""
     work = Workspace(pages.sparkSession, "html_template")
-    chosen = work.save(content_elements(template(pages)))
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(bounded(chosen, 400), "host", "left").select("page_id", "url", "html", "content")
+    classes = work.save(template(pages))
+    chosen = work.save(content_elements(classes).join(template_texts(classes), "host", "full"))
+    most = chosen.agg(F.max(F.coalesce(F.size("texts"), F.lit(0)))).first()[0] or 0
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(bounded(chosen, 400 + 8 * max(most, 0)), "host", "left").select("page_id", "url", "html", "content", "texts")
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = [slots(p or "", c) for p, c in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                cells = zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True)
+                texts = [slots(p or "", c, frozenset(t or ())) for p, c, t in cells]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.list_(pa.string()))], names=["page_id", "url", "blocks"])
 
     return rows.mapInArrow(run, "page_id long, url string, blocks array<string>")

@@ -29,3 +29,19 @@ def test_articles_are_found(spark, body, want, alone):
     pages = [(k, u, f"<html><body>{body}<p>{k}</p></body></html>".replace(f"<p>{k}</p>", f"<!-- {k} -->")) for k, u in enumerate(urls)]
     out = html_template.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert [r["text"] for r in out] == [want] * len(urls)
+
+
+def test_template_texts_leave_the_slots(spark):
+    words = "amber birch cedar dune ember fjord".split()
+    notice = "<p class='lead'>Read the terms of use before you go on</p>"
+    page = lambda text, n=notice: f"<html><body><article>{n}<p>{text}</p></article></body></html>"
+    story = lambda k: f"{words[k]} is what this page tells about, at some length"
+    rows = [(k, f"http://a.test/{k}", page(story(k))) for k in range(4)]
+    rows += [(10 + k, f"http://copies.test/{k}", page(story(0))) for k in range(5)]  # one page, five times
+    rows += [(20 + k, f"http://near.test/{k}", page(words[k], f"<p>{LONG}</p>")) for k in range(5)]
+    rows += [(30 + k, f"http://two.test/{k}", page(story(k))) for k in range(2)]
+    out = {r["page_id"]: r["text"] for r in html_template.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = lambda k: f"Read the terms of use before you go on {story(k)}"
+    want = {k: story(k) for k in range(4)} | {10 + k: whole(0) for k in range(5)}
+    want |= {20 + k: f"{LONG} {words[k]}" for k in range(5)} | {30 + k: whole(k) for k in range(2)}
+    assert out == want
