@@ -168,9 +168,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay; of repeated rows with one id, all copies of the id that stays are one row."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of ``docs`` that stay, one of each group of equal texts: with its smallest id, or null if it has none."""
+    work = Workspace(docs.sparkSession, "exact_dedup")
+    keyed = docs.withColumn("_digest", F.unhex(F.sha2(normalised(F.col("text")), 256)))
+    groups = work.save(fold_digests(keyed.select(F.col("_digest").alias("digest"), "doc_id"))).select(F.col("digest").alias("_group"), F.col("keep_id").alias("_keep"))
+    # Not a key of the join, so that texts are dealt once, by digest.
+    own = F.coalesce(F.col("doc_id") == F.col("_keep"), F.col("doc_id").isNull() & F.col("_keep").isNull())
+    kept = keyed.join(groups, (F.col("_digest") == F.col("_group")) & own, "left_semi")
+    return kept.dropDuplicates(["_digest"]).drop("_digest")
 
 
 ORACLE = """
