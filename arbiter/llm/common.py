@@ -69,9 +69,20 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def rename_away(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Only the columns an operator works on; extra ones, clashing names included, never enter a join."""
-    return df.select(*keep)
+def slices(batches, rows: int, size: int):
+    """Arrow batches in parts of at most so many rows, and of about so many bytes unless a row has more.
+
+    Only one part's texts are Python objects at a time.
+    """
+    for batch in batches:
+        mean = max(1, batch.nbytes // max(1, batch.num_rows))
+        at = 0
+        while at < batch.num_rows:
+            n = max(1, min(rows, size // mean))
+            while n > 1 and batch.slice(at, n).nbytes > 2 * size:
+                n //= 2
+            yield batch.slice(at, n)
+            at += n
 
 
 def binary_texts(column) -> list[bytes]:

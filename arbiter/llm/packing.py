@@ -1,58 +1,72 @@
 """Best-fit packing of token pieces into sequences, by hierarchical residual packing.
 
 Documents become pieces of at most ``limit`` tokens. Whole-length pieces are sequences of their own. The
-others go through a tree: each partition packs its items best-fit (longest first), emits bins that are
-nearly full, and passes on underfull bins as items of the next round, where fewer partitions take them
-together with the bins of others. What a node passes on is bounded: of more underfull bins than that,
-the fullest, which are the least likely to find company, are emitted.
-
-A null text counts as empty: it has the one closing id. A very long text is cut into many pieces. Ties
-go by document and piece. Repeated rows are packed each. An empty table gives an empty result. Columns
-beyond the id and the text are ignored.
+others go through a tree: each node packs ``NODE`` items best-fit (longest first), emits bins that are
+nearly full, and passes on underfull bins as items of the next round, where fewer nodes take them together
+with the bins of others. The last round has one node, or as many as hold its items if a round has shown
+that underfull bins no longer find company (items of over half a sequence each, say): what one node of that
+many items can't join, more nodes of the same mixture can't either.
+
+A null text counts as empty: it has the one closing id. A very long text is cut into many pieces. Items of
+equal length are packed in any order. Repeated rows are packed each. An empty table gives an empty result.
+Columns beyond the id and the text are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .byte_bpe import MergeCache
-from .common import Workspace, shuffle_parts
+from .common import Workspace, slices
 
 LIMIT = 2048
 #: A bin is emitted early when at most this many tokens are free.
 SLACK = 8
-#: The most underfull bins that a node passes on.
-PASSED_ON = 50_000
-FAN_IN = 8
+#: Items that one node packs; a task that has more of them packs several times.
+NODE = 100_000
+#: A round that passes on more than this share of its items is followed by the last one.
+STALLED = 0.99
 
 PIECE = np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4"), ("null", "?")])
 
 
+_MARKS = frozenset(",.;:!?")
+#: Letters and marks whose class and lower case are the same everywhere (fixed values): Latin, Greek but for its capitals, Cyrillic,
+#: punctuation, kana, unified ideographs, Hangul, pictographs.
+_UNUSUAL = regex.compile("[^\x01-\u0129\u0131-\u024f\u03b1-\u03c9\u0400-\u045f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u3001-\u3011\u3041-\u3096\u30a1-\u30fe\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f5ff\U0001f600-\U0001f64f]")
+
+
 class WordTokenizer:
     """Ids of a ``tokenizers`` file of the kind that lower-cases, drops white space and marks word ends.
 
-    Its normaliser and its split run over whole batches here, and its merges through a bounded cache of
-    words: a word end is the byte 0xFF, which no UTF-8 text has, and pairs merge by rank as in the file.
-    Texts with a capital sigma, whose lower case depends on context, or with special tokens' strings go
-    through the library itself.
+    No token spans white space, so texts are cut at their spaces and each part's ids come from a cache. What
+    isn't there is split by the file's pattern and merged by rank: a word end is the byte 0xFF, which no
+    UTF-8 text has. Texts with characters beyond the usual scripts, whose class or lower case may depend on
+    the context or on a library's version of Unicode, or with a special token's string go through the
+    library itself.
     """
 
+    #: Parts that each of the cache's two generations holds, and the longest that is kept.
+    CACHE, LONGEST = 3 << 16, 40
+
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.special = [t["content"] for t in spec["added_tokens"]]
         vocab, mark = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         byte_of = {c: b for b, c in enumerate(_byte_letters())}
         spell = lambda t: bytes(map(byte_of.__getitem__, t.removesuffix(mark))) + b"\xff" * t.endswith(mark)
@@ -61,25 +75,64 @@ class WordTokenizer:
         # A byte and a word end are one symbol from the start, so they come before all merges.
         order = [k for k in single if len(k) == 2] + [k for k in single if len(k) == 1] + [b"\xff"]
         rank = {k: r for r, k in enumerate(dict.fromkeys(order + [spell(a + b) for a, b in pairs]))}
-        self.id_of = np.zeros(len(rank), np.uint32)
+        self.id_of = np.zeros(len(rank), "<u4")
         for t, i in vocab.items():
-            if not t.startswith("<|") and (r := rank.get(spell(t))) is not None:
+            if t not in self.special and (r := rank.get(spell(t))) is not None:
                 self.id_of[r] = i
-        self.cache = WordCache(rank)
+        self.merge = tiktoken.Encoding("ranks", pat_str=r"(?s:.)+", mergeable_ranks=rank, special_tokens={})._core_bpe.encode_single_piece
+        self.blob_of = [i.tobytes() for i in self.id_of]
+        self.cache = _Parts(self)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [unicodedata.normalize("NFC", t).lower() for t in texts]
-        words = [self.split(t) for t in plain]
-        ids, ends = self.cache.ids([w for ws in words for w in ws])
-        ids = self.id_of[ids]
-        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, words)])]
-        odd = lambda t: "\u03a3" in t or "\u0130" in t
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if odd(t) else ids[a:b] for t, a, b in zip(texts, cuts[:-1], cuts[1:], strict=True)]
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
 
+    def word(self, word: str) -> bytes:
+        """Ids of one match of the pattern, as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.blob_of.__getitem__, self.merge(word.encode() + b"\xff")))
 
-class WordCache(MergeCache):
-    def _spell(self, piece: str) -> bytes:
-        return piece.encode() + b"\xff"
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Of all texts together, every distinct part is looked up once."""
+        plain = [not (_UNUSUAL.search(t) if not t.isascii() else None) and not any(s in t for s in self.special) for t in texts]
+        lowered = pa.array([unicodedata.normalize("NFC", t).lower().replace("\n", " ") if usual else "" for t, usual in zip(texts, plain, strict=True)], pa.large_string())
+        lists = pc.split_pattern(lowered, " ")
+        parts = lists.flatten().dictionary_encode()
+        blobs = list(map(self.cache.__getitem__, parts.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        flat = np.frombuffer(b"".join(blobs), "<u4")
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        which = parts.indices.to_numpy()
+        counts, firsts = size[which], (np.cumsum(size) - size)[which]
+        ends = np.cumsum(counts)
+        ids = flat[np.arange(counts.sum()) + np.repeat(firsts - ends + counts, counts)]
+        at = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return [ids[a:b] if usual else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4") for t, usual, a, b in zip(texts, plain, at[:-1], at[1:], strict=True)]
+
+
+class _Parts(dict):
+    """Ids of parts in two generations: when the young one is full it becomes the old one, whose parts come back when they are met again."""
+
+    def __init__(self, words: WordTokenizer):
+        self.words, self.old = words, {}
+
+    def __missing__(self, part: str) -> bytes:
+        words = self.words
+        # Most that are no word are a word and a mark, of which the word alone is kept.
+        if part[-1:] in _MARKS and part[:-1].isalpha():
+            return self[part[:-1]] + self[part[-1]]
+        if (ids := self.old.get(part)) is None:
+            ids = words.word(part) if part.isalpha() else b"".join(map(words.word, words.split(part)))
+        if len(part) <= words.LONGEST:
+            if len(self) >= words.CACHE:
+                self.old = dict(self)
+                self.clear()
+            self[part] = ids
+        return ids
+
+
+@functools.lru_cache(1)
+def tokenizer(path: str) -> WordTokenizer:
+    """One for each process, as workers run many tasks."""
+    return WordTokenizer(path)
 
 
 def _byte_letters() -> list[str]:
@@ -89,18 +142,26 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in shown else next(rest)) for b in range(256)]
 
 
+_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+
+
 def cut(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of every row: ``doc_id, piece, start, length, ids_crc32``."""
 
     def run(batches):
-        words = WordTokenizer(path)
-        for batch in batches:
-            rows = []
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for doc, found in zip(batch.column(0).to_pylist(), (x for at in range(0, len(texts), 256) for x in words.encode(texts[at : at + 256])), strict=True):
-                ids = np.append(found, np.uint32(0)).astype("<u4")
-                rows += [(doc, k, at, len(x := ids[at : at + limit]), zlib.crc32(x.tobytes())) for k, at in enumerate(range(0, len(ids), limit))]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        words = tokenizer(path)
+        for batch in slices(batches, 4096, 1 << 22):
+            doc, piece, start, length, crc = [], [], [], [], []
+            for d, found in zip(batch.column(0).to_pylist(), words.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                ids = np.append(found, np.uint32(0)).astype("<u4", copy=False)
+                for k, at in enumerate(range(0, len(ids), limit)):
+                    x = ids[at : at + limit]
+                    doc.append(d)
+                    piece.append(k)
+                    start.append(at)
+                    length.append(len(x))
+                    crc.append(zlib.crc32(x))
+            yield pa.record_batch([doc, piece, start, length, crc], schema=_PIECES)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -134,65 +195,74 @@ _BIN_ARROW = pa.schema([("done", pa.bool_()), ("length", pa.int64()), ("members"
 
 
 def _packer(limit: int, last: bool):
+    def packed(lengths, members):
+        order = np.argsort(-lengths, kind="stable")
+        bins = best_fit(lengths[order], limit)
+        items = [order[b] for b in bins]
+        full = np.array([lengths[i].sum() for i in items], np.int64)
+        for at in range(0, len(bins), 20_000):
+            part = slice(at, at + 20_000)
+            yield pa.record_batch([pa.array((full[part] >= limit - SLACK) | last), pa.array(full[part]), pa.array([b"".join([members[i] for i in b.tolist()]) for b in items[part]], pa.binary())], schema=_BIN_ARROW)
+
     def run(batches):
-        lengths, members = [], []
+        lengths, members, size = [], [], 0
         for batch in batches:
-            lengths += batch.column(0).to_pylist()
+            lengths.append(batch.column(0).to_numpy())
             members += batch.column(1).to_pylist()
-        order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], members[i]))
-        bins = best_fit(np.array([lengths[i] for i in order], np.int64), limit)
-        full = [sum(lengths[order[i]] for i in b) for b in bins]
-        wait = [k for k in range(len(bins)) if not last and full[k] < limit - SLACK]
-        if len(wait) > PASSED_ON:
-            wait = sorted(wait, key=lambda k: full[k])[:PASSED_ON]
-        waits = set(wait)
-        for at in range(0, len(bins), 20_000):
-            ks = range(at, min(at + 20_000, len(bins)))
-            yield pa.record_batch([pa.array([k not in waits for k in ks]), pa.array([full[k] for k in ks], pa.int64()), pa.array([b"".join(members[order[i]] for i in bins[k]) for k in ks], pa.binary())], schema=_BIN_ARROW)
+            size += batch.column(1).nbytes
+            if len(members) >= NODE or size > NODE * 4 * PIECE.itemsize:
+                yield from packed(np.concatenate(lengths), members)
+                lengths, members, size = [], [], 0
+        if members:
+            yield from packed(np.concatenate(lengths), members)
 
     return run
 
 
 def _items(batches):
     for batch in batches:
-        t = batch.to_pydict()
         rows = np.zeros(batch.num_rows, PIECE)
-        rows["doc_id"], rows["null"] = [x or 0 for x in t["doc_id"]], [x is None for x in t["doc_id"]]
-        rows["piece"], rows["start"], rows["length"], rows["crc"] = t["piece"], t["start"], t["length"], t["ids_crc32"]
-        yield pa.record_batch([pa.array(t["length"], pa.int64()), pa.array([x.tobytes() for x in rows], pa.binary())], names=["length", "members"])
+        ids = batch.column(0)
+        rows["doc_id"], rows["null"] = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
+        for k, name in enumerate(("piece", "start", "length", "crc"), 1):
+            rows[name] = batch.column(k).to_numpy()
+        blobs = pa.Array.from_buffers(pa.binary(PIECE.itemsize), len(rows), [None, pa.py_buffer(rows.tobytes())])
+        yield pa.record_batch([batch.column(3), blobs.cast(pa.binary())], names=["length", "members"])
+
+
+_PLACED = pa.schema([*_PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
+
+
+def _members(batches):
+    for batch in batches:
+        ids, blobs = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        sizes = np.array([len(b) // PIECE.itemsize for b in blobs], np.int64)
+        rows = np.frombuffer(b"".join(blobs), PIECE)
+        length = rows["length"].astype(np.int64)
+        ends = np.cumsum(length)
+        firsts = np.cumsum(sizes) - sizes
+        base = np.concatenate([[0], ends])[firsts]
+        columns = [pa.array(rows["doc_id"], mask=rows["null"].copy()), rows["piece"], rows["start"], length, rows["crc"].astype(np.int64), np.repeat(ids, sizes), ends - length - np.repeat(base, sizes)]
+        yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=_PLACED)
 
 
 def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; no sequence is longer than ``limit``."""
-    spark = pieces.sparkSession
-    work = Workspace(spark, "packing")
-    items = pieces.mapInArrow(_items, "length long, members binary")
+    work = Workspace(pieces.sparkSession, "packing")
+    items = pieces.select("doc_id", "piece", "start", "length", "ids_crc32").mapInArrow(_items, "length long, members binary")
     done = items.where(F.col("length") == limit).select("members")
-    open_items, parts, levels = items.where(F.col("length") < limit), shuffle_parts(spark), []
-    while True:
-        last = parts == 1
+    open_items, n, last = items.where(F.col("length") < limit), pieces.where(F.col("length") < limit).count(), False
+    while n:
+        parts = -(-n // NODE)
+        last = last or parts == 1
         level = work.save(open_items.select("length", "members").repartition(parts, F.xxhash64("members")).mapInArrow(_packer(limit, last), _BIN))
-        levels.append(level.where("done").select("members"))
+        done = done.unionAll(level.where("done").select("members"))
         if last:
             break
-        open_items, parts = level.where("NOT done"), max(1, parts // FAN_IN)
-    for level in levels:
-        done = done.unionAll(level)
-
-    def members(batches):
-        for batch in batches:
-            ids, blobs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            sizes = np.array([len(b) // PIECE.itemsize for b in blobs], np.int64)
-            rows = np.frombuffer(b"".join(blobs), PIECE)
-            ends = np.cumsum(rows["length"].astype(np.int64))
-            firsts = np.cumsum(sizes) - sizes
-            base = np.concatenate([[0], ends])[firsts] if len(firsts) else firsts
-            yield pa.record_batch(
-                [pa.array(rows["doc_id"], pa.int64(), mask=rows["null"].copy()), pa.array(rows["piece"]), pa.array(rows["start"]), pa.array(rows["length"].astype(np.int64)), pa.array(rows["crc"].astype(np.int64)), pa.array(np.repeat(ids, sizes)), pa.array(ends - rows["length"] - np.repeat(base, sizes))],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
-            )
-
-    return done.select(F.monotonically_increasing_id().alias("sequence_id"), "members").mapInArrow(members, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+        open_items = level.where("NOT done")
+        left = open_items.count()
+        last, n = left > STALLED * n, left
+    return done.select(F.monotonically_increasing_id().alias("sequence_id"), "members").mapInArrow(_members, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:

@@ -346,16 +346,29 @@ def test_html_of_the_pages(spark, sf):
 # -- 8 ----------------------------------------------------------------------------------------------------
 
 
-def test_word_tokenizer_equals_the_library():
+def test_word_tokenizer_equals_the_library(monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
     own, lib = packing.WordTokenizer(path), Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
-    texts = [t or "" for t in TEXTS] + ["ΣΑΣ İx é don't I'LL \x1c\u0085​ <|endoftext|>", "".join(map(chr, range(1, 0x600)))]
-    assert [x.tolist() for x in own.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
-
-
-def test_packing(docs, none, monkeypatch):
-    monkeypatch.setattr(packing, "PASSED_ON", 3)
+    every = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    texts = [t or "" for t in TEXTS] + ["ΣΑΣ İx é don't I'LL \x1c\u0085\u200b <|endoftext|>", "a<|startoftext|>b c<|endoftext|>", "".join(every), " ".join(every), "a".join(every)]
+    r = random.Random(1)
+    texts += ["".join(r.choice(every) if r.random() < 0.3 else r.choice("abcé'strevmld ,.!?1\n\t\u0301") for _ in range(50)) for _ in range(2000)]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in own.encode(texts)] == want
+    monkeypatch.setattr(packing.WordTokenizer, "CACHE", 5)
+    assert [x.tolist() for x in packing.WordTokenizer(path).encode(texts)] == want
+
+
+@given(st.lists(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=30), max_size=4))
+@settings(max_examples=100, deadline=None)
+def test_word_tokenizer_on_any_text(texts):
+    own = packing.tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    assert [x.tolist() for x in own.encode(texts)] == [own.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("node", [packing.NODE, 7])
+def test_packing(docs, none, monkeypatch, node):
+    monkeypatch.setattr(packing, "NODE", node)
     rows = packing.pack_documents(docs).collect()
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = Counter()
@@ -378,6 +391,14 @@ def test_packing(docs, none, monkeypatch):
     assert packing.pack_documents(none).collect() == []
 
 
+def test_packing_of_items_that_never_fit_together(spark, monkeypatch):
+    """Rounds stop when underfull bins find no company, and every item is placed."""
+    monkeypatch.setattr(packing, "NODE", 10)
+    pieces = spark.range(200).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "1100L AS length", "id AS ids_crc32")
+    out = packing.pack(pieces).collect()
+    assert len(out) == 200 == len({r["sequence_id"] for r in out}) and {r["offset"] for r in out} == {0}
+
+
 def test_best_fit_by_hand():
     assert packing.best_fit(np.array([6, 5, 4, 3, 2]), 10) == [[0, 2], [1, 3, 4]]
 
