@@ -6,6 +6,7 @@ Every long job here is cut into steps whose results are written as Parquet under
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,14 +20,31 @@ BROADCAST_LIMIT = 24 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none (tests)."""
+    """The folder all executors share; a local one only where the session names none and all run in this process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="arbiter-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+_open: list[Workspace] = []
+
+
+def opened() -> int:
+    """How many workspaces there are; what is opened later can be closed by this number."""
+    return len(_open)
+
+
+def close(since: int = 0) -> None:
+    """Deletes all tables of the workspaces opened since; for when their results have been written or aren't needed any more."""
+    for w in _open[since:]:
+        w.close()
+    del _open[since:]
+
+
 class Workspace:
     """Intermediate tables of one operator run, written once and read again."""
 
@@ -34,6 +52,11 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        _open.append(self)
+
+    def close(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self._n}"
@@ -69,6 +92,13 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 def slices(batches, rows: int, size: int):
     """Arrow batches in parts of at most so many rows, and of about so many bytes unless a row has more.
 

@@ -1,13 +1,17 @@
 """Suffix-array dedup: removes every byte covered by a 400-byte string that also starts elsewhere.
 
-Only suffixes that can share 400 bytes are sorted. Every 400-byte window is owned by the 64-byte gram of
-least hash in it (its anchor, the leftmost of equals); equal windows have equal anchors at equal offsets.
-Windows of one owner in a row are a context: a few hundred bytes around the anchor. Anchors that occur
-once are dropped by a partially aggregated count. Contexts that occur more than once are covered as a
+Only suffixes that can share ``length`` bytes are sorted. Every window of that length is owned by the 32-byte
+gram of least hash in it (its anchor, the leftmost of equals); equal windows have equal anchors at equal
+offsets. Windows of one owner in a row are a context: a few hundred bytes around the anchor. Anchors that
+occur once are dropped by a partially aggregated count. Contexts that occur more than once are covered as a
 whole. Of an anchor with several contexts, one of each is fetched and its suffixes, one for each window,
 are sorted by hash comparison: prefix polynomial hashes and a binary search give the common extension of
-two suffixes, so a mergesort step takes logarithmic time; neighbours that agree on 400 bytes by hash are
-verified byte by byte. What is covered there goes to all occurrences of the context, copies included.
+two suffixes, so a mergesort step takes logarithmic time; neighbours that agree on the whole length by hash
+are verified byte by byte. What is covered there goes to all occurrences of the context, copies included.
+
+This is done twice. First with 256 bytes, the least that a passage of over 50 words is taken to have: this
+finds the runs of repeated bytes, and so the passages. Then with 400 bytes, over runs of 400 bytes or more
+alone: a string that stands twice lies in such runs at both places, so nothing else can have any.
 
 Texts are UTF-8 bytes; matches never cross documents and are judged on the input. Null and short texts
 lose nothing. Repeated rows are documents of their own, so each is covered by the other if long enough.
@@ -25,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, Workspace, binary_texts, mix, powers
+from .common import BASE, Workspace, binary_texts, fresh, mix, powers, slices
 
-LENGTH, GRAM = 400, 64
-SPAN = LENGTH - GRAM + 1  # grams of a window
+LENGTH, GRAM = 400, 32
+#: Bytes of the strings whose repeats make up runs, and words of a run that is more than no passage.
+LEAST, WORDS = 256, 50
 _BLOCK = 1 << 18
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _inverse = np.ones(1, np.uint64)
@@ -63,14 +68,14 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def contexts(text: bytes):
+def contexts(text: bytes, length: int = LENGTH):
     """Yields arrays of anchor hash, anchor position, first and last window start of each context."""
     n = len(text)
-    for first in range(0, n - LENGTH + 1, _BLOCK):
-        b = np.frombuffer(text, np.uint8, min(n - first, _BLOCK + LENGTH - 1), first)
+    for first in range(0, n - length + 1, _BLOCK):
+        b = np.frombuffer(text, np.uint8, min(n - first, _BLOCK + length - 1), first)
         p = prefix_hashes(b)
         grams = mix((p[GRAM:] - p[:-GRAM]) * inverse_powers(len(p) - GRAM))
-        least = sliding_min((grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64), SPAN)
+        least = sliding_min((grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64), length - GRAM + 1)
         at = (least & _LOW).astype(np.int64)
         cut = np.flatnonzero(np.diff(at, prepend=-1))
         last = np.append(cut[1:], len(at)) - 1
@@ -82,35 +87,40 @@ def _digest(x: bytes, lo: int, hi: int) -> int:
     return int.from_bytes(hashlib.blake2b(x, digest_size=8, salt=lo.to_bytes(4, "little") + hi.to_bytes(4, "little")).digest(), "little", signed=True)
 
 
-def _occurrences(batches):
+_SEEN = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("pos", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+
+
+def _occurrences(length: int):
     """``anchor, context, doc_id, text_key, pos, lo, hi``: windows start from ``pos - lo`` to ``pos - hi``."""
-    for batch in batches:
-        out, size = [[] for _ in range(7)], 0
+
+    def run(batches):
+        out, size = [], 0
 
         def made():
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            whole = [np.concatenate(c) for c in out]
-            return pa.record_batch([pa.array(c, k) for c, k in zip(whole, kinds, strict=True)], names=["anchor", "context", "doc_id", "text_key", "pos", "lo", "hi"])
-
-        for doc, text, key in zip(batch.column(0).to_pylist(), binary_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            for h, pos, first, last in contexts(text):
-                lo, hi = pos - first, pos - last
-                made_of = [_digest(text[a : b + LENGTH], x, y) for a, b, x, y in zip(first.tolist(), last.tolist(), lo.tolist(), hi.tolist(), strict=True)]
-                for column, values in zip(out, (h.view(np.int64), np.array(made_of, np.int64), np.full(len(h), doc, np.int64), np.full(len(h), key, np.int64), pos, lo, hi), strict=True):
-                    column.append(values)
-                size += len(h)
-            if size > 50_000:
-                yield made()
-                out, size = [[] for _ in range(7)], 0
+            columns = (np.concatenate(c) for c in zip(*out, strict=True))
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _SEEN, strict=True)], schema=_SEEN)
+
+        for batch in slices(batches, 1024, 1 << 23):
+            for doc, text, key in zip(batch.column(0).to_pylist(), binary_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                for h, pos, first, last in contexts(text, length):
+                    lo, hi = pos - first, pos - last
+                    made_of = [_digest(text[a : b + length], x, y) for a, b, x, y in zip(first.tolist(), last.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+                    out.append((h.view(np.int64), np.array(made_of, np.int64), np.full(len(h), doc, np.int64), np.full(len(h), key, np.int64), pos, lo, hi))
+                    size += len(h)
+                if size > 50_000:
+                    yield made()
+                    out, size = [], 0
         if size:
             yield made()
 
+    return run
+
 
 class Suffixes:
-    """Suffixes of one buffer, compared by hashes of prefixes up to ``LENGTH`` bytes."""
+    """Suffixes of one buffer, compared by hashes of prefixes up to ``length`` bytes."""
 
-    def __init__(self, buffer: np.ndarray):
-        self.bytes = buffer
+    def __init__(self, buffer: np.ndarray, length: int = LENGTH):
+        self.bytes, self.length = buffer, length
         self.hash = prefix_hashes(buffer)
         self.inverse = inverse_powers(len(self.hash))
 
@@ -119,9 +129,9 @@ class Suffixes:
         return (self.hash[at + size] - self.hash[at]) * self.inverse[at]
 
     def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common bytes of suffixes at ``a`` and ``b``, ``LENGTH`` at most, by binary search."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), LENGTH)
-        for _ in range(LENGTH.bit_length()):
+        """Common bytes of suffixes at ``a`` and ``b``, ``length`` at most, by binary search."""
+        low, high = np.zeros(len(a), np.int64), np.full(len(a), self.length)
+        for _ in range(self.length.bit_length()):
             mid = (low + high + 1) // 2
             same = self.cut(a, mid) == self.cut(b, mid)
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
@@ -133,7 +143,7 @@ class Suffixes:
         differ = np.flatnonzero(whole_a != whole_b)
         x, y = a[differ], b[differ]
         n = self.extension(x, y)
-        n = np.minimum(n, LENGTH - 1)
+        n = np.minimum(n, self.length - 1)
         out[differ] = self.bytes[x + n] < self.bytes[y + n]
         return out
 
@@ -145,7 +155,7 @@ class Suffixes:
         begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
         inside = np.arange(n) - begin
         group = np.repeat(sizes, sizes)
-        whole = self.cut(at, LENGTH)
+        whole = self.cut(at, self.length)
         width = 1
         while width < sizes.max(initial=0):
             left = (inside // (2 * width)) * 2 * width  # start of the pair of runs
@@ -173,18 +183,18 @@ class Suffixes:
         return order
 
 
-def covered_windows(parts: list[bytes], lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray) -> list[tuple[int, int, int]]:
+def covered_windows(parts: list[bytes], lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int]]:
     """Of contexts, the windows that others have too: context number, and first and last offset of each run."""
     sizes = np.array([len(p) for p in parts], np.int64)
     base = np.cumsum(sizes) - sizes
-    s = Suffixes(np.frombuffer(b"".join(parts), np.uint8))
+    s = Suffixes(np.frombuffer(b"".join(parts), np.uint8), length)
     counts = lo - hi + 1
     who = np.repeat(np.arange(len(parts)), counts)
     step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     at, offset = base[who] + step, lo[who] - step
     # Suffixes of one anchor at one offset are a group.
     _, number = np.unique(anchor, return_inverse=True)
-    key = number[who] * (SPAN + 1) + offset
+    key = number[who] * length + offset
     order = np.argsort(key, kind="stable")
     who, at, offset, key = who[order], at[order], offset[order], key[order]
     edge = np.flatnonzero(np.diff(key, prepend=-1))
@@ -195,7 +205,7 @@ def covered_windows(parts: list[bytes], lo: np.ndarray, hi: np.ndarray, anchor:
         return []
     order = s.sort(at, sizes)
     who, at, offset = who[order], at[order], offset[order]
-    whole = s.cut(at, LENGTH)
+    whole = s.cut(at, length)
     first = np.zeros(len(at), bool)
     first[np.cumsum(sizes) - sizes] = True
     pair = np.flatnonzero((whole[1:] == whole[:-1]) & ~first[1:])
@@ -209,11 +219,11 @@ def covered_windows(parts: list[bytes], lo: np.ndarray, hi: np.ndarray, anchor:
     out = []
     data = s.bytes.tobytes()
     for i, j in zip(cut.tolist(), np.append(cut[1:], len(a)).tolist(), strict=True):
-        x, y, n = int(place[i]), int(place_b[i]), j - i + LENGTH - 1
+        x, y, n = int(place[i]), int(place_b[i]), j - i + length - 1
         if data[x : x + n] == data[y : y + n]:
             runs = [(int(o[j - 1]), int(o[i]))]
         else:  # a collision within the run: window by window
-            runs = [(int(o[k]), int(o[k])) for k in range(i, j) if data[place[k] : place[k] + LENGTH] == data[place_b[k] : place_b[k] + LENGTH]]
+            runs = [(int(o[k]), int(o[k])) for k in range(i, j) if data[place[k] : place[k] + length] == data[place_b[k] : place_b[k] + length]]
         for low, high in runs:
             out += [(int(a[i]), low, high), (int(b[i]), low, high)]
     return out
@@ -222,44 +232,49 @@ def covered_windows(parts: list[bytes], lo: np.ndarray, hi: np.ndarray, anchor:
 _FOUND = "anchor long, context long, low int, high int"
 
 
-def _sorted(batches):
+def _sorted(length: int):
     """Contexts in the order of their anchors to the windows that are covered, some megabytes at a time."""
-    rows: list[tuple] = []
-    size = 0
 
     def done(rows):
         lo, hi = np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
         anchor = np.array([r[0] for r in rows], np.int64)
-        found = sorted(set(covered_windows([r[4] for r in rows], lo, hi, anchor)))
-        yield pa.record_batch([pa.array([rows[f[0]][0] for f in found], pa.int64()), pa.array([rows[f[0]][1] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32())], names=["anchor", "context", "low", "high"])
+        found = sorted(set(covered_windows([r[4] for r in rows], lo, hi, anchor, length)))
+        return pa.record_batch([pa.array([rows[f[0]][0] for f in found], pa.int64()), pa.array([rows[f[0]][1] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32())], names=["anchor", "context", "low", "high"])
+
+    def run(batches):
+        rows, size = [], 0
+        for batch in slices(batches, 1024, 1 << 22):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if size > 1 << 20 and row[0] != rows[-1][0]:
+                    yield done(rows)
+                    rows, size = [], 0
+                rows.append(row)
+                size += len(row[4])
+        if rows:
+            yield done(rows)
+
+    return run
 
-    for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            if size > 1 << 20 and row[0] != rows[-1][0]:
-                yield from done(rows)
-                rows, size = [], 0
-            rows.append(row)
-            size += len(row[4])
-    if rows:
-        yield from done(rows)
 
+_CONTEXTS = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("bytes", pa.binary())])
 
-def _fetch(batches):
+
+def _fetch(length: int):
     """Contexts' bytes, cut from the texts that have them."""
-    for batch in batches:
-        out = [[] for _ in range(5)]
-        for text, wanted in zip(binary_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            for w in wanted:
-                for column, value in zip(out, (w["anchor"], w["context"], w["lo"], w["hi"], text[w["pos"] - w["lo"] : w["pos"] - w["hi"] + LENGTH]), strict=True):
-                    column.append(value)
-            if len(out[0]) > 20_000:
-                yield _contexts_batch(out)
-                out = [[] for _ in range(5)]
-        yield _contexts_batch(out)
 
+    def run(batches):
+        out = []
+        for batch in slices(batches, 256, 1 << 22):
+            for text, wanted in zip(binary_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                for w in wanted:
+                    out.append((w["anchor"], w["context"], w["lo"], w["hi"], text[w["pos"] - w["lo"] : w["pos"] - w["hi"] + length]))
+                    if len(out) == 5_000:
+                        yield pa.record_batch([list(c) for c in zip(*out, strict=True)], schema=_CONTEXTS)
+                        out = []
+        if out:
+            yield pa.record_batch([list(c) for c in zip(*out, strict=True)], schema=_CONTEXTS)
 
-def _contexts_batch(out) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "context", "lo", "hi", "bytes"])
+    return run
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -267,27 +282,27 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("text_key"))
 
 
-def repeated_spans(docs: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text_key, spans array<struct<start, end>>``: of every text with repeats, byte ranges that cover them."""
-    keyed = _keyed(docs, id_col, text_col)
-    all_of = work.save(keyed.where(F.octet_length("text") >= LENGTH).mapInArrow(_occurrences, "anchor long, context long, doc_id long, text_key long, pos long, lo int, hi int"))
+def repeated_spans(keyed: DataFrame, work: Workspace, length: int = LENGTH) -> DataFrame:
+    """Of ``keyed(doc_id, text, text_key)``, each text with repeats: ``doc_id, text_key, spans array<struct<start, end>>``, ranges that cover them."""
+    all_of = work.save(keyed.where(F.octet_length("text") >= length).select("doc_id", "text", "text_key").mapInArrow(_occurrences(length), "anchor long, context long, doc_id long, text_key long, pos long, lo int, hi int"))
     often = work.save(all_of.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b")).where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed")))
     work.free()
     some = work.save(all_of.join(often, "anchor"))
-    work.drop(all_of)
+    work.drop(all_of, often)
     per = work.save(some.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.min("hi").alias("hi"), F.bool_or("mixed").alias("mixed"), F.min(F.struct("doc_id", "text_key", "pos")).alias("rep")))
     work.free()
     whole = per.where("n > 1").select("anchor", "context", F.col("hi").alias("low"), F.col("lo").alias("high"))
     wanted = per.where("mixed").groupBy("rep.doc_id", "rep.text_key").agg(F.collect_list(F.struct("anchor", "context", "lo", "hi", F.col("rep.pos").alias("pos"))).alias("wanted"))
     wanted = work.save(wanted)
     # Repeated rows have the same contexts, so one of them is enough.
-    fetched = keyed.join(wanted, ["doc_id", "text_key"]).select("text", "wanted").mapInArrow(_fetch, "anchor long, context long, lo int, hi int, bytes binary")
-    found = work.save(fetched.repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(_sorted, _FOUND))
+    fetched = keyed.join(wanted, ["doc_id", "text_key"]).select("text", "wanted").mapInArrow(_fetch(length), "anchor long, context long, lo int, hi int, bytes binary")
+    found = work.save(fetched.repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(_sorted(length), _FOUND))
     work.free()
     cover = whole.unionAll(found)
     spans = some.select("anchor", "context", "doc_id", "text_key", "pos").join(cover, ["anchor", "context"])
-    spans = spans.select("doc_id", "text_key", F.struct((F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + LENGTH).alias("end")).alias("s"))
+    spans = spans.select("doc_id", "text_key", F.struct((F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + length).alias("end")).alias("s"))
     out = work.save(spans.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("s")).alias("spans")))
+    work.drop(some, per, wanted, found)
     work.free()
     return out
 
@@ -311,46 +326,92 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
+def whole_words(text: bytes, start: int, end: int) -> int:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of the text that lie in the range with both their ends."""
+    words = text[start:end].split()
+    cut_first = bool(words) and start > 0 and bool(text[start - 1 : start].strip()) and bool(text[start : start + 1].strip())
+    cut_last = bool(words) and end < len(text) and bool(text[end : end + 1].strip()) and bool(text[end - 1 : end].strip())
+    return max(0, len(words) - cut_first - cut_last)
+
+
 def _joined(docs: DataFrame, work: Workspace, id_col: str, text_col: str) -> DataFrame:
-    spans = repeated_spans(docs, work, id_col, text_col)
-    keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("key_id"), F.xxhash64(text_col).alias("key_text")]
+    """``docs`` with ``spans``, those of strings of ``LEAST`` bytes."""
+    spans = repeated_spans(_keyed(docs, id_col, text_col), work, LEAST)
     side = spans.select(F.col("doc_id").alias("span_id"), F.col("text_key").alias("span_key"), "spans")
-    rows = docs.select("*", *keys)
-    return rows.join(side, (F.col("key_id") == F.col("span_id")) & (F.col("key_text") == F.col("span_key")), "left").select(*[rows[c] for c in docs.columns], "spans")
+    # The columns travel as one, so that no name of theirs meets another.
+    rows = docs.select(F.struct("*").alias("cells"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("key_id"), F.xxhash64(text_col).alias("key_text"))
+    both = rows.join(side, (F.col("key_id") == F.col("span_id")) & (F.col("key_text") == F.col("span_key")), "left")
+    return both.select(*(F.col("cells").getField(c).alias(c) for c in docs.columns), F.col("spans").alias(fresh(docs, "spans")))
 
 
-def removed_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row."""
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+_DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("passage_words", pa.int64())])
+_LOOKED = pa.schema([*_DIGESTS, ("text", pa.binary()), ("runs", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for doc, text, spans in zip(batch.column(0).to_pylist(), binary_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                m = merged(spans)
-                rows.append((doc, len(text), sum(b - a for a, b in m), len(m), hashlib.sha256(without(text, m)).hexdigest()))
-            if rows:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _joined(plain, Workspace(docs.sparkSession, "suffix_dedup"), "doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+def _look(batches):
+    """Rows with their words in runs; those with a run of ``LENGTH`` bytes keep the text for the second time, the others are done."""
+    for batch in slices(batches, 1024, 1 << 22):
+        rows = []
+        for doc, text, spans in zip(batch.column(0).to_pylist(), binary_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            found = merged(spans)
+            words = max((whole_words(text, a, b) for a, b in found), default=0)
+            runs = [{"start": a, "end": b} for a, b in found if b - a >= LENGTH]
+            rows.append((doc, len(text), 0, 0, None if runs else hashlib.sha256(text).hexdigest(), words, text if runs else None, runs))
+        yield pa.record_batch([list(c) for c in zip(*rows, strict=True)], schema=_LOOKED)
+
+
+def _remove(batches):
+    for batch in slices(batches, 1024, 1 << 22):
+        rows = []
+        for doc, words, text, spans in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            m = merged(spans)
+            rows.append((doc, len(text), sum(b - a for a, b in m), len(m), hashlib.sha256(without(text, m)).hexdigest(), words))
+        yield pa.record_batch([list(c) for c in zip(*rows, strict=True)], schema=_DIGESTS)
+
+
+def removed_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, passage_words, has_passage`` of every row.
+
+    ``passage_words`` is the most whole words that a run has, where a run is as many bytes as follow each
+    other and are covered by ``LEAST``-byte strings that also start elsewhere; ``has_passage`` says that they
+    are over ``WORDS``.
+    """
+    work = Workspace(docs.sparkSession, "suffix_dedup")
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, passage_words long"
+    looked = _joined(plain, work, "doc_id", "text").mapInArrow(_look, kinds + ", text binary, runs array<struct<start: bigint, end: bigint>>")
+    looked = work.save(looked.withColumn("row", F.monotonically_increasing_id()))
+    work.free()
+    done, rest = looked.where("text IS NULL").drop("text", "runs", "row"), looked.where("text IS NOT NULL")
+    runs = rest.select("row", "text", F.explode("runs").alias("run"))
+    runs = runs.select(F.col("row").alias("doc_id"), F.col("run.start").alias("text_key"), F.expr("substring(text, CAST(run.start AS INT) + 1, CAST(run.end - run.start AS INT))").alias("text"))
+    spans = repeated_spans(runs, work, LENGTH)
+    moved = F.transform("spans", lambda x: F.struct((x["start"] + F.col("text_key")).alias("start"), (x["end"] + F.col("text_key")).alias("end")))
+    spans = spans.select(F.col("doc_id").alias("row"), moved.alias("spans")).groupBy("row").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
+    removed = rest.join(spans, "row", "left").select("doc_id", "passage_words", "text", "spans").mapInArrow(_remove, kinds)
+    return done.unionAll(removed).withColumn("has_passage", F.col("passage_words") > WORDS)
 
 
 def cleaned_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with every repeated byte taken out of ``text`` and ``n_chars`` counted anew.
+    """``docs`` without repeated passages in ``text``, and ``n_chars``, if there is one, counted anew.
 
-    A character of which a part is removed goes whole. Rows keep their place even if nothing is left.
+    A passage is a run of over ``WORDS`` words: bytes that follow each other and are covered by ``LEAST``-byte
+    strings that also start elsewhere. A character of which a part is removed goes whole. Rows keep their
+    place even if nothing is left.
     """
-    at, chars = docs.columns.index("text"), docs.columns.index("n_chars")
-    schema = docs.schema
+    at, schema = docs.columns.index("text"), docs.schema
+    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1024, 1 << 22):
             texts = []
             for null, text, spans in zip(batch.column(at).is_null().to_pylist(), binary_texts(batch.column(at)), batch.column(len(batch.schema) - 1).to_pylist(), strict=True):
-                texts.append(None if null else without(text, merged(spans)).decode("utf-8", "ignore"))
+                passages = [(a, b) for a, b in merged(spans) if whole_words(text, a, b) > WORDS]
+                texts.append(None if null else without(text, passages).decode("utf-8", "ignore") if passages else text.decode())
             columns = [batch.column(i) for i in range(len(batch.schema) - 1)]
-            columns[at] = pa.array(texts, pa.string())
-            columns[chars] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+            columns[at] = pa.array(texts, batch.column(at).type)
+            if chars is not None:
+                columns[chars] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.column(chars).type)
             yield pa.record_batch(columns, names=batch.schema.names[:-1])
 
     return _joined(docs, Workspace(docs.sparkSession, "suffix_dedup"), "doc_id", "text").mapInArrow(run, schema)
