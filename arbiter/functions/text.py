@@ -38,6 +38,15 @@ PATCHED_SIGNALS = [
 UNPATCHED_SIGNALS = [
     "no patch", "not (yet )?patched", "unpatched", "not been patched", "no fix", "has not been fixed", "remains (un)?mitigated", "no (known |available )?fix", "currently (has no|without) (a )?patch", "patch (is )?not (yet )?available",
 ]
+CVE = r"CVE-\d{4}-\d+"
+STILL_AFFECTED = "Is (.+?) still affected"
+CASE_CITATION = r"([A-Z][a-z]+(?:\s+v\.\s+[A-Z][a-z]+)?),\s+\d+ [A-Z]\.\S+ \d+"
+EMPLOYEE, TICKER = r"EMP\d{3}-\w+", r"\b([A-Z]{2,5})\b"
+ONE_LETTER_TICKER = r"\b(?:for|in|trade|their|'s)\s+([A-Z])\b"
+US_REPORT, FEDERAL_REPORT = r"(\d+)\s+U\.S\.\s+(\d+)", r"\d+\s+F\.[23]d\s+\d+"
+CITED_YEAR = r"\((\d{4})\)"
+RELEASE_TAG = r"github\.com/([^/]+)/([^/]+)/releases/tag/"
+VERSION = r"\b(\d+\.\d+(?:\.\d+)*(?:[._-]\w+)?)\b"
 RELEASE_HEADER = "This release includes maintenance updates and stability improvements. Users are encouraged to upgrade to the latest version. We thank the community for responsible reporting. "
 
 
@@ -149,13 +158,13 @@ def html_text(html) -> Column:
 def us_citation(text) -> Column:
     """``NNN U.S. NNN`` as volume and page, empty if there is none."""
     c = _col(text)
-    return F.struct(F.regexp_extract(c, r"(\d+)\s+U\.S\.\s+(\d+)", 1).alias("volume"), F.regexp_extract(c, r"(\d+)\s+U\.S\.\s+(\d+)", 2).alias("page"))
+    return F.struct(F.regexp_extract(c, US_REPORT, 1).alias("volume"), F.regexp_extract(c, US_REPORT, 2).alias("page"))
 
 
 def citations(text) -> Column:
     """All reports cited: U.S. ones first, then federal ones."""
     c = _col(text)
-    return F.concat(F.regexp_extract_all(c, F.lit(r"\d+\s+U\.S\.\s+\d+"), F.lit(0)), F.regexp_extract_all(c, F.lit(r"\d+\s+F\.[23]d\s+\d+"), F.lit(0)))
+    return F.concat(F.regexp_extract_all(c, F.lit(US_REPORT), F.lit(0)), F.regexp_extract_all(c, F.lit(FEDERAL_REPORT), F.lit(0)))
 
 
 def split_case_citation(text) -> Column:
@@ -167,17 +176,17 @@ def split_case_citation(text) -> Column:
 
 
 def citation_year(text, default: str = "2010") -> Column:
-    found = F.regexp_extract(_col(text), r"\((\d{4})\)", 1)
+    found = F.regexp_extract(_col(text), CITED_YEAR, 1)
     return F.when(found == "", F.lit(default)).otherwise(found)
 
 
 def release_url(references) -> Column:
     """The first URL of a release tag among an array of URLs."""
-    return F.try_element_at(F.filter(_col(references), lambda u: u.rlike(r"github\.com/[^/]+/[^/]+/releases/tag/[^/\s]+")), F.lit(1))
+    return F.try_element_at(F.filter(_col(references), lambda u: u.rlike(RELEASE_TAG + r"[^/\s]+")), F.lit(1))
 
 
 def parse_release_url(url) -> Column:
-    c, pattern = _col(url), r"github\.com/([^/]+)/([^/]+)/releases/tag/(.+)$"
+    c, pattern = _col(url), RELEASE_TAG + "(.+)$"
     return F.struct(F.regexp_extract(c, pattern, 1).alias("owner"), F.regexp_extract(c, pattern, 2).alias("repo"), F.regexp_replace(F.regexp_extract(c, pattern, 3), r"[?#].*$", "").alias("tag"))
 
 
@@ -188,38 +197,38 @@ def product_name(package, source, references, ident) -> Column:
 
 
 def cve_id(text) -> Column:
-    return F.upper(F.regexp_extract(_col(text), r"(?i)CVE-\d{4}-\d+", 0))
+    return F.upper(F.regexp_extract(_col(text), "(?i)" + CVE, 0))
 
 
 def security_entities(text) -> Column:
-    return F.struct(cve_id(text).alias("cve_id"), F.trim(F.regexp_extract(_col(text), "(?i)Is (.+?) still affected", 1)).alias("product"))
+    return F.struct(cve_id(text).alias("cve_id"), F.trim(F.regexp_extract(_col(text), "(?i)" + STILL_AFFECTED, 1)).alias("product"))
 
 
 def legal_entities(text) -> Column:
-    cite = F.regexp_extract(_col(text), r"(?i)([A-Z][a-z]+(?:\s+v\.\s+[A-Z][a-z]+)?),\s+\d+ [A-Z]\.\S+ \d+", 0)
+    cite = F.regexp_extract(_col(text), "(?i)" + CASE_CITATION, 0)
     return F.struct(F.when(cite != "", slug(cite)).alias("case_slug"))
 
 
 def finance_entities(text) -> Column:
     c = _col(text)
-    return F.struct(F.upper(F.regexp_extract(c, r"(?i)EMP\d{3}-\w+", 0)).alias("employee_id"), F.upper(F.regexp_extract(c, r"\b([A-Z]{2,5})\b", 1)).alias("security_ticker"))
+    return F.struct(F.upper(F.regexp_extract(c, "(?i)" + EMPLOYEE, 0)).alias("employee_id"), F.upper(F.regexp_extract(c, TICKER, 1)).alias("security_ticker"))
 
 
 def query_entities(text) -> Column:
     """Employee and ticker of a question; null where there is none."""
     c = _col(text)
-    emp = F.try_element_at(F.regexp_extract_all(c, F.lit(r"\bEMP\d{3}-\w+\b"), F.lit(0)), F.lit(1))
-    capitals = F.filter(F.regexp_extract_all(c, F.lit(r"\b[A-Z]{2,5}\b"), F.lit(0)), lambda w: ~w.isin(COMMON_WORDS))
-    single = F.regexp_extract(c, r"\b(?:for|in|trade|their|'s)\s+([A-Z])\b", 1)
+    emp = F.try_element_at(F.regexp_extract_all(c, F.lit(rf"\b{EMPLOYEE}\b"), F.lit(0)), F.lit(1))
+    capitals = F.filter(F.regexp_extract_all(c, F.lit(TICKER), F.lit(1)), lambda w: ~w.isin(COMMON_WORDS))
+    single = F.regexp_extract(c, ONE_LETTER_TICKER, 1)
     return F.struct(emp.alias("employee"), F.coalesce(F.try_element_at(capitals, F.lit(1)), F.when(single != "", single)).alias("ticker"))
 
 
 def strip_cves(text) -> Column:
-    return F.regexp_replace(F.regexp_replace(_col(text), r"(?i)CVE-\d{4}-\d+", ""), r"^[ ,.]+|[ ,.]+$", "")
+    return F.regexp_replace(F.regexp_replace(_col(text), "(?i)" + CVE, ""), r"^[ ,.]+|[ ,.]+$", "")
 
 
 def version_set(text) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(_col(text), F.lit(r"\b(\d+\.\d+(?:\.\d+)*(?:[._-]\w+)?)\b"), F.lit(1))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(_col(text), F.lit(VERSION), F.lit(1))))
 
 
 def fixed_versions(affected) -> Column:

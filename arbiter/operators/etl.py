@@ -66,6 +66,51 @@ def scope_filter(docs: DataFrame, queries: DataFrame, keys: list[str], need_all:
     return d.where(keep).drop(*(f"q_{k}" for k in keys))
 
 
+def scoped(docs: DataFrame, queries: DataFrame, keys: list[str], need_all: bool) -> DataFrame:
+    """``qid, doc_id``: what ``scope_filter`` keeps of all documents for each question.
+
+    Questions are parted by which keys they have, and each part meets the documents by an equi-join on
+    those. A question without a key that counts keeps all documents, by definition.
+    """
+    out = None
+    has = lambda k: F.coalesce(F.col(k), F.lit("")) != ""
+    for mask in range(1 << len(keys)):
+        mine = [k for i, k in enumerate(keys) if mask >> i & 1]
+        part = queries
+        for k in keys:
+            part = part.where(has(k) if k in mine else ~has(k))
+        on = [] if need_all and len(mine) < len(keys) else mine
+        d = docs.select("doc_id", *on)
+        kept = (part.select("qid", *on).join(d, on) if on else part.select("qid").crossJoin(d)).select("qid", "doc_id")
+        out = kept if out is None else out.unionAll(kept)
+    return out
+
+
+def scoped_counts(docs: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
+    """``qid, n``: how many documents have all keys of each question; of a question that lacks one, all count. No pair is made."""
+    every = F.lit(True)
+    for k in keys:
+        every = every & (F.coalesce(F.col(k), F.lit("")) != "")
+    per = docs.groupBy(*keys).agg(F.count("*").alias("n"))
+    whole = queries.where(every).join(per, keys).select("qid", "n")
+    total = F.broadcast(docs.agg(F.count("*").alias("n")))
+    return whole.unionAll(queries.where(~every).select("qid").crossJoin(total))
+
+
+def merge_pairs(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Existing pairs, then new ones whose keys aren't there yet, each once; columns go by name."""
+    return build_corpus(existing, new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti"))
+
+
+def events_by_type(events: DataFrame, kind: str) -> DataFrame:
+    return events.where(F.col("event_type") == kind)
+
+
+def events_before(events: DataFrame, ts: Column | str, column: str = "ts") -> DataFrame:
+    """Events strictly earlier than a time, given as a column or as ISO text."""
+    return events.where(F.col(column) < (F.to_timestamp(F.lit(ts)) if isinstance(ts, str) else ts))
+
+
 def quality_filters(df: DataFrame, text: str, least_chars: int = 80, least_words: int = 20) -> DataFrame:
     c = F.trim(F.col(text))
     return df.where((F.length(c) >= least_chars) & (F.size(F.filter(F.split(c, r"\s+"), lambda w: w != "")) >= least_words) & T.is_english(text))

@@ -48,15 +48,34 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame, tokenizer: str = "w", dup
     """
     terms = query_terms(queries, tokenizer, dup_terms)
     wanted = terms.select("tok").distinct()
-    hits = corpus.select("doc_id", F.explode(TOKENIZERS[tokenizer]("text")).alias("tok")).join(wanted, "tok", "left_semi")
-    tf = hits.groupBy("doc_id", "tok").agg(F.count("*").alias("tf"))
+    # A document's length goes with its terms, so that texts are split once for both.
+    split = corpus.select("doc_id", TOKENIZERS[tokenizer]("text").alias("toks"))
+    hits = split.select("doc_id", F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("tok")).join(wanted, "tok", "left_semi")
+    tf = hits.groupBy("doc_id", "dl", "tok").agg(F.count("*").alias("tf"))
     df = tf.groupBy("tok").agg(F.count("*").alias("df"))
-    weighed = tf.join(df, "tok").join(lengths(corpus, tokenizer), "doc_id").crossJoin(F.broadcast(collection_stats(corpus, tokenizer)))
+    weighed = tf.join(df, "tok").crossJoin(F.broadcast(collection_stats(corpus, tokenizer)))
     weight = scores.idf(F.col("n_docs"), F.col("df")) * scores.bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))
     weighed = weighed.select("doc_id", "tok", weight.alias("w"))
     return weighed.join(terms, "tok").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qtf")), DIGITS).alias("score"))
 
 
+def okapi_scores(corpus: DataFrame, queries: DataFrame, tokenizer: str = "w", epsilon: float = 0.25) -> DataFrame:
+    """BM25 in the classic form: terms that more than half of the documents have would weigh less than nothing and
+    get ``epsilon`` times the mean idf of all terms instead. Question terms count as often as they stand.
+    """
+    terms = query_terms(queries, tokenizer, dup_terms=True)
+    split = corpus.select("doc_id", TOKENIZERS[tokenizer]("text").alias("toks"))
+    tf = split.select("doc_id", F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("tok")).groupBy("doc_id", "dl", "tok").agg(F.count("*").alias("tf"))
+    stats = F.broadcast(collection_stats(corpus, tokenizer))
+    plain = F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+    idf = tf.groupBy("tok").agg(F.count("*").alias("df")).crossJoin(stats).select("tok", plain.alias("idf"))
+    mean = F.broadcast(idf.agg((F.avg("idf") * epsilon).alias("floor")))
+    idf = idf.join(terms.select("tok").distinct(), "tok", "left_semi").crossJoin(mean).select("tok", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
+    weight = F.col("idf") * scores.bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl")) * F.col("qtf")
+    hits = tf.join(idf, "tok").crossJoin(stats).join(terms, "tok")
+    return hits.groupBy("qid", "doc_id").agg(F.round(F.sum(weight), DIGITS).alias("score"))
+
+
 def ranked(found: DataFrame, tie: str = "asc") -> DataFrame:
     """``rank`` per question by score, then by id ascending or descending."""
     last = F.col("doc_id").asc() if tie == "asc" else F.col("doc_id").desc()
@@ -134,18 +153,45 @@ def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
 # -- other rankings ----------------------------------------------------------------------------------
 
 
-def oracle_rank(corpus: DataFrame, gold: DataFrame) -> DataFrame:
-    """Gold documents ``(qid, doc_id, pos)`` in their order, then all others by id."""
+def first_ids(corpus: DataFrame, k: int) -> DataFrame:
+    """The ``k`` smallest ids, to fill rankings up: a bounded table."""
+    return corpus.select("doc_id").distinct().orderBy("doc_id").limit(k)
+
+
+def oracle_rank(corpus: DataFrame, gold: DataFrame, k: int | None = None) -> DataFrame:
+    """Gold documents ``(qid, doc_id, pos)`` in their order, then all others by id; with ``k``, the first ``k`` alone.
+
+    A ranking of all documents is questions times documents by definition. For the first ``k``, no more
+    than the smallest ``2 k`` ids can follow the gold ones: at most ``k - 1`` of these are gold, if there is room.
+    """
+    if k is not None:
+        own = gold.select("qid", "doc_id", "pos").join(corpus.select("doc_id").distinct(), "doc_id", "left_semi")
+        rest = own.select("qid").distinct().crossJoin(F.broadcast(first_ids(corpus, 2 * k))).join(own.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
+        both = own.select("qid", "doc_id", "pos").unionAll(rest.select("qid", "doc_id", F.lit(None).cast(own.schema["pos"].dataType)))
+        w = W.partitionBy("qid").orderBy(F.col("pos").isNull(), "pos", "doc_id")
+        return both.select("qid", "doc_id", F.row_number().over(w).cast("long").alias("rank")).where(F.col("rank") <= k)
     every = gold.select("qid").distinct().join(corpus.select("doc_id"), how="cross").join(gold, ["qid", "doc_id"], "left")
     w = W.partitionBy("qid").orderBy(F.col("pos").isNull(), "pos", "doc_id")
     return every.select("qid", "doc_id", F.row_number().over(w).cast("long").alias("rank"))
 
 
-def entity_probe(corpus: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
-    """Per question, documents whose keys all equal the question's come first; each part by id."""
+def entity_probe(corpus: DataFrame, queries: DataFrame, keys: list[str], k: int | None = None) -> DataFrame:
+    """Per question, documents whose keys all equal the question's come first; each part by id; with ``k``, the first ``k`` alone.
+
+    For the first ``k``, each combination of keys gives its ``k`` smallest ids, questions meet them by an
+    equi-join, and the smallest ``2 k`` ids of all fill up what is missing.
+    """
+    if k is not None:
+        docs = corpus.select("doc_id", *keys).distinct()
+        least = docs.withColumn("at", F.row_number().over(W.partitionBy(*keys).orderBy("doc_id"))).where(F.col("at") <= k)
+        own = queries.select("qid", *keys).join(least, keys).select("qid", "doc_id", F.lit(True).alias("is_match"))
+        rest = queries.select("qid").crossJoin(F.broadcast(first_ids(corpus, 2 * k))).join(own.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
+        both = own.unionAll(rest.select("qid", "doc_id", F.lit(False)))
+        rank = F.row_number().over(W.partitionBy("qid").orderBy(F.col("is_match").desc(), "doc_id")).cast("long")
+        return both.withColumn("rank", rank).where(F.col("rank") <= k)
     match = None
-    for k in keys:
-        one = F.col(f"q.{k}") == F.col(f"d.{k}")
+    for key in keys:
+        one = F.col(f"q.{key}") == F.col(f"d.{key}")
         match = one if match is None else match & one
     every = queries.alias("q").join(corpus.alias("d"), how="cross").select("q.qid", "d.doc_id", F.coalesce(match, F.lit(False)).alias("is_match"))
     w = W.partitionBy("qid").orderBy(F.col("is_match").desc(), "doc_id")
@@ -173,6 +219,32 @@ def rerank(pool: DataFrame, new_scores: DataFrame, tie: str = "asc") -> DataFram
     return ranked(pool.select("qid", "doc_id").join(new_scores, ["qid", "doc_id"], "left").select("qid", "doc_id", F.coalesce("score", F.lit(float("-inf"))).alias("score")), tie)
 
 
+def containing(corpus: DataFrame, passages: DataFrame) -> DataFrame:
+    """``qid, doc_id`` of documents ``(doc_id, text)`` that contain a passage ``(qid, query)``, as it is.
+
+    What lies between two spaces of a passage lies between the same spaces of the document. So a passage
+    meets the documents that have its longest such part, by an equi-join, and ``contains`` decides.
+    Passages with fewer than two spaces have no such part and meet all documents.
+    """
+    parts = F.split("query", " ")
+    inner = F.slice(parts, 2, F.size(parts) - 2)
+    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    q = passages.where("query IS NOT NULL").withColumn("part", F.when(F.size(parts) > 2, longest))
+    d = corpus.where("text IS NOT NULL")
+    keyed = d.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("part"))
+    by_part = keyed.join(q.where("part IS NOT NULL"), "part").where(F.contains("text", "query")).select("qid", "doc_id")
+    short = d.join(q.where("part IS NULL").select("qid", "query"), F.contains(F.col("text"), F.col("query"))).select("qid", "doc_id")
+    return by_part.unionAll(short)
+
+
+def rank_by_count(found: DataFrame, gold: DataFrame, size: int | Column) -> DataFrame:
+    """``rank_of`` gold documents under scores ``(qid, doc_id, score)``, by counting what is better; nothing is sorted."""
+    mine = gold.select("qid", "doc_id").join(found, ["qid", "doc_id"]).select("qid", F.col("doc_id").alias("gold_id"), F.col("score").alias("gold_score")).distinct()
+    better = (F.col("score") > F.col("gold_score")) | ((F.col("score") == F.col("gold_score")) & (F.col("doc_id") <= F.col("gold_id")))
+    ranks = mine.join(found, "qid").where(better).groupBy("qid", F.col("gold_id").alias("doc_id")).agg(F.count("*").alias("rank"))
+    return rank_of(ranks, gold, size)
+
+
 def rank_of(ranking: DataFrame, gold: DataFrame, size: int | Column) -> DataFrame:
     """``qid, doc_id, rank`` of gold documents; those not ranked come one after the corpus's size."""
     size = F.lit(size) if isinstance(size, int) else size

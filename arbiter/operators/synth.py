@@ -78,3 +78,63 @@ def scope_pick(bucket: DataFrame, keys: list[str], order: Column) -> DataFrame:
     from pyspark.sql import Window as W
 
     return bucket.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(order))).where("_n = 1").drop("_n")
+
+
+def mixed(values: list[str] | int, at: Column, salt: int) -> Column:
+    """One of the values, or a number below ``values``, by a row number: a mixture that plain SQL can repeat."""
+    n = values if isinstance(values, int) else len(values)
+    k = (((at + 1) * (7919 + 2 * salt)) % 100003 % n).cast("int")
+    return k if isinstance(values, int) else F.element_at(F.array(*(F.lit(v) for v in values)), k + 1)
+
+
+PRODUCTS = ["amber-proxy", "basalt", "cobalt-db", "dune-web", "ember", "fjord-mail", "garnet", "harbor-ui"]
+FLAWS = ["lets a remote user run commands", "leaks memory of other requests", "follows paths out of its folder", "trusts forged tokens"]
+DRUGS = ["Aldorin", "Besitol", "Cravanil", "Dexomar", "Elitrane"]
+REASONS = ["glass particles", "a wrong label", "failed dissolution", "mould"]
+CASES = ["Ash v. Birch", "Cedar v. Dale", "Elm v. Frost", "Grove v. Heath", "Ives v. Jay"]
+
+
+def security_corpus(pairs: DataFrame, n_distractors: int) -> DataFrame:
+    """``doc_id, kind, product, cve_id, text``: disclosures of ``pairs(id, product, cve_id, disclosure_text, patch_text)``, their patches, then distractors of other identifiers."""
+    n = pairs.count()
+    spark, row = pairs.sparkSession, F.row_number
+    from pyspark.sql import Window as W
+
+    p = pairs.withColumn("at", row().over(W.orderBy("id")) - 1)  # the pairs are the small, given side
+    real = [p.select((F.col("at") + off).cast("long").alias("doc_id"), F.lit(kind).alias("kind"), "product", "cve_id", F.col(text).alias("text")) for kind, text, off in (("disclosure", "disclosure_text", 0), ("patch", "patch_text", n))]
+    i = F.col("id")
+    product, cve = mixed(PRODUCTS, i, 1), F.concat(F.lit("CVE-2023-"), F.lpad((i + 90000).cast("string"), 7, "0"))
+    text = F.concat(cve, F.lit(" was found in "), product, F.lit(": it "), mixed(FLAWS, i, 2), F.lit(". Versions up to "), mixed(9, i, 3).cast("string"), F.lit("."), mixed(10, i, 4).cast("string"), F.lit(" have it, and there is no patch."))
+    noise = spark.range(n_distractors).select((i + 2 * n).alias("doc_id"), F.lit("distractor").alias("kind"), product.alias("product"), cve.alias("cve_id"), text.alias("text"))
+    return real[0].unionAll(real[1]).unionAll(noise)
+
+
+def recall_corpus(spark: SparkSession, n: int) -> DataFrame:
+    """``doc_id, drug, text``: notices of drugs that were recalled and labels of others, in turn."""
+    i = F.col("id")
+    drug = mixed(DRUGS, i, 5)
+    recalled = F.concat(F.lit("Lot "), i.cast("string"), F.lit(" of "), drug, F.lit(" is recalled for "), mixed(REASONS, i, 6), F.lit("."))
+    label = F.concat(drug, F.lit(" is taken "), (mixed(3, i, 7) + 1).cast("string"), F.lit(" times a day."))
+    return spark.range(n).select(i.alias("doc_id"), drug.alias("drug"), F.when(i % 2 == 0, recalled).otherwise(label).alias("text"))
+
+
+def ruling_corpus(spark: SparkSession, n: int) -> DataFrame:
+    """``doc_id, case_slug, text``: rulings that cite other cases and overrule none."""
+    from arbiter.functions import text as T
+
+    i = F.col("id")
+    case = mixed(CASES, i, 8)
+    cite = F.concat(case, F.lit(", "), (mixed(500, i, 9) + 1).cast("string"), F.lit(" U.S. "), (i + 1).cast("string"))
+    return spark.range(n).select(i.alias("doc_id"), T.slug(cite).alias("case_slug"), F.concat(cite, F.lit(" is followed here, as in "), mixed(CASES, i, 10), F.lit(".")).alias("text"))
+
+
+def confounders(examples: DataFrame, scope: list[str], per_example: int, keep: list[list[str]]) -> DataFrame:
+    """Distractors ``id, d, scope`` of ``examples(id, scope)``: number ``d`` has the example's values of ``keep[d % len(keep)]`` and others elsewhere.
+
+    Of security examples, one mode keeps the identifier and not the product; of legal ones, one keeps the case.
+    """
+    d = examples.select("id", *scope).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(per_example - 1))))
+    mode = F.col("d") % len(keep)
+    other = lambda c: F.concat(F.col(c).cast("string"), F.lit("-x"), F.col("d").cast("string"))
+    kept = lambda c: F.array_contains(F.array(*(F.lit(m) for m, names in enumerate(keep) if c in names)), mode) if any(c in names for names in keep) else F.lit(False)
+    return d.select("id", "d", *(F.when(kept(c), F.col(c).cast("string")).otherwise(other(c)).alias(c) for c in scope))

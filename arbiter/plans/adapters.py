@@ -25,6 +25,17 @@ LEGAL = Adapter("ruling_issued", "ruling_overruled", ("case_slug",), text.legal_
 FINANCE = Adapter("pre_clearance_approved", "blackout_announced", ("employee_id", "security_ticker"), text.finance_entities)
 CONVERSATION = Adapter("user", "assistant", ("conv_id",))
 
+DOMAINS = {"security": SECURITY, "legal": LEGAL, "finance": FINANCE, "conversation": CONVERSATION}
+
+
+def make_pipeline(records: DataFrame, domain: str | Adapter, k1: int = 20, extra: int | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Two-stage retrieval over a domain's records, as a function of a first ranking."""
+    from arbiter.operators import pipelines
+
+    adapter = domain if isinstance(domain, Adapter) else DOMAINS[domain]
+    return lambda ranking: pipelines.two_stage(ranking, records, adapter, k1, extra)
+
+
 #: ``retrieve(corpus, queries, k) -> DataFrame(qid, doc_id, rank, score)`` by name.
 RETRIEVERS: dict[str, Callable[[DataFrame, DataFrame, int], DataFrame]] = {}
 
@@ -56,6 +67,7 @@ def _defaults() -> None:
 
     register_retriever("bm25", lambda c, q, k: relevance.bm25(c, q, k))
     register_retriever("bm25_terms", lambda c, q, k: relevance.bm25(c, q, k, tokenizer="a", dup_terms=True))
+    register_retriever("okapi", lambda c, q, k: relevance.top_k(relevance.okapi_scores(c, q), k))
     register_retriever("tfidf", lambda c, q, k: relevance.top_k(relevance.tfidf_cosine(c, q), k))
 
 

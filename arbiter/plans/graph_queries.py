@@ -213,24 +213,29 @@ def conversation_questions(spark, d) -> DataFrame:
     return c.groupBy(F.col("conv_id").alias("qid")).agg(F.min_by("text", "turn").alias("query"))
 
 
-def stage1(spark, d) -> DataFrame:
-    return relevance.bm25(records(spark, d).select("doc_id", "text"), conversation_questions(spark, d)).select("qid", "doc_id", "rank")
+def stage1_scores(spark, d) -> DataFrame:
+    return relevance.bm25_scores(records(spark, d).select("doc_id", "text"), conversation_questions(spark, d))
+
+
+def stage1(spark, d, k: int) -> DataFrame:
+    """The first ``k`` of each question: what follows can't reach the first ``k`` of a re-ranking."""
+    return relevance.top_k(stage1_scores(spark, d), k).select("qid", "doc_id", "rank")
 
 
 def two_stage(spark: SparkSession, d: str) -> DataFrame:
-    return pipelines.two_stage(stage1(spark, d), records(spark, d), adapters.CONVERSATION, 5).where("rank <= 20")
+    return pipelines.two_stage(stage1(spark, d, 20), records(spark, d), adapters.CONVERSATION, 5).where("rank <= 20")
 
 
 def two_stage_bounded(spark: SparkSession, d: str) -> DataFrame:
-    return pipelines.two_stage(stage1(spark, d), records(spark, d), adapters.CONVERSATION, 10, extra=30)
+    return pipelines.two_stage(stage1(spark, d, 30), records(spark, d), adapters.CONVERSATION, 10, extra=30)
 
 
 def two_stage_latest(spark: SparkSession, d: str) -> DataFrame:
-    return pipelines.two_stage_latest(stage1(spark, d), records(spark, d).withColumn("ts", F.col("ts")), ["conv_id"], 5).where("rank <= 20")
+    return pipelines.two_stage_latest(stage1(spark, d, 20), records(spark, d), ["conv_id"], 5).where("rank <= 20")
 
 
 def two_stage_truncated(spark: SparkSession, d: str) -> DataFrame:
-    return pipelines.two_stage_truncated(stage1(spark, d), records(spark, d), adapters.CONVERSATION)
+    return pipelines.two_stage_truncated(stage1(spark, d, 20), records(spark, d), adapters.CONVERSATION)
 
 
 def entity_index_last(spark: SparkSession, d: str) -> DataFrame:
@@ -239,7 +244,7 @@ def entity_index_last(spark: SparkSession, d: str) -> DataFrame:
 
 def _own(spark, d, kind, pick):
     of = records(spark, d).where(F.col("record_type") == kind).groupBy(F.col("conv_id").alias("qid")).agg(pick("doc_id").alias("doc_id"))
-    return relevance.rank_of(stage1(spark, d), of, 100000)
+    return relevance.rank_by_count(stage1_scores(spark, d), of, records(spark, d).count())
 
 
 def analytic_rank(spark: SparkSession, d: str) -> DataFrame:
@@ -253,10 +258,10 @@ def error_categories(spark: SparkSession, d: str) -> DataFrame:
 
 def two_stage_identity(spark: SparkSession, d: str) -> DataFrame:
     """With one scope per conversation, whether the goal is found at k equals whether an anchor is."""
-    two = pipelines.two_stage(stage1(spark, d), records(spark, d), adapters.CONVERSATION, 5)
+    two = pipelines.two_stage(stage1(spark, d, 5), records(spark, d), adapters.CONVERSATION, 5)
     kinds = records(spark, d).select("doc_id", "record_type", "conv_id")
     hit = two.where("tier = 0").join(kinds, "doc_id").where("conv_id = qid").select("qid").distinct()
-    anchor = stage1(spark, d).where("rank <= 5").join(kinds, "doc_id").where("conv_id = qid AND record_type = 'user'").select("qid").distinct()
+    anchor = stage1(spark, d, 5).join(kinds, "doc_id").where("conv_id = qid AND record_type = 'user'").select("qid").distinct()
     return metrics.all_pass(anchor.join(records(spark, d).where("record_type = 'assistant'").select(F.col("conv_id").alias("qid")).distinct(), "qid").join(hit.withColumn("h", F.lit(1)), "qid", "left").select(F.col("qid").alias("name"), F.col("h").isNotNull().alias("passed")))
 
 
@@ -267,7 +272,7 @@ ED = f"""{EV}, rules(rule_id, tr, ta, byk) AS (VALUES ('D1', 'error', 'purchase'
 ed AS (SELECT t.event_id AS trigger_id, o.event_id AS target_id, rule_id, t.ts AS trigger_ts FROM ev t JOIN rules ON t.event_type = tr JOIN ev o ON o.event_type = ta AND o.user_id = t.user_id AND t.ts > o.ts AND (NOT byk OR o.k = t.k)),
 sup AS (SELECT DISTINCT target_id AS event_id FROM ed), p AS (SELECT DISTINCT trigger_id, target_id FROM ed),
 fe AS (SELECT target_id, min((trigger_ts, trigger_id, rule_id)) AS m FROM ed GROUP BY target_id),
-rk AS (SELECT * FROM (SELECT user_id AS qid, event_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM ev) WHERE rank <= 60),
+rk AS (SELECT user_id AS qid, event_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM ev),
 anc AS (SELECT * FROM (SELECT user_id AS qid, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM ev WHERE event_type IN ('view', 'purchase')) WHERE rank <= 5)"""
 REACH = "tc(trigger_id, target_id) AS (SELECT trigger_id, target_id FROM p UNION SELECT p.trigger_id, tc.target_id FROM tc JOIN p ON tc.trigger_id = p.target_id)"
 CL = f"{REACH}, cl AS (SELECT qid, event_id FROM anc UNION SELECT qid, tc.trigger_id FROM anc JOIN tc ON tc.target_id = anc.event_id)"
@@ -313,7 +318,7 @@ two AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY tier, "
 
 
 def _own_sql(kind: str, pick: str, name: str) -> str:
-    return f"{name} AS (SELECT o.qid, coalesce(rank, 100001) AS rank FROM (SELECT conv_id AS qid, {pick}(doc_id) AS doc_id FROM rec WHERE record_type = '{kind}' GROUP BY conv_id) o LEFT JOIN r ON r.qid = o.qid AND r.doc_id = o.doc_id)"
+    return f"{name} AS (SELECT o.qid, coalesce(rank, (SELECT count(*) FROM rec) + 1) AS rank FROM (SELECT conv_id AS qid, {pick}(doc_id) AS doc_id FROM rec WHERE record_type = '{kind}' GROUP BY conv_id) o LEFT JOIN r ON r.qid = o.qid AND r.doc_id = o.doc_id)"
 
 
 _KIND_SQL = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in KINDS.items()) + " END"
@@ -373,5 +378,10 @@ QUERIES = {
     "entity_index_last": (entity_index_last, "SELECT conv_id::VARCHAR AS conv_id, max(conv_id * 1000 + turn) AS doc_id FROM conversations WHERE role = 'assistant' GROUP BY conv_id"),
     "analytic_rank": (analytic_rank, f"WITH {S1}, {_own_sql('user', 'min', 'a')}, {_own_sql('assistant', 'max', 'b')} SELECT qid, CASE WHEN a.rank <= 3 THEN a.rank ELSE b.rank END AS rank FROM a JOIN b USING (qid)"),
     "error_categories": (error_categories, f"WITH {S1}, {_own_sql('user', 'max', 'a')}, {_own_sql('assistant', 'max', 'b')} SELECT CASE WHEN b.rank <= 5 THEN 'success' WHEN a.rank > 5 THEN 'stage1_miss' ELSE 'stage2_miss' END AS category, count(*) AS n FROM a JOIN b USING (qid) GROUP BY 1"),
-    "two_stage_identity": (two_stage_identity, "SELECT true AS all_pass, 0::BIGINT AS n_failed"),
+    "two_stage_identity": (
+        two_stage_identity,
+        _two(5, "true") + ", an AS (SELECT DISTINCT r.qid FROM r JOIN rec USING (doc_id) WHERE r.rank <= 5 AND conv_id = r.qid AND record_type = 'user' AND r.qid IN (SELECT conv_id FROM rec WHERE record_type = 'assistant')), "
+        "hit AS (SELECT DISTINCT two.qid FROM two JOIN rec USING (doc_id) WHERE tier = 0 AND conv_id = two.qid) "
+        "SELECT coalesce(bool_and(hit.qid IS NOT NULL), true) AS all_pass, count(*) FILTER (hit.qid IS NULL) AS n_failed FROM an LEFT JOIN hit USING (qid)",
+    ),
 }

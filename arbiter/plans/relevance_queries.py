@@ -19,9 +19,8 @@ def questions(spark, d) -> DataFrame:
 
 
 def gold(spark, d) -> DataFrame:
-    """Documents that contain a question's passage: a substring join has no key, so the question set is the small side."""
-    q = questions(spark, d)
-    return corpus(spark, d).join(q, F.contains(F.col("text"), F.col("query"))).select("qid", "doc_id")
+    """Documents that contain a question's passage."""
+    return relevance.containing(corpus(spark, d), questions(spark, d))
 
 
 OUT = ["qid", "rank", "doc_id", "score"]
@@ -120,7 +119,7 @@ def hyde_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 def oracle_rank_top10(spark: SparkSession, d: str) -> DataFrame:
     g = gold(spark, d).withColumn("pos", F.col("doc_id"))
-    return relevance.oracle_rank(corpus(spark, d), g).where("rank <= 10")
+    return relevance.oracle_rank(corpus(spark, d), g, 10)
 
 
 def entity_probe_exact(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +131,7 @@ def entity_probe_exact(spark: SparkSession, d: str) -> DataFrame:
 def entity_probe_top10(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang", "source")
     q = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), "lang", "source")
-    return relevance.entity_probe(docs, q, ["lang", "source"]).where("rank <= 10").select("qid", "doc_id", "rank")
+    return relevance.entity_probe(docs, q, ["lang", "source"], 10).select("qid", "doc_id", "rank")
 
 
 def _bm25_20(spark, d):
@@ -152,7 +151,7 @@ def pool_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 def gold_ranks(spark: SparkSession, d: str) -> DataFrame:
     n = corpus(spark, d).count()
-    return relevance.rank_of(relevance.bm25(corpus(spark, d), questions(spark, d)), gold(spark, d), n)
+    return relevance.rank_by_count(relevance.bm25_scores(corpus(spark, d), questions(spark, d)), gold(spark, d), n)
 
 
 def rank_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -218,11 +217,14 @@ _RANKS = f"WITH {bm25_ctes()}, {GOLD_SQL}, g AS (SELECT qid, doc_id, coalesce(ra
 _POOL = f"""WITH {bm25_ctes()}, {TFIDF_SQL},
 every AS (SELECT qid, doc_id, 0 AS pool, rank FROM r WHERE rank <= 20 UNION ALL SELECT qid, doc_id, 1, rank FROM tr WHERE rank <= 20),
 pool AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY min((pool, rank)), doc_id) AS rank FROM every GROUP BY qid, doc_id)"""
-_DENSE = """WITH s AS (SELECT q.vec_id AS qid, e.vec_id AS doc_id, q.label AS ql, e.label, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 20)"""
-_JAC = f"""WITH t AS (SELECT doc_id AS id, list_distinct({sql_tokens("l2", "substring(text, 1, 200)")}) AS q, list_distinct({sql_tokens("l2", "substring(text, 101, 300)")}) AS d, list_distinct({sql_tokens("l2", "substring(text, 301, 300)")}) AS p FROM documents),
+_DENSE = """WITH s AS (SELECT q.vec_id AS qid, e.vec_id AS doc_id, q.label AS ql, e.label, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) AS score FROM embeddings e, embeddings q WHERE {})"""
+_THIRDS = """w AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '\\s+') AS w FROM documents),
+th AS (SELECT doc_id, array_to_string(w[1:len(w) // 3], ' ') AS query, array_to_string(w[len(w) // 3 + 1:2 * len(w) // 3], ' ') AS disclosure, array_to_string(w[2 * len(w) // 3 + 1:], ' ') AS patch FROM w)"""
+_JAC = f"""WITH {_THIRDS}, t AS (SELECT doc_id AS id, list_distinct({sql_tokens("l2", "query")}) AS q, list_distinct({sql_tokens("l2", "disclosure")}) AS d, list_distinct({sql_tokens("l2", "patch")}) AS p FROM th),
 j AS (SELECT id, round(CASE WHEN len(q) = 0 OR len(d) = 0 THEN 0 ELSE len(list_intersect(q, d)) / len(list_distinct(list_concat(q, d))) END, 6) AS q_disclosure,
   round(CASE WHEN len(q) = 0 OR len(p) = 0 THEN 0 ELSE len(list_intersect(q, p)) / len(list_distinct(list_concat(q, p))) END, 6) AS q_patch FROM t)"""
-_GAPQ = "SELECT doc_id AS qid, substring(text, 1, 200) AS query FROM documents WHERE doc_id % 25 = 0"
+# Scores of a question's own document alone.
+_OWN = lambda p, side: bm25_ctes("l2", prefix=p, docs=f"SELECT doc_id, {side} AS text FROM th", qs="SELECT doc_id AS qid, query FROM th").replace(f"JOIN {p}q USING (tok)", f"JOIN {p}q ON {p}q.tok = {p}tf.tok AND qid = doc_id")
 _WILSON = "round(hits / n, 6) AS rate, round((hits / n + 1.9208 / n - 1.96 * sqrt(hits / n * (1 - hits / n) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n), 6) AS low, round((hits / n + 1.9208 / n + 1.96 * sqrt(hits / n * (1 - hits / n) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n), 6) AS high"
 
 
@@ -239,11 +241,11 @@ QUERIES = {
     "term_stats": (term_stats, f"SELECT tok, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({sql_tokens('l2', 'text')}) AS tok FROM documents) GROUP BY tok"),
     "collection_stats": (collection_stats, f"SELECT count(*) AS n_docs, round(coalesce(avg(len({sql_tokens('w', 'text')})), 0), 6) AS avgdl FROM documents"),
     "tfidf_cosine_top5": (tfidf_top5, _top(5, TFIDF_SQL, "tr")),
-    "dense_top5": (dense_top5, _DENSE + ", k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) SELECT qid, rank, doc_id, score FROM k WHERE rank <= 5"),
-    "hyde_diagnostics": (hyde_diagnostics, _DENSE + ", k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s WHERE qid <> doc_id) SELECT qid % 2 = 0 AS flag, count(*) AS n, round(avg((ql = label)::DOUBLE), 6) AS tca FROM k WHERE rank = 1 GROUP BY 1"),
+    "dense_top5": (dense_top5, _DENSE.format("q.vec_id % 50 = 0") + ", k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) SELECT qid, rank, doc_id, score FROM k WHERE rank <= 5"),
+    "hyde_diagnostics": (hyde_diagnostics, _DENSE.format("q.vec_id <> e.vec_id") + ", k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s WHERE qid <> doc_id) SELECT qid % 2 = 0 AS flag, count(*) AS n, round(avg((ql = label)::DOUBLE), 6) AS tca FROM k WHERE rank = 1 GROUP BY 1"),
     "oracle_rank": (oracle_rank_top10, f"WITH {GOLD_SQL}, e AS (SELECT q.qid, d.doc_id, row_number() OVER (PARTITION BY q.qid ORDER BY g.doc_id IS NULL, d.doc_id) AS rank FROM (SELECT DISTINCT qid FROM gold) q CROSS JOIN documents d LEFT JOIN gold g ON g.qid = q.qid AND g.doc_id = d.doc_id) SELECT * FROM e WHERE rank <= 10"),
     "entity_lookup": (entity_probe_exact, "SELECT q.doc_id AS qid, d.doc_id, row_number() OVER (PARTITION BY q.doc_id ORDER BY d.doc_id) AS rank FROM documents q JOIN documents d USING (lang, source) WHERE q.doc_id % 50 = 0"),
-    "entity_probe": (entity_probe_top10, "SELECT * FROM (SELECT q.doc_id AS qid, d.doc_id, row_number() OVER (PARTITION BY q.doc_id ORDER BY (q.lang = d.lang AND q.source = d.source) DESC, d.doc_id) AS rank FROM documents q, documents d WHERE q.doc_id % 200 = 0) WHERE rank <= 10"),
+    "entity_probe": (entity_probe_top10, "SELECT * FROM (SELECT q.doc_id AS qid, d.doc_id, row_number() OVER (PARTITION BY q.doc_id ORDER BY (q.lang = d.lang AND q.source = d.source) DESC, d.doc_id) AS rank FROM documents q, documents d WHERE q.doc_id % 50 = 0) WHERE rank <= 10"),
     "pool_union": (pool_union, _POOL + " SELECT * FROM pool"),
     "pool_rerank": (pool_rerank, _POOL + ", z AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY coalesce(score, '-inf'::DOUBLE) DESC, doc_id) AS rank FROM pool LEFT JOIN ts USING (qid, doc_id)) SELECT * FROM z WHERE rank <= 5"),
     "gold_ranks": (gold_ranks, _RANKS + " SELECT qid, doc_id, rank FROM g"),
@@ -256,8 +258,8 @@ QUERIES = {
     "jaccard_summary": (jaccard_summary, _JAC + ", g AS (SELECT *, round(q_disclosure - q_patch, 6) AS gap FROM j) SELECT count(*) AS n, round(avg(q_disclosure), 6) AS mean_disclosure, round(avg(q_patch), 6) AS mean_patch, round(avg(gap), 6) AS mean_gap, round(avg((gap > 0)::INT) * 100, 1) AS pct_positive FROM g"),
     "bm25_gap": (
         bm25_gap,
-        f"WITH {bm25_ctes('l2', prefix='a', docs='SELECT doc_id, substring(text, 101, 300) AS text FROM documents', qs=_GAPQ)}, {bm25_ctes('l2', prefix='b', docs='SELECT doc_id, substring(text, 301, 300) AS text FROM documents', qs=_GAPQ)}, "
-        "j AS (SELECT coalesce(x.score, 0) AS a, coalesce(y.score, 0) AS b FROM (SELECT doc_id AS qid FROM documents WHERE doc_id % 25 = 0) q LEFT JOIN as x ON x.qid = q.qid AND x.doc_id = q.qid LEFT JOIN bs y ON y.qid = q.qid AND y.doc_id = q.qid) "
+        f"WITH {_THIRDS}, {_OWN('a', 'disclosure')}, {_OWN('b', 'patch')}, "
+        "j AS (SELECT coalesce(x.score, 0) AS a, coalesce(y.score, 0) AS b FROM (SELECT doc_id AS qid FROM documents) q LEFT JOIN as x ON x.qid = q.qid AND x.doc_id = q.qid LEFT JOIN bs y ON y.qid = q.qid AND y.doc_id = q.qid) "
         "SELECT count(*) AS n, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(avg((a > b)::INT) * 100, 1) AS pct_positive, round(CASE WHEN avg(b) > 0 THEN avg(a) / avg(b) END, 6) AS ratio FROM j".replace("JOIN as x", 'JOIN "as" x'),
     ),
     "vocab_venn": (vocab_venn, f"WITH t AS (SELECT unnest({sql_tokens('l2', 'text')}) AS tok, lang AS part FROM documents WHERE lang IN ('en', 'fr') UNION ALL SELECT unnest({sql_tokens('l2', 'text')}), 'benchmark' FROM benchmark), f AS (SELECT tok, bool_or(part = 'en') AS en, bool_or(part = 'fr') AS fr, bool_or(part = 'benchmark') AS benchmark FROM t GROUP BY tok) SELECT en, fr, benchmark, count(*) AS n_tokens FROM f GROUP BY ALL"),

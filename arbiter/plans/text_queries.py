@@ -86,8 +86,8 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CELL = "'Smith v. Jones, ' || p_partkey || ' U.S. ' || p_size || ' (' || (1900 + p_size) || ') and 12 F.2d 34'"
-SQL_CITE = f"""SELECT p_partkey, 'Smith v. Jones' AS case_name, p_partkey || ' U.S. ' || p_size || ' (' || (1900 + p_size) || ')' AS citation, regexp_extract({_CELL}, '(\\d+)\\s+U\\.S\\.\\s+(\\d+)', 2) AS page, regexp_extract({_CELL}, '\\((\\d{{4}})\\)', 1) AS year,
-  p_partkey || ' U.S. ' || p_size || '|12 F.2d 34' AS cited, substring(regexp_replace(lower(regexp_extract({_CELL}, '(?i)([A-Z][a-z]+(?:\\s+v\\.\\s+[A-Z][a-z]+)?),\\s+\\d+ [A-Z]\\.\\S+ \\d+')), '[^a-z0-9]+', '_', 'g'), 1, 60) AS case_slug FROM part"""
+SQL_CITE = f"""SELECT p_partkey, trim(regexp_extract({_CELL}, '^(.*?),\\s+\\d', 1)) AS case_name, regexp_extract({_CELL}, '(\\d+\\s+U\\.S\\.\\s+\\d+\\s+\\(\\d{{4}}\\))', 1) AS citation, regexp_extract({_CELL}, '(\\d+)\\s+U\\.S\\.\\s+(\\d+)', 2) AS page, regexp_extract({_CELL}, '\\((\\d{{4}})\\)', 1) AS year,
+  array_to_string(regexp_extract_all({_CELL}, '\\d+ (?:U\\.S\\.|F\\.2d) \\d+'), '|') AS cited, substring(regexp_replace(lower(regexp_extract({_CELL}, '(?i)([A-Z][a-z]+(?:\\s+v\\.\\s+[A-Z][a-z]+)?),\\s+\\d+ [A-Z]\\.\\S+ \\d+')), '[^a-z0-9]+', '_', 'g'), 1, 60) AS case_slug FROM part"""
 
 
 def release_urls(spark: SparkSession, d: str) -> DataFrame:
@@ -147,8 +147,8 @@ def dedup_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_dedup(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").select((F.col("l_partkey") % 97).alias("a"), (F.col("l_suppkey") % 89).alias("b"), "l_orderkey", "l_linenumber")
-    return etl.pair_dedup(li, "a", "b", ["l_orderkey", "l_linenumber"]).select("a", "b", "l_orderkey")
+    li = table(spark, d, "lineitem").select((F.col("l_partkey") % 97).alias("a"), (F.col("l_suppkey") % 89).alias("b"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return etl.pair_dedup(li, "a", "b", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "b"]).select("a", "b", "l_orderkey")
 
 
 def cap_per_key(spark: SparkSession, d: str) -> DataFrame:
@@ -181,15 +181,13 @@ def corpus_union(spark: SparkSession, d: str) -> DataFrame:
 def scope_filter(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     q = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.when(F.col("doc_id") % 200 == 0, F.col("lang")).alias("lang"), "source")
-    cand = docs.select("doc_id", "lang", "source").crossJoin(q.select("qid"))
-    return etl.scope_filter(cand, q, ["lang", "source"], need_all=False).select("qid", "doc_id")
+    return etl.scoped(docs, q, ["lang", "source"], need_all=False)
 
 
 def scope_filter_all(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     q = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.when(F.col("doc_id") % 200 == 0, F.col("lang")).alias("lang"), "source")
-    cand = docs.select("doc_id", "lang", "source").crossJoin(q.select("qid"))
-    return etl.scope_filter(cand, q, ["lang", "source"], need_all=True).groupBy("qid").agg(F.count("*").alias("n"))
+    return etl.scoped_counts(docs, q, ["lang", "source"])
 
 
 def descriptive_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -252,15 +250,15 @@ QUERIES = {
     "quality_filters": (quality_filters, "SELECT doc_id FROM documents WHERE length(trim(text)) >= 80 AND len(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '')) >= 20 AND length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) / length(text) > 0.8"),
     "no_identifier": (no_identifier, "SELECT doc_id FROM documents WHERE NOT contains(lower(text), 'the ')"),
     "dedup_first": (dedup_first, "SELECT l_partkey, l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n = 1"),
-    "pair_dedup": (pair_dedup, "WITH p AS (SELECT l_partkey % 97 AS a, l_suppkey % 89 AS b, l_orderkey, l_linenumber FROM lineitem), q AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY l_orderkey, l_linenumber) AS n FROM p WHERE a <> b), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY l_orderkey, l_linenumber) AS m FROM q WHERE n = 1) SELECT a, b, l_orderkey FROM r WHERE m = 1"),
+    "pair_dedup": (pair_dedup, "WITH p AS (SELECT l_partkey % 97 AS a, l_suppkey % 89 AS b, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem), q AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS n FROM p WHERE a <> b), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, b) AS m FROM q WHERE n = 1) SELECT a, b, l_orderkey FROM r WHERE m = 1"),
     "cap_per_key": (cap_per_key, "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n <= 3"),
     "split_semi": (split_semi, "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)"),
     "resume_anti": (resume_anti, "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
-    "non_gold_pairs": (non_gold_pairs, "WITH g AS (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer WHERE c_nationkey < 20 AND c_nationkey % 4 <> length(c_mktsegment) % 4) SELECT * FROM (SELECT DISTINCT c_nationkey FROM g), (SELECT DISTINCT c_mktsegment FROM g) EXCEPT SELECT * FROM g"),
+    "non_gold_pairs": (non_gold_pairs, "WITH g AS (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer) SELECT * FROM (SELECT DISTINCT c_nationkey FROM g), (SELECT DISTINCT c_mktsegment FROM g) EXCEPT SELECT * FROM g"),
     "latest_value": (latest_value, "SELECT user_id, arg_max(event_type, ts) AS event_type FROM events GROUP BY user_id"),
     "corpus_union": (corpus_union, "SELECT doc_id, lang, length(text) AS n FROM documents UNION ALL SELECT -item_id - 1, NULL, length(text) FROM benchmark"),
-    "scope_filter": (scope_filter, "SELECT q.doc_id AS qid, d.doc_id FROM documents d JOIN documents q ON q.doc_id % 100 = 0 AND d.source = q.source AND (q.doc_id % 200 <> 0 OR d.lang = q.lang)"),
-    "scope_filter_all": (scope_filter_all, "SELECT q.doc_id AS qid, count(*) AS n FROM documents d JOIN documents q ON q.doc_id % 100 = 0 AND (q.doc_id % 200 <> 0 OR (d.source = q.source AND d.lang = q.lang)) GROUP BY 1"),
+    "scope_filter": (scope_filter, "SELECT q.doc_id AS qid, d.doc_id FROM documents d JOIN documents q ON q.doc_id % 50 = 0 AND d.source = q.source AND (q.doc_id % 200 <> 0 OR d.lang = q.lang)"),
+    "scope_filter_all": (scope_filter_all, "SELECT q.doc_id AS qid, count(*) AS n FROM documents d JOIN documents q ON q.doc_id % 50 = 0 AND (q.doc_id % 200 <> 0 OR (d.source = q.source AND d.lang = q.lang)) GROUP BY 1"),
     "descriptive_stats": (descriptive_stats, "SELECT lang, count(*) AS n, min(length(text)) AS least, max(length(text)) AS most, round(avg(length(text)), 6) AS mean, median(length(text)) AS median, count(DISTINCT source) AS n_sources FROM documents GROUP BY lang"),
     "group_counts": (group_counts, "SELECT role, turn % 3 AS hop, count(*) AS n FROM conversations GROUP BY ALL"),
     "venn_sets": (venn_sets, "WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'), b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O') SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'urgent', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'open', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT 'any', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)"),

@@ -5,10 +5,9 @@ import re
 from collections import Counter
 
 import pytest
-from conftest import plain
 
 from arbiter.plans import relevance_queries as R
-from arbiter.queries import ORACLE, QUERIES
+from arbiter.queries import QUERIES
 
 WORD = re.compile(r"[^\w\s]")
 
@@ -61,28 +60,6 @@ def test_gaps_read_whole_texts_of_all_documents(spark, tmp_path):
     assert row["pct_positive"] == round(100 * sum(x > y for x, y in zip(a, b, strict=True)) / len(a), 1)
 
 
-#: What the registered SQL leaves out, and what takes its place.
-WHOLE = {
-    "dense_top5": [("q.vec_id < 20", "q.vec_id % 50 = 0")],
-    "hyde_diagnostics": [(" WHERE q.vec_id < 20", "")],
-    "entity_probe": [("q.doc_id % 200 = 0", "q.doc_id % 50 = 0")],
-    "scope_filter": [("q.doc_id % 100 = 0", "q.doc_id % 50 = 0")],
-    "scope_filter_all": [("q.doc_id % 100 = 0", "q.doc_id % 50 = 0")],
-    "non_gold_pairs": [(" WHERE c_nationkey < 20 AND c_nationkey % 4 <> length(c_mktsegment) % 4", "")],
-    "audit_rerank": [(") WHERE rank <= 60)", "))")],
-    "probe_rerank": [(") WHERE rank <= 60)", "))")],
-    "probe_rerank_plain": [(") WHERE rank <= 60)", "))")],
-}
-
-
-@pytest.mark.parametrize("name", sorted(WHOLE))
-def test_equals_sql_without_its_cuts(spark, sf, duck, name):
-    sql = ORACLE[name]
-    for cut, whole in WHOLE[name]:
-        sql = sql.replace(cut, whole)
-    assert plain(QUERIES[name](spark, sf).toPandas()) == plain(duck.execute(sql).df())
-
-
 @pytest.mark.parametrize("name", ["audit_rerank", "probe_rerank", "probe_rerank_plain"])
 def test_rerankers_keep_the_tail(spark, sf, name):
     from arbiter.plans import graph_queries as G
