@@ -4,7 +4,8 @@ Each task keeps a cuckoo filter of short fingerprints in front of buckets of ful
 the normalised texts. A filter miss is certain; a hit is verified against the bucketed digests. The
 filter doubles when an insertion overflows, rebuilt from the stored keys. Map tasks first fold their
 own copies, so a text that makes up a third of all rows reaches the shuffle once per task, and the
-tasks that own a digest range fold those again.
+tasks that own a digest range fold those again, in the order of the digests. An index never holds more
+than ``HELD`` digests: a full one is emitted, and a new one goes on.
 
 Nulls count as empty texts, and all empty or blank-free-equal texts form groups like any other; a null
 ``doc_id`` is kept out of no group but never becomes the row that stays unless the whole group is null.
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, fresh
 
 SLOTS = 4
 
@@ -137,45 +138,77 @@ _FOLDED = "digest binary, keep_id long, group_size long"
 _ARROW = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
 
 
-def _fold(batches):
-    index = CuckooIndex()
-    for batch in batches:
-        for digest, doc, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            old = index.insert(digest, (doc, n))
-            if old is not None:
-                ids = [x for x in (old[0], doc) if x is not None]
-                index.replace(digest, (min(ids, default=None), old[1] + n))
-    rows = list(index.items())
-    for at in range(0, len(rows), 50_000):
-        part = rows[at : at + 50_000]
-        yield pa.record_batch([pa.array([d for d, _ in part], pa.binary()), pa.array([v[0] for _, v in part], pa.int64()), pa.array([v[1] for _, v in part], pa.int64())], schema=_ARROW)
+#: Digests that an index holds before it is emptied into the output.
+HELD = 100_000
+#: A group of more than this share of all rows is hot; there are fewer than its inverse.
+HOT_SHARE = 1000
+
+
+def _fold(ordered: bool):
+    """Rows of digests to one for each. An index that is full is emitted and starts anew: where digests come in
+    order, between two of them, so that each has one row; else they are partial sums for the next fold."""
+
+    def emitted(index):
+        rows = list(index.items())
+        for at in range(0, len(rows), 50_000):
+            part = rows[at : at + 50_000]
+            yield pa.record_batch([pa.array([d for d, _ in part], pa.binary()), pa.array([v[0] for _, v in part], pa.int64()), pa.array([v[1] for _, v in part], pa.int64())], schema=_ARROW)
+
+    def run(batches):
+        index, last = CuckooIndex(), None
+        for batch in batches:
+            for digest, doc, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if index.count >= HELD and (not ordered or digest != last):
+                    yield from emitted(index)
+                    index = CuckooIndex()
+                last = digest
+                old = index.insert(digest, (doc, n))
+                if old is not None:
+                    ids = [x for x in (old[0], doc) if x is not None]
+                    index.replace(digest, (min(ids, default=None), old[1] + n))
+        yield from emitted(index)
+
+    return run
 
 
 def fold_digests(digests: DataFrame) -> DataFrame:
     """``(digest, doc_id)`` to one row per digest with its smallest id and its number of rows."""
-    local = digests.select("digest", "doc_id", F.lit(1).cast("long").alias("n")).mapInArrow(_fold, _FOLDED)
-    return local.repartition("digest").mapInArrow(_fold, _FOLDED)
+    local = digests.select("digest", "doc_id", F.lit(1).cast("long").alias("n")).mapInArrow(_fold(False), _FOLDED)
+    return local.repartition("digest").sortWithinPartitions("digest").mapInArrow(_fold(True), _FOLDED)
+
+
+def _hot(groups: DataFrame) -> DataFrame:
+    """Groups of more than one in ``HOT_SHARE`` rows: fewer than ``HOT_SHARE``, so they can be broadcast however many rows there are."""
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    return F.broadcast(groups.where(F.col("group_size") * HOT_SHARE > total))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256. Rows of hot groups aren't shuffled."""
     work = Workspace(docs.sparkSession, "exact_dedup")
     digests = work.save(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest")))
     groups = work.save(fold_digests(digests))
-    return digests.join(groups, "digest").select(
+    hot = _hot(groups)
+    rest = digests.join(hot.select("digest"), "digest", "left_anti").join(groups, "digest")
+    return digests.join(hot, "digest").unionByName(rest).select(
         "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group of equal texts: with its smallest id, or null if it has none."""
+    """The rows of ``docs`` that stay, one of each group of equal texts: with its smallest id, or null if it has none.
+
+    Rows of hot groups that go are dropped before anything is dealt by digest.
+    """
     work = Workspace(docs.sparkSession, "exact_dedup")
-    keyed = docs.withColumn("_digest", F.unhex(F.sha2(normalised(F.col("text")), 256)))
-    groups = work.save(fold_digests(keyed.select(F.col("_digest").alias("digest"), "doc_id"))).select(F.col("digest").alias("_group"), F.col("keep_id").alias("_keep"))
-    # Not a key of the join, so that texts are dealt once, by digest.
-    own = F.coalesce(F.col("doc_id") == F.col("_keep"), F.col("doc_id").isNull() & F.col("_keep").isNull())
-    kept = keyed.join(groups, (F.col("_digest") == F.col("_group")) & own, "left_semi")
-    return kept.dropDuplicates(["_digest"]).drop("_digest")
+    mark = fresh(docs, "digest")
+    keyed = docs.withColumn(mark, F.unhex(F.sha2(normalised(F.col("text")), 256)))
+    groups = work.save(fold_digests(keyed.select(F.col(mark).alias("digest"), "doc_id")))
+    own = lambda side: F.coalesce(keyed["doc_id"] == side["keep_id"], keyed["doc_id"].isNull() & side["keep_id"].isNull())
+    hot = _hot(groups)
+    first = keyed.join(hot, (keyed[mark] == hot["digest"]) & own(hot), "left_semi")
+    rest = keyed.join(hot, keyed[mark] == hot["digest"], "left_anti").join(groups, (keyed[mark] == groups["digest"]) & own(groups), "left_semi")
+    return first.unionAll(rest).dropDuplicates([mark]).drop(mark)
 
 
 ORACLE = """
