@@ -5,7 +5,7 @@ document counts by label over the training rows give log-count ratios; those tha
 are kept, scaled by their ratio, and weighed by a regularised logistic regression.
 
 Training rows are labelled documents whose ``crc32(doc_id as text) mod 3`` is not 1, at most
-``MAX_ROWS`` of them, taken by the order of their checksum. The bound keeps the fit the same size
+``MAX_ROWS`` of them, one for each id, taken by the order of the ids' checksums. The bound keeps the fit the same size
 however large the corpus is; scores go to every row. A null text counts as empty and scores as any text
 without features; null labels and null ids train nothing; an id labelled twice is toxic if one label
 says so; very long texts are scanned whole; without usable labels every score is the smoothed rate.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, shuffle_parts, slices
 
 #: The most labelled rows that the classifier is fitted on.
 MAX_ROWS = 20_000
@@ -133,42 +133,44 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndar
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The classifier of the labelled training rows."""
+    """The classifier of the labelled training rows; of an id with several texts, the least text counts."""
     work = Workspace(docs.sparkSession, "toxicity")
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("long").alias("toxic"))
     chosen = known.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # The bound on chosen rows is what makes this broadcast safe.
-    sample = work.save(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic").repartition(8))
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("toxic").alias("toxic"))
+    sample = work.save(found.repartition(shuffle_parts(docs.sparkSession), "doc_id"))
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_neg, n_pos = n.get(0, 0), n.get(1, 0)
     empty = np.zeros(0)
     if not n_neg or not n_pos:
         return Model(np.zeros(0, np.int64), empty, float(np.log((n_pos + 1) / (n_neg + 1))))
-    kept = sample.mapInArrow(_count, "block int, counts binary").groupBy("block").applyInArrow(_select(n_neg, n_pos), "place long, ratio double, z double")
+    kept = sample.select("text", "toxic").mapInArrow(_count, "block int, counts binary").groupBy("block").applyInArrow(_select(n_neg, n_pos), "place long, ratio double, z double")
     kept = kept.orderBy(F.abs("z").desc(), "place").limit(MOST_FEATURES).toArrow()
     place, ratio = kept.column("place").to_numpy(), kept.column("ratio").to_numpy()
 
-    def found(batches):
+    def mentioned(batches):
         table = np.full(1 << PLACES, -1, np.int32)
         table[place] = np.arange(len(place))
         for batch in batches:
-            hits = [[] for _ in range(batch.num_rows)]
-            for at, whose, at_place in _present([x or "" for x in batch.column(0).to_pylist()]):
+            counts, hits = np.zeros(batch.num_rows, np.int64), []
+            for at, whose, at_place in _present([x or "" for x in batch.column(1).to_pylist()]):
                 col = table[at_place]
-                for i, c in zip((at + whose[col >= 0]).tolist(), col[col >= 0].tolist(), strict=True):
-                    hits[i].append(c)
-            yield pa.record_batch([batch.column(1), pa.array(hits, pa.list_(pa.int32()))], names=["toxic", "cols"])
-
-    rows = sample.mapInArrow(found, "toxic long, cols array<int>").toArrow().combine_chunks()
+                counts += np.bincount(at + whose[col >= 0], minlength=batch.num_rows)
+                hits.append(col[col >= 0])
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            values = np.concatenate(hits) if hits else np.zeros(0, np.int32)
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))], names=["doc_id", "toxic", "cols"])
+
+    # At most ``max_rows`` rows of at most ``MOST_FEATURES`` numbers, which stay arrays; in a set order, so
+    # that sums of floats don't depend on how tasks ended.
+    rows = sample.mapInArrow(mentioned, "doc_id long, toxic long, cols array<int>").toArrow().sort_by("doc_id").combine_chunks()
     y = rows.column("toxic").to_numpy().astype(float)
-    lists = rows.column("cols").to_pylist()
-    # A set order, so that sums of floats don't depend on how tasks ended.
-    order = sorted(range(len(lists)), key=lambda i: (y[i], lists[i]))
-    y, lists = y[order], [lists[i] for i in order]
-    where = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    cols = np.array([c for x in lists for c in x], np.int64)
+    lists = rows.column("cols").combine_chunks()
+    where = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
+    cols = lists.flatten().to_numpy().astype(np.int64)
     weight, intercept = _logistic(where, cols, ratio[cols] if len(cols) else empty, y, len(place))
     return Model(place, weight * ratio, intercept)
 
@@ -177,7 +179,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """``doc_id, held_out, score, predicted`` of every row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1024, 1 << 22):
             s = model.scores([x or "" for x in batch.column(1).to_pylist()])
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -190,7 +192,7 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model, at = fit(docs, labels), docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1024, 1 << 22):
             s = model.scores([x or "" for x in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(s < THRESHOLD))
 
