@@ -1,13 +1,13 @@
 """HTML extraction by equivalence-class template deduction.
 
-A page is a sequence of tokens: element paths with the classes on them, and blocks of text. Over all pages
+A page is a sequence of tokens: element paths with the classes on them, and blocks of text at their paths. Over all pages
 of a host, tokens with the same occurrence vector (how often each page has them) form an equivalence class.
 A class that most of the host's pages have, of at least two tokens, is valid; a block of several words has
 as many. Classes nest by the paths of their tokens, not by their order in the pages, and the nested valid
 classes are the host's template. What lies between template tokens are slots; template blocks on three
 pages at least are left out of them, unless they are most of a page's main text, as on pages that are
 near copies of each other. The main text is what fills the slots of one element of the template, the content element:
-``article`` or ``main`` if the template has one, else the deepest element that holds most of the text.
+``article`` or ``main`` if the template has one, else the deepest element that holds most of the text that isn't the template's.
 Slots in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
 aren't content. A page without its host's content element is read by the same rule on its own.
 
@@ -34,7 +34,7 @@ from .url_filter import host_of
 
 # Elements by their public definitions (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video".split())
+RAW = frozenset("script style noscript template textarea title iframe".split())
 NOT_CONTENT = frozenset("nav header footer aside form dialog menu button select option fieldset label head".split()) | RAW
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
@@ -61,13 +61,13 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([^\s=\"'/>]+)\s*+(?:=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 
 
-def _marks(attrs: str) -> tuple[str, int, bool]:
-    """Class and id words in order, how far they say that the element isn't content, and whether it is hidden.
+def _marks(attrs: str) -> tuple[str, int]:
+    """Class and id words in order, and how far they say that the element isn't content.
 
     3: a name or role is a whole word of ``SIDE``. 2, 1: it is compounded with one, of ``TALK`` or not. 0: neither.
     """
     if not attrs.strip():
-        return "", 0, False
+        return "", 0
     found = {a.lower(): x or y or z or "" for a, x, y, z in _ATTR.findall(attrs)}
     name = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
     mark = 0
@@ -77,8 +77,7 @@ def _marks(attrs: str) -> tuple[str, int, bool]:
             mark = max(mark, 3 * (words[0] in SIDE))
         elif words and words[0] not in LAYOUT:
             mark = max(mark, 2 if TALK.intersection(words) else not SIDE.isdisjoint(words))
-    hidden = "hidden" in found or re.search(r"display\s*:\s*none", found.get("style", ""), re.I)
-    return ".".join(re.sub(r"\d+", "#", n) for n in name), int(mark), bool(hidden)
+    return ".".join(re.sub(r"\d+", "#", n) for n in name), int(mark)
 
 
 def _sides(up: list[int], tags: list[str], hard: list[bool], marks: list[int], size: list[int]) -> list[bool]:
@@ -162,11 +161,11 @@ def read(page: str):
                     break
         if tag in VOID:
             continue
-        name, mark, hidden = _marks(m["attrs"] or "")
+        name, mark = _marks(m["attrs"] or "")
         token = f"{tag}.{name}" if name else tag
         up.append(node)
         tags.append(tag)
-        hard.append(tag in NOT_CONTENT - WRAPS or (hidden and tag not in ROOTS))
+        hard.append(tag in NOT_CONTENT - WRAPS)
         marked.append(0 if tag in ROOTS else max(mark, int(tag in WRAPS)))
         size.append(0)
         new = len(up) - 1
@@ -186,7 +185,7 @@ def _key(x: str) -> int:
     return int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
-# Tokens of text: no path has a line break. The mark tells a word from a block of several.
+# Tokens of text, at the end of their path: no other token has a line break. The mark tells a word from a block of several.
 ONE, MANY = "\n1", "\n2"
 LEAST_PAGES = 3
 
@@ -200,23 +199,28 @@ def _text_key(text: str) -> int:
 
 
 def tokens_of(page: str) -> tuple[dict[tuple, int], dict[tuple, int]]:
-    """How often each path opens and each block of text stands, and how much content text lies below each path."""
+    """How often each path opens and each block of text stands at its path, and how much content text is below each path or in each block."""
     opens: dict[tuple, int] = {}
     mass: dict[tuple, int] = {}
-    blocks: dict[int, list[str]] = {}
+    blocks: dict[int, list[tuple[tuple, str]]] = {}
     for event in read(page):
         path = event[1]
         if event[0] == "open":
             opens[path] = opens.get(path, 0) + 1
         elif not event[3]:
-            blocks.setdefault(event[4], []).append(event[2])
-            size = len(event[2].strip())
-            for k in range(1, len(path) + 1):
-                mass[path[:k]] = mass.get(path[:k], 0) + size
+            blocks.setdefault(event[4], []).append((path, event[2]))
     for parts in blocks.values():
-        if text := _plain(parts):
-            token = (f"{ONE if ' ' not in text else MANY}{_text_key(text)}",)
-            opens[token] = opens.get(token, 0) + 1
+        if not (text := _plain([t for _, t in parts])):
+            continue
+        # A block is where its parts all are.
+        path = parts[0][0]
+        for other, t in parts[1:]:
+            if t.strip():
+                path = path[: next((k for k, (x, y) in enumerate(zip(path, other, strict=False)) if x != y), min(len(path), len(other)))]
+        token = (*path, f"{ONE if ' ' not in text else MANY}{_text_key(text)}")
+        opens[token] = opens.get(token, 0) + 1
+        for k in range(1, len(token) + 1):
+            mass[token[:k]] = mass.get(token[:k], 0) + len(text)
     return opens, mass
 
 
@@ -263,17 +267,24 @@ def template(pages: DataFrame, support: float = 0.5) -> DataFrame:
     rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html")).dropDuplicates(["host", "html"])
     sums = rows.mapInArrow(_count, _COUNTED).groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in _NAMES[2:]))
     # Most texts are a page's own and go before anything is dealt by host.
-    sums = sums.where(~F.col("token").startswith("\n") | (F.col("pages") >= LEAST_PAGES))
+    sums = sums.where(~F.contains("token", F.lit("\n")) | (F.col("pages") >= LEAST_PAGES))
     of_host = W.partitionBy("host", "low", "high", "pages", "total")
     root = F.max(F.when(F.col("token") == "", F.col("pages"))).over(W.partitionBy("host"))
-    sums = sums.withColumn("host_pages", root).withColumn("class_size", F.sum(F.when(F.col("token").startswith(MANY), 2).otherwise(1)).over(of_host))
+    sums = sums.withColumn("host_pages", root).withColumn("class_size", F.sum(F.when(F.contains("token", F.lit(MANY)), 2).otherwise(1)).over(of_host))
     valid = sums.where((F.col("token") != "") & (F.col("pages") >= support * F.col("host_pages")) & (F.col("class_size") >= 2))
     return valid.select("host", "token", F.xxhash64("low", "high", "pages", "total").alias("vector"), "pages", "total", "mass", "class_size", "host_pages")
 
 
 def content_elements(classes: DataFrame) -> DataFrame:
-    """``host, content``: of each host's template, the element whose slots are the main text."""
-    classes = classes.where(~F.col("token").startswith("\n"))
+    """``host, content``: of each host's template, the element whose slots are the main text.
+
+    What counts is the text that the template itself doesn't have: its blocks are taken off every element they lie in.
+    """
+    is_text = F.contains("token", F.lit("\n"))
+    parts = F.split("token", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    fixed = classes.where(is_text & (F.size(parts) > 1)).select("host", F.explode(above).alias("token"), "mass").groupBy("host", "token").agg(F.sum("mass").alias("fixed"))
+    classes = classes.where(~is_text).join(fixed, ["host", "token"], "left").withColumn("mass", F.col("mass") - F.coalesce("fixed", F.lit(0)))
     tags = F.transform(F.split("token", "/"), lambda x: F.split(x, r"\.")[0])
     tag, depth = F.element_at(tags, -1), F.size(tags)
     of_host = W.partitionBy("host")
@@ -282,7 +293,7 @@ def content_elements(classes: DataFrame) -> DataFrame:
     text_of = lambda kind: F.coalesce(F.sum(F.when((tag == kind) & outer, F.col("mass"))).over(of_host), F.lit(0))
     classes = classes.withColumn("most", F.max("mass").over(of_host)).withColumn("articles", 2 * text_of("article") > text_of("main"))
     rank = F.when(tag == "article", F.when(F.col("articles"), 2).otherwise(0)).when(tag == "main", 1).otherwise(0)
-    # An element without text isn't content; without article or main, the deepest that holds most of it.
+    # An element without text of its pages isn't content; without article or main, the deepest that holds most of it.
     fit = classes.where((F.col("mass") > 0) & ((rank > 0) | ((F.col("mass") > 0.5 * F.col("most")) & (F.col("total") == F.col("pages")))))
     key = F.struct(rank.alias("rank"), F.when(rank > 0, F.col("mass")).otherwise(depth).alias("by"), F.when(rank > 0, -depth).otherwise(F.col("mass")).alias("then"), F.col("token"))
     return fit.groupBy("host").agg(F.max(key)["token"].alias("content"))
@@ -290,7 +301,8 @@ def content_elements(classes: DataFrame) -> DataFrame:
 
 def template_texts(classes: DataFrame) -> DataFrame:
     """``host, texts``: keys of the blocks of each host's template."""
-    return classes.where(F.col("token").startswith("\n")).groupBy("host").agg(F.collect_set(F.substring("token", 3, 20).cast("long")).alias("texts"))
+    key = F.substring(F.element_at(F.split("token", "\n"), -1), 2, 20).cast("long")
+    return classes.where(F.contains("token", F.lit("\n"))).groupBy("host").agg(F.collect_set(key).alias("texts"))
 
 
 def slots(page: str, content: str | None, texts: frozenset[int] = frozenset()) -> list[str]:
