@@ -24,6 +24,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_LIMIT
+
 WIDTH = 5
 CONTAINMENT = 0.8
 FOUND = 0.9999
@@ -99,8 +101,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
         windows = windows.select("doc_id", (F.col("k") * size).alias("window_word"), F.array_distinct(F.slice("shingles", F.col("k") * size + 1, per)).alias("has"))
         rows = [(name, s) for name in names for s in template_shingles(words[name])]
         known = spark.createDataFrame(rows, "license string, s string").groupBy("license").agg(F.array_sort(F.collect_set(F.xxhash64("s"))).alias("wants"))
-        # The templates are a fixed list, which bounds what is broadcast.
-        keys = F.broadcast(known.select("license", "wants", F.explode(_minhashes(F.col("wants"), bands)).alias("key")))
+        keys = known.select("license", "wants", F.explode(_minhashes(F.col("wants"), bands)).alias("key"))
+        # Given templates may be many or long; their size is known, and beyond the bound the join shuffles.
+        size_of_keys = len(names) * bands * (8 * max(len(template_shingles(words[n])) for n in names) + 64)
+        keys = F.broadcast(keys) if size_of_keys <= BROADCAST_LIMIT else keys.hint("merge")
         # Windows carry their keys as one array; only those that share a key with a template go on.
         hits = windows.where(F.size("has") > 0).select("doc_id", "window_word", "has", F.explode(_minhashes(F.col("has"), bands)).alias("key")).join(keys, "key")
         shared = F.size(F.array_intersect("has", "wants")) / F.size("wants")
