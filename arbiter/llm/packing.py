@@ -59,7 +59,7 @@ class WordTokenizer:
     """
 
     #: Parts that each of the cache's two generations holds, and the longest that is kept.
-    CACHE, LONGEST = 3 << 16, 40
+    CACHE, LONGEST = 1 << 17, 40
 
     def __init__(self, path: str):
         self.path = path
@@ -150,7 +150,7 @@ def cut(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id",
 
     def run(batches):
         words = tokenizer(path)
-        for batch in slices(batches, 4096, 1 << 22):
+        for batch in slices(batches, 4096, 1 << 21):
             doc, piece, start, length, crc = [], [], [], [], []
             for d, found in zip(batch.column(0).to_pylist(), words.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 ids = np.append(found, np.uint32(0)).astype("<u4", copy=False)
@@ -249,9 +249,10 @@ def _members(batches):
 def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; no sequence is longer than ``limit``."""
     work = Workspace(pieces.sparkSession, "packing")
-    items = pieces.select("doc_id", "piece", "start", "length", "ids_crc32").mapInArrow(_items, "length long, members binary")
+    # Written, so that no task runs two Python workers.
+    items = work.save(pieces.select("doc_id", "piece", "start", "length", "ids_crc32").mapInArrow(_items, "length long, members binary"))
     done = items.where(F.col("length") == limit).select("members")
-    open_items, n, last = items.where(F.col("length") < limit), pieces.where(F.col("length") < limit).count(), False
+    open_items, n, last = items.where(F.col("length") < limit), items.where(F.col("length") < limit).count(), False
     while n:
         parts = -(-n // NODE)
         last = last or parts == 1
