@@ -1,21 +1,30 @@
 """N-gram Jaccard join: documents whose sets of word 5-shingles have a Jaccard similarity of 0.8 or more.
 
-Texts with one set are a class, named by a digest of the set. Each class's shingles are ordered rare
-first, by document counts from a sketch of fixed size that all documents enter (any fixed order gives
-the same links; rare first gives few candidates). Similar sets share a shingle of their prefixes, so
-prefix shingles are dealt to buckets and those that one class alone has are dropped. What remains is
-joined on the shingle under a length and a positional filter; pairs are made distinct, pass a suffix
-filter on the sets and are verified once.
-
-A group of copies never yields all its pairs: first each shingle's classes are paired with one of them,
-the hub; the links found join classes to components; then only pairs of different components that share
-a prefix shingle are left, and all of those are verified. So no link between components is lost, and
-the components are exactly those of all links.
-
-Shingles are compared by 64-bit hashes. A text of fewer words is one shingle; null texts and texts
-without words have an empty set, link with nothing and are components of their own. Repeated rows are
-of one class. Rows that share an id but not their text are of their own classes under one id. A null id
-names no component. An empty table gives an empty result; columns beyond the id and the text are ignored.
+Rows with one set of shingles are a class. Sets are made anew from the texts where they are needed, which
+takes less than to keep them. A set's shingles are ordered rare first, by document counts from a sketch of fixed size that all documents
+enter (any fixed order gives the same links; rare first gives few candidates). Similar sets share ``COMMON``
+shingles of their prefixes, which have as many shingles more than one shared one would need; of smaller
+sets, all. Prefix shingles are dealt to buckets, and those that one class alone has are dropped.
+
+A shingle that up to ``FEW`` classes have is joined to pairs of them, under the length and the positional
+filter, and pairs are counted. Any other is joined under a hub, the class of least hash that has it: its
+classes, if another one's length fits theirs, are members of the hub's group. Similar sets share either a
+shingle of the second kind, and so a hub, or their ``COMMON`` of the first kind, and so are a pair that is
+counted as often; other pairs go. A pair that stays is a group too. Near copies share most of their shingles
+and so few hubs. A class's set travels once to each of its groups, not once for each shingle or pair, and
+there pairs are verified: a pair belongs to the least group that both are in, passes the length and the
+suffix filter and is then verified once, by exact intersection, unless links found before already join its
+classes. What comes out are spanning links, fewer than the group has classes, which give exactly the
+components of all links.
+
+A group of more than two beyond ``GROUP`` shingles is dealt to chunks, each with the hub; classes that neither the hub nor
+its links in the chunk reach are then compared with the other chunks, block by block.
+
+Shingles are told apart by 64-bit hashes, sets by 128-bit digests. A text of fewer words is one shingle;
+null texts and texts without words have an empty set, link with nothing and are components of their own.
+Repeated rows are of one class. Rows that share an id but not their text are of their own classes under one
+id. A null id names no component. An empty table gives an empty result; columns beyond the id and the text
+are ignored.
 """
 
 from __future__ import annotations
@@ -27,55 +36,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, binary_texts, bounded, mix, shingle_set, shuffle_parts
+from .common import Workspace, binary_texts, bounded, mix, shingle_set, shuffle_parts, slices
 from .components import connected_components
 
 #: Similarity as a ratio of whole numbers, so that thresholds are exact.
 NUM, DEN = 4, 5
 SKETCH = 20  # bits of the sketch's places
 _BLOCK = 4096
-POSTING = np.dtype([("token", "<u8"), ("class", "<u8"), ("n", "<u4"), ("pos", "<u2")])
+POSTING = np.dtype([("token", "<u8"), ("class", "<u8"), ("n", "<u4"), ("pos", "<u4")])
+#: Shingles that the prefixes of similar sets share, and the most classes whose pairs are counted.
+COMMON, FEW = 4, 4
 #: Postings of a bucket, about, and of a hot shingle within one bucket.
 BUCKET_ROWS, HOT_ROWS = 400_000, 50_000
-#: Hubs that a group's classes are paired with, round by round.
-HUBS = (1, 4, 8)
+#: Shingles of all sets that a group, or a part of one, has in one task, about.
+GROUP = 2_000_000
+#: Parts by which the suffix filter counts a set's shingles.
+CUTS = 16
 
 
-def class_id(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little")
+_ROWS = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("hash", pa.int64()), ("class", pa.binary()), ("name", pa.int64()), ("n", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint64).view(np.int64)
-
+def digest(s: np.ndarray) -> bytes:
+    """A class's digest; its low half is the class's name in groups."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
-def _sets(batch):
-    """Id, class and set of every row of a batch of ids and texts; the class is None for an empty set."""
-    for doc, text in zip(batch.column(0).to_pylist(), binary_texts(batch.column(1)), strict=True):
-        s = shingle_set(text)
-        yield doc, class_id(s) if len(s) else None, s
 
+def name_of(d: bytes) -> int:
+    return int.from_bytes(d[:8], "little", signed=True)
 
-def _classes(batches):
-    for batch in batches:
-        rows = [(d, None if c is None else int(np.uint64(c).astype(np.int64)), len(s)) for d, c, s in _sets(batch)]
-        yield pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["doc_id", "class", "n"])
 
+def _rows(batches):
+    """``doc_id, key, hash, class, name, n`` of every row, and then, in rows of their own, the task's part of the sketch.
 
-def _sketch(batches):
-    """Counts of the shingles' places over the task's classes, each counted once."""
+    The sketch counts, for each place, the task's classes that have shingles there.
+    """
     counts, seen = np.zeros(1 << SKETCH, np.int32), set()
-    for batch in batches:
-        for _, c, s in _sets(batch):
-            if c is not None and c not in seen:
-                seen.add(c)
-                counts += np.bincount((s >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH).astype(np.int32) if len(s) > 50_000 else 0
-                if len(s) <= 50_000:
-                    np.add.at(counts, (s >> np.uint64(64 - SKETCH)).astype(np.int64), 1)
-    for k in range((1 << SKETCH) // _BLOCK):
-        part = counts[k * _BLOCK : (k + 1) * _BLOCK]
-        if part.any():
-            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "counts"])
+    for batch in slices(batches, 1024, 1 << 22):
+        sets = [shingle_set(t) for t in binary_texts(batch.column(3))]
+        digests = [digest(x) if len(x) else None for x in sets]
+        places = [(x >> np.uint64(64 - SKETCH)).astype(np.int64) for x, d in zip(sets, digests, strict=True) if d and not (d in seen or seen.add(d))]
+        if places:
+            counts += np.bincount(np.concatenate(places), minlength=1 << SKETCH).astype(np.int32)
+        none = pa.nulls(len(sets))
+        columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(digests, pa.binary()), pa.array([d and name_of(d) for d in digests], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())]
+        yield pa.record_batch(columns, schema=_ROWS)
+    blocks = [k for k in range((1 << SKETCH) // _BLOCK) if counts[k * _BLOCK : (k + 1) * _BLOCK].any()]
+    columns = [pa.nulls(len(blocks)).cast(f.type) for f in list(_ROWS)[:-2]]
+    yield pa.record_batch([*columns, pa.array(blocks, pa.int32()), pa.array([counts[k * _BLOCK : (k + 1) * _BLOCK].tobytes() for k in blocks], pa.binary())], schema=_ROWS)
 
 
 def _add_blocks(table: pa.Table) -> pa.Table:
@@ -83,9 +91,9 @@ def _add_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def shingle_counts(texts: DataFrame) -> np.ndarray:
-    """The sketch: how many classes have shingles of each place. Its size is fixed."""
-    rows = texts.mapInArrow(_sketch, "block int, counts binary").groupBy("block").applyInArrow(_add_blocks, "block int, counts binary").toArrow()
+def sketch_of(parts: DataFrame) -> np.ndarray:
+    """How many classes have shingles of each place, from the tasks' parts ``block, counts``. Its size is fixed."""
+    rows = parts.groupBy("block").applyInArrow(_add_blocks, "block int, counts binary").toArrow()
     counts = np.zeros(1 << SKETCH, np.int64)
     for k, x in zip(rows.column("block").to_pylist(), rows.column("counts").to_pylist(), strict=True):
         counts[k * _BLOCK : (k + 1) * _BLOCK] = np.frombuffer(x, np.int64)
@@ -93,15 +101,29 @@ def shingle_counts(texts: DataFrame) -> np.ndarray:
 
 
 def prefix(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles, rare first, that a similar set can't all lack."""
-    size = len(s) - -(-NUM * len(s) // DEN) + 1
+    """The shingles, rare first, of which a similar set has ``COMMON`` in its own prefix, or all that make it similar if they are fewer."""
+    size = min(len(s), len(s) - -(-NUM * len(s) // DEN) + COMMON)
     place = counts[(s >> np.uint64(64 - SKETCH)).astype(np.int64)]
     return s[np.lexsort((s, place))[:size]]
 
 
+class _Held:
+    """An array that travels to the tasks once, as a broadcast variable."""
+
+    def __init__(self, array: np.ndarray):
+        from pyspark.sql import SparkSession
+
+        self._sent = SparkSession.getActiveSession().sparkContext.broadcast(array)
+
+    @property
+    def value(self) -> np.ndarray:
+        return self._sent.value
+
+
 def _dealer(counts, buckets: int):
     """Postings of the prefixes, in rows of many postings of one bucket; a class enters once a task."""
     usual = int(counts.mean())
+    counts = _Held(counts)
 
     def flush(parts):
         rows = np.concatenate(parts)
@@ -113,21 +135,20 @@ def _dealer(counts, buckets: int):
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
         yield pa.record_batch([pa.array(bucket[cuts[:-1]], pa.int64()), pa.array([rows[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["bucket", "postings"])
 
-    usual, counts = usual, _Held(counts)
-
     def run(batches):
         seen, parts, size = set(), [], 0
-        for batch in batches:
-            for _, c, s in _sets(batch):
-                if c is None or c in seen:
+        for batch in slices(batches, 1024, 1 << 22):
+            for s in map(shingle_set, binary_texts(batch.column(0))):
+                d = digest(s)
+                if not len(s) or d in seen:
                     continue
-                seen.add(c)
-                p = prefix(s, counts.value)
+                seen.add(d)
+                p, c = prefix(s, counts.value), int.from_bytes(d[:8], "little")
                 rows = np.empty(len(p), POSTING)
-                rows["token"], rows["class"], rows["n"], rows["pos"] = p, c, len(s), np.minimum(np.arange(len(p)), 65535)
+                rows["token"], rows["class"], rows["n"], rows["pos"] = p, c, len(s), np.arange(len(p))
                 parts.append(rows)
                 size += len(rows)
-                if size > 1_500_000:
+                if size > 1_000_000:
                     yield from flush(parts)
                     parts, size = [], 0
         if parts:
@@ -136,32 +157,80 @@ def _dealer(counts, buckets: int):
     return run
 
 
-class _Held:
-    """An array that travels to the tasks once, as a broadcast variable."""
-
-    def __init__(self, array: np.ndarray):
-        from pyspark.sql import SparkSession
+def _signed(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint64).view(np.int64)
 
-        self._sent = SparkSession.getActiveSession().sparkContext.broadcast(array)
 
-    @property
-    def value(self) -> np.ndarray:
-        return self._sent.value
+def _fits(n, m):
+    """Whether sets of these sizes can be similar."""
+    return NUM * np.maximum(n, m) <= DEN * np.minimum(n, m)
+
+
+def _pairs_of(rows, starts, sizes):
+    """Pairs of classes that share a shingle which few have, under the length and the positional filter, and how often each is met."""
+    out = []
+    for m in range(2, FEW + 1):
+        at = starts[sizes == m]
+        for i in range(m):
+            for j in range(i):
+                x, y = rows[at + i], rows[at + j]
+                n, k, p, q = x["n"].astype(np.int64), y["n"].astype(np.int64), x["pos"].astype(np.int64), y["pos"].astype(np.int64)
+                # The shingles up to this one, and those from it on, that both can have.
+                most = np.minimum(p, q) + np.minimum(n - p, k - q)
+                ok = _fits(n, k) & ((NUM + DEN) * most >= NUM * (n + k))
+                out.append(np.stack([np.minimum(x["class"], y["class"])[ok], np.maximum(x["class"], y["class"])[ok]], 1))
+    every = np.concatenate(out) if out else np.zeros((0, 2), np.uint64)
+    order = np.lexsort((every[:, 1], every[:, 0]))
+    every = every[order]
+    first = np.flatnonzero(np.concatenate([[True], (every[1:] != every[:-1]).any(1)])) if len(every) else np.zeros(0, np.int64)
+    return every[first], np.diff(np.append(first, len(every)))
+
+
+def _hubs_of(rows, starts, sizes):
+    """Hub and class of the shingles that many classes have, of classes whose length another one's fits; each once."""
+    at = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    rows, group = rows[at], np.repeat(np.arange(len(sizes)), sizes)
+    # The nearest length is the next smaller or the next larger one.
+    order = np.lexsort((rows["n"], group))
+    n, g = rows["n"][order].astype(np.int64), group[order]
+    near = (g[1:] == g[:-1]) & _fits(n[1:], n[:-1])
+    keep = np.zeros(len(rows), bool)
+    keep[order[1:][near]] = True
+    keep[order[:-1][near]] = True
+    rows, group = rows[keep], group[keep]
+    begin = np.flatnonzero(np.diff(group, prepend=-1))
+    hub = np.repeat(rows["class"][np.lexsort((mix(rows["class"]), group))[begin]], np.diff(np.append(begin, len(group))))
+    return np.unique(np.stack([hub, rows["class"]], 1), axis=0)
+
+
+_SHARED = pa.schema([("kind", pa.int8()), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int64())])
+#: Kinds of rows: a pair with how often it is met, a hub with a class, a hot shingle with a class and its size.
+PAIR, HUB, LOOSE = 0, 1, 2
 
 
 def _shared(hot_place):
-    """Of each bucket, the postings whose shingle two classes have, or that is hot and so lies in several buckets."""
+    """Postings of a bucket to rows of the kinds above. A hot shingle lies in several buckets, so its postings come out as they are."""
+
+    def made(kind, x, y, n):
+        for at in range(0, len(x), 100_000):
+            part = slice(at, at + 100_000)
+            k = len(x[part])
+            yield pa.record_batch([pa.array(np.full(k, kind, np.int8)), pa.array(_signed(x[part])), pa.array(_signed(y[part])), pa.array(n[part].astype(np.int64))], schema=_SHARED)
 
     def one(parts):
         rows = np.unique(np.frombuffer(b"".join(parts), POSTING))
+        hot = hot_place.value[(rows["token"] >> np.uint64(64 - SKETCH)).astype(np.int64)]
+        loose, rows = rows[hot], rows[~hot]
         token = rows["token"]
-        same = np.flatnonzero(np.diff(token.view(np.int64), prepend=~token[:1].view(np.int64), append=~token[-1:].view(np.int64)))
-        size = np.diff(same)
-        keep = np.repeat(size > 1, size) | hot_place.value[(token >> np.uint64(64 - SKETCH)).astype(np.int64)]
-        rows = rows[keep]
-        for at in range(0, len(rows), 100_000):
-            r = rows[at : at + 100_000]
-            yield pa.record_batch([pa.array(_signed(r["token"])), pa.array(_signed(r["class"])), pa.array(r["n"].astype(np.int64)), pa.array(r["pos"].astype(np.int32))], names=["token", "class", "n", "pos"])
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(rows) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(starts, len(rows)))
+        found, times = _pairs_of(rows, starts, sizes)
+        yield from made(PAIR, found[:, 0], found[:, 1], times)
+        many = sizes > FEW
+        if many.any():
+            found = _hubs_of(rows, starts[many], sizes[many])
+            yield from made(HUB, found[:, 0], found[:, 1], np.zeros(len(found)))
+        yield from made(LOOSE, loose["token"], loose["class"], loose["n"])
 
     def run(batches):
         now, parts = None, []
@@ -178,122 +247,220 @@ def _shared(hot_place):
     return run
 
 
-def _verify(batches):
-    """Pairs with both sets: the suffix filter's bound, then the exact intersection."""
-    for batch in batches:
-        a_ids, b_ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        keep = []
-        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            total = len(x) + len(y)
-            # Sets cut at the same shingles differ at least by what their parts differ in size.
-            marks = x[len(x) // 4 :: max(1, len(x) // 4)]
-            cut_x, cut_y = np.searchsorted(x, marks), np.searchsorted(y, marks)
-            apart = int(np.abs(np.diff(cut_x, prepend=0, append=len(x)) - np.diff(cut_y, prepend=0, append=len(y))).sum())
-            if (NUM + DEN) * (total - apart) < 2 * NUM * total:
-                keep.append(False)
+def suffix_counts(s: np.ndarray) -> np.ndarray:
+    """How many shingles a sorted set has in each of ``CUTS`` equal ranges."""
+    return np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=CUTS)
+
+
+class Member:
+    """A class within a group: its row, set, hubs, and what part it has in the group."""
+
+    __slots__ = ("hubs", "part", "row", "set")
+
+    def __init__(self, row: int, blob: bytes, hubs: list[int], part: int = 0):
+        self.row, self.set, self.hubs, self.part = row, np.frombuffer(blob, np.uint64), frozenset(hubs), part
+
+
+#: Parts of members: a usual one, and one that all members of the other part are compared with.
+CHUNK, REST = 0, 1
+
+
+def spanning_links(hub: int, group: list[Member], across: bool = False) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that join what all links of the group's pairs join, and each member's component.
+
+    Pairs of which a lesser hub has charge aren't this group's. With ``across``, only pairs of a ``REST`` and a ``CHUNK`` member are.
+    """
+    n = np.array([len(m.set) for m in group])
+    counts = np.stack([suffix_counts(m.set) for m in group])
+    part = np.array([m.part for m in group])
+    label = np.arange(len(group))
+    links = []
+    for i in range(len(group)):
+        if across and part[i] != REST:
+            continue
+        others = slice(None) if across else slice(i + 1, None)
+        ok = label[others] != label[i]
+        if across:
+            ok &= part == CHUNK
+        js = ok.nonzero()[0] + (0 if across else i + 1)
+        # Length and suffix filters: what the intersection can be at most.
+        js = js[_fits(n[js], n[i])]
+        js = js[(NUM + DEN) * np.minimum(counts[js], counts[i]).sum(1) >= NUM * (n[js] + n[i])]
+        x = group[i].set
+        for j in js.tolist():
+            if label[i] == label[j] or min(group[i].hubs & group[j].hubs) != hub:
                 continue
+            y = group[j].set
             common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            keep.append(DEN * common >= NUM * (total - common))
-        keep = np.array(keep, bool)
-        yield pa.record_batch([pa.array(a_ids[keep]), pa.array(b_ids[keep])], names=["a", "b"])
+            if DEN * common >= NUM * (len(x) + len(y) - common):
+                links.append((group[i].row, group[j].row))
+                label[label == label[j]] = label[i]
+        if not across and (label == label[0]).all():
+            break
+    return links, label
 
 
-_FILTERS = f"""
-    {DEN} * least(x.n, y.n) >= {NUM} * greatest(x.n, y.n)
-    AND {NUM + DEN} * (least(x.n - x.pos, y.n - y.pos)) >= {NUM} * (x.n + y.n)
-"""
+_FOUND = "a long, b long, rest_of long"
 
 
-def class_links(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """``docs(doc_id, text)`` to its rows with class and set size, and the verified links between classes.
+def _grouped(across: bool, lead_only: bool):
+    """Rows ``hub, chunk, row, set, hubs, part`` in the order of the first three to spanning links.
 
-    The links are a subset of all links with the same components.
+    A class that comes twice, by repeated rows, counts once.
+    With ``lead_only``, the classes that nothing joins with the hub come out too, as ``a`` and ``rest_of``.
     """
+
+    def done(hub, group):
+        # The hub leads: most of a group of near copies are joined with it.
+        if lead_only:
+            group.sort(key=lambda m: m.part == CHUNK)
+        links, label = spanning_links(hub, group, across)
+        out = [(a, b, None) for a, b in links]
+        if lead_only and group[0].part == REST:
+            out += [(m.row, None, hub) for m, k in zip(group, label.tolist(), strict=True) if k != label[0]]
+        return out
+
+    def run(batches):
+        key, group, out = None, [], []
+        for batch in slices(batches, 1024, 1 << 22):
+            for hub, chunk, row, blob, hubs, part in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if (hub, chunk) != key:
+                    if group:
+                        out += done(key[0], group)
+                    key, group = (hub, chunk), []
+                if group and group[-1].row == row and group[-1].part == part:
+                    continue
+                group.append(Member(row, blob, hubs, part))
+            if len(out) > 20_000:
+                yield _links_batch(out)
+                out = []
+        if group:
+            out += done(key[0], group)
+        yield _links_batch(out)
+
+    return run
+
+
+def _links_batch(out) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["a", "b", "rest_of"])
+
+
+def _fetched(batches):
+    """Texts with the class that is looked for to its set; texts of another class have the same id and hash by chance only."""
+    for batch in slices(batches, 1024, 1 << 22):
+        sets = [shingle_set(t) for t in binary_texts(batch.column(0))]
+        mine = pa.array([len(x) > 0 and digest(x) == c for x, c in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())
+        yield pa.record_batch([*batch.columns[2:], pa.array([x.tobytes() for x in sets], pa.binary())], names=[*batch.schema.names[2:], "set"]).filter(mine)
+
+
+def class_links(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``docs(doc_id, key, text)`` to its rows ``row, doc_id, key, class, name, n``, the classes ``class, row`` and spanning links ``a, b`` of the classes' rows."""
     spark = docs.sparkSession
-    rows = work.save(docs.mapInArrow(_classes, "doc_id long, class long, n long"))
+    hashed = docs.select("doc_id", "key", F.xxhash64("text").alias("hash"), "text")
+    kinds = "doc_id long, key binary, hash long, class binary, name long, n long"
+    made = work.save(hashed.mapInArrow(_rows, kinds + ", block int, counts binary").withColumn("row", F.monotonically_increasing_id()))
+    rows = made.where("block IS NULL").drop("block", "counts")
     total = rows.where("class IS NOT NULL").agg(F.sum(F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1)).first()[0] or 0
-    counts = shingle_counts(docs)
-    parts = shuffle_parts(spark)
-    buckets = max(4 * parts, int(total) // BUCKET_ROWS)
-    dealt = docs.mapInArrow(_dealer(counts, buckets), "bucket long, postings binary")
+    # A class's row is its first; the text of that row is where its set comes from.
+    first = F.min(F.struct("row", "doc_id", "hash", "name", "n")).alias("at")
+    classes = work.save(rows.where("class IS NOT NULL").groupBy("class").agg(first).select("class", "at.*"))
+    counts = sketch_of(made.where("block IS NOT NULL").select("block", "counts"))
+    buckets = max(4 * shuffle_parts(spark), int(total) // BUCKET_ROWS)
+    dealt = docs.select("text").mapInArrow(_dealer(counts, buckets), "bucket long, postings binary")
     hot = _Held(counts - 4 * int(counts.mean()) > HOT_ROWS)
-    shared = work.save(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared(hot), "token long, class long, n long, pos int"))
+    under = work.save(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared(hot), "kind byte, x long, y long, n long"))
     work.free()
-    homes = rows.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-
-    unique = rows.count() == rows.select("doc_id").distinct().count()
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        needed = work.save(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(homes, "class").select("class", "doc_id"))
-
-        def sets(batches):
-            for batch in batches:
-                wanted = batch.column(2).to_pylist()
-                found = [(w, s.tobytes()) for (_, c, s), w in zip(_sets(batch), wanted, strict=True) if c is not None and int(np.uint64(c).astype(np.int64)) == w]
-                yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["class", "set"])
-
-        side = docs.join(bounded(needed, 24), "doc_id").select("doc_id", "text", "class")
-        made = work.save(side.mapInArrow(sets, "class long, set binary"))
-        known = made if unique else made.groupBy("class").agg(F.min("set").alias("set"))
-        both = pairs.join(known.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a").join(known.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b")
-        out = work.save(both.select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long"))
-        work.drop(needed, made)
-        work.free()
-        return out
-
-    links = spark.createDataFrame([], "a long, b long")
-    tried, labelled, done = links, shared.withColumn("part", F.col("class")), [shared]
-    for round_no, n_hubs in enumerate((*HUBS, None)):
-        if n_hubs:
-            # Each shingle's classes against one of them, of another component. The hub is the class of
-            # least hash, so shingles that share their classes share their hubs, ``n_hubs`` in a round.
-            lead = f"min_by(struct(class, n, pos, part), xxhash64(class, {round_no}, pmod(token, {n_hubs})))"
-            hubs = labelled.groupBy("token").agg(F.expr(lead).alias("h")).select("token", "h.*")
-            x, y, apart = labelled.alias("x"), hubs.alias("y"), "x.part <> y.part"
-        else:
-            x, y, apart = labelled.alias("x"), labelled.alias("y"), "x.part < y.part"
-        found = x.join(y, F.expr(f"x.token = y.token AND {apart} AND {_FILTERS}"))
-        pairs = found.select(F.expr("least(x.class, y.class)").alias("a"), F.expr("greatest(x.class, y.class)").alias("b")).distinct()
-        pairs = work.save(pairs.join(tried, ["a", "b"], "left_anti") if round_no else pairs)
-        n_pairs = pairs.count()
-        if n_pairs:
-            new = verified(pairs)
-            tried, links = tried.unionAll(pairs), links.unionAll(new)
-        done.append(pairs)
-        if n_hubs is None:
-            break
-        if n_pairs:
-            parts_of = connected_components(links, work).select(F.col("node").alias("class"), F.col("component").alias("to"))
-            joined = shared.join(bounded(parts_of, 32), "class", "left").select("token", "class", "n", "pos", F.coalesce("to", "class").alias("part"))
-            # Shingles whose classes are all of one component have nothing left to tell.
-            mixed = joined.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token")
-            labelled = work.save(joined.join(mixed, "token", "left_semi"))
-            done.append(labelled)
-            work.free()
-        if labelled.isEmpty():
-            break
-    work.drop(*done)
+    sizes = classes.groupBy("name").agg(F.max("n").alias("n"))
+    loose = under.where(F.col("kind") == LOOSE).select(F.col("x").alias("token"), F.col("y").alias("name"))
+    lead = loose.groupBy("token").agg(F.expr("min_by(name, xxhash64(name))").alias("hub"), F.count("*").alias("k")).where("k > 1").select("token", "hub")
+    own = under.where(F.col("kind") == HUB).select(F.col("x").alias("hub"), F.col("y").alias("name")).unionAll(loose.join(lead, "token").select("hub", "name"))
+    # Of pairs, those met often enough; of a set of few shingles all must be, so there each one counts.
+    pairs = under.where(F.col("kind") == PAIR).groupBy("x", "y").agg(F.sum("n").alias("times"))
+    often = pairs.where(F.col("times") >= COMMON)
+    seldom = pairs.where(F.col("times") < COMMON).join(sizes.select(F.col("name").alias("x"), F.col("n").alias("nx")).where(F.col("nx") * NUM < DEN * COMMON), "x", "left_semi")
+    seldom = seldom.unionAll(pairs.where(F.col("times") < COMMON).join(sizes.select(F.col("name").alias("y"), F.col("n").alias("ny")).where(F.col("ny") * NUM < DEN * COMMON), "y", "left_semi").select("x", "y", "times"))
+    chosen = often.unionAll(seldom).select(F.xxhash64("x", "y", F.lit("pair")).alias("hub"), F.explode(F.array("x", "y")).alias("name"))
+    # One row for each class in a group: its groups are no more than its prefix has shingles, times ``FEW``.
+    members = own.unionAll(chosen).groupBy("name").agg(F.sort_array(F.collect_set("hub")).alias("hubs"))
+    members = work.save(members.join(sizes, "name"))
+    work.drop(under)
+    weights = members.select(F.explode("hubs").alias("hub"), "n").groupBy("hub").agg(F.sum("n").alias("weight"), F.count("*").alias("k")).where((F.col("weight") > GROUP) & (F.col("k") > 2))
+    large = work.save(weights.select("hub", F.ceil(F.col("weight") / GROUP).cast("long").alias("chunks")))
+    needed = work.save(members.select("name", "hubs").join(classes, "name").select("doc_id", "hash", "class", "row", "name", "hubs"))
+    work.drop(members)
+    some_large = not large.isEmpty()
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        side = bounded(wanted.withColumnRenamed("doc_id", "_id").withColumnRenamed("hash", "_hash"), 200)
+        found = hashed.select("doc_id", "hash", "text").join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
+        return found.select("text", "class", "row", "name", "hubs").mapInArrow(_fetched, "row long, name long, hubs array<long>, set binary")
+
+    def grouped(placed: DataFrame, across: bool, lead_only: bool) -> DataFrame:
+        dealt = placed.select("hub", "chunk", "row", "set", "hubs", "part").repartition("hub", "chunk")
+        return work.save(dealt.sortWithinPartitions("hub", "chunk", "row").mapInArrow(_grouped(across, lead_only), _FOUND))
+
+    placed = sets(needed).select(F.explode("hubs").alias("hub"), "row", "set", "hubs")
+    placed = placed.join(bounded(large, 16), "hub", "left_anti") if some_large else placed
+    links = grouped(placed.withColumn("chunk", F.lit(0).cast("long")).withColumn("part", F.lit(CHUNK)), False, False).select("a", "b")
     work.free()
-    return rows, links
+    if some_large:
+        # Each chunk has the hub itself as its one member of the other part.
+        within = needed.withColumn("own", F.explode("hubs")).join(bounded(large, 16), F.col("own") == F.col("hub"), "left_semi").select(needed.columns).distinct()
+        big = work.save(sets(within)).select(F.explode("hubs").alias("hub"), "row", "name", "set", "hubs").join(bounded(large, 16), "hub")
+        is_hub = F.col("name") == F.col("hub")
+        every_chunk = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
+        own = F.pmod(F.xxhash64("row"), F.col("chunks"))
+        chunk = F.explode(F.when(is_hub, every_chunk).otherwise(F.array(own))).alias("chunk")
+        one = grouped(big.select("*", chunk, F.when(is_hub, REST).otherwise(CHUNK).alias("part")), False, True)
+        links = links.unionAll(one.where("b IS NOT NULL").select("a", "b"))
+        rest = work.save(one.where("rest_of IS NOT NULL").select(F.col("rest_of").alias("hub"), F.col("a").alias("row")).distinct())
+        if not rest.isEmpty():
+            # Blocks of the rest against all other chunks; a block and a chunk are together of bounded size.
+            mine = big.join(bounded(rest, 16), ["hub", "row"], "left_semi")
+            blocks = work.save(mine.groupBy("hub").agg(F.ceil(F.sum(F.octet_length("set") / 8) / GROUP).cast("long").alias("blocks")))
+            cell = (F.col("block") * F.col("chunks") + F.col("at")).alias("chunk")
+            with_blocks = lambda df: df.join(bounded(blocks, 16), "hub").withColumn("own", own)
+            left = with_blocks(mine).withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.col("blocks"))).withColumn("at", F.explode(every_chunk)).where("at <> own")
+            right = with_blocks(big).withColumn("at", F.col("own")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            columns = ["hub", cell, "row", "set", "hubs"]
+            two = grouped(left.select(*columns, F.lit(REST).alias("part")).unionAll(right.select(*columns, F.lit(CHUNK).alias("part"))), True, False)
+            links = links.unionAll(two.select("a", "b"))
+    links = work.save(links.distinct())
+    work.drop(needed)
+    work.free()
+    return rows, classes, links
+
+
+def _parted(docs: DataFrame, key, work: Workspace) -> DataFrame:
+    """The rows of ``docs`` as ``row, doc_id, key, n, part``; equal parts are one component, null for an empty set."""
+    rows, classes, links = class_links(docs.withColumn("key", key), work)
+    parts = connected_components(links, work).select(F.col("node").alias("row"), F.col("component").alias("to"))
+    of_class = work.save(classes.select("class", "row").join(parts, "row", "left").select("class", F.coalesce("to", "row").alias("part")))
+    return rows.join(of_class, "class", "left").select("row", "doc_id", "key", "n", "part")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     work = Workspace(docs.sparkSession, "ngram_join")
-    rows, links = class_links(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), work)
-    parts = connected_components(links, work).select(F.col("node").alias("class"), F.col("component").alias("to"))
-    of_class = rows.where("class IS NOT NULL").select("class").distinct().join(parts, "class", "left").select("class", F.coalesce("to", "class").alias("part"))
-    homes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("low")).join(of_class, "class")
-    lowest = homes.groupBy("part").agg(F.min("low").alias("component_id"))
-    named = work.save(homes.join(lowest, "part").select("class", "component_id"))
-    return rows.join(named, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    parted = work.save(_parted(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), F.lit(None).cast("binary"), work))
+    lowest = work.save(parted.where("part IS NOT NULL").groupBy("part").agg(F.min("doc_id").alias("component_id")))
+    return parted.join(lowest, "part", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest id."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    """The rows of ``docs`` that stay: of each component the row with the smallest id, or one without an id if it has no other.
+
+    Rows are told apart by id and text; of repeated rows, one stays. Rows with an empty set all stay.
+    """
+    work = Workspace(docs.sparkSession, "ngram_join")
+    key = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    parted = _parted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key, work)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row", "key")).alias("best")
+    kept = work.save(parted.where("part IS NOT NULL").groupBy("part").agg(best).select(F.col("best.doc_id").alias("_id"), F.col("best.key").alias("_kept")))
+    words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    staying = docs.where(words).withColumn("_key", key)
+    staying = staying.join(kept, (staying["_key"] == kept["_kept"]) & staying["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    return staying.dropDuplicates(["doc_id", "_key"]).drop("_key").unionAll(docs.where(~words))
 
 
 ORACLE = """

@@ -2,7 +2,9 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept; every result is
 written as Parquet and read again as the next stage's ``docs``. All but the last return the columns of
-``documents``. Nulls, empty texts, repeated rows and empty tables are as the operators define them.
+``documents``. Nulls, empty texts, repeated rows and empty tables are as the operators define them: a null
+text counts as empty; rows without an id and rows that share an id are rows of their own, of which only
+copies go; of texts without words, equal ones are copies, others aren't.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from arbiter.llm import exact_dedup, ngram_join, packing, suffix_dedup, toxicity
-from arbiter.llm.common import Workspace
+from arbiter.llm.common import Workspace, close, opened
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes covered by 400-byte strings that also start elsewhere go; a text may end up empty."""
+    """Passages of over 50 words that also stand elsewhere go; a text may end up empty."""
     return suffix_dedup.cleaned_documents(docs)
 
 
@@ -46,7 +48,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs, work = spark.read.parquet(f"{sf_dir}/documents.parquet"), Workspace(spark, "pipeline")
+    docs, work, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Workspace(spark, "pipeline"), None
     for _, stage in STAGES[:-1]:
+        mark = opened()
         docs = work.save(stage(spark, docs, sf_dir))
+        close(mark)  # the stage's own tables, and what it has read
+        if before is not None:
+            work.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

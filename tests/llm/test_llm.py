@@ -97,22 +97,63 @@ def test_ngram_join(docs, none):
     assert ngram_join.near_duplicates(none).collect() == []
 
 
-def test_ngram_join_chain_below_the_threshold(spark, monkeypatch):
-    """A group in which only neighbours are similar stays one component, in however many rounds."""
-    monkeypatch.setattr(ngram_join, "HUBS", (1,))
-    words = [f"w{i}" for i in range(200)]
-    texts = [" ".join(words[k * 6 : k * 6 + 100]) for k in range(12)] + [prose(60)]
-    rows = list(enumerate(texts))
+CHAIN = [" ".join(f"w{i}" for i in range(k * 6, k * 6 + 100)) for k in range(12)]
+
+
+@pytest.mark.parametrize("group", [None, 1, 300])
+def test_ngram_join_chain_below_the_threshold(spark, monkeypatch, group):
+    """A group in which only neighbours are similar stays one component, whether it is dealt to chunks or not."""
+    if group:
+        monkeypatch.setattr(ngram_join, "GROUP", group)
+    rows = list(enumerate([*CHAIN, prose(60), *TEXTS[5:40]]))
     got = Counter(map(tuple, ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert got == near_brute(rows)
 
 
+@pytest.mark.parametrize("few", [1, 2, 10])
+def test_ngram_join_by_pairs_or_hubs(docs, monkeypatch, few):
+    """Whichever shingles are joined to pairs, and however few words similar texts have, the links are the same."""
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    r = random.Random(8)
+    short = [" ".join(r.choice("ab") for _ in range(r.randrange(9))) for _ in range(60)]
+    near = [" ".join(f"n{i}" for i in range(n) if i != k) for n in (9, 14, 24, 40) for k in (0, 1, n - 1, n // 2)]
+    rows = [*rows_of(TEXTS), *((1000 + k, t) for k, t in enumerate(short + near))]
+    df = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, ngram_join.near_duplicates(df).collect())) == near_brute(rows)
+
+
 @pytest.mark.parametrize("hot", [1, 5])
 def test_ngram_join_salted(docs, monkeypatch, hot):
     monkeypatch.setattr(ngram_join, "HOT_ROWS", hot)
     assert Counter(map(tuple, ngram_join.near_duplicates(docs).collect())) == near_brute(rows_of(TEXTS))
 
 
+@pytest.mark.parametrize("across", [False, True])
+def test_spanning_links_join_what_all_links_join(across):
+    r, common = random.Random(2), []
+    base = [r.getrandbits(63) for _ in range(120)]
+    for k in range(60):
+        s = sorted({x if r.random() > 0.08 * (k % 3) else r.getrandbits(63) for x in base})
+        common.append(ngram_join.Member(k, np.array(s, np.uint64).tobytes(), [5, 9] if k % 7 else [9], k % 2))
+    links, _ = ngram_join.spanning_links(9, common, across)
+
+    def parts(edges):
+        home = {m.row: m.row for m in common}
+        for a, b in edges:
+            x, y = home[a], home[b]
+            home = {k: y if v == x else v for k, v in home.items()}
+        return {frozenset(k for k, v in home.items() if v == w) for w in home.values()}
+
+    def real(a, b):
+        if min(a.hubs & b.hubs) != 9 or across and a.part == b.part:
+            return False
+        x, y = set(a.set.tolist()), set(b.set.tolist())
+        return 5 * len(x & y) >= 4 * len(x | y)
+
+    every = [(a.row, b.row) for i, a in enumerate(common) for b in common[:i] if real(a, b)]
+    assert len(every) > len(links) and parts(links) == parts(every) and len(links) < len(common)
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(240)] + [(1, 1), (1000, 1001), (1001, 1000)]
@@ -219,27 +260,66 @@ def test_byte_bpe_digests(docs, none, library):
 # -- 4 ----------------------------------------------------------------------------------------------------
 
 
-def repeats_brute(rows, size=400):
-    texts = [(t or "").encode() for _, t in rows]
+def covered(texts, size):
+    """Of each text, whether each byte is covered by a string of that size which also starts elsewhere."""
     seen = Counter(t[i : i + size] for t in texts for i in range(len(t) - size + 1))
-    out = Counter()
-    for (d, _), t in zip(rows, texts, strict=True):
+    for t in texts:
         gone = np.zeros(len(t) + 1, int)
         for i in range(len(t) - size + 1):
             if seen[t[i : i + size]] > 1:
                 gone[i : i + size] = 1
-        gone = gone[: len(t)] if len(t) else gone[:0]
+        yield gone[: len(t)]
+
+
+def runs_of(gone):
+    edge = np.diff(gone, prepend=0, append=0)
+    return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
+
+
+def words_within(text, a, b):
+    return sum(a <= m.start() and m.end() <= b for m in re.finditer(rb"[^\x20\x09-\x0D]+", text))
+
+
+def repeats_brute(rows, size=400, least=256):
+    texts = [(t or "").encode() for _, t in rows]
+    out = Counter()
+    for (d, _), t, gone, less in zip(rows, texts, covered(texts, size), covered(texts, least), strict=True):
         kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
-        out[(d, len(t), int(gone.sum()), int((np.diff(gone, prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())] += 1
+        words = max((words_within(t, a, b) for a, b in runs_of(less)), default=0)
+        out[(d, len(t), int(gone.sum()), len(runs_of(gone)), hashlib.sha256(kept).hexdigest(), words, words > 50)] += 1
     return out
 
 
+def passages_brute(texts, least=256):
+    """The texts without the runs that have over 50 words."""
+    data = [t.encode() for t in texts]
+    for t, less in zip(data, covered(data, least), strict=True):
+        for a, b in reversed(runs_of(less)):
+            if words_within(t, a, b) > 50:
+                t = t[:a] + t[b:]
+        yield t.decode("utf-8", "ignore")
+
+
 def test_suffix_dedup(docs, none, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_BLOCK", 1 << 12)
     assert Counter(map(tuple, suffix_dedup.removed_digests(docs).collect())) == repeats_brute(rows_of(TEXTS))
     assert suffix_dedup.removed_digests(none).collect() == []
 
 
+def test_suffix_dedup_joins_strings_of_several_places(spark):
+    """Runs that are covered piece by piece, and passages on either side of 256 and 400 bytes and of 50 words."""
+    r = random.Random(9)
+    long, words = "".join(r.choice("abcdefg ") for _ in range(1500)), [prose(1) for _ in range(60)]
+    texts = [long, long[:700], "x" + long[300:1100] + "y", long[900:1290] + "z", long[500:899], long[901:1300]]
+    texts += [prose(30) + " " + " ".join(words[:n]) + " " + prose(20 + n) for n in (49, 50, 51, 52, 58)] + ["é" * 130 + "a" * 270, "é" * 127 + "a" * 272]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, suffix_dedup.removed_digests(df).collect())) == repeats_brute(rows)
+    clean = suffix_dedup.cleaned_documents(df.selectExpr("doc_id", "text", "1 AS spans", "'x' AS key_id"))
+    assert clean.columns == ["doc_id", "text", "spans", "key_id"]
+    assert [x["text"] for x in clean.orderBy("doc_id").collect()] == list(passages_brute(texts))
+
+
 def test_suffix_sort_is_a_sort():
     b = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(3000)) * 2 + bytes(500), np.uint8)
     s = suffix_dedup.Suffixes(b)
@@ -491,8 +571,7 @@ def test_pipeline_stages(spark, sf):
         elif name == "n-gram Jaccard join":
             assert set(got) == {c for _, _, c in near_brute(rows)}
         elif name == "suffix-array dedup":
-            want = {k[0]: k[4] for k in repeats_brute(rows)}
-            assert {d: hashlib.sha256(t.encode()).hexdigest() for d, t in got.items()} == want
+            assert got == dict(zip([d for d, _ in rows], passages_brute([t for _, t in rows]), strict=True))
     assert corpus_pipeline.run(spark, sf).count() >= kept.count()
 
 
