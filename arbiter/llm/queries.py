@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, html_template, license_scan, matroska, ngram_join, packing, suffix_dedup, toxicity, url_filter
+from . import byte_bpe, exact_dedup, html_template, license_scan, matroska, ngram_join, packing, suffix_dedup, token_alignment, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,5 +52,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {q.__name__: q for q in (op1_ngram_join, op2_url_filter, op3_byte_bpe, op4_suffix_dedup, op5_license_scan, op6_matroska, op7_html_template, op8_best_fit_packing, op9_exact_dedup, op10_toxicity)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_digests(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (op1_ngram_join, op2_url_filter, op3_byte_bpe, op4_suffix_dedup, op5_license_scan, op6_matroska, op7_html_template, op8_best_fit_packing, op9_exact_dedup, op10_toxicity, op11_token_alignment)}
 ORACLE = {"op1_ngram_join": ngram_join.ORACLE, "op2_url_filter": url_filter.ORACLE, "op5_license_scan": license_scan.oracle(), "op9_exact_dedup": exact_dedup.ORACLE}
