@@ -88,6 +88,22 @@ def bounded(df: DataFrame, bytes_per_row: int) -> DataFrame:
     return df.hint("merge")
 
 
+#: A key that more than one in so many rows have is hot; there are fewer than that.
+HOT_SHARE = 1000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` joined by ``key`` with ``table``, which has one row for each key and in ``size`` how many rows have it.
+
+    Hot keys are broadcast, fewer than ``HOT_SHARE`` however many rows there are; the others are shuffled. Keys aren't null.
+    """
+    total = table.agg(F.sum(size)).first()[0] or 0
+    hot = table.where(F.col(size) * HOT_SHARE > total)
+    own = [key, *(c for c in table.columns if c not in rows.columns)]
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(size) * HOT_SHARE <= total).select(own).hint("merge"), key)
+    return rows.join(F.broadcast(hot.select(own)), key).unionByName(cold)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

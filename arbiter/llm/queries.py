@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, html_template, license_scan, matroska, ngram_join, packing, suffix_dedup, token_alignment, toxicity, url_filter
+from . import byte_bpe, epsilon_join, exact_dedup, html_template, license_scan, matroska, ngram_join, packing, suffix_dedup, token_alignment, toxicity, url_filter, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,5 +56,13 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignment_digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_ngram_join, op2_url_filter, op3_byte_bpe, op4_suffix_dedup, op5_license_scan, op6_matroska, op7_html_template, op8_best_fit_packing, op9_exact_dedup, op10_toxicity, op11_token_alignment)}
-ORACLE = {"op1_ngram_join": ngram_join.ORACLE, "op2_url_filter": url_filter.ORACLE, "op5_license_scan": license_scan.oracle(), "op9_exact_dedup": exact_dedup.ORACLE}
+def op12_epsilon_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epsilon_join.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_digests(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {q.__name__: q for q in (op1_ngram_join, op2_url_filter, op3_byte_bpe, op4_suffix_dedup, op5_license_scan, op6_matroska, op7_html_template, op8_best_fit_packing, op9_exact_dedup, op10_toxicity, op11_token_alignment, op12_epsilon_join, op13_vector_codes)}
+ORACLE = {"op1_ngram_join": ngram_join.ORACLE, "op2_url_filter": url_filter.ORACLE, "op5_license_scan": license_scan.oracle(), "op9_exact_dedup": exact_dedup.ORACLE, "op12_epsilon_join": epsilon_join.ORACLE, "op13_vector_codes": vector_codes.oracle()}
