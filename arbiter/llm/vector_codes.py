@@ -245,19 +245,19 @@ def oracle(parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, sca
   SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS k, vec_id, label, embedding, len(embedding) // {parts} AS w FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), flat AS (SELECT k, w, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS x FROM kept),
-x AS MATERIALIZED (SELECT k, i // w AS part, i % w AS at, CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) AS v FROM flat),
-c0 AS MATERIALIZED (SELECT k AS entry, part, at, v FROM x WHERE k < {entries})"""
+x AS MATERIALIZED (SELECT k, i // w AS part, i % w AS pos, CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) AS v FROM flat),
+c0 AS MATERIALIZED (SELECT k AS entry, part, pos, v FROM x WHERE k < {entries})"""
     ]
     for r in range(rounds + 1):
-        steps.append(f"""d{r} AS (SELECT x.k, x.part, c.entry, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN c{r} c ON x.part = c.part AND x.at = c.at GROUP BY ALL),
+        steps.append(f"""d{r} AS (SELECT x.k, x.part, c.entry, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN c{r} c ON x.part = c.part AND x.pos = c.pos GROUP BY ALL),
 a{r} AS MATERIALIZED (SELECT k, part, arg_min(entry, d * {entries} + entry) AS entry, min(d) AS d FROM d{r} GROUP BY k, part)""")
         if r < rounds:
-            steps.append(f"""m{r} AS (SELECT a.entry, x.part, x.at, sum(x.v) AS s, count(*) AS n FROM x JOIN a{r} a ON x.k = a.k AND x.part = a.part GROUP BY ALL),
+            steps.append(f"""m{r} AS (SELECT a.entry, x.part, x.pos, sum(x.v) AS s, count(*) AS n FROM x JOIN a{r} a ON x.k = a.k AND x.part = a.part GROUP BY ALL),
 c{r + 1} AS MATERIALIZED (
-  SELECT c.entry, c.part, c.at, CAST(CASE WHEN m.n IS NULL THEN c.v ELSE (m.s - ((m.s % m.n) + m.n) % m.n) // m.n END AS BIGINT) AS v
-  FROM c{r} c LEFT JOIN m{r} m ON c.entry = m.entry AND c.part = m.part AND c.at = m.at)""")
+  SELECT c.entry, c.part, c.pos, CAST(CASE WHEN m.n IS NULL THEN c.v ELSE (m.s - ((m.s % m.n) + m.n) % m.n) // m.n END AS BIGINT) AS v
+  FROM c{r} c LEFT JOIN m{r} m ON c.entry = m.entry AND c.part = m.part AND c.pos = m.pos)""")
     return f"""WITH {", ".join(steps)},
 coded AS (SELECT k, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY k),
-book AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, at)) AS codebooks_sha256 FROM c{rounds})
+book AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM c{rounds})
 SELECT kept.vec_id, coded.code, coded.error, CAST(sum(coded.error) OVER (PARTITION BY kept.label) AS BIGINT) AS label_error, book.codebooks_sha256
 FROM kept JOIN coded ON kept.k = coded.k CROSS JOIN book"""
