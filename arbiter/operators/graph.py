@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arbiter.operators import sweep
 from arbiter.plans.rules import Rule, checked, depth
-
-ORDER = ("ts", "event_id")
+from arbiter.sources.shared import cut
 
 
 def _by_scope(rules: list[Rule]) -> dict[tuple, list[Rule]]:
@@ -75,7 +74,7 @@ def chains(events: DataFrame, rules: list[Rule]) -> DataFrame:
 
     Edges go forward in time and rules have no cycle, so the number of joins is the rules' depth.
     """
-    first = one_edge(edges(events, rules))
+    first = cut(sweep.first_edges(events, rules))
     step = first.select(F.col("target_id").alias("event_id"), F.lit(1).cast("long").alias("depth"), "trigger_id", "rule_id")
     out, now = step, step
     for d in range(2, depth(rules) + 1):
@@ -131,9 +130,12 @@ def closure_violations(retrieved: DataFrame, e: DataFrame) -> DataFrame:
     return hit.join(r.select("qid", F.col("event_id").alias("trigger_id")), ["qid", "trigger_id"], "left_anti").select("qid", "target_id", "trigger_id")
 
 
-def scope_ambiguity(anchors: DataFrame, events: DataFrame, e: DataFrame, scope: list[str], steps: int) -> DataFrame:
-    """``qid, n_scope, n_closure, kappa, phi``: how many events share the anchors' scopes, to how many control them."""
-    cl = closure(anchors, e, steps).groupBy("qid").agg(F.count("*").alias("n_closure"))
+def scope_ambiguity(anchors: DataFrame, events: DataFrame, closed: DataFrame, scope: list[str]) -> DataFrame:
+    """``qid, n_scope, n_closure, kappa, phi``: how many events share the anchors' scopes, to how many control them.
+
+    ``closed(qid, event_id)`` is the anchors' closure.
+    """
+    cl = closed.groupBy("qid").agg(F.count("*").alias("n_closure"))
     of = anchors.join(events.select("event_id", *scope), "event_id").select("qid", *scope).distinct()
     sizes = events.groupBy(*scope).agg(F.count("*").alias("size"))
     n = of.join(sizes, scope).groupBy("qid").agg(F.sum("size").alias("n_scope"))
@@ -185,20 +187,13 @@ def bucket_graph(retrieved: DataFrame, events: DataFrame, rules: list[Rule]) ->
     return reduce(DataFrame.unionAll, parts)
 
 
-def audit(retrieved: DataFrame, anchors: DataFrame, e: DataFrame, steps: int) -> DataFrame:
-    """``qid, frontier_in, superseded_ok, tca``: the frontier of the anchors' closure is retrieved, and
-    every retrieved event that is overridden has one that overrides it among the retrieved."""
-    r = retrieved.select("qid", "event_id").distinct()
-    front = frontier(closure(anchors, e, steps), transitive(e, steps))
-    missing = front.join(r, ["qid", "event_id"], "left_anti").select("qid").distinct().withColumn("a", F.lit(True))
-    hit = r.join(e.select("target_id", "trigger_id").distinct(), F.col("event_id") == F.col("target_id")).select("qid", "event_id", "trigger_id")
-    has = r.select("qid", F.col("event_id").alias("trigger_id"), F.lit(1).alias("in_r"))
-    orphan = hit.join(has, ["qid", "trigger_id"], "left").groupBy("qid", "event_id").agg(F.max("in_r").alias("m")).where("m IS NULL").select("qid").distinct().withColumn("b", F.lit(True))
-    q = anchors.select("qid").distinct().join(missing, "qid", "left").join(orphan, "qid", "left")
-    return q.select("qid", F.col("a").isNull().alias("frontier_in"), F.col("b").isNull().alias("superseded_ok"), (F.col("a").isNull() & F.col("b").isNull()).cast("long").alias("tca"))
-
-
 def next_superseder(events: DataFrame, scope: list[str], types: list[str]) -> DataFrame:
-    """``event_id, next_id``: the next later event of the given types in the scope."""
-    w = W.partitionBy(*scope).orderBy(*ORDER).rowsBetween(1, W.unboundedFollowing)
-    return events.select("event_id", F.first(F.when(F.col("event_type").isin(types), F.col("event_id")), ignorenulls=True).over(w).alias("next_id"))
+    """``event_id, next_id``: the next event of the given types in the scope, in the order of time and id.
+
+    Events with a null in their scope have none.
+    """
+    kinds = events.where(F.col("event_type").isin(types)).select(*scope, "ts", "event_id")
+    asked = events.select(*scope, "ts", F.col("event_id").alias("asked_id"))
+    found = sweep.next_after(asked, kinds, scope, tie="asked_id").select(F.col("asked_id").alias("event_id"), "next_id")
+    known = reduce(Column.__and__, (F.col(c).isNotNull() for c in scope))
+    return found.unionAll(events.where(~known).select("event_id", F.lit(None).cast(events.schema["event_id"].dataType)))

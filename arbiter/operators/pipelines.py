@@ -100,11 +100,17 @@ def audit_rerank(ranking: DataFrame, superseded: DataFrame, first_trigger: DataF
 
 
 def anchor_probe(ranking: DataFrame, events: DataFrame, scope: list[str], k: int = 20) -> DataFrame:
-    """``qid, event_id, cand_rank``: later events in the scope of a candidate that aren't candidates, at their first candidate."""
+    """``qid, event_id, cand_rank``: later events in the scope of a candidate that aren't candidates, at their first candidate.
+
+    A question's candidates in a scope, at most ``k``, are one row: their times and the best rank up to each. An
+    event meets that row once, however many candidates come before it.
+    """
     top = ranking.where(F.col("rank") <= k)
-    cand = top.join(events.select(F.col("event_id").alias("doc_id"), "ts", *scope), "doc_id").select("qid", "rank", F.col("ts").alias("cand_ts"), *scope)
-    found = cand.join(events.select("event_id", "ts", *scope), scope).where("ts > cand_ts")
-    found = found.groupBy("qid", "event_id").agg(F.min("rank").alias("cand_rank"))
+    cand = top.join(events.select(F.col("event_id").alias("doc_id"), "ts", *scope), "doc_id")
+    steps = cand.groupBy("qid", *scope).agg(F.collect_list(F.struct("ts", "rank")).alias("steps"), F.min("ts").alias("first_ts"))
+    found = steps.join(events.select("event_id", "ts", *scope), scope).where("ts > first_ts")
+    before = F.filter("steps", lambda s: s["ts"] < F.col("ts"))
+    found = found.select("qid", "event_id", F.array_min(F.transform(before, lambda s: s["rank"])).alias("cand_rank"))
     return found.join(top.select("qid", F.col("doc_id").alias("event_id")), ["qid", "event_id"], "left_anti")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbiter.functions import scores
-from arbiter.operators import graph, metrics, pipelines, relevance
+from arbiter.operators import graph, metrics, pipelines, relevance, sweep
 from arbiter.plans import adapters
 from arbiter.plans.relevance_queries import bm25_ctes
 from arbiter.plans.rules import EVENTS, depth
@@ -51,16 +51,15 @@ def anchors(spark, d) -> DataFrame:
 
 
 def authority_closure(spark: SparkSession, d: str) -> DataFrame:
-    return graph.closure(anchors(spark, d), edges(spark, d), STEPS)
+    return sweep.closure(anchors(spark, d), events(spark, d), EVENTS)
 
 
 def active_frontier(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d)
-    return graph.frontier(graph.closure(anchors(spark, d), e, STEPS), graph.transitive(e, STEPS))
+    return sweep.frontier(authority_closure(spark, d), events(spark, d), EVENTS)
 
 
 def frontier_of_retrieved(spark: SparkSession, d: str) -> DataFrame:
-    return graph.frontier(ranking(spark, d).where("rank <= 20").select("qid", F.col("doc_id").alias("event_id")), graph.transitive(edges(spark, d), STEPS))
+    return sweep.frontier(ranking(spark, d).where("rank <= 20").select("qid", F.col("doc_id").alias("event_id")), events(spark, d), EVENTS)
 
 
 def closure_violations(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +67,7 @@ def closure_violations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scope_ambiguity(spark: SparkSession, d: str) -> DataFrame:
-    return graph.scope_ambiguity(anchors(spark, d), events(spark, d), edges(spark, d), ["user_id"], STEPS)
+    return graph.scope_ambiguity(anchors(spark, d), events(spark, d), authority_closure(spark, d), ["user_id"])
 
 
 def divergence(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +77,7 @@ def divergence(spark: SparkSession, d: str) -> DataFrame:
 
 def correctness_audit(spark: SparkSession, d: str) -> DataFrame:
     r = ranking(spark, d).where("rank <= 20").select("qid", F.col("doc_id").alias("event_id"))
-    return graph.audit(r, anchors(spark, d), edges(spark, d), STEPS)
+    return sweep.audit(r, anchors(spark, d), events(spark, d), EVENTS, superseded_events(spark, d))
 
 
 def confident(spark, d) -> DataFrame:
@@ -129,7 +128,7 @@ def proactive_probe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def audit_rerank(spark: SparkSession, d: str) -> DataFrame:
-    first = graph.one_edge(edges(spark, d)).select("target_id", "trigger_id")
+    first = sweep.first_edges(events(spark, d), EVENTS).select("target_id", "trigger_id")
     return pipelines.audit_rerank(ranking(spark, d), superseded_events(spark, d), first)
 
 
