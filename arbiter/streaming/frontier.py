@@ -39,32 +39,3 @@ def frontier_writer(rules: list[Rule], scope: list[str], history: Callable[[], D
         emit(graph.active(events, rules), batch_id)
 
     return run
-
-
-def incremental_frontier(stream: DataFrame, rules: list[Rule], scope: str) -> DataFrame:
-    """Active events of each scope after every micro-batch, as state of that scope alone.
-
-    The state holds the scope's latest time per trigger type and its events not yet overridden.
-    """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    beats: dict[str, list[str]] = {}
-    for r in rules:
-        beats.setdefault(r.target_type, []).append(r.trigger_type)
-
-    def step(key, batches, state: GroupState):
-        latest, front = ({}, []) if not state.exists else (dict(zip(state.get[0], state.get[1], strict=True)), list(zip(*state.get[2:], strict=True)))
-        for pdf in batches:
-            for e in pdf.itertuples():
-                at = e.ts.value // 1000
-                latest[e.event_type] = max(latest.get(e.event_type, at), at)
-                front.append((e.event_id, e.event_type, at))
-        front = sorted({f for f in front if not any(latest.get(t, f[2]) > f[2] for t in beats.get(f[1], ()))})
-        ids, kinds, ats = (list(c) for c in zip(*front, strict=True)) if front else ([], [], [])
-        state.update((list(latest), list(latest.values()), ids, kinds, ats))
-        yield pd.DataFrame({scope: key[0], "event_id": ids})
-
-    return stream.groupBy(scope).applyInPandasWithState(
-        step, f"{scope} long, event_id long", "types array<string>, latest array<long>, ids array<long>, kinds array<string>, ats array<long>", "update", GroupStateTimeout.NoTimeout
-    )

@@ -49,27 +49,6 @@ def _stream(spark, df, path):
 RULES = [r for r in EVENTS if r.scope == ("user_id",)]
 
 
-def test_incremental_frontier(spark, sf, tmp_path):
-    ev = _events(spark, sf)
-    out = {}
-    q = (
-        frontier.incremental_frontier(_stream(spark, ev, str(tmp_path / "in")), RULES, "user_id")
-        .writeStream.outputMode("update")
-        .foreachBatch(lambda b, n: [out.setdefault(n, {}).setdefault(r[0], set()).add(r[1]) for r in b.collect()] and None)
-        .option("checkpointLocation", str(tmp_path / "ck"))
-        .start()
-    )
-    q.processAllAvailable()
-    q.stop()
-    last = {}
-    for n in sorted(out):
-        last |= out[n]
-    want = {}
-    for r in graph.active(ev, RULES).collect():
-        want.setdefault(r["user_id"], set()).add(r["event_id"])
-    assert last == want
-
-
 def test_latest_per_scope_stream(spark, sf, tmp_path):
     ev = _events(spark, sf)
     q = frontier.latest_per_scope(_stream(spark, ev, str(tmp_path / "in")), ["user_id"]).writeStream.outputMode("complete").format("memory").queryName("latest_of").option("checkpointLocation", str(tmp_path / "ck")).start()
