@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbiter.functions import text as T
-from arbiter.operators import metrics, relevance, vocab
+from arbiter.operators import metrics, relevance, stored_index, vector_index, vocab
 from arbiter.sources.io import table
+from arbiter.sources.shared import shared_dir
 
 
 def corpus(spark, d) -> DataFrame:
@@ -105,13 +108,46 @@ def dense_top5(spark: SparkSession, d: str) -> DataFrame:
     return relevance.top_k(relevance.dense_scores(e, q), 5).select(OUT)
 
 
+def _own_folder(spark, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def vector_index_top5(spark: SparkSession, d: str) -> DataFrame:
+    """As ``dense_top5``, from an index: questions meet only lists that a bound can't rule out."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    index = vector_index.build(e, _own_folder(spark, "vectors"))
+    q = e.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), "vector")
+    return vector_index.search(index, q, 5).select(OUT)
+
+
+def vector_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the five nearest of every question the index finds with as many lists as 0.95 of its trials take."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    index = vector_index.build(e, _own_folder(spark, "vectors"))
+    probes, _ = vector_index.probes_for(index, 5, 0.95)
+    q = e.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), "vector")
+    exact = vector_index.search(index, q, 5).select("qid", "doc_id")
+    found = vector_index.search(index, q, 5, probes).select("qid", "doc_id", F.lit(1).alias("hit"))
+    rate = exact.join(found, ["qid", "doc_id"], "left").agg(F.count("*").alias("n"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+    return rate.select("n", "recall", F.lit(probes).alias("probes"), F.lit(len(index.lists.centres)).alias("lists"))
+
+
+def stored_index_top5(spark: SparkSession, d: str) -> DataFrame:
+    """As ``bm25_top5``, from a stored index that half of the documents are added to later."""
+    path, docs = _own_folder(spark, "postings"), corpus(spark, d)
+    stored_index.add(docs.where("doc_id % 2 = 0"), path)
+    stored_index.add(docs.where("doc_id % 2 <> 0 OR doc_id IS NULL"), path)
+    return stored_index.search(spark, path, questions(spark, d), 5).select(OUT)
+
+
 def hyde_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     """Whether the nearest other vector shares the label, split by a flag of the question."""
     t = table(spark, d, "embeddings")
     e = t.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    q = e.select(F.col("doc_id").alias("qid"), "vector")
-    # Every vector is a question: a maximum is added up in the tasks, where a ranking would shuffle all pairs.
-    near = relevance.dense_scores(e, q).where("qid <> doc_id").groupBy("qid").agg((-F.max(F.struct("score", (-F.col("doc_id")).alias("back")))["back"]).alias("doc_id"))
+    index = vector_index.build(e, _own_folder(spark, "vectors"))
+    # The first two of a question are itself and another, or two others that are as near.
+    found = vector_index.search(index, e.select(F.col("doc_id").alias("qid"), "vector"), 2).where("qid <> doc_id")
+    near = found.groupBy("qid").agg(F.min_by("doc_id", "rank").alias("doc_id"))
     lab = t.select("vec_id", "label")
     j = near.join(lab.select(F.col("vec_id").alias("qid"), F.col("label").alias("ql")), "qid").join(lab.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")
     return j.groupBy((F.col("qid") % 2 == 0).alias("flag")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("ql") == F.col("label")).cast("double")), 6).alias("tca"))
@@ -234,6 +270,10 @@ def _in(words):
 
 QUERIES = {
     "bm25_top5": (bm25_top5, _top(5, bm25_ctes(), "r")),
+    "stored_index_top5": (stored_index_top5, _top(5, bm25_ctes(), "r")),
+    "vector_index_top5": (vector_index_top5, _DENSE.format("q.vec_id % 50 = 0") + ", k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) SELECT qid, rank, doc_id, score FROM k WHERE rank <= 5"),
+    # What lists find of all there is has no SQL; tests hold it against brute force.
+    "vector_index_recall": (vector_index_recall, None),
     "bm25_list_terms": (bm25_list_terms, _top(5, bm25_ctes("a", True), "r")),
     "bm25_tie_desc": (bm25_tie_desc, f"WITH {bm25_ctes()}, z AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id DESC) AS k FROM s) SELECT qid, k AS rank, doc_id, score FROM z WHERE k <= 10"),
     "bm25_l2_top5": (bm25_l2_top5, _top(5, bm25_ctes("l2"), "r")),

@@ -4,10 +4,17 @@ from conftest import plain
 from arbiter.queries import ORACLE, QUERIES
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+#: Queries that SQL can't express; they are held against brute force elsewhere.
+WITHOUT_SQL = {"vector_index_recall"}
+
+
+def test_all_others_have_sql():
+    assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_equals_sql(spark, sf, duck, name):
     out = QUERIES[name](spark, sf).toPandas()
-    assert name in ORACLE
     want = duck.execute(ORACLE[name]).df()
     assert sorted(out.columns) == sorted(want.columns)
     assert plain(out) == plain(want)
