@@ -7,24 +7,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arbiter.functions import text as T
-from arbiter.operators import metrics, relevance
+from arbiter.operators import metrics, patterns, relevance
 
 
 def known_names(queries: DataFrame, names: DataFrame) -> DataFrame:
     """``qid, name``: the longest of the known ``names(name)``, of equals the first, that stands in ``queries(qid, query)``; case is ignored.
 
-    A name is found by its first letters (three, or all if it has fewer), which meet those at every place of
-    the question by an equi-join; ``contains`` decides. Questions without a known name have no row.
+    All names are sought at once. Questions without a known name have no row.
     """
-    at = F.sequence(F.lit(1), F.greatest(F.length("query"), F.lit(1)))
-    grams = lambda n: F.transform(at, lambda i: F.substring(F.col("query"), i, F.lit(n)))
-    every = F.array_distinct(F.concat(grams(1), grams(2), grams(3)))
-    q = queries.where("query IS NOT NULL").withColumn("query", F.lower("query")).select("qid", "query", F.explode(every).alias("gram"))
-    n = names.where("name <> ''").select(F.lower("name").alias("name")).distinct().withColumn("gram", F.substring("name", 1, 3))
-    found = q.join(n, "gram").where(F.contains("query", "name"))
-    best = F.max(F.struct(F.length("name").alias("n"), F.col("name"))).alias("best")
-    longest = found.groupBy("qid").agg(best).select("qid", F.col("best.n").alias("n"))
-    return found.join(longest, "qid").where(F.length("name") == F.col("n")).groupBy("qid").agg(F.min("name").alias("name"))
+    texts = queries.select("qid", F.lower("query").alias("text"))
+    found = patterns.occurrences(texts, names.select(F.lower("name").alias("pattern")), longest=True)
+    best = F.min(F.struct((-F.length("pattern")).alias("n"), F.col("pattern").alias("name")))
+    return found.groupBy("qid").agg(best.alias("best")).select("qid", "best.name")
 
 
 def probe_with_applicability(queries: DataFrame, index: DataFrame) -> DataFrame:
