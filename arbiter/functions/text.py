@@ -285,10 +285,11 @@ def evaluate_answer(response, gold) -> Column:
 
 
 def query_variants(product, cve, freeform, ident) -> Column:
-    """The five styles of one question; the swapped letters are chosen by the id's hash."""
+    """The five styles of one question; the swapped letters are chosen by the digest of the id."""
     p, c = _col(product), _col(cve)
     free = F.coalesce(_col(freeform), F.concat(F.lit("Is "), p, F.lit(" still vulnerable to "), c, F.lit("?")))
-    at = F.pmod(F.xxhash64(_col(ident)), F.greatest(F.length(p) - 1, F.lit(1))).cast("int") + 1
+    number = F.conv(F.substring(F.md5(_col(ident).cast("string")), 1, 7), 16, 10).cast("long")
+    at = F.pmod(number, F.greatest(F.length(p) - 1, F.lit(1))).cast("int") + 1
     swapped = F.concat(F.substring(p, F.lit(1), at - 1), F.substring(p, at + 1, F.lit(1)), F.substring(p, at, F.lit(1)), F.substring(p, at + 2, F.length(p)))
     noisy = F.when(F.length(p) < 3, p).otherwise(swapped)
     suffix = F.element_at(F.split(c, "-"), -1)

@@ -138,3 +138,8 @@ def remaining(source: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def hash_split(df: DataFrame, key: str, parts: int = 5, seed: int = 42) -> DataFrame:
     """``split``: ``test`` for one in ``parts`` by the key's hash, else ``train``."""
     return df.withColumn("split", F.when(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(parts)) == 0, "test").otherwise("train"))
+
+
+def first_of_type(elements: Column | str, kind: str, field: str = "event_type") -> Column:
+    """The first element of an array of structs that is of a type; null if none is."""
+    return F.try_element_at(F.filter(elements, lambda e: e[field] == kind), F.lit(1))

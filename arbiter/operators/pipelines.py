@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from arbiter.functions import text as T
 from arbiter.plans.adapters import Adapter
 
 
@@ -62,6 +63,37 @@ def two_stage(ranking: DataFrame, records: DataFrame, adapter: Adapter, k1: int
     return _tiers(front, tail)
 
 
+def routed(ranking: DataFrame, queries: DataFrame, records: DataFrame, adapter: Adapter, k1: int = 20) -> DataFrame:
+    """Questions ``(qid, query)`` that name the domain's whole scope go to its superseding records at once, the others take two stages.
+
+    A question's own entities are read by the adapter; the records they name come first, by id, whether or not the
+    ranking has them or an anchor. A question that names no scope there is takes two stages too.
+    """
+    keys = list(adapter.scope_keys)
+    if adapter.entities is None:
+        return two_stage(ranking, records, adapter, k1)
+    goals = normalised_keys(records.where(F.col("record_type") == adapter.superseding_type), keys)
+    asked = normalised_keys(queries.select("qid", adapter.entities("query").alias("e")).select("qid", *(F.col(f"e.{k}").alias(k) for k in keys)), keys)
+    named = asked.join(goals.select(*keys, "doc_id"), keys).select("qid", "doc_id").distinct()
+    own = named.withColumn("at", F.lit(0))
+    others = ranking.join(named.select("qid").distinct(), "qid", "left_anti")
+    return _tiers(own, ranking.join(named.select("qid").distinct(), "qid", "left_semi")).unionAll(two_stage(others, records, adapter, k1))
+
+
+def closest(anchors: DataFrame, bucket: DataFrame) -> DataFrame:
+    """``qid, doc_id, overlap``: of each question's bucket ``(qid, doc_id, text)`` the record whose words are most like its anchor's ``(qid, text)``.
+
+    Jaccard of the sets of words; of equals the first id. A partially aggregated maximum, however large a bucket is.
+    """
+    words = lambda c: F.array_distinct(T.tokens_w(c))
+    a = anchors.select("qid", words("text").alias("a"))
+    both = bucket.select("qid", "doc_id", words("text").alias("b")).join(a, "qid")
+    union = F.greatest(F.size(F.array_union("a", "b")), F.lit(1))
+    pairs = both.select("qid", "doc_id", (F.size(F.array_intersect("a", "b")) / union).alias("overlap"))
+    best = pairs.groupBy("qid").agg(F.max(F.col("overlap")).alias("overlap"))
+    return pairs.join(best, ["qid", "overlap"]).groupBy("qid").agg(F.min("doc_id").alias("doc_id"), F.round(F.first("overlap"), 6).alias("overlap"))
+
+
 def two_stage_latest(ranking: DataFrame, records: DataFrame, keys: list[str], k1: int = 20) -> DataFrame:
     """Every one of the top ``k1`` brings the latest record of its scope to the front."""
     latest = latest_per_scope(records, keys).select(*keys, F.col("doc_id").alias("latest_id"))

@@ -94,9 +94,21 @@ def top_k(found: DataFrame, k: int, tie: str = "asc") -> DataFrame:
 
 def bm25(corpus, queries, k: int | None = None, tokenizer="w", dup_terms=False, tie="asc", unmatched="drop") -> DataFrame:
     found = bm25_scores(corpus, queries, tokenizer, dup_terms)
-    if unmatched == "append":
-        found = with_unmatched(found, corpus, queries)
-    return ranked(found, tie) if k is None else top_k(found, k, tie)
+    if k is not None:
+        return filled(top_k(found, k, tie), corpus, queries, k) if unmatched == "append" else top_k(found, k, tie)
+    return ranked(with_unmatched(found, corpus, queries) if unmatched == "append" else found, tie)
+
+
+def filled(top: DataFrame, corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Rankings of up to ``k`` documents with as many others, by id and with score 0, as make them ``k``.
+
+    Of the smallest ``2 k`` ids a question with room has fewer than ``k`` already, so no more of them are needed.
+    """
+    short = queries.select("qid").distinct().join(top.groupBy("qid").agg(F.count("*").alias("has")), "qid", "left").where(F.coalesce("has", F.lit(0)) < k)
+    others = short.crossJoin(F.broadcast(first_ids(corpus, 2 * k))).join(top.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
+    at = F.row_number().over(W.partitionBy("qid").orderBy("doc_id")) + F.coalesce("has", F.lit(0))
+    rest = others.select("qid", "doc_id", F.lit(0.0).alias("score"), at.cast("long").alias("rank")).where(F.col("rank") <= k)
+    return top.select("qid", "doc_id", "score", "rank").unionAll(rest)
 
 
 def bm25_pairs(pairs: DataFrame, corpus: DataFrame, tokenizer: str = "l2") -> DataFrame:

@@ -89,6 +89,18 @@ def first_edges(events: DataFrame, rules: list[Rule]) -> DataFrame:
     return best.select("target_id", F.col("edge.next_id").alias("trigger_id"), "edge.rule_id")
 
 
+def last_edges(events: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``target_id, trigger_id, trigger_ts``: of each overridden event the last trigger; only the latest of a scope counts."""
+    parts = []
+    for r in checked(rules):
+        triggers = events.where(F.col("event_type") == r.trigger_type)
+        latest = triggers.groupBy(*r.scope).agg(F.max(F.struct("ts", "event_id")).alias("latest"))
+        targets = events.where(F.col("event_type") == r.target_type).select(*r.scope, F.col("event_id").alias("target_id"), "ts")
+        parts.append(targets.join(latest, list(r.scope)).where("ts < latest.ts").select("target_id", "latest"))
+    best = reduce(DataFrame.unionAll, parts).groupBy("target_id").agg(F.max("latest").alias("latest"))
+    return best.select("target_id", F.col("latest.event_id").alias("trigger_id"), F.col("latest.ts").alias("trigger_ts"))
+
+
 def arrivals(members: DataFrame, events: DataFrame, rules: list[Rule]) -> dict[Rule, DataFrame]:
     """For each rule ``event_id, *scope, after``: what overrides the event by way of that rule last.
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arbiter.functions import text as T
@@ -35,6 +38,14 @@ def venn(parts: dict[str, DataFrame], text: str = "text") -> DataFrame:
     return flags.groupBy(*parts).agg(F.count("*").alias("n_tokens"))
 
 
+def venn_samples(parts: dict[str, DataFrame], k: int = 30, text: str = "text") -> DataFrame:
+    """The first ``k`` tokens in order of each region of the Venn diagram; the limit of a group holds in each task already."""
+    every = reduce(DataFrame.unionAll, (df.select(F.explode(T.tokens_l2(text)).alias("tok"), F.lit(name).alias("part")) for name, df in parts.items()))
+    flags = every.groupBy("tok").agg(*(F.bool_or(F.col("part") == n).alias(n) for n in parts))
+    at = F.row_number().over(W.partitionBy(*parts).orderBy("tok"))
+    return flags.withColumn("place", at).where(F.col("place") <= k)
+
+
 def phrase_shares(df: DataFrame, text: str) -> DataFrame:
     v = T.check_vocab(text)
     return df.select(v.alias("v")).agg(F.count("*").alias("n"), F.count(F.when(F.col("v.has_overruling_vocab"), 1)).alias("n_overruling"), F.count(F.when(F.col("v.has_query_vocab"), 1)).alias("n_query"))

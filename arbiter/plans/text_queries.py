@@ -102,7 +102,7 @@ def release_urls(spark: SparkSession, d: str) -> DataFrame:
 def query_styles(spark: SparkSession, d: str) -> DataFrame:
     p = _part(spark, d)
     v = T.query_variants("p_name", F.concat(F.lit("CVE-2023-"), F.lpad((F.col("p_partkey") + 90000).cast("string"), 7, "0")), F.lit(None).cast("string"), "p_partkey")
-    return p.select("p_partkey", *(v[k].alias(k) for k in ("structured", "freeform", "entity_omit", "partial_ent")), (F.length(v["noisy"]) == F.length(v["structured"])).alias("noisy_same_length"))
+    return p.select("p_partkey", *(v[k].alias(k) for k in ("structured", "freeform", "entity_omit", "noisy", "partial_ent")))
 
 
 def templates(spark: SparkSession, d: str) -> DataFrame:
@@ -242,7 +242,7 @@ QUERIES = {
     "html_text": (html_text, "SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages"),
     "citations": (citations, SQL_CITE),
     "release_urls": (release_urls, "SELECT p_partkey, 'own' AS owner, replace(p_name, ' ', '-') AS repo, 'v' || p_size AS tag, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE replace(p_name, ' ', '-') END AS product FROM part"),
-    "query_styles": (query_styles, "WITH t AS (SELECT p_partkey, p_name, 'CVE-2023-' || lpad((p_partkey + 90000)::VARCHAR, 7, '0') AS c FROM part) SELECT p_partkey, 'Is ' || p_name || ' affected by ' || c || '?' AS structured, 'Is ' || p_name || ' still vulnerable to ' || c || '?' AS freeform, 'Is [PRODUCT] still vulnerable to ' || c || '?' AS entity_omit, 'Any fix available for vulnerability ' || right(c, 5) || '?' AS partial_ent, true AS noisy_same_length FROM t"),
+    "query_styles": (query_styles, "WITH t AS (SELECT p_partkey, p_name, 'CVE-2023-' || lpad((p_partkey + 90000)::VARCHAR, 7, '0') AS c, ('0x' || substr(md5(p_partkey::VARCHAR), 1, 7))::BIGINT % greatest(length(p_name) - 1, 1) AS at0 FROM part) SELECT p_partkey, 'Is ' || p_name || ' affected by ' || c || '?' AS structured, 'Is ' || p_name || ' still vulnerable to ' || c || '?' AS freeform, 'Is [PRODUCT] still vulnerable to ' || c || '?' AS entity_omit, 'Any fix available for vulnerability ' || right(c, 5) || '?' AS partial_ent, 'Is ' || CASE WHEN length(p_name) < 3 THEN p_name ELSE substr(p_name, 1, at0) || substr(p_name, at0 + 2, 1) || substr(p_name, at0 + 1, 1) || substr(p_name, at0 + 3) END || ' affected by ' || c || '?' AS noisy FROM t"),
     "templates": (templates, "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'EMP' || o_custkey || ' traded ' || o_orderstatus || ' on ' ELSE 'A ' || o_orderstatus || ' trade by EMP' || o_custkey || ', N/A, on ' END || strftime(o_orderdate, '%B %d, %Y') || '.' AS text FROM orders"),
     "prompts": (prompts, "SELECT conv_id, string_agg('[Document ' || i || ']' || chr(10) || substring(text, 1, 200), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) || chr(10) || chr(10) || 'Question: Is it still valid?' AS prompt FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) GROUP BY conv_id"),
     "phrase_vocab": (phrase_vocab, SQL_PHRASE),
