@@ -31,18 +31,36 @@ def entity_pairs(spark: SparkSession, employees: int, tickers: int, n: int, seed
     return every.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n).select("employee", "ticker")
 
 
+def pairs_of(employees: DataFrame, tickers: DataFrame, per: int) -> DataFrame:
+    """``employee, ticker, number``: ``per`` different tickers for each employee, of ``employees(id)`` and ``tickers(id)``, ids from 0 without gaps.
+
+    Tickers are met by an equi-join on their ids; how many there are is a one-row table. With fewer tickers than ``per`` each has all.
+    """
+    n = F.broadcast(tickers.agg(F.count("*").alias("n")))
+    e = employees.crossJoin(n).select(F.col("id").alias("employee"), "n", F.explode(F.sequence(F.lit(0), F.least(F.lit(per), F.col("n").cast("int")) - 1)).alias("j"))
+    wanted = e.where("n > 0").select("employee", ((F.col("employee") * 7 + F.col("j")) % F.col("n")).alias("id"), (F.col("employee") * per + F.col("j")).alias("number"))
+    return wanted.join(tickers.select("id"), "id").select("employee", F.col("id").alias("ticker"), "number")
+
+
 def scenario_events(pairs: DataFrame, scenarios: dict | None = None, start: str = "2024-01-01 09:00:00", seed: int = 42) -> DataFrame:
-    """Events of every pair's scenario: ``example_id, hop_type, event_id, event_type, ts, employee_id, security_ticker, answer``."""
+    """Events of every pair's scenario: ``example_id, hop_type, event_id, event_type, ts, employee_id, security_ticker, answer``.
+
+    Scenario, first day and gap are mixed from a pair's ``number`` if it has one, else picked by hash.
+    """
     scenarios = scenarios or SCENARIOS
     key = F.concat_ws("-", "employee", "ticker")
-    rows = pairs.select("employee", "ticker", key.alias("example_id"), pick(list(scenarios), key, seed=seed).alias("hop_type"))
+    numbered = "number" in pairs.columns
+    some = lambda values, salt, *of: mixed(values, F.col("number"), salt) if numbered else pick(values, *of, seed=seed)
+    rows = pairs.withColumn("example_id", key)
+    rows = rows.withColumn("hop_type", some(list(scenarios), 13, F.col("example_id"))).withColumn("day", some(28, 11, F.col("example_id"))).withColumn("gap", 1 + some(3, 12, F.col("example_id"), F.lit("gap")))
+    rows = rows.select("employee", "ticker", "example_id", "hop_type", "day", "gap")
     kinds, answer = F.lit(None), F.lit(None)
     for name, (events, a) in scenarios.items():
         kinds = F.when(F.col("hop_type") == name, F.array(*(F.lit(e) for e in events))).otherwise(kinds)
         answer = F.when(F.col("hop_type") == name, F.lit(a)).otherwise(answer)
     rows = rows.select("*", answer.alias("answer"), F.posexplode(kinds).alias("pos", "event_type"))
-    first = F.to_timestamp(F.lit(start)) + F.make_dt_interval(pick(28, F.col("example_id"), seed=seed))
-    after = F.make_dt_interval(F.col("pos") * (1 + pick(3, F.col("example_id"), F.lit("gap"), seed=seed)))
+    first = F.to_timestamp(F.lit(start)) + F.make_dt_interval(F.col("day"))
+    after = F.make_dt_interval(F.col("pos") * F.col("gap"))
     return rows.select("example_id", "hop_type", F.concat_ws("-e", "example_id", F.col("pos").cast("string")).alias("event_id"), "event_type", (first + after).alias("ts"), F.col("employee").alias("employee_id"), F.col("ticker").alias("security_ticker"), "answer")
 
 
@@ -89,43 +107,38 @@ def mixed(values: list[str] | int, at: Column, salt: int) -> Column:
 
 PRODUCTS = ["amber-proxy", "basalt", "cobalt-db", "dune-web", "ember", "fjord-mail", "garnet", "harbor-ui"]
 FLAWS = ["lets a remote user run commands", "leaks memory of other requests", "follows paths out of its folder", "trusts forged tokens"]
-DRUGS = ["Aldorin", "Besitol", "Cravanil", "Dexomar", "Elitrane"]
 REASONS = ["glass particles", "a wrong label", "failed dissolution", "mould"]
 CASES = ["Ash v. Birch", "Cedar v. Dale", "Elm v. Frost", "Grove v. Heath", "Ives v. Jay"]
 
 
-def security_corpus(pairs: DataFrame, n_distractors: int) -> DataFrame:
-    """``doc_id, kind, product, cve_id, text``: disclosures of ``pairs(id, product, cve_id, disclosure_text, patch_text)``, their patches, then distractors of other identifiers."""
-    n = pairs.count()
-    spark, row = pairs.sparkSession, F.row_number
-    from pyspark.sql import Window as W
+def security_corpus(pairs: DataFrame, others: DataFrame) -> DataFrame:
+    """``doc_id, kind, product, cve_id, text``: disclosures of ``pairs(id, product, cve_id, disclosure_text, patch_text)``, their patches, and a distractor for each of ``others(id)``.
 
-    p = pairs.withColumn("at", row().over(W.orderBy("id")) - 1)  # the pairs are the small, given side
-    real = [p.select((F.col("at") + off).cast("long").alias("doc_id"), F.lit(kind).alias("kind"), "product", "cve_id", F.col(text).alias("text")) for kind, text, off in (("disclosure", "disclosure_text", 0), ("patch", "patch_text", n))]
+    Ids are three times the given ones, and one and two more: no row needs to know of another.
+    """
     i = F.col("id")
+    real = [pairs.select((3 * i + off).alias("doc_id"), F.lit(kind).alias("kind"), "product", "cve_id", F.col(text).alias("text")) for kind, text, off in (("disclosure", "disclosure_text", 0), ("patch", "patch_text", 1))]
     product, cve = mixed(PRODUCTS, i, 1), F.concat(F.lit("CVE-2023-"), F.lpad((i + 90000).cast("string"), 7, "0"))
     text = F.concat(cve, F.lit(" was found in "), product, F.lit(": it "), mixed(FLAWS, i, 2), F.lit(". Versions up to "), mixed(9, i, 3).cast("string"), F.lit("."), mixed(10, i, 4).cast("string"), F.lit(" have it, and there is no patch."))
-    noise = spark.range(n_distractors).select((i + 2 * n).alias("doc_id"), F.lit("distractor").alias("kind"), product.alias("product"), cve.alias("cve_id"), text.alias("text"))
+    noise = others.select((3 * i + 2).alias("doc_id"), F.lit("distractor").alias("kind"), product.alias("product"), cve.alias("cve_id"), text.alias("text"))
     return real[0].unionAll(real[1]).unionAll(noise)
 
 
-def recall_corpus(spark: SparkSession, n: int) -> DataFrame:
-    """``doc_id, drug, text``: notices of drugs that were recalled and labels of others, in turn."""
-    i = F.col("id")
-    drug = mixed(DRUGS, i, 5)
+def recall_corpus(products: DataFrame) -> DataFrame:
+    """``doc_id, drug, text`` of ``products(id, name)``: notices of those with even ids, which are recalled, and labels of the others."""
+    i, drug = F.col("id"), F.col("name")
     recalled = F.concat(F.lit("Lot "), i.cast("string"), F.lit(" of "), drug, F.lit(" is recalled for "), mixed(REASONS, i, 6), F.lit("."))
     label = F.concat(drug, F.lit(" is taken "), (mixed(3, i, 7) + 1).cast("string"), F.lit(" times a day."))
-    return spark.range(n).select(i.alias("doc_id"), drug.alias("drug"), F.when(i % 2 == 0, recalled).otherwise(label).alias("text"))
+    return products.select(i.alias("doc_id"), drug.alias("drug"), F.when(i % 2 == 0, recalled).otherwise(label).alias("text"))
 
 
-def ruling_corpus(spark: SparkSession, n: int) -> DataFrame:
-    """``doc_id, case_slug, text``: rulings that cite other cases and overrule none."""
+def ruling_corpus(cases: DataFrame) -> DataFrame:
+    """``doc_id, case_slug, text`` of ``cases(id, name)``: rulings that cite other cases and overrule none."""
     from arbiter.functions import text as T
 
     i = F.col("id")
-    case = mixed(CASES, i, 8)
-    cite = F.concat(case, F.lit(", "), (mixed(500, i, 9) + 1).cast("string"), F.lit(" U.S. "), (i + 1).cast("string"))
-    return spark.range(n).select(i.alias("doc_id"), T.slug(cite).alias("case_slug"), F.concat(cite, F.lit(" is followed here, as in "), mixed(CASES, i, 10), F.lit(".")).alias("text"))
+    cite = F.concat("name", F.lit(", "), (mixed(500, i, 9) + 1).cast("string"), F.lit(" U.S. "), (i + 1).cast("string"))
+    return cases.select(i.alias("doc_id"), T.slug(cite).alias("case_slug"), F.concat(cite, F.lit(" is followed here, as in "), mixed(CASES, i, 10), F.lit(".")).alias("text"))
 
 
 def confounders(examples: DataFrame, scope: list[str], per_example: int, keep: list[list[str]]) -> DataFrame:

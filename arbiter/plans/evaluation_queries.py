@@ -95,15 +95,16 @@ def promoted_patches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def security_corpus(spark: SparkSession, d: str) -> DataFrame:
-    return synth.security_corpus(pairs(spark, d), 2000)
+    """A distractor for every supplier beside the parts' disclosures and patches."""
+    return synth.security_corpus(pairs(spark, d), table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")))
 
 
 def recall_corpus(spark: SparkSession, d: str) -> DataFrame:
-    return synth.recall_corpus(spark, 2000)
+    return synth.recall_corpus(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
 
 
 def ruling_corpus(spark: SparkSession, d: str) -> DataFrame:
-    return synth.ruling_corpus(spark, 1000)
+    return synth.ruling_corpus(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
 
 
 def security_confounders(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +153,7 @@ def _mixed(values, at: str, salt: int) -> str:
 
 
 _SLUG = lambda c: f"substring(regexp_replace(lower({c}), '[^a-z0-9]+', '_', 'g'), 1, 60)"
-_CITE = f"{_mixed(synth.CASES, 'i', 8)} || ', ' || ({_mixed(500, 'i', 9)} + 1) || ' U.S. ' || (i + 1)"
+_CITE = f"c_name || ', ' || ({_mixed(500, 'c_custkey', 9)} + 1) || ' U.S. ' || (c_custkey + 1)"
 _EVAL = f"""WITH {G.ED}, called AS (SELECT DISTINCT qid, m[2] AS doc_id FROM rk JOIN fe ON fe.target_id = doc_id WHERE rank <= 20),
 au AS (SELECT rk.qid, rk.doc_id, rank AS r0, CASE WHEN rank <= 20 AND e2 IS NULL THEN 1 WHEN rank > 20 AND c.doc_id IS NOT NULL THEN 2 WHEN rank <= 20 THEN 3 ELSE 4 END AS tier FROM rk LEFT JOIN (SELECT event_id AS e2 FROM sup) ON e2 = rk.doc_id LEFT JOIN called c ON c.qid = rk.qid AND c.doc_id = rk.doc_id),
 sy AS (SELECT 'value' AS system, qid, doc_id, rank FROM rk UNION ALL SELECT 'latest', user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) FROM ev
@@ -195,12 +196,15 @@ QUERIES = {
     "promoted_patches": (promoted_patches, f"WITH {_P}, r AS (SELECT id AS qid, id AS x, 2 AS r FROM p UNION ALL SELECT id, id + 2, 1 FROM p), f AS (SELECT qid, 2 * x + 1 AS doc_id, r AS \"at\" FROM r WHERE x IN (SELECT id FROM p)), c AS (SELECT id AS qid, 2 * id AS doc_id, 2 AS \"at\" FROM p UNION ALL SELECT id, 2 * id + 4, 1 FROM p), e AS (SELECT qid, doc_id, 0 AS tier, \"at\" FROM f UNION ALL SELECT qid, doc_id, 1, \"at\" FROM c) SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY tier, \"at\", doc_id) AS rank, tier FROM e"),
     "security_corpus": (
         security_corpus,
-        f"WITH {_P}, n AS (SELECT count(*) AS n FROM p), o AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS n0 FROM p), x AS (SELECT i, {_mixed(synth.PRODUCTS, 'i', 1)} AS product, 'CVE-2023-' || lpad((i + 90000)::VARCHAR, 7, '0') AS cve_id FROM range(2000) t(i)) "
-        "SELECT n0 AS doc_id, 'disclosure' AS kind, product, cve_id, cve_id || ' affects ' || product AS text FROM o UNION ALL SELECT n0 + n, 'patch', product, cve_id, 'Fixed in ' || version FROM o, n "
-        f"UNION ALL SELECT i + 2 * n, 'distractor', product, cve_id, cve_id || ' was found in ' || product || ': it ' || {_mixed(synth.FLAWS, 'i', 2)} || '. Versions up to ' || ({_mixed(9, 'i', 3)}) || '.' || ({_mixed(10, 'i', 4)}) || ' have it, and there is no patch.' FROM x, n",
+        f"WITH {_P}, x AS (SELECT s_suppkey AS i, {_mixed(synth.PRODUCTS, 's_suppkey', 1)} AS product, 'CVE-2023-' || lpad((s_suppkey + 90000)::VARCHAR, 7, '0') AS cve_id FROM supplier) "
+        "SELECT 3 * id AS doc_id, 'disclosure' AS kind, product, cve_id, cve_id || ' affects ' || product AS text FROM p UNION ALL SELECT 3 * id + 1, 'patch', product, cve_id, 'Fixed in ' || version FROM p "
+        f"UNION ALL SELECT 3 * i + 2, 'distractor', product, cve_id, cve_id || ' was found in ' || product || ': it ' || {_mixed(synth.FLAWS, 'i', 2)} || '. Versions up to ' || ({_mixed(9, 'i', 3)}) || '.' || ({_mixed(10, 'i', 4)}) || ' have it, and there is no patch.' FROM x",
     ),
-    "recall_corpus": (recall_corpus, f"SELECT i AS doc_id, {_mixed(synth.DRUGS, 'i', 5)} AS drug, CASE WHEN i % 2 = 0 THEN 'Lot ' || i || ' of ' || {_mixed(synth.DRUGS, 'i', 5)} || ' is recalled for ' || {_mixed(synth.REASONS, 'i', 6)} || '.' ELSE {_mixed(synth.DRUGS, 'i', 5)} || ' is taken ' || ({_mixed(3, 'i', 7)} + 1) || ' times a day.' END AS text FROM range(2000) t(i)"),
-    "ruling_corpus": (ruling_corpus, f"SELECT i AS doc_id, {_SLUG(_CITE)} AS case_slug, {_CITE} || ' is followed here, as in ' || {_mixed(synth.CASES, 'i', 10)} || '.' AS text FROM range(1000) t(i)"),
+    "recall_corpus": (
+        recall_corpus,
+        f"SELECT p_partkey AS doc_id, p_name AS drug, CASE WHEN p_partkey % 2 = 0 THEN 'Lot ' || p_partkey || ' of ' || p_name || ' is recalled for ' || {_mixed(synth.REASONS, 'p_partkey', 6)} || '.' ELSE p_name || ' is taken ' || ({_mixed(3, 'p_partkey', 7)} + 1) || ' times a day.' END AS text FROM part",
+    ),
+    "ruling_corpus": (ruling_corpus, f"WITH c AS (SELECT c_custkey AS i, {_CITE} AS cite FROM customer) SELECT i AS doc_id, {_SLUG('cite')} AS case_slug, cite || ' is followed here, as in ' || {_mixed(synth.CASES, 'i', 10)} || '.' AS text FROM c"),
     "security_confounders": (security_confounders, f"WITH {_P} SELECT id, d, CASE WHEN d % 3 = 0 THEN product ELSE product || '-x' || d END AS product, CASE WHEN d % 3 = 1 THEN cve_id ELSE cve_id || '-x' || d END AS cve_id FROM p, range(6) t(d)"),
     "legal_confounders": (legal_confounders, "SELECT s_suppkey AS id, d, CASE WHEN d % 3 = 0 THEN s_name ELSE s_name || '-x' || d END AS case_slug, CASE WHEN d % 3 = 1 THEN s_suppkey::VARCHAR ELSE s_suppkey || '-x' || d END AS qid FROM supplier, range(4) t(d)"),
     "merge_pairs": (merge_pairs, "SELECT DISTINCT o_custkey, o_orderstatus FROM orders"),

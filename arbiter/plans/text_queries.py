@@ -218,21 +218,33 @@ def kappa_corpus(spark: SparkSession, d: str) -> DataFrame:
     return c.select("s_suppkey", F.col("copy").cast("long").alias("copy"))
 
 
+def _scenario_events(spark, d) -> DataFrame:
+    """Scenarios of pairs of each customer and two parts."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    return synth.scenario_events(synth.pairs_of(c, _part(spark, d).select(F.col("p_partkey").alias("id")), 2))
+
+
+def scenario_events(spark: SparkSession, d: str) -> DataFrame:
+    return _scenario_events(spark, d).select("event_id", "hop_type", "event_type", F.unix_timestamp("ts").alias("at"), "answer")
+
+
 def scenario_answers(spark: SparkSession, d: str) -> DataFrame:
-    """Scenarios over all pairs, their graph, and whether the derived answer is the expected one."""
+    """Every scenario's graph, each example being a knowledge base of its own, and the answer that follows from it."""
     from arbiter.operators import graph
     from arbiter.plans.rules import COMPLIANCE, Rule
 
-    own = [Rule(r.rule_id, r.trigger_type, r.target_type, ("example_id", *r.scope)) for r in COMPLIANCE]  # each example is a knowledge base of its own
-    n = table(spark, d, "nation").count() * 8
-    ev = synth.scenario_events(synth.entity_pairs(spark, 20, 30, n))
+    own = [Rule(r.rule_id, r.trigger_type, r.target_type, ("example_id", *r.scope)) for r in COMPLIANCE]
+    ev = _scenario_events(spark, d)
     gone = graph.superseded(ev.withColumn("counterparty", F.lit(None).cast("string")).withColumn("policy_id", F.lit(None).cast("string")), own)
     ranked = ev.select(F.col("example_id").alias("qid"), F.col("event_id").alias("doc_id"), F.lit(1).alias("rank"))
-    found = metrics.derive_answer(ranked, ev.select("event_id", "event_type"), gone, 5)
-    j = found.join(ev.select(F.col("example_id").alias("qid"), "hop_type", F.col("answer").alias("expected")).distinct(), "qid")
-    return j.groupBy().agg(F.count("*").alias("n"), F.count(F.when(F.col("answer") == F.col("expected"), 1)).alias("n_right"))
+    return metrics.derive_answer(ranked, ev.select("event_id", "event_type"), gone, 5)
 
 
+_NUMBER = lambda n, salt: f"((number + 1) * {7919 + 2 * salt}) % 100003 % {n}"
+_KINDS = " ".join(f"WHEN {i} THEN {kinds!r}" for i, (kinds, _) in enumerate(synth.SCENARIOS.values()))
+_ANSWERS = " ".join(f"WHEN {i} THEN '{a}'" for i, (_, a) in enumerate(synth.SCENARIOS.values()))
+SQL_SCENARIOS = f"""n AS (SELECT count(*) AS n FROM part), y AS (SELECT c_custkey AS employee, (c_custkey * 7 + j) % n AS ticker, c_custkey * 2 + j AS number FROM customer, n, range(2) t(j)),
+x AS (SELECT employee || '-' || ticker AS example_id, 'T' || ({_NUMBER(4, 13)}) AS hop_type, {_NUMBER(28, 11)} AS day, 1 + {_NUMBER(3, 12)} AS gap, CASE {_NUMBER(4, 13)} {_KINDS} END AS kinds, CASE {_NUMBER(4, 13)} {_ANSWERS} END AS answer FROM y)"""
 QUERIES = {
     "regex_entities": (regex_entities, SQL_ENTITIES),
     "version_sets": (version_sets, "SELECT p_partkey, array_to_string(list_sort(list_distinct([(p_size % 7) || '.' || (p_partkey % 13) || '.1', (p_size % 3) || '.0-rc1', '1.2'])), ',') AS versions FROM part"),
@@ -264,5 +276,10 @@ QUERIES = {
     "venn_sets": (venn_sets, "WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'), b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O') SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'urgent', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'open', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT 'any', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)"),
     "threshold_checks": (threshold_checks, "SELECT bool_and(m < 0.06) AS all_pass, count(*) FILTER (m >= 0.06) AS n_failed FROM (SELECT avg(l_discount) AS m FROM lineitem GROUP BY l_returnflag)"),
     "kappa_corpus": (kappa_corpus, "SELECT s_suppkey, unnest(range(0, 4)) AS copy FROM supplier"),
-    "scenario_answers": (scenario_answers, "SELECT count(*) * 8 AS n, count(*) * 8 AS n_right FROM nation"),
+    "scenario_events": (
+        scenario_events,
+        f"WITH {SQL_SCENARIOS}, e AS (SELECT *, generate_subscripts(kinds, 1) - 1 AS pos, unnest(kinds) AS event_type FROM x) "
+        "SELECT example_id || '-e' || pos AS event_id, hop_type, event_type, epoch(TIMESTAMP '2024-01-01 09:00:00')::BIGINT + 86400 * (day + pos * gap) AS at, answer FROM e",
+    ),
+    "scenario_answers": (scenario_answers, f"WITH {SQL_SCENARIOS} SELECT example_id AS qid, answer FROM x"),
 }
