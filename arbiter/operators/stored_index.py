@@ -1,6 +1,6 @@
 """A stored inverted index: posting blocks with the greatest weight that each can give, added to without a rebuild.
 
-A segment holds the postings of the rows added at once, sorted by bucket, word and weight, and cut into blocks. A
+A segment holds the postings of the rows added at once, by bucket and word, cut into blocks in the order of their weights. A
 block says how often its words stand in a text at most and how long its texts are at least, which bounds its
 weight whatever the collection's statistics become. A segment counts once its line of statistics is written, so
 an addition that fails changes nothing. Ids are unique over all additions. Texts are split when they are added only.
@@ -12,7 +12,9 @@ documents reach; blocks that can't lift a document to it aren't read. The rankin
 from __future__ import annotations
 
 import uuid
+import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -24,8 +26,8 @@ from arbiter.functions import scores
 from arbiter.functions.text import TOKENIZERS
 from arbiter.operators import relevance
 
-#: Postings of a block, and folders that words are dealt to.
-BLOCK, BUCKETS = 128, 32
+#: Postings of a block, folders that words are dealt to, places for a word that all texts have, and postings that a task holds.
+BLOCK, BUCKETS, PLACES, HELD = 128, 32, 64, 1 << 20
 #: What rounding may add to a score: half of its last digit, twice.
 ROUNDING = 1e-6
 
@@ -35,46 +37,92 @@ def _bucket(tok: str) -> Column:
 
 
 def add(corpus: DataFrame, path: str, tokenizer: str = "w") -> None:
-    """Adds the rows of ``corpus(doc_id, text)`` to the index below ``path`` as one segment; an empty text is a document too."""
-    segment = uuid.uuid4().hex
-    split = corpus.select("doc_id", TOKENIZERS[tokenizer]("text").alias("toks"))
-    split = split.select("doc_id", F.greatest(F.size("toks"), F.lit(0)).alias("dl"), "toks")
-    tf = split.select("doc_id", "dl", F.explode("toks").alias("tok")).groupBy("doc_id", "dl", "tok").agg(F.count("*").cast("int").alias("tf"))
-    order = [F.col("bucket"), F.col("tok"), (F.col("tf") / (F.col("tf") + F.col("dl"))).desc(), F.col("doc_id")]
-    spark = corpus.sparkSession
-    # By range, so that the postings of a frequent word are several tasks'.
-    rows = tf.withColumn("bucket", _bucket("tok")).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
-    rows = rows.sortWithinPartitions(*order)
+    """Adds the rows of ``corpus(doc_id, text)`` to the index below ``path`` as one segment; an empty text is a document too.
+
+    Each task makes one list of postings for each of its words, and the lists are shuffled. A word that a
+    share of a task's texts have goes to as many places as that share of ``PLACES``.
+    """
+    segment, spark = uuid.uuid4().hex, corpus.sparkSession
     doc = corpus.schema["doc_id"].dataType.simpleString()
+    lists = f"tok string, place int, docs array<{doc}>, tfs array<int>, dls array<int>"
+    split = corpus.select("doc_id", TOKENIZERS[tokenizer]("text").alias("toks")).mapInArrow(_lists(lists), lists)
+    # A list without a word says how many documents a task has, and how long they are together.
+    split = split.withColumn("bucket", F.when(F.col("tok").isNull(), -1).otherwise(_bucket("tok")))
+    dealt = split.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", "tok", "place").sortWithinPartitions("bucket", "tok")
     kinds = f"bucket int, tok string, docs array<{doc}>, tfs array<int>, dls array<int>, n int, max_tf int, min_dl int"
-    blocks = rows.select("bucket", "tok", "doc_id", "tf", "dl").mapInArrow(_blocks(kinds), kinds)
+    blocks = dealt.select("bucket", "tok", "docs", "tfs", "dls").mapInArrow(_blocks(kinds), kinds)
     blocks.withColumn("segment", F.lit(segment)).write.mode("append").partitionBy("segment", "bucket").parquet(f"{path}/blocks")
-    stats = split.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
+    told = spark.read.schema(f"{kinds}, segment string").parquet(f"{path}/blocks").where((F.col("segment") == segment) & (F.col("bucket") == -1))
+    total = lambda c: F.coalesce(F.sum(F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x + y)), F.lit(0))
+    stats = told.agg(total("tfs").alias("n_docs"), total("dls").alias("total"))
     stats.select(F.lit(segment).alias("segment"), "n_docs", "total").write.mode("append").parquet(f"{path}/stats")
 
 
-def _blocks(kinds: str):
-    schema = to_arrow_schema(StructType.fromDDL(kinds))
+def _schema(kinds: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(kinds))
+
+
+def _listed(values: pa.Array, at: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values).cast(kind)
+
+
+def _lists(kinds: str):
+    schema = _schema(kinds)
 
     def run(batches):
-        open_key, held = None, []
+        for batch in batches:
+            toks = batch.column(1)
+            sizes = np.diff(toks.offsets.to_numpy())
+            words = toks.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            pair, tf = np.unique(words.indices.to_numpy().astype(np.int64) * max(1, len(sizes)) + row, return_counts=True)
+            word, row = np.divmod(pair, max(1, len(sizes)))
+            at = np.append(np.flatnonzero(np.diff(word, prepend=-1)), len(word))
+            n = np.diff(at)
+            # Which of a word's places a task's list goes to changes from task to task.
+            places = 1 + n * PLACES // max(1, len(sizes))
+            place = zlib.crc32(repr(batch.column(0)[:1]).encode()) % places
+            columns = [words.dictionary.take(pa.array(word[at[:-1]])), pa.array(place.astype(np.int32)), _listed(batch.column(0).take(pa.array(row)), at, schema.field("docs").type)]
+            columns += [_listed(pa.array(x.astype(np.int32)), at, schema.field("tfs").type) for x in (tf, sizes[row])]
+            yield pa.record_batch([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            yield pa.record_batch([pa.array([x], f.type) for x, f in zip((None, 0, [], [len(sizes)], [int(sizes.sum())]), schema, strict=True)], schema=schema)
 
-        def closed():
-            docs, tfs, dls = zip(*held, strict=True)
-            return [*open_key, list(docs), list(tfs), list(dls), len(held), max(tfs), min(dls)]
+    return run
+
+
+def _blocks(kinds: str):
+    schema = _schema(kinds)
 
+    def cut(bucket, tok, parts):
+        """Blocks of a word's lists, the heaviest postings first."""
+        docs = pa.concat_arrays([p[0] for p in parts])
+        tf, dl = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+        if tok is None:
+            return [[bucket, tok, [], tf.tolist(), dl.tolist(), 0, 0, 0]]
+        order = np.lexsort((np.arange(len(tf)), -(tf / (tf + dl))))
+        docs, tf, dl = docs.take(pa.array(order)).to_pylist(), tf[order], dl[order]
+        return [[bucket, tok, docs[i : i + BLOCK], tf[i : i + BLOCK].tolist(), dl[i : i + BLOCK].tolist(), len(tf[i : i + BLOCK]), int(tf[i : i + BLOCK].max()), int(dl[i : i + BLOCK].min())] for i in range(0, len(tf), BLOCK)]
+
+    def batch_of(done):
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches):
+        key, parts, held, done, waiting = None, [], 0, [], 0
         for batch in batches:
-            done = []
-            for bucket, tok, *posting in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (bucket, tok) != open_key or len(held) >= BLOCK:
-                    if held:
-                        done.append(closed())
-                    open_key, held = (bucket, tok), []
-                held.append(posting)
-            if done:
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
-        if held:
-            yield pa.record_batch([pa.array([x], f.type) for x, f in zip(closed(), schema, strict=True)], schema=schema)
+            for i, now in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if parts and (now != key or held >= HELD):
+                    done += cut(*key, parts)
+                    waiting, parts, held = waiting + held, [], 0
+                    if waiting >= HELD:
+                        yield batch_of(done)
+                        done, waiting = [], 0
+                key = now
+                parts.append((batch.column(2)[i].values, *(batch.column(c)[i].values.to_numpy().astype(np.int64) for c in (3, 4))))
+                held += max(1, len(parts[-1][1]))
+        if parts:
+            done += cut(*key, parts)
+        if done:
+            yield batch_of(done)
 
     return run
 

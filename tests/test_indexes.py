@@ -46,11 +46,17 @@ def test_same_ranking_as_without_an_index(spark, corpus, stored, k, dup, tie):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_blocks_are_skipped(spark, stored):
+def test_blocks_are_skipped(spark, corpus, tmp_path, monkeypatch):
     """Blocks of a frequent word whose weights can't lift a document to the first five."""
+    monkeypatch.setattr(stored_index, "BLOCK", 8)
+    monkeypatch.setattr(stored_index, "PLACES", 2)
+    docs, path = spark.createDataFrame(corpus, SCHEMA).repartition(2), str(tmp_path / "small")
+    stored_index.add(docs, path)
     q = spark.createDataFrame([(0, "all w3"), (1, "w1")], "qid long, query string")
-    every, needed = stored_index.needed_blocks(spark, stored, q, 5)
-    assert 0 < needed.count() < every.count()
+    every, needed = stored_index.needed_blocks(spark, path, q, 5)
+    assert 0 < needed.count() < every.count() / 2
+    found = [sorted(map(tuple, x.select("qid", "rank", "doc_id", "score").collect())) for x in (stored_index.search(spark, path, q, 5), relevance.bm25(docs, q, 5))]
+    assert found[0] == found[1]
     heads = every.groupBy("tok").agg(F.max("max_tf"), F.min("min_dl"), F.sum("n").alias("n"), F.max("n").alias("most"))
     assert all(r.most <= stored_index.BLOCK for r in heads.collect())
 
