@@ -392,26 +392,54 @@ def removed_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return done.unionAll(removed).withColumn("has_passage", F.col("passage_words") > WORDS)
 
 
+_RUNS = pa.schema([("row", pa.int64()), ("start", pa.int64()), ("piece", pa.binary()), ("passage", pa.bool_())])
+
+
+def _long_runs(batches):
+    """Runs of ``LENGTH`` bytes and more of ``(row, text, spans)``, and whether each is a passage."""
+    for batch in slices(batches, 1024, 1 << 22):
+        rows = []
+        for row, text, spans in zip(batch.column(0).to_pylist(), binary_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            rows += [(row, a, text[a:b], whole_words(text, a, b) > WORDS) for a, b in merged(spans) if b - a >= LENGTH]
+        if rows:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RUNS, strict=True)], schema=_RUNS)
+
+
 def cleaned_documents(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated passages in ``text``, and ``n_chars``, if there is one, counted anew.
 
     A passage is a run of over ``WORDS`` words: bytes that follow each other and are covered by ``LEAST``-byte
-    strings that also start elsewhere. A character of which a part is removed goes whole. Rows keep their
-    place even if nothing is left.
+    strings that also start elsewhere. Where a run has fewer words, as in scripts without blanks, what
+    ``LENGTH``-byte strings that also start elsewhere cover goes. A character of which a part is removed goes
+    whole. Rows keep their place even if nothing is left.
     """
-    at, schema = docs.columns.index("text"), docs.schema
+    work = Workspace(docs.sparkSession, "suffix_dedup")
+    schema, names = docs.schema, {"spans": fresh(docs, "spans")}
+    row, longer = fresh(docs, "row"), fresh(docs, "longer")
+    at = docs.columns.index("text")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    rows = work.save(_joined(docs, work, "doc_id", "text").withColumn(row, F.monotonically_increasing_id()))
+    runs = work.save(rows.where(F.col(names["spans"]).isNotNull()).select(row, "text", names["spans"]).mapInArrow(_long_runs, "row long, start long, piece binary, passage boolean"))
+    both = rows.withColumn(longer, F.lit(None).cast("array<struct<start: bigint, end: bigint>>"))
+    if not runs.where("NOT passage").isEmpty():
+        spans = repeated_spans(runs.select(F.col("row").alias("doc_id"), F.col("start").alias("text_key"), F.col("piece").alias("text")), work, LENGTH)
+        moved = F.transform("spans", lambda x: F.struct((x["start"] + F.col("text_key")).alias("start"), (x["end"] + F.col("text_key")).alias("end")))
+        found = spans.select(F.col("doc_id").alias(row), moved.alias(longer)).groupBy(row).agg(F.sort_array(F.flatten(F.collect_list(longer))).alias(longer))
+        both = rows.join(found, row, "left").select(*rows.columns, longer)
 
     def run(batches):
         for batch in slices(batches, 1024, 1 << 22):
-            texts = []
-            for null, text, spans in zip(batch.column(at).is_null().to_pylist(), binary_texts(batch.column(at)), batch.column(len(batch.schema) - 1).to_pylist(), strict=True):
-                passages = [(a, b) for a, b in merged(spans) if whole_words(text, a, b) > WORDS]
-                texts.append(None if null else without(text, passages).decode("utf-8", "ignore") if passages else text.decode())
-            columns = [batch.column(i) for i in range(len(batch.schema) - 1)]
+            n, texts = len(batch.schema), []
+            spans, more = (batch.column(k).to_pylist() for k in (n - 3, n - 1))
+            for null, text, some, others in zip(batch.column(at).is_null().to_pylist(), binary_texts(batch.column(at)), spans, more, strict=True):
+                found = [(a, b) for a, b in merged(some) if whole_words(text, a, b) > WORDS]
+                if others:
+                    found = merged(sorted([{"start": a, "end": b} for a, b in found] + others, key=lambda x: x["start"]))
+                texts.append(None if null else without(text, found).decode("utf-8", "ignore") if found else text.decode())
+            columns = [batch.column(i) for i in range(n - 3)]
             columns[at] = pa.array(texts, batch.column(at).type)
             if chars is not None:
                 columns[chars] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.column(chars).type)
-            yield pa.record_batch(columns, names=batch.schema.names[:-1])
+            yield pa.record_batch(columns, names=batch.schema.names[: n - 3])
 
-    return _joined(docs, Workspace(docs.sparkSession, "suffix_dedup"), "doc_id", "text").mapInArrow(run, schema)
+    return both.mapInArrow(run, schema)

@@ -290,13 +290,14 @@ def repeats_brute(rows, size=400, least=256):
     return out
 
 
-def passages_brute(texts, least=256):
-    """The texts without the runs that have over 50 words."""
+def passages_brute(texts, least=256, size=400):
+    """The texts without the runs that have over 50 words, and without what strings of 400 bytes cover."""
     data = [t.encode() for t in texts]
-    for t, less in zip(data, covered(data, least), strict=True):
-        for a, b in reversed(runs_of(less)):
+    for t, less, gone in zip(data, covered(data, least), covered(data, size), strict=True):
+        for a, b in runs_of(less):
             if words_within(t, a, b) > 50:
-                t = t[:a] + t[b:]
+                gone[a:b] = 1
+        t = bytes(x for x, g in zip(t, gone, strict=True) if not g)
         yield t.decode("utf-8", "ignore")
 
 
