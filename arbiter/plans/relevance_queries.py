@@ -144,7 +144,8 @@ def hyde_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     """Whether the nearest other vector shares the label, split by a flag of the question."""
     t = table(spark, d, "embeddings")
     e = t.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    index = vector_index.build(e, _own_folder(spark, "vectors"))
+    # Every vector is a question and travels to each list that isn't ruled out, so lists are few and long.
+    index = vector_index.build(e, _own_folder(spark, "vectors"), 16)
     # The first two of a question are itself and another, or two others that are as near.
     found = vector_index.search(index, e.select(F.col("doc_id").alias("qid"), "vector"), 2).where("qid <> doc_id")
     near = found.groupBy("qid").agg(F.min_by("doc_id", "rank").alias("doc_id"))
