@@ -2,22 +2,25 @@
 
 Rows with one set of shingles are a class. Sets are made anew from the texts where they are needed, which
 takes less than to keep them. A set's shingles are ordered rare first, by document counts from a sketch of fixed size that all documents
-enter (any fixed order gives the same links; rare first gives few candidates). Similar sets share ``COMMON``
-shingles of their prefixes, which have as many shingles more than one shared one would need; of smaller
-sets, all. Prefix shingles are dealt to buckets, and those that one class alone has are dropped.
+enter (any fixed order gives the same links; rare first gives few candidates). The least shingle in which two
+similar sets agree is in the plain prefixes of both, and the ``COMMON`` least ones are in their prefixes, which
+are longer by as many. Prefix shingles are dealt to buckets, and those that one class alone has are dropped.
 
 A shingle that up to ``FEW`` classes have is joined to pairs of them, under the length and the positional
-filter, and pairs are counted. Any other is joined under a hub, the class of least hash that has it: its
-classes, if another one's length fits theirs, are members of the hub's group. Similar sets share either a
-shingle of the second kind, and so a hub, or their ``COMMON`` of the first kind, and so are a pair that is
-counted as often; other pairs go. A pair that stays is a group too. Near copies share most of their shingles
-and so few hubs. A class's set travels once to each of its groups, not once for each shingle or pair, and
+filter, and pairs are counted. Any other is joined under a hub: the classes that have it in their plain
+prefixes, if another one's length fits theirs, are members of a group whose hub is the one of least hash. The
+least common shingle of two similar sets is either of the second kind, and so they share a hub, or of the
+first, and so they are a pair that is met in both plain prefixes; that pair is counted ``COMMON`` times, less
+the shingles of the second kind that both have in their prefixes. Other pairs go. A pair that stays is a group
+too. Frequent shingles that no plain prefix has, as of a passage in many documents, make no hub. Near copies
+share most of their shingles and so few hubs. A class's set travels once to each of its groups, not once for each shingle or pair, and
 there pairs are verified: a pair belongs to the least group that both are in, passes the length and the
 suffix filter and is then verified once, by exact intersection, unless links found before already join its
 classes. What comes out are spanning links, fewer than the group has classes, which give exactly the
 components of all links.
 
-A group of more than two beyond ``GROUP`` shingles is dealt to chunks, each with the hub; classes that neither the hub nor
+A group is sorted by size, so that a set meets those alone whose sizes fit. A group of more than two beyond
+``GROUP`` shingles, where a member counts for ``MEMBER`` more, is dealt to chunks, each with the hub; classes that neither the hub nor
 its links in the chunk reach are then compared with the other chunks, block by block.
 
 Shingles are told apart by 64-bit hashes, sets by 128-bit digests. A text of fewer words is one shingle;
@@ -44,12 +47,16 @@ NUM, DEN = 4, 5
 SKETCH = 20  # bits of the sketch's places
 _BLOCK = 4096
 POSTING = np.dtype([("token", "<u8"), ("class", "<u8"), ("n", "<u4"), ("pos", "<u4")])
-#: Shingles that the prefixes of similar sets share, and the most classes whose pairs are counted.
-COMMON, FEW = 4, 4
+#: Shingles that the prefixes of similar sets share, as many as different sets must have in common to be similar.
+COMMON = NUM // (DEN - NUM)
+#: The most classes of a shingle whose pairs are counted.
+FEW = 4
 #: Postings of a bucket, about, and of a hot shingle within one bucket.
 BUCKET_ROWS, HOT_ROWS = 400_000, 50_000
 #: Shingles of all sets that a group, or a part of one, has in one task, about.
 GROUP = 2_000_000
+#: Shingles that a member of a group counts for besides its own, so that small sets don't make groups of very many.
+MEMBER = 200
 #: Parts by which the suffix filter counts a set's shingles.
 CUTS = 16
 
@@ -107,6 +114,11 @@ def prefix(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, place))[:size]]
 
 
+def plain_size(n):
+    """How many shingles of sets of these sizes, rare first, surely hold one that a similar set has among as many of its own."""
+    return n + (-NUM * n) // DEN + 1
+
+
 class _Held:
     """An array that travels to the tasks once, as a broadcast variable."""
 
@@ -167,8 +179,8 @@ def _fits(n, m):
 
 
 def _pairs_of(rows, starts, sizes):
-    """Pairs of classes that share a shingle which few have, under the length and the positional filter, and how often each is met."""
-    out = []
+    """Pairs of classes that share a shingle which few have, under the length and the positional filter, how often each is met, and how often in both plain prefixes."""
+    out, plain = [], []
     for m in range(2, FEW + 1):
         at = starts[sizes == m]
         for i in range(m):
@@ -179,17 +191,31 @@ def _pairs_of(rows, starts, sizes):
                 most = np.minimum(p, q) + np.minimum(n - p, k - q)
                 ok = _fits(n, k) & ((NUM + DEN) * most >= NUM * (n + k))
                 out.append(np.stack([np.minimum(x["class"], y["class"])[ok], np.maximum(x["class"], y["class"])[ok]], 1))
-    every = np.concatenate(out) if out else np.zeros((0, 2), np.uint64)
+                plain.append(((p < plain_size(n)) & (q < plain_size(k)))[ok])
+    every = np.concatenate([np.zeros((0, 2), np.uint64), *out])
+    if not len(every):
+        return every, np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = np.lexsort((every[:, 1], every[:, 0]))
-    every = every[order]
-    first = np.flatnonzero(np.concatenate([[True], (every[1:] != every[:-1]).any(1)])) if len(every) else np.zeros(0, np.int64)
-    return every[first], np.diff(np.append(first, len(every)))
+    every, plain = every[order], np.concatenate(plain)[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (every[1:] != every[:-1]).any(1)]))
+    return every[first], np.diff(np.append(first, len(every))), np.add.reduceat(plain, first)
+
+
+def _is_plain(rows):
+    """Whether postings are of plain prefixes."""
+    return rows["pos"] < plain_size(rows["n"].astype(np.int64))
+
+
+def _spread(starts, sizes):
+    """Row numbers of runs, run by run."""
+    return np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def _hubs_of(rows, starts, sizes):
-    """Hub and class of the shingles that many classes have, of classes whose length another one's fits; each once."""
-    at = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    rows, group = rows[at], np.repeat(np.arange(len(sizes)), sizes)
+    """Hub and class of the shingles that many classes have, of classes with it in their plain prefixes whose length another one's fits; each once."""
+    rows, group = rows[_spread(starts, sizes)], np.repeat(np.arange(len(sizes)), sizes)
+    plain = _is_plain(rows)
+    rows, group = rows[plain], group[plain]
     # The nearest length is the next smaller or the next larger one.
     order = np.lexsort((rows["n"], group))
     n, g = rows["n"][order].astype(np.int64), group[order]
@@ -203,19 +229,21 @@ def _hubs_of(rows, starts, sizes):
     return np.unique(np.stack([hub, rows["class"]], 1), axis=0)
 
 
-_SHARED = pa.schema([("kind", pa.int8()), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int64())])
-#: Kinds of rows: a pair with how often it is met, a hub with a class, a hot shingle with a class and its size.
-PAIR, HUB, LOOSE = 0, 1, 2
+_SHARED = pa.schema([("kind", pa.int8()), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int64()), ("plain", pa.int64())])
+#: Kinds of rows: a pair with how often it is met, at all and in plain prefixes; a hub with a class; a hot shingle of a plain
+#: prefix with a class; a class with how many shingles of its prefix make no pairs.
+PAIR, HUB, LOOSE, SPARE = 0, 1, 2, 3
 
 
 def _shared(hot_place):
     """Postings of a bucket to rows of the kinds above. A hot shingle lies in several buckets, so its postings come out as they are."""
 
-    def made(kind, x, y, n):
+    def made(kind, x, y, n=None, plain=None):
+        n, plain = (np.zeros(len(x), np.int64) if c is None else c.astype(np.int64) for c in (n, plain))
         for at in range(0, len(x), 100_000):
             part = slice(at, at + 100_000)
             k = len(x[part])
-            yield pa.record_batch([pa.array(np.full(k, kind, np.int8)), pa.array(_signed(x[part])), pa.array(_signed(y[part])), pa.array(n[part].astype(np.int64))], schema=_SHARED)
+            yield pa.record_batch([pa.array(np.full(k, kind, np.int8)), pa.array(_signed(x[part])), pa.array(_signed(y[part])), pa.array(n[part]), pa.array(plain[part])], schema=_SHARED)
 
     def one(parts):
         rows = np.unique(np.frombuffer(b"".join(parts), POSTING))
@@ -224,13 +252,16 @@ def _shared(hot_place):
         token = rows["token"]
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(rows) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(starts, len(rows)))
-        found, times = _pairs_of(rows, starts, sizes)
-        yield from made(PAIR, found[:, 0], found[:, 1], times)
+        found, times, plain = _pairs_of(rows, starts, sizes)
+        yield from made(PAIR, found[:, 0], found[:, 1], times, plain)
         many = sizes > FEW
         if many.any():
             found = _hubs_of(rows, starts[many], sizes[many])
-            yield from made(HUB, found[:, 0], found[:, 1], np.zeros(len(found)))
-        yield from made(LOOSE, loose["token"], loose["class"], loose["n"])
+            yield from made(HUB, found[:, 0], found[:, 1])
+        spare, n = np.unique(np.concatenate([rows["class"][_spread(starts[many], sizes[many])], loose["class"]]), return_counts=True)
+        yield from made(SPARE, spare, spare, n)
+        loose = loose[_is_plain(loose)]
+        yield from made(LOOSE, loose["token"], loose["class"])
 
     def run(batches):
         now, parts = None, []
@@ -270,6 +301,9 @@ def spanning_links(hub: int, group: list[Member], across: bool = False) -> tuple
 
     Pairs of which a lesser hub has charge aren't this group's. With ``across``, only pairs of a ``REST`` and a ``CHUNK`` member are.
     """
+    # By size, behind the member that leads.
+    order = sorted(range(len(group)), key=lambda k: (k > 0, len(group[k].set)))
+    group = [group[k] for k in order]
     n = np.array([len(m.set) for m in group])
     counts = np.stack([suffix_counts(m.set) for m in group])
     part = np.array([m.part for m in group])
@@ -278,11 +312,18 @@ def spanning_links(hub: int, group: list[Member], across: bool = False) -> tuple
     for i in range(len(group)):
         if across and part[i] != REST:
             continue
-        others = slice(None) if across else slice(i + 1, None)
-        ok = label[others] != label[i]
+        # Those that come later, of which sizes fit up to the last one here; across parts, those on both sides.
+        low = 0 if across else i + 1
+        if i:
+            low = max(low, 1 + int(np.searchsorted(n[1:], -(-NUM * n[i] // DEN))))
+        high = 1 + int(np.searchsorted(n[1:], DEN * n[i] // NUM, "right"))
+        js = np.arange(low, high)
+        if across and i and _fits(n[0], n[i]):
+            js = np.append(js, 0)
+        ok = label[js] != label[i]
         if across:
-            ok &= part == CHUNK
-        js = ok.nonzero()[0] + (0 if across else i + 1)
+            ok &= part[js] == CHUNK
+        js = js[ok]
         # Length and suffix filters: what the intersection can be at most.
         js = js[_fits(n[js], n[i])]
         js = js[(NUM + DEN) * np.minimum(counts[js], counts[i]).sum(1) >= NUM * (n[js] + n[i])]
@@ -297,7 +338,7 @@ def spanning_links(hub: int, group: list[Member], across: bool = False) -> tuple
                 label[label == label[j]] = label[i]
         if not across and (label == label[0]).all():
             break
-    return links, label
+    return links, label[np.argsort(order)]
 
 
 _FOUND = "a long, b long, rest_of long"
@@ -368,23 +409,23 @@ def class_links(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame,
     buckets = max(4 * shuffle_parts(spark), int(total) // BUCKET_ROWS)
     dealt = docs.select("text").mapInArrow(_dealer(counts, buckets), "bucket long, postings binary")
     hot = _Held(counts - 4 * int(counts.mean()) > HOT_ROWS)
-    under = work.save(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared(hot), "kind byte, x long, y long, n long"))
+    under = work.save(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared(hot), "kind byte, x long, y long, n long, plain long"))
     work.free()
     sizes = classes.groupBy("name").agg(F.max("n").alias("n"))
     loose = under.where(F.col("kind") == LOOSE).select(F.col("x").alias("token"), F.col("y").alias("name"))
     lead = loose.groupBy("token").agg(F.expr("min_by(name, xxhash64(name))").alias("hub"), F.count("*").alias("k")).where("k > 1").select("token", "hub")
     own = under.where(F.col("kind") == HUB).select(F.col("x").alias("hub"), F.col("y").alias("name")).unionAll(loose.join(lead, "token").select("hub", "name"))
-    # Of pairs, those met often enough; of a set of few shingles all must be, so there each one counts.
-    pairs = under.where(F.col("kind") == PAIR).groupBy("x", "y").agg(F.sum("n").alias("times"))
-    often = pairs.where(F.col("times") >= COMMON)
-    seldom = pairs.where(F.col("times") < COMMON).join(sizes.select(F.col("name").alias("x"), F.col("n").alias("nx")).where(F.col("nx") * NUM < DEN * COMMON), "x", "left_semi")
-    seldom = seldom.unionAll(pairs.where(F.col("times") < COMMON).join(sizes.select(F.col("name").alias("y"), F.col("n").alias("ny")).where(F.col("ny") * NUM < DEN * COMMON), "y", "left_semi").select("x", "y", "times"))
-    chosen = often.unionAll(seldom).select(F.xxhash64("x", "y", F.lit("pair")).alias("hub"), F.explode(F.array("x", "y")).alias("name"))
+    # Of pairs, those met often enough, or with as many other shingles in both prefixes as that takes.
+    pairs = under.where(F.col("kind") == PAIR).groupBy("x", "y").agg(F.sum("n").alias("times"), F.sum("plain").alias("plain")).where("plain > 0")
+    spare = under.where(F.col("kind") == SPARE).groupBy("x").agg(F.sum("n").alias("spare"))
+    rare = pairs.where(F.col("times") < COMMON).join(spare, "x").join(spare.select(F.col("x").alias("y"), F.col("spare").alias("other")), "y")
+    chosen = pairs.where(F.col("times") >= COMMON).select("x", "y").unionAll(rare.where(F.col("times") + F.least("spare", "other") >= COMMON).select("x", "y"))
+    chosen = chosen.select(F.xxhash64("x", "y", F.lit("pair")).alias("hub"), F.explode(F.array("x", "y")).alias("name"))
     # One row for each class in a group: its groups are no more than its prefix has shingles, times ``FEW``.
     members = own.unionAll(chosen).groupBy("name").agg(F.sort_array(F.collect_set("hub")).alias("hubs"))
     members = work.save(members.join(sizes, "name"))
     work.drop(under)
-    weights = members.select(F.explode("hubs").alias("hub"), "n").groupBy("hub").agg(F.sum("n").alias("weight"), F.count("*").alias("k")).where((F.col("weight") > GROUP) & (F.col("k") > 2))
+    weights = members.select(F.explode("hubs").alias("hub"), "n").groupBy("hub").agg(F.sum(F.col("n") + MEMBER).alias("weight"), F.count("*").alias("k")).where((F.col("weight") > GROUP) & (F.col("k") > 2))
     large = work.save(weights.select("hub", F.ceil(F.col("weight") / GROUP).cast("long").alias("chunks")))
     needed = work.save(members.select("name", "hubs").join(classes, "name").select("doc_id", "hash", "class", "row", "name", "hubs"))
     work.drop(members)
@@ -417,7 +458,7 @@ def class_links(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame,
         if not rest.isEmpty():
             # Blocks of the rest against all other chunks; a block and a chunk are together of bounded size.
             mine = big.join(bounded(rest, 16), ["hub", "row"], "left_semi")
-            blocks = work.save(mine.groupBy("hub").agg(F.ceil(F.sum(F.octet_length("set") / 8) / GROUP).cast("long").alias("blocks")))
+            blocks = work.save(mine.groupBy("hub").agg(F.ceil(F.sum(F.octet_length("set") / 8 + MEMBER) / GROUP).cast("long").alias("blocks")))
             cell = (F.col("block") * F.col("chunks") + F.col("at")).alias("chunk")
             with_blocks = lambda df: df.join(bounded(blocks, 16), "hub").withColumn("own", own)
             left = with_blocks(mine).withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.col("blocks"))).withColumn("at", F.explode(every_chunk)).where("at <> own")

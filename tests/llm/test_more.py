@@ -5,10 +5,11 @@ import struct
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 
-from arbiter.llm import byte_bpe, exact_dedup, license_scan, matroska, toxicity, url_filter
+from arbiter.llm import byte_bpe, exact_dedup, license_scan, matroska, ngram_join, toxicity, url_filter
 
 
 def alias_pages(n, seed=1):
@@ -173,3 +174,20 @@ def test_toxicity_bound_holds_with_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "_logistic", lambda *a, **k: seen.append(len(a[3])) or logistic(*a, **k))
     toxicity.fit(docs, labels, max_rows=3)
     assert all(n <= 3 for n in seen)
+
+
+def test_shingles_beyond_the_plain_prefix_make_no_hubs():
+    """Of sets of seven shingles the two rarest make hubs: what all have at a later place joins nothing, and counts as spare."""
+    rows = np.zeros(3 * 40, ngram_join.POSTING)
+    for k in range(40):
+        rows[3 * k : 3 * k + 3] = [(1000 + k, k, 7, 0), (7, k, 7, 1 if k < 10 else 2), (8, k, 7, 4)]
+
+    class Cold:
+        value = np.zeros(1 << ngram_join.SKETCH, bool)
+
+    batch = pa.record_batch([pa.array([0]), pa.array([rows.tobytes()])], names=["bucket", "postings"])
+    out = [r for b in ngram_join._shared(Cold)(iter([batch])) for r in b.to_pylist()]
+    hubs = [r for r in out if r["kind"] == ngram_join.HUB]
+    assert sorted(r["y"] for r in hubs) == list(range(10)) and len({r["x"] for r in hubs}) == 1
+    assert {r["x"]: r["n"] for r in out if r["kind"] == ngram_join.SPARE} == dict.fromkeys(range(40), 2)
+    assert not [r for r in out if r["kind"] == ngram_join.PAIR]
