@@ -3,9 +3,11 @@
 Documents become pieces of at most ``limit`` tokens. Whole-length pieces are sequences of their own. The
 others go through a tree: each node packs ``NODE`` items best-fit (longest first), emits bins that are
 nearly full, and passes on underfull bins as items of the next round, where fewer nodes take them together
-with the bins of others. The last round has one node, or as many as hold its items if a round has shown
-that underfull bins no longer find company (items of over half a sequence each, say): what one node of that
-many items can't join, more nodes of the same mixture can't either.
+with the bins of others. Of a node's bins at most one is half full or less, as two of them would have been
+one; and of bins that are over half full, no two fit together. So the next round has as many small bins as
+there were nodes, and of the others, for each length, as many as there are small bins: more can't be of use,
+and go out as they are, like those without room for the least small bin. With every round the small bins are
+fewer, until one node is left or no small bin.
 
 A null text counts as empty: it has the one closing id. A very long text is cut into many pieces. Items of
 equal length are packed in any order. Repeated rows are packed each. An empty table gives an empty result.
@@ -26,6 +28,7 @@ import public_tokenizers
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -36,8 +39,6 @@ LIMIT = 2048
 SLACK = 8
 #: Items that one node packs; a task that has more of them packs several times.
 NODE = 100_000
-#: A round that passes on more than this share of its items is followed by the last one.
-STALLED = 0.99
 
 PIECE = np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4"), ("null", "?")])
 
@@ -190,8 +191,17 @@ def best_fit(lengths: np.ndarray, limit: int) -> list[list[int]]:
     return bins
 
 
-_BIN = "done boolean, length long, members binary"
-_BIN_ARROW = pa.schema([("done", pa.bool_()), ("length", pa.int64()), ("members", pa.binary())])
+_BIN = "done boolean, length long, rank int, members binary"
+_BIN_ARROW = pa.schema([("done", pa.bool_()), ("length", pa.int64()), ("rank", pa.int32()), ("members", pa.binary())])
+
+
+def _ranks(lengths: np.ndarray) -> np.ndarray:
+    """The place of each among those of its length."""
+    order = np.argsort(lengths, kind="stable")
+    starts = np.flatnonzero(np.diff(lengths[order], prepend=-1))
+    out = np.empty(len(lengths), np.int32)
+    out[order] = np.arange(len(lengths)) - np.repeat(starts, np.diff(np.append(starts, len(lengths))))
+    return out
 
 
 def _packer(limit: int, last: bool):
@@ -200,9 +210,10 @@ def _packer(limit: int, last: bool):
         bins = best_fit(lengths[order], limit)
         items = [order[b] for b in bins]
         full = np.array([lengths[i].sum() for i in items], np.int64)
+        rank = _ranks(full)
         for at in range(0, len(bins), 20_000):
             part = slice(at, at + 20_000)
-            yield pa.record_batch([pa.array((full[part] >= limit - SLACK) | last), pa.array(full[part]), pa.array([b"".join([members[i] for i in b.tolist()]) for b in items[part]], pa.binary())], schema=_BIN_ARROW)
+            yield pa.record_batch([pa.array((full[part] >= limit - SLACK) | last), pa.array(full[part]), pa.array(rank[part]), pa.array([b"".join([members[i] for i in b.tolist()]) for b in items[part]], pa.binary())], schema=_BIN_ARROW)
 
     def run(batches):
         lengths, members, size = [], [], 0
@@ -246,23 +257,39 @@ def _members(batches):
         yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=_PLACED)
 
 
+def _joinable(bins: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """Underfull bins that no other can be joined with, or that aren't needed for it, and those of the next round."""
+    small = F.col("length") * 2 <= limit
+    k, least = bins.where(small).agg(F.count("*"), F.min("length")).first()
+    if not k:
+        return bins, None
+    # Small bins join with each other, or each with one of the others: ``k`` of a length are enough, taken by their ranks in the nodes.
+    counts = bins.where(~small & (F.col("length") + least <= limit) & (F.col("rank") < k)).groupBy("length", "rank").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("length").orderBy("rank").rowsBetween(W.unboundedPreceding, -1))
+    up_to = counts.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < k).groupBy("length").agg(F.max("rank").alias("up_to"))
+    # One row for each length, so no more than ``limit`` of them.
+    marked = bins.join(F.broadcast(up_to), "length", "left").withColumn("stays", small | F.coalesce(F.col("rank") <= F.col("up_to"), F.lit(False)))
+    return marked.where("NOT stays"), marked.where("stays")
+
+
 def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; no sequence is longer than ``limit``."""
     work = Workspace(pieces.sparkSession, "packing")
     # Written, so that no task runs two Python workers.
     items = work.save(pieces.select("doc_id", "piece", "start", "length", "ids_crc32").mapInArrow(_items, "length long, members binary"))
     done = items.where(F.col("length") == limit).select("members")
-    open_items, n, last = items.where(F.col("length") < limit), items.where(F.col("length") < limit).count(), False
-    while n:
-        parts = -(-n // NODE)
-        last = last or parts == 1
-        level = work.save(open_items.select("length", "members").repartition(parts, F.xxhash64("members")).mapInArrow(_packer(limit, last), _BIN))
+    open_items = items.where(F.col("length") < limit)
+    n = open_items.count()
+    parts = -(-n // NODE)
+    while parts:
+        level = work.save(open_items.select("length", "members").repartition(parts, F.xxhash64("members")).mapInArrow(_packer(limit, parts == 1), _BIN))
         done = done.unionAll(level.where("done").select("members"))
-        if last:
+        if parts == 1:
             break
-        open_items = level.where("NOT done")
-        left = open_items.count()
-        last, n = left > STALLED * n, left
+        leaving, open_items = _joinable(level.where("NOT done"), limit)
+        done = done.unionAll(leaving.select("members"))
+        # Fewer nodes in every round.
+        parts = min(-(-open_items.count() // NODE), parts // 2) if open_items else 0
     return done.select(F.monotonically_increasing_id().alias("sequence_id"), "members").mapInArrow(_members, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 
-from arbiter.llm import byte_bpe, exact_dedup, license_scan, matroska, ngram_join, toxicity, url_filter
+from arbiter.llm import byte_bpe, exact_dedup, license_scan, matroska, ngram_join, packing, toxicity, url_filter
 
 
 def alias_pages(n, seed=1):
@@ -191,3 +191,29 @@ def test_shingles_beyond_the_plain_prefix_make_no_hubs():
     assert sorted(r["y"] for r in hubs) == list(range(10)) and len({r["x"] for r in hubs}) == 1
     assert {r["x"]: r["n"] for r in out if r["kind"] == ngram_join.SPARE} == dict.fromkeys(range(40), 2)
     assert not [r for r in out if r["kind"] == ngram_join.PAIR]
+
+
+def test_packing_joins_what_lies_in_different_nodes(spark, monkeypatch):
+    """Rounds go on while a small bin may find company, however few of the others it fits."""
+    monkeypatch.setattr(packing, "NODE", 10)
+    length = "CASE id WHEN 7 THEN 1100L WHEN 8 THEN 900L ELSE 1800L END"
+    pieces = spark.range(302).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", f"{length} AS length", "id AS ids_crc32")
+    out = packing.pack(pieces).collect()
+    place = {r["doc_id"]: r["sequence_id"] for r in out}
+    assert len(out) == 302 and len(set(place.values())) == 301 and place[7] == place[8]
+
+
+def test_packing_passes_on_enough_bins_of_each_length(spark):
+    """Of each length as many bins stay as there are small ones, counted over the nodes."""
+    rows = [(1100, k // 4, f"a{k}".encode()) for k in range(40)] + [(1500, 0, b"b"), (1600, 0, b"c")] + [(500, 0, b"s"), (450, 0, b"t")]
+    bins = spark.createDataFrame(rows, "length long, rank int, members binary")
+    leaving, staying = packing._joinable(bins, 2048)
+    kept = [r["length"] for r in staying.collect()]
+    assert sorted(kept) == [450, 500, *[1100] * 4, 1500]
+    assert leaving.count() + len(kept) == len(rows)
+    assert packing._joinable(bins.where("length > 1024"), 2048)[1] is None
+
+
+def test_ranks_within_lengths():
+    assert packing._ranks(np.array([5, 3, 5, 5, 3])).tolist() == [0, 0, 1, 2, 1]
+    assert packing._ranks(np.zeros(0, np.int64)).tolist() == []
