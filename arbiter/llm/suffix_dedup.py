@@ -8,6 +8,8 @@ whole. Of an anchor with several contexts, one of each is fetched and its suffix
 are sorted by hash comparison: prefix polynomial hashes and a binary search give the common extension of
 two suffixes, so a mergesort step takes logarithmic time; neighbours that agree on the whole length by hash
 are verified byte by byte. What is covered there goes to all occurrences of the context, copies included.
+Of an anchor with over ``MANY`` contexts, as common phrases have, no task holds all: each of their windows is
+a row with its 128-bit digest, these are sorted by Spark, and neighbours with one digest are covered.
 
 This is done twice. First with 256 bytes, the least that a passage of over 50 words is taken to have: this
 finds the runs of repeated bytes, and so the passages. Then with 400 bytes, over runs of 400 bytes or more
@@ -27,6 +29,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import BASE, Workspace, binary_texts, fresh, mix, powers, slices
@@ -34,6 +37,8 @@ from .common import BASE, Workspace, binary_texts, fresh, mix, powers, slices
 LENGTH, GRAM = 400, 32
 #: Bytes of the strings whose repeats make up runs, and words of a run that is more than no passage.
 LEAST, WORDS = 256, 50
+#: Contexts of one anchor that one task sorts together; windows of more of them are compared by their digests.
+MANY = 2000
 _BLOCK = 1 << 18
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _inverse = np.ones(1, np.uint64)
@@ -209,6 +214,8 @@ def covered_windows(parts: list[bytes], lo: np.ndarray, hi: np.ndarray, anchor:
     first = np.zeros(len(at), bool)
     first[np.cumsum(sizes) - sizes] = True
     pair = np.flatnonzero((whole[1:] == whole[:-1]) & ~first[1:])
+    if not len(pair):
+        return []
     # Collision check: runs of neighbouring windows of the same two contexts are compared byte by byte.
     a, b, o, place = who[pair], who[pair + 1], offset[pair], at[pair]
     by = np.lexsort((-o, b, a))
@@ -229,54 +236,90 @@ def covered_windows(parts: list[bytes], lo: np.ndarray, hi: np.ndarray, anchor:
     return out
 
 
-_FOUND = "anchor long, context long, low int, high int"
+_FOUND = "anchor long, context long, low int, high int, apart boolean"
 
 
 def _sorted(length: int):
-    """Contexts in the order of their anchors to the windows that are covered, some megabytes at a time."""
+    """Contexts in the order of their anchors, and then single windows in that of their digests, to the windows that are covered, some megabytes at a time."""
+
+    def made(rows):
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], names=["anchor", "context", "low", "high", "apart"])
 
     def done(rows):
         lo, hi = np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
         anchor = np.array([r[0] for r in rows], np.int64)
-        found = sorted(set(covered_windows([r[4] for r in rows], lo, hi, anchor, length)))
-        return pa.record_batch([pa.array([rows[f[0]][0] for f in found], pa.int64()), pa.array([rows[f[0]][1] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32())], names=["anchor", "context", "low", "high"])
+        return made([(*rows[k][:2], low, high, False) for k, low, high in sorted(set(covered_windows([r[4] for r in rows], lo, hi, anchor, length)))])
 
     def run(batches):
-        rows, size = [], 0
+        rows, size, last, told = [], 0, None, False
         for batch in slices(batches, 1024, 1 << 22):
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            twice = []
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if row[5]:
+                    same = last is not None and row[4] == last[4]
+                    if same and not told:
+                        twice.append((*last[:4], True))
+                    if same:
+                        twice.append((*row[:4], True))
+                    last, told = row, same
+                    continue
                 if size > 1 << 20 and row[0] != rows[-1][0]:
                     yield done(rows)
                     rows, size = [], 0
                 rows.append(row)
                 size += len(row[4])
+            if twice:
+                yield made(twice)
         if rows:
             yield done(rows)
 
     return run
 
 
-_CONTEXTS = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("bytes", pa.binary())])
+_CONTEXTS = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("bytes", pa.binary()), ("apart", pa.bool_()), ("dealt", pa.int64())])
+
+
+def _windows(w: dict, text: bytes, length: int):
+    """Each window of a context as a row that is dealt by its digest; anchor and offset are part of it."""
+    key = w["anchor"].to_bytes(8, "little", signed=True)
+    for o in range(w["hi"], w["lo"] + 1):
+        at = w["pos"] - o
+        digest = hashlib.blake2b(text[at : at + length], digest_size=16, key=key + o.to_bytes(4, "little")).digest()
+        yield w["anchor"], w["context"], o, o, digest, True, int.from_bytes(digest[:8], "little", signed=True)
 
 
 def _fetch(length: int):
-    """Contexts' bytes, cut from the texts that have them."""
+    """Contexts' bytes, cut from the texts that have them; of those of an anchor with many, the digests of their windows."""
 
-    def run(batches):
-        out = []
+    def rows(batches):
         for batch in slices(batches, 256, 1 << 22):
             for text, wanted in zip(binary_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 for w in wanted:
-                    out.append((w["anchor"], w["context"], w["lo"], w["hi"], text[w["pos"] - w["lo"] : w["pos"] - w["hi"] + length]))
-                    if len(out) == 5_000:
-                        yield pa.record_batch([list(c) for c in zip(*out, strict=True)], schema=_CONTEXTS)
-                        out = []
+                    if w["apart"]:
+                        yield from _windows(w, text, length)
+                    else:
+                        yield w["anchor"], w["context"], w["lo"], w["hi"], text[w["pos"] - w["lo"] : w["pos"] - w["hi"] + length], False, w["anchor"]
+
+    def run(batches):
+        out = []
+        for row in rows(batches):
+            out.append(row)
+            if len(out) == 5_000:
+                yield pa.record_batch([list(c) for c in zip(*out, strict=True)], schema=_CONTEXTS)
+                out = []
         if out:
             yield pa.record_batch([list(c) for c in zip(*out, strict=True)], schema=_CONTEXTS)
 
     return run
 
 
+def _runs(windows: DataFrame) -> DataFrame:
+    """Single windows ``anchor, context, low`` as ``anchor, context, low, high`` of those that follow each other."""
+    place = F.row_number().over(W.partitionBy("anchor", "context").orderBy("low"))
+    return windows.select("anchor", "context", "low", (F.col("low") - place).alias("run")).groupBy("anchor", "context", "run").agg(F.min("low").alias("first"), F.max("low").alias("high")).select("anchor", "context", F.col("first").alias("low"), "high")
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The text's hash tells rows of one id apart; a null id counts as -1 within the work."""
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("text_key"))
@@ -292,17 +335,21 @@ def repeated_spans(keyed: DataFrame, work: Workspace, length: int = LENGTH) -> D
     per = work.save(some.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.min("hi").alias("hi"), F.bool_or("mixed").alias("mixed"), F.min(F.struct("doc_id", "text_key", "pos")).alias("rep")))
     work.free()
     whole = per.where("n > 1").select("anchor", "context", F.col("hi").alias("low"), F.col("lo").alias("high"))
-    wanted = per.where("mixed").groupBy("rep.doc_id", "rep.text_key").agg(F.collect_list(F.struct("anchor", "context", "lo", "hi", F.col("rep.pos").alias("pos"))).alias("wanted"))
+    # Few: there are ``MANY`` contexts for each.
+    many = work.save(per.where("mixed").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("anchor", F.lit(True).alias("apart")))
+    wanted = per.where("mixed").join(many, "anchor", "left").withColumn("apart", F.coalesce("apart", F.lit(False)))
+    wanted = wanted.groupBy("rep.doc_id", "rep.text_key").agg(F.collect_list(F.struct("anchor", "context", "lo", "hi", F.col("rep.pos").alias("pos"), "apart")).alias("wanted"))
     wanted = work.save(wanted)
     # Repeated rows have the same contexts, so one of them is enough.
-    fetched = keyed.join(wanted, ["doc_id", "text_key"]).select("text", "wanted").mapInArrow(_fetch(length), "anchor long, context long, lo int, hi int, bytes binary")
-    found = work.save(fetched.repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(_sorted(length), _FOUND))
+    fetched = keyed.join(wanted, ["doc_id", "text_key"]).select("text", "wanted").mapInArrow(_fetch(length), "anchor long, context long, lo int, hi int, bytes binary, apart boolean, dealt long")
+    dealt = fetched.repartition("dealt").sortWithinPartitions("apart", "dealt", F.when(F.col("apart"), F.col("bytes")), "context")
+    found = work.save(dealt.select("anchor", "context", "lo", "hi", "bytes", "apart").mapInArrow(_sorted(length), _FOUND))
     work.free()
-    cover = whole.unionAll(found)
+    cover = whole.unionAll(found.where("NOT apart").drop("apart")).unionAll(_runs(found.where("apart")))
     spans = some.select("anchor", "context", "doc_id", "text_key", "pos").join(cover, ["anchor", "context"])
     spans = spans.select("doc_id", "text_key", F.struct((F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + length).alias("end")).alias("s"))
     out = work.save(spans.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("s")).alias("spans")))
-    work.drop(some, per, wanted, found)
+    work.drop(some, per, many, wanted, found)
     work.free()
     return out
 
