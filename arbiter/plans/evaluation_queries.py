@@ -23,19 +23,25 @@ def pairs(spark, d) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("product"), cve.alias("cve_id"), F.concat(cve, F.lit(" affects "), "p_name").alias("disclosure_text"), F.concat(F.lit("Fixed in "), version).alias("patch_text"), version.alias("version"))
 
 
-def asked(spark, d) -> DataFrame:
+def numbered(p: DataFrame) -> DataFrame:
+    """``pairs`` with an identifier of each part's own: the five places of the others are too few for keys over 99,999, which would share one."""
+    digits = F.col("id").cast("string")
+    return p.withColumn("cve_id", F.concat(F.lit("CVE-2023-"), F.lpad(digits, F.greatest(F.length(digits), F.lit(5)), F.lit("0"))))
+
+
+def asked(spark, d, p: DataFrame | None = None) -> DataFrame:
     """Of every part a question: with both names, without the identifier, or with the product in capitals."""
     k = F.col("id") % 3
     q = F.when(k == 0, F.concat(F.lit("Is "), "product", F.lit(" still affected by "), "cve_id", F.lit("?"))).when(k == 1, F.concat(F.lit("Is "), "product", F.lit(" still affected?"))).otherwise(F.concat(F.upper("product"), F.lit(" has "), F.lower("cve_id")))
-    return pairs(spark, d).select(F.col("id").alias("qid"), q.alias("query"))
+    return (p or pairs(spark, d)).select(F.col("id").alias("qid"), q.alias("query"))
 
 
 def advisory_hits(spark: SparkSession, d: str) -> DataFrame:
-    p = pairs(spark, d)
+    p = numbered(pairs(spark, d))
     fixed = F.when(F.col("id") % 2 == 0, F.array("version", F.lit("0.1"))).otherwise(F.array(F.lit("0.1")))
     summary = F.when(F.col("id") % 5 == 0, F.concat(F.lit("see "), "version")).otherwise(F.lit("none"))
     a = p.where("id % 4 <> 3").select("cve_id", fixed.alias("fixed"), summary.alias("summary"), F.lit(None).cast("string").alias("details"))
-    return lookups.advisory_lookup(p.select("id", "patch_text").join(asked(spark, d).withColumnRenamed("qid", "id"), "id"), a)
+    return lookups.advisory_lookup(p.select("id", "patch_text").join(asked(spark, d, p).withColumnRenamed("qid", "id"), "id"), a)
 
 
 def advisory_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +94,7 @@ def domain_pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def promoted_patches(spark: SparkSession, d: str) -> DataFrame:
-    p = pairs(spark, d)
+    p = numbered(pairs(spark, d))
     metas = p.select((2 * F.col("id")).alias("doc_id"), F.lit("disclosure").alias("kind"), "product", "cve_id").unionAll(p.select((2 * F.col("id") + 1).alias("doc_id"), F.lit("patch"), F.concat(F.upper("product"), F.lit(" ")), F.lower("cve_id")))
     ranking = p.select(F.col("id").alias("qid"), F.explode(F.array(F.struct((2 * F.col("id")).alias("doc_id"), F.lit(2).alias("rank")), F.struct((2 * F.col("id") + 4).alias("doc_id"), F.lit(1).alias("rank")), F.struct((2 * F.col("id") + 1).alias("doc_id"), F.lit(3).alias("rank")))).alias("r")).select("qid", "r.*")
     return lookups.promote_last(ranking, metas, 2)

@@ -60,12 +60,12 @@ def domain_systems_eval(spark: SparkSession, d: str) -> DataFrame:
 
 def routed_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Questions that name product and identifier go to the patch at once."""
-    p = E.pairs(spark, d)
+    p = E.numbered(E.pairs(spark, d))
     disclosed = p.select((2 * F.col("id")).alias("doc_id"), F.lit("cve_disclosed").alias("record_type"), "product", "cve_id")
     patches = p.select((2 * F.col("id") + 1).alias("doc_id"), F.lit("patch_released"), F.concat(F.upper("product"), F.lit(" ")), F.lower("cve_id"))
     places = [(2 * F.col("id") + 4, 1), (2 * F.col("id"), 2), (2 * F.col("id") + 1, 3)]
     ranking = p.select(F.col("id").alias("qid"), F.explode(F.array(*(F.struct(c.alias("doc_id"), F.lit(r).alias("rank")) for c, r in places))).alias("r")).select("qid", "r.*")
-    return pipelines.routed(ranking, E.asked(spark, d), disclosed.unionAll(patches), adapters.SECURITY, 2)
+    return pipelines.routed(ranking, E.asked(spark, d, p), disclosed.unionAll(patches), adapters.SECURITY, 2)
 
 
 def closest_pick(spark: SparkSession, d: str) -> DataFrame:
