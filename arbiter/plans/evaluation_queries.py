@@ -101,8 +101,9 @@ def promoted_patches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def security_corpus(spark: SparkSession, d: str) -> DataFrame:
-    """A distractor for every supplier beside the parts' disclosures and patches."""
-    return synth.security_corpus(pairs(spark, d), table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")))
+    """A distractor for each number below 2,000 and for every supplier's key beside the parts' disclosures and patches."""
+    keys = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id"))
+    return synth.security_corpus(pairs(spark, d), spark.range(2000).unionAll(keys).distinct())
 
 
 def recall_corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -202,7 +203,7 @@ QUERIES = {
     "promoted_patches": (promoted_patches, f"WITH {_P}, r AS (SELECT id AS qid, id AS x, 2 AS r FROM p UNION ALL SELECT id, id + 2, 1 FROM p), f AS (SELECT qid, 2 * x + 1 AS doc_id, r AS \"at\" FROM r WHERE x IN (SELECT id FROM p)), c AS (SELECT id AS qid, 2 * id AS doc_id, 2 AS \"at\" FROM p UNION ALL SELECT id, 2 * id + 4, 1 FROM p), e AS (SELECT qid, doc_id, 0 AS tier, \"at\" FROM f UNION ALL SELECT qid, doc_id, 1, \"at\" FROM c) SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY tier, \"at\", doc_id) AS rank, tier FROM e"),
     "security_corpus": (
         security_corpus,
-        f"WITH {_P}, x AS (SELECT s_suppkey AS i, {_mixed(synth.PRODUCTS, 's_suppkey', 1)} AS product, 'CVE-2023-' || lpad((s_suppkey + 90000)::VARCHAR, 7, '0') AS cve_id FROM supplier) "
+        f"WITH {_P}, x AS (SELECT i, {_mixed(synth.PRODUCTS, 'i', 1)} AS product, 'CVE-2023-' || lpad((i + 90000)::VARCHAR, 7, '0') AS cve_id FROM (SELECT i FROM range(2000) t(i) UNION SELECT s_suppkey FROM supplier)) "
         "SELECT 3 * id AS doc_id, 'disclosure' AS kind, product, cve_id, cve_id || ' affects ' || product AS text FROM p UNION ALL SELECT 3 * id + 1, 'patch', product, cve_id, 'Fixed in ' || version FROM p "
         f"UNION ALL SELECT 3 * i + 2, 'distractor', product, cve_id, cve_id || ' was found in ' || product || ': it ' || {_mixed(synth.FLAWS, 'i', 2)} || '. Versions up to ' || ({_mixed(9, 'i', 3)}) || '.' || ({_mixed(10, 'i', 4)}) || ' have it, and there is no patch.' FROM x",
     ),
