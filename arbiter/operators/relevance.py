@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from arbiter.functions import scores
 from arbiter.functions.text import TOKENIZERS
+from arbiter.sources.shared import stored
 
 DIGITS = 6
 
@@ -40,23 +41,37 @@ def query_terms(queries: DataFrame, tokenizer: str = "w", dup_terms: bool = Fals
     return terms if dup_terms else terms.withColumn("qtf", F.lit(1).cast("long"))
 
 
+#: Bytes of question terms that are broadcast at once, and what one of them takes.
+TERMS_LIMIT, TERM_BYTES = 16 << 20, 64
+
+
 def bm25_scores(corpus: DataFrame, queries: DataFrame, tokenizer: str = "w", dup_terms: bool = False) -> DataFrame:
     """``qid, doc_id, score`` of all documents that share a term with a question.
 
-    Only terms that some question has are counted per document; the one-row statistics are the only
-    side without a key. Question terms are the small side of the term join where they fit.
+    Texts are split once: terms that some question has are counted per document and stored, with one row more
+    for each document under the empty term, from which the statistics come. Question terms go to the documents,
+    in parts that are small enough to be broadcast, so what is scored is never shuffled, however many
+    questions a document meets.
     """
-    terms = query_terms(queries, tokenizer, dup_terms)
-    wanted = terms.select("tok").distinct()
-    # A document's length goes with its terms, so that texts are split once for both.
+    terms = stored(query_terms(queries, tokenizer, dup_terms), "terms")
+    wanted = terms.select("tok").unionAll(terms.sparkSession.createDataFrame([("",)], "tok string")).distinct()
     split = corpus.select("doc_id", TOKENIZERS[tokenizer]("text").alias("toks"))
-    hits = split.select("doc_id", F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("tok")).join(wanted, "tok", "left_semi")
-    tf = hits.groupBy("doc_id", "dl", "tok").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("tok").agg(F.count("*").alias("df"))
-    weighed = tf.join(df, "tok").crossJoin(F.broadcast(collection_stats(corpus, tokenizer)))
-    weight = scores.idf(F.col("n_docs"), F.col("df")) * scores.bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))
-    weighed = weighed.select("doc_id", "tok", weight.alias("w"))
-    return weighed.join(terms, "tok").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qtf")), DIGITS).alias("score"))
+    every = F.explode(F.concat("toks", F.array(F.lit("")))).alias("tok")
+    hits = split.select("doc_id", F.size("toks").cast("long").alias("dl"), every).join(wanted, "tok", "left_semi")
+    tf = stored(hits.groupBy("doc_id", "dl", "tok").agg(F.count("*").alias("tf")), "hits")
+    stats = tf.where("tok = ''").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum(F.col("dl") * F.col("tf")) / F.sum("tf"), F.lit(0.0)).alias("avgdl"))
+    tf = tf.where("tok <> ''")
+    idf = tf.groupBy("tok").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("tok", scores.idf(F.col("n_docs"), F.col("df")).alias("idf"))
+    asked = stored(terms.join(idf, "tok"), "asked")
+    parts = -(-asked.count() * TERM_BYTES // TERMS_LIMIT)
+    tasks = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    weighed = tf.crossJoin(F.broadcast(stats)).select("doc_id", "tok", scores.bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("w")).repartition(tasks, "doc_id")
+    found = None
+    for k in range(max(parts, 1)):
+        some = asked if parts < 2 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == k)
+        part = weighed.join(F.broadcast(some), "tok").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("idf") * F.col("qtf")), DIGITS).alias("score"))
+        found = part if found is None else found.unionAll(part)
+    return found
 
 
 def okapi_scores(corpus: DataFrame, queries: DataFrame, tokenizer: str = "w", epsilon: float = 0.25) -> DataFrame:

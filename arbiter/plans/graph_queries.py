@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from arbiter.plans import adapters
 from arbiter.plans.relevance_queries import bm25_ctes
 from arbiter.plans.rules import EVENTS, depth
 from arbiter.sources.io import table
+from arbiter.sources.shared import stored
 
 STEPS = depth(EVENTS)
 
@@ -217,8 +220,8 @@ def stage1_scores(spark, d) -> DataFrame:
 
 
 def stage1(spark, d, k: int) -> DataFrame:
-    """The first ``k`` of each question: what follows can't reach the first ``k`` of a re-ranking."""
-    return relevance.top_k(stage1_scores(spark, d), k).select("qid", "doc_id", "rank")
+    """The first ``k`` of each question, stored, as more than one step reads them: what follows can't reach the first ``k`` of a re-ranking."""
+    return stored(relevance.top_k(stage1_scores(spark, d), k).select("qid", "doc_id", "rank"), "stage1")
 
 
 def two_stage(spark: SparkSession, d: str) -> DataFrame:
@@ -241,26 +244,31 @@ def entity_index_last(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.entity_index_last(records(spark, d).where("record_type = 'assistant'"), ["conv_id"])
 
 
-def _own(spark, d, kind, pick):
-    of = records(spark, d).where(F.col("record_type") == kind).groupBy(F.col("conv_id").alias("qid")).agg(pick("doc_id").alias("doc_id"))
-    return relevance.rank_by_count(stage1_scores(spark, d), of, records(spark, d).count())
+def _own(spark, d, *picks) -> list[DataFrame]:
+    """``qid, doc_id, rank`` of each question's own record of a kind, for each ``(kind, pick)``; all of them are ranked at once."""
+    of = [records(spark, d).where(F.col("record_type") == kind).groupBy(F.col("conv_id").alias("qid")).agg(pick("doc_id").alias("doc_id")).withColumn("n", F.lit(n)) for n, (kind, pick) in enumerate(picks)]
+    every = reduce(DataFrame.unionAll, of)
+    ranks = stored(relevance.rank_by_count(stage1_scores(spark, d), every.select("qid", "doc_id").distinct(), records(spark, d).count()), "ranks")
+    return [one.join(ranks, ["qid", "doc_id"]).select("qid", "doc_id", "rank") for one in of]
 
 
 def analytic_rank(spark: SparkSession, d: str) -> DataFrame:
-    return pipelines.analytic_rank(_own(spark, d, "user", F.min), _own(spark, d, "assistant", F.max), 3)
+    return pipelines.analytic_rank(*_own(spark, d, ("user", F.min), ("assistant", F.max)), 3)
 
 
 def error_categories(spark: SparkSession, d: str) -> DataFrame:
-    j = _own(spark, d, "user", F.max).select("qid", (F.col("rank") <= 5).alias("anchor_found")).join(_own(spark, d, "assistant", F.max).select("qid", (F.col("rank") <= 5).alias("hit")), "qid")
+    anchor, goal = _own(spark, d, ("user", F.max), ("assistant", F.max))
+    j = anchor.select("qid", (F.col("rank") <= 5).alias("anchor_found")).join(goal.select("qid", (F.col("rank") <= 5).alias("hit")), "qid")
     return metrics.error_categories(j)
 
 
 def two_stage_identity(spark: SparkSession, d: str) -> DataFrame:
     """With one scope per conversation, whether the goal is found at k equals whether an anchor is."""
-    two = pipelines.two_stage(stage1(spark, d, 5), records(spark, d), adapters.CONVERSATION, 5)
+    first = stage1(spark, d, 5)
+    two = pipelines.two_stage(first, records(spark, d), adapters.CONVERSATION, 5)
     kinds = records(spark, d).select("doc_id", "record_type", "conv_id")
     hit = two.where("tier = 0").join(kinds, "doc_id").where("conv_id = qid").select("qid").distinct()
-    anchor = stage1(spark, d, 5).join(kinds, "doc_id").where("conv_id = qid AND record_type = 'user'").select("qid").distinct()
+    anchor = first.join(kinds, "doc_id").where("conv_id = qid AND record_type = 'user'").select("qid").distinct()
     return metrics.all_pass(anchor.join(records(spark, d).where("record_type = 'assistant'").select(F.col("conv_id").alias("qid")).distinct(), "qid").join(hit.withColumn("h", F.lit(1)), "qid", "left").select(F.col("qid").alias("name"), F.col("h").isNotNull().alias("passed")))
 
 
