@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from arbiter.functions import text as T
 from arbiter.operators import metrics, relevance, stored_index, vector_index, vocab
 from arbiter.sources.io import table
-from arbiter.sources.shared import shared_dir
+from arbiter.sources.shared import shared_dir, stored
 
 
 def corpus(spark, d) -> DataFrame:
@@ -187,8 +187,10 @@ def pool_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gold_ranks(spark: SparkSession, d: str) -> DataFrame:
-    n = corpus(spark, d).count()
-    return relevance.rank_by_count(relevance.bm25_scores(corpus(spark, d), questions(spark, d)), gold(spark, d), n)
+    """Questions without a gold document have no row, so no document is scored for them."""
+    n, g = corpus(spark, d).count(), stored(gold(spark, d), "gold")
+    asked = questions(spark, d).join(g.select("qid").distinct(), "qid", "left_semi")
+    return relevance.rank_by_count(relevance.bm25_scores(corpus(spark, d), asked), g, n)
 
 
 def rank_metrics(spark: SparkSession, d: str) -> DataFrame:
