@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from arbiter.functions import scores
 from arbiter.functions.text import TOKENIZERS
+from arbiter.operators import best
 from arbiter.sources.shared import stored
 
 DIGITS = 6
@@ -45,35 +46,51 @@ def query_terms(queries: DataFrame, tokenizer: str = "w", dup_terms: bool = Fals
 TERMS_LIMIT, TERM_BYTES = 16 << 20, 64
 
 
-def bm25_scores(corpus: DataFrame, queries: DataFrame, tokenizer: str = "w", dup_terms: bool = False) -> DataFrame:
-    """``qid, doc_id, score`` of all documents that share a term with a question.
+def _weighed(corpus: DataFrame, queries: DataFrame, tokenizer: str, dup_terms: bool) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, at, w`` of documents and ``qid, at, idf, qtf`` of questions, ``at`` being a number of a question's term.
 
     Texts are split once: terms that some question has are counted per document and stored, with one row more
-    for each document under the empty term, from which the statistics come. Question terms go to the documents,
-    in parts that are small enough to be broadcast, so what is scored is never shuffled, however many
-    questions a document meets.
+    for each document under the empty term, from which the statistics come.
     """
     terms = stored(query_terms(queries, tokenizer, dup_terms), "terms")
-    wanted = terms.select("tok").unionAll(terms.sparkSession.createDataFrame([("",)], "tok string")).distinct()
+    numbers = terms.select("tok").distinct().select("tok", F.monotonically_increasing_id().alias("at"))
+    numbers = stored(numbers.unionAll(terms.sparkSession.createDataFrame([("", -1)], "tok string, at long")), "numbers")
     split = corpus.select("doc_id", TOKENIZERS[tokenizer]("text").alias("toks"))
     every = F.explode(F.concat("toks", F.array(F.lit("")))).alias("tok")
-    hits = split.select("doc_id", F.size("toks").cast("long").alias("dl"), every).join(wanted, "tok", "left_semi")
-    tf = stored(hits.groupBy("doc_id", "dl", "tok").agg(F.count("*").alias("tf")), "hits")
-    stats = tf.where("tok = ''").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum(F.col("dl") * F.col("tf")) / F.sum("tf"), F.lit(0.0)).alias("avgdl"))
-    tf = tf.where("tok <> ''")
-    idf = tf.groupBy("tok").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("tok", scores.idf(F.col("n_docs"), F.col("df")).alias("idf"))
-    asked = stored(terms.join(idf, "tok"), "asked")
+    hits = split.select("doc_id", F.size("toks").cast("long").alias("dl"), every).join(numbers, "tok")
+    tf = stored(hits.groupBy("doc_id", "dl", "at").agg(F.count("*").alias("tf")), "hits")
+    stats = tf.where("at < 0").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum(F.col("dl") * F.col("tf")) / F.sum("tf"), F.lit(0.0)).alias("avgdl"))
+    tf = tf.where("at >= 0")
+    idf = tf.groupBy("at").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("at", scores.idf(F.col("n_docs"), F.col("df")).alias("idf"))
+    asked = stored(terms.join(numbers, "tok").join(idf, "at").select("qid", "at", "idf", "qtf"), "asked")
+    return tf.crossJoin(F.broadcast(stats)).select("doc_id", "at", scores.bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("w")), asked
+
+
+def bm25_scores(corpus: DataFrame, queries: DataFrame, tokenizer: str = "w", dup_terms: bool = False) -> DataFrame:
+    """``qid, doc_id, score`` of all documents that share a term with a question.
+
+    Question terms go to the documents, in parts that are small enough to be broadcast, so what is scored is
+    never shuffled, however many questions a document meets.
+    """
+    weighed, asked = _weighed(corpus, queries, tokenizer, dup_terms)
     parts = -(-asked.count() * TERM_BYTES // TERMS_LIMIT)
     tasks = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    weighed = tf.crossJoin(F.broadcast(stats)).select("doc_id", "tok", scores.bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("w")).repartition(tasks, "doc_id")
+    weighed = weighed.repartition(tasks, "doc_id")
     found = None
     for k in range(max(parts, 1)):
         some = asked if parts < 2 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == k)
-        part = weighed.join(F.broadcast(some), "tok").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("idf") * F.col("qtf")), DIGITS).alias("score"))
+        part = weighed.join(F.broadcast(some), "at").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("idf") * F.col("qtf")), DIGITS).alias("score"))
         found = part if found is None else found.unionAll(part)
     return found
 
 
+def bm25_top(corpus: DataFrame, queries: DataFrame, k: int, tokenizer: str = "w", dup_terms: bool = False, tie: str = "asc") -> DataFrame:
+    """The first ``k`` of ``bm25_scores``, ranked, without a row for any other pair."""
+    weighed, asked = _weighed(corpus, queries, tokenizer, dup_terms)
+    asked = asked.select("qid", "at", (F.col("idf") * F.col("qtf")).alias("w"))
+    return top_k(best.best(best.packed(weighed, "doc_id"), best.packed(asked, "qid"), k, tie), k, tie)
+
+
 def okapi_scores(corpus: DataFrame, queries: DataFrame, tokenizer: str = "w", epsilon: float = 0.25) -> DataFrame:
     """BM25 in the classic form: terms that more than half of the documents have would weigh less than nothing and
     get ``epsilon`` times the mean idf of all terms instead. Question terms count as often as they stand.
@@ -108,9 +125,10 @@ def top_k(found: DataFrame, k: int, tie: str = "asc") -> DataFrame:
 
 
 def bm25(corpus, queries, k: int | None = None, tokenizer="w", dup_terms=False, tie="asc", unmatched="drop") -> DataFrame:
-    found = bm25_scores(corpus, queries, tokenizer, dup_terms)
     if k is not None:
-        return filled(top_k(found, k, tie), corpus, queries, k) if unmatched == "append" else top_k(found, k, tie)
+        top = bm25_top(corpus, queries, k, tokenizer, dup_terms, tie)
+        return filled(top, corpus, queries, k) if unmatched == "append" else top
+    found = bm25_scores(corpus, queries, tokenizer, dup_terms)
     return ranked(with_unmatched(found, corpus, queries) if unmatched == "append" else found, tie)
 
 

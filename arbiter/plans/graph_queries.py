@@ -221,7 +221,8 @@ def stage1_scores(spark, d) -> DataFrame:
 
 def stage1(spark, d, k: int) -> DataFrame:
     """The first ``k`` of each question, stored, as more than one step reads them: what follows can't reach the first ``k`` of a re-ranking."""
-    return stored(relevance.top_k(stage1_scores(spark, d), k).select("qid", "doc_id", "rank"), "stage1")
+    top = relevance.bm25_top(records(spark, d).select("doc_id", "text"), conversation_questions(spark, d), k)
+    return stored(top.select("qid", "doc_id", "rank"), "stage1")
 
 
 def two_stage(spark: SparkSession, d: str) -> DataFrame:
@@ -244,9 +245,14 @@ def entity_index_last(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.entity_index_last(records(spark, d).where("record_type = 'assistant'"), ["conv_id"])
 
 
+def _picked(spark, d, *picks) -> list[DataFrame]:
+    """``qid, doc_id`` of each question's own record of a kind, for each ``(kind, pick)``."""
+    return [records(spark, d).where(F.col("record_type") == kind).groupBy(F.col("conv_id").alias("qid")).agg(pick("doc_id").alias("doc_id")) for kind, pick in picks]
+
+
 def _own(spark, d, *picks) -> list[DataFrame]:
-    """``qid, doc_id, rank`` of each question's own record of a kind, for each ``(kind, pick)``; all of them are ranked at once."""
-    of = [records(spark, d).where(F.col("record_type") == kind).groupBy(F.col("conv_id").alias("qid")).agg(pick("doc_id").alias("doc_id")).withColumn("n", F.lit(n)) for n, (kind, pick) in enumerate(picks)]
+    """``qid, doc_id, rank`` of ``_picked``; all of them are ranked at once."""
+    of = _picked(spark, d, *picks)
     every = reduce(DataFrame.unionAll, of)
     ranks = stored(relevance.rank_by_count(stage1_scores(spark, d), every.select("qid", "doc_id").distinct(), records(spark, d).count()), "ranks")
     return [one.join(ranks, ["qid", "doc_id"]).select("qid", "doc_id", "rank") for one in of]
@@ -257,7 +263,9 @@ def analytic_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def error_categories(spark: SparkSession, d: str) -> DataFrame:
-    anchor, goal = _own(spark, d, ("user", F.max), ("assistant", F.max))
+    """Only ranks up to 5 are told apart, so no others are counted."""
+    first, n = stage1(spark, d, 5), records(spark, d).count()
+    anchor, goal = (relevance.rank_of(first, one, n) for one in _picked(spark, d, ("user", F.max), ("assistant", F.max)))
     j = anchor.select("qid", (F.col("rank") <= 5).alias("anchor_found")).join(goal.select("qid", (F.col("rank") <= 5).alias("hit")), "qid")
     return metrics.error_categories(j)
 
