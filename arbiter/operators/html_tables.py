@@ -93,23 +93,46 @@ def parse(html: str) -> list[list[list[str | None]]]:
     return [_grid(rows) for rows in parser.tables]
 
 
-def tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """``page_id, table, row, cells``: every row of every table, numbered from 0 in the page's order; null pages have none."""
+def grids(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """``page_id, table, grid``: every table, numbered from 0 in the page's order, with all of its rows; null pages have none."""
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                at, numbers, lines, cells = [], [], [], []
-                for t, grid in enumerate(parse(batch.column(1)[i].as_py() or "")):
-                    at += [i] * len(grid)
-                    numbers += [t] * len(grid)
-                    lines += range(len(grid))
-                    cells += grid
-                if at:
-                    yield pa.record_batch([batch.column(0).take(pa.array(at)), pa.array(numbers, pa.int32()), pa.array(lines, pa.int32()), pa.array(cells, pa.list_(pa.string()))], names=["page_id", "table", "row", "cells"])
+            at, numbers, found = [], [], []
+            for i, html in enumerate(batch.column(1).to_pylist()):
+                for t, grid in enumerate(parse(html or "")):
+                    at.append(i)
+                    numbers.append(t)
+                    found.append(grid)
+            if at:
+                yield pa.record_batch([batch.column(0).take(pa.array(at)), pa.array(numbers, pa.int32()), pa.array(found, pa.list_(pa.list_(pa.string())))], names=["page_id", "table", "grid"])
+
+    return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInArrow(run, f"page_id {kind}, table int, grid array<array<string>>")
+
+
+def tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """``page_id, table, row, cells``: every row of every table, numbered from 0 in the page's order; null pages have none."""
+    return grids(pages, id_col, html_col).select("page_id", "table", F.posexplode("grid").alias("row", "cells"))
+
 
-    return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInArrow(run, f"page_id {kind}, table int, row int, cells array<string>")
+def _place(has: str, lacks: str | None):
+    """Where among ``heads`` the first header is that has one text and lacks the other; 0 if there is none."""
+    fits = lambda h: F.contains(h, F.lit(has)) & (~F.contains(h, F.lit(lacks)) if lacks else F.lit(True))
+    return F.array_position(F.transform("heads", fits), True)
+
+
+_HEADS = lambda c: F.transform(c, lambda h: F.lower(F.coalesce(h, F.lit(""))))
+
+
+def page_columns(pages: DataFrame, wanted: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """As ``columns(tables(pages), wanted)``: pages are parsed once and a table's rows find their headers beside them."""
+    found = grids(pages).withColumn("heads", _HEADS(F.get("grid", F.lit(0)))).select("page_id", "table", "grid", *(_place(*rule).alias(name) for name, rule in wanted.items()))
+    for name in wanted:
+        found = found.where(F.col(name) > 0)
+    far = F.greatest(*wanted) if len(wanted) > 1 else F.col(next(iter(wanted)))
+    body = found.withColumn("far", far).select("page_id", "table", "far", F.struct(*wanted).alias("at"), F.posexplode("grid").alias("row", "cells"))
+    return body.where("row > 0").where(F.size("cells") >= F.col("far")).select("page_id", "table", "row", *(F.element_at("cells", F.col(f"at.{name}").cast("int")).alias(name) for name in wanted))
 
 
 def columns(rows: DataFrame, wanted: dict[str, tuple[str, str | None]]) -> DataFrame:
@@ -118,13 +141,8 @@ def columns(rows: DataFrame, wanted: dict[str, tuple[str, str | None]]) -> DataF
     ``wanted`` says for each column what its header has in it and what not, in small letters; the first header
     that fits counts. A table's first row is its headers. Rows that are too short for a wanted column are left out.
     """
-    first = rows.where("row = 0").select("page_id", "table", F.transform("cells", lambda c: F.lower(F.coalesce(c, F.lit("")))).alias("heads"))
-
-    def place(has: str, lacks: str | None):
-        fits = lambda h: F.contains(h, F.lit(has)) & (~F.contains(h, F.lit(lacks)) if lacks else F.lit(True))
-        return F.array_position(F.transform("heads", fits), True)
-
-    found = first.select("page_id", "table", *(place(*rule).alias(name) for name, rule in wanted.items()))
+    first = rows.where("row = 0").select("page_id", "table", _HEADS("cells").alias("heads"))
+    found = first.select("page_id", "table", *(_place(*rule).alias(name) for name, rule in wanted.items()))
     for name in wanted:
         found = found.where(F.col(name) > 0)
     # Of a page, a table's rows meet its one row of places.

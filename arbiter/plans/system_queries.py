@@ -109,9 +109,9 @@ def table_columns(spark: SparkSession, d: str) -> DataFrame:
     body = F.array_join(F.transform("rows", lambda r: r["html"]), "</tr><tr>")
     head = "<h1>Orders</h1><table><tr><th>Customer</th><th>Order&nbsp;key</th><th colspan=2>Status</th><th>Date <i>of order</i></th></tr><tr><td rowspan="
     html = F.concat(F.lit(head), F.size("rows"), F.lit(">"), F.col("o_custkey"), F.lit("</td>"), body, F.lit("</tr></table>"))
-    every = html_tables.tables(rows.select(F.col("o_custkey").alias("page_id"), html.alias("html")))
+    pages = rows.select(F.col("o_custkey").alias("page_id"), html.alias("html"))
     wanted = {"customer": ("customer", None), "order_key": ("order", "date"), "status": ("status", "inner"), "date": ("date", None)}
-    return html_tables.columns(every, wanted).drop("table")
+    return html_tables.page_columns(pages, wanted).drop("table")
 
 
 _PARTS = ", ".join(f"bool_or(part = '{n}') AS {n}" for n in LANGUAGES)
