@@ -195,6 +195,24 @@ def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     return vectors.crossJoin(q).select("qid", "doc_id", F.round(scores.dot(F.col("vector"), F.col("qv")), DIGITS).alias("score"))
 
 
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` of ``dense_scores``, ranked: blocks of vectors meet as matrices.
+
+    Rows without a vector, with another number of components than the longest have, or with components that are missing,
+    not finite or beyond 10^4, are scored by themselves.
+    """
+    size = vectors.select("vector").unionAll(queries.select("vector")).agg(F.max(F.size("vector"))).first()[0]
+    plain = lambda c: F.coalesce((F.size(c) == F.lit(size)) & F.forall(c, lambda x: F.coalesce(F.abs(x) <= 1e4, F.lit(False))), F.lit(False))
+    entries = lambda df, key: df.where(plain("vector")).select(key, F.sequence(F.lit(0).cast("long"), F.lit(max(size or 1, 1) - 1).cast("long")).alias("at"), F.col("vector").cast("array<double>").alias("w"))
+    odd, odd_q = vectors.where(~plain("vector")), queries.where(~plain("vector"))
+    found = best.best(entries(vectors, "doc_id"), entries(queries, "qid"), k, every=True)
+    if not odd.isEmpty():
+        found = found.unionAll(dense_scores(odd, queries))
+    if not odd_q.isEmpty():
+        found = found.unionAll(dense_scores(vectors.where(plain("vector")), odd_q))
+    return top_k(found, k)
+
+
 # -- other rankings ----------------------------------------------------------------------------------
 
 

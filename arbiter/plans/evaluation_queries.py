@@ -82,7 +82,7 @@ def scale_eval(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     half = e.select("doc_id", F.slice("vector", 1, 8).alias("vector"))
     q = e.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), "vector")
-    near = lambda docs, qs: relevance.top_k(relevance.dense_scores(docs, qs), 5)
+    near = lambda docs, qs: relevance.dense_top(docs, qs, 5)
     ranks = {"half": near(half, q.select("qid", F.slice("vector", 1, 8).alias("vector"))), "whole": near(e, q)}
     return lookups.scale_eval(ranks, q.select("qid", (F.col("qid") + 1).alias("doc_id")), q.select("qid", F.col("qid").alias("doc_id")))
 

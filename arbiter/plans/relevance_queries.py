@@ -105,7 +105,7 @@ def tfidf_top5(spark: SparkSession, d: str) -> DataFrame:
 def dense_top5(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     q = e.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), "vector")
-    return relevance.top_k(relevance.dense_scores(e, q), 5).select(OUT)
+    return relevance.dense_top(e, q, 5).select(OUT)
 
 
 def _own_folder(spark, name: str) -> str:

@@ -31,3 +31,16 @@ def test_no_pair_is_a_row(spark):
     docs, asked = _tables(spark)
     plan = relevance.bm25(docs, asked, 6)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "hashpartitioning(qid, doc_id" not in plan
+
+
+def test_first_of_dense_scores(spark, monkeypatch):
+    monkeypatch.setattr(best, "SIDES", (3, 7))
+    rnd = random.Random(3)
+    rows = [(i, [round(rnd.uniform(-1, 1), 1) for _ in range(3)]) for i in range(60)]
+    rows += [(60, None), (61, [1.0, None, 2.0]), (62, [1.0]), (63, [float("nan"), 0.0, 1.0]), (64, [float("inf"), 1.0, 1.0]), (65, [-0.0, 0.0, 0.0]), (66, [1e9, 1.0, -1.0])]
+    docs = spark.createDataFrame(rows, "doc_id long, vector array<double>")
+    asked = docs.where("doc_id % 4 = 0 OR doc_id > 60").withColumnRenamed("doc_id", "qid")
+    shown = lambda df: sorted(str(tuple(r)) for r in df.select("qid", "rank", "doc_id", "score").collect())
+    assert shown(relevance.dense_top(docs, asked, 5)) == shown(relevance.top_k(relevance.dense_scores(docs, asked), 5))
+    plan = relevance.dense_top(docs.where("doc_id < 60"), asked.where("qid < 60"), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
