@@ -262,9 +262,25 @@ def entity_probe(corpus: DataFrame, queries: DataFrame, keys: list[str], k: int
 
 
 def exact_matches(corpus: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
-    """Only the matching part of ``entity_probe``: an equi-join, ranked by id."""
-    found = queries.select("qid", *keys).join(corpus.select("doc_id", *keys), keys)
-    return found.select("qid", "doc_id", F.row_number().over(W.partitionBy("qid").orderBy("doc_id")).cast("long").alias("rank"))
+    """Only the matching part of ``entity_probe``: an equi-join, ranked by id.
+
+    A document has the same place for all questions of its keys, so places are found once for each combination of
+    keys, and questions, broadcast up to a bound, meet them where they are. Ids that several questions share are ranked by themselves.
+    """
+    docs = corpus.select("doc_id", *keys)
+    asked = queries.select("qid", *keys)
+    shared = asked.groupBy("qid").agg(F.count("*").alias("n")).where("n > 1").select("qid")
+    alone = asked.join(shared, asked["qid"].eqNullSafe(shared["qid"]), "left_anti")
+    if asked.count() * TERM_BYTES <= TERMS_LIMIT:
+        alone = F.broadcast(alone)
+    # Few rows make many, so they are dealt out again.
+    tasks = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    places = docs.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("doc_id")).cast("long")).repartition(tasks, "doc_id")
+    found = places.join(alone, keys).select("qid", "doc_id", "rank")
+    if not shared.isEmpty():
+        several = docs.join(asked.join(shared, asked["qid"].eqNullSafe(shared["qid"]), "left_semi"), keys)
+        found = found.unionAll(several.select("qid", "doc_id", F.row_number().over(W.partitionBy("qid").orderBy("doc_id")).cast("long")))
+    return found
 
 
 def pool_union(*pools: DataFrame) -> DataFrame:

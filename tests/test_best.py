@@ -44,3 +44,15 @@ def test_first_of_dense_scores(spark, monkeypatch):
     assert shown(relevance.dense_top(docs, asked, 5)) == shown(relevance.top_k(relevance.dense_scores(docs, asked), 5))
     plan = relevance.dense_top(docs.where("doc_id < 60"), asked.where("qid < 60"), 5)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_places_are_found_once_for_each_key(spark):
+    docs = spark.createDataFrame([(i % 50, "ab"[i % 2], i % 3 if i % 7 else None) for i in range(60)], "doc_id long, x string, y int")
+    asked = docs.where("doc_id % 5 = 0").withColumnRenamed("doc_id", "qid")
+    want = {}
+    for q in asked.collect():
+        want.setdefault(q["qid"], []).extend(r["doc_id"] for r in docs.collect() if q["y"] is not None and (r["x"], r["y"]) == (q["x"], q["y"]))
+    got = relevance.exact_matches(docs, asked, ["x", "y"])
+    assert sorted(map(tuple, got.collect())) == sorted((q, i, n + 1) for q, ids in want.items() for n, i in enumerate(sorted(ids)))
+    alone = relevance.exact_matches(docs.where("doc_id > 9"), asked.where("qid > 9"), ["x", "y"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in alone and "[qid" not in alone[alone.index("Window") :].split("\n")[0]
