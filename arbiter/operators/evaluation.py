@@ -55,10 +55,11 @@ def bucket(world: World) -> DataFrame:
 def bucket_probe(initial: DataFrame, found: DataFrame, events: DataFrame, k: int) -> DataFrame:
     """``qid, event_id, at``: of the bucket ``found`` what is later than a candidate and isn't one, by the first such candidate, time and id."""
     top = initial.where(F.col("rank") <= k)
-    steps = top.join(events.select(F.col("event_id").alias("doc_id"), "ts"), "doc_id").groupBy("qid").agg(F.collect_list(F.struct("ts", "rank")).alias("steps"))
+    steps = top.join(events.select(F.col("event_id").alias("doc_id"), "ts"), "doc_id").groupBy("qid").agg(F.collect_list(F.struct("ts", "rank")).alias("steps"), F.min("ts").alias("first_ts"))
     before = F.filter("steps", lambda s: s["ts"] < F.col("ts"))
-    late = found.select("qid", "event_id", "ts").join(steps, "qid").select("qid", "event_id", "ts", F.array_min(F.transform(before, lambda s: s["rank"])).alias("cand"))
-    new = late.where("cand IS NOT NULL").join(top.select("qid", F.col("doc_id").alias("event_id")), ["qid", "event_id"], "left_anti")
+    # Whether there is such a candidate is asked of plain columns: Spark may move a filter on ``cand`` below the join, where ``ts`` isn't.
+    late = found.select("qid", "event_id", "ts").join(steps, "qid").where("ts > first_ts").select("qid", "event_id", "ts", F.array_min(F.transform(before, lambda s: s["rank"])).alias("cand"))
+    new = late.join(top.select("qid", F.col("doc_id").alias("event_id")), ["qid", "event_id"], "left_anti")
     return new.select("qid", "event_id", F.row_number().over(W.partitionBy("qid").orderBy("cand", "ts", "event_id")).alias("at"))
 
 
