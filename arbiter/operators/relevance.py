@@ -6,9 +6,14 @@ score and then the id, so results never depend on how tasks ended.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from arbiter.functions import scores
 from arbiter.functions.text import TOKENIZERS
@@ -84,11 +89,99 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame, tokenizer: str = "w", dup
     return found
 
 
+#: Words that tasks are given at most: those of questions, or the most frequent ones of documents. Texts counted at once.
+WORDS, TEXTS = 200_000, 2_000
+
+
+def _counts(wanted: pa.Table, every: bool, kinds: str):
+    schema = to_arrow_schema(StructType.fromDDL(kinds))
+
+    def lists(row: np.ndarray, n: int, *values) -> list:
+        at = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
+        return [pa.ListArray.from_arrays(at, v) for v in values]
+
+    def counted(row, code, width):
+        pair, tf = np.unique(row * width + code, return_counts=True)
+        return *np.divmod(pair, width), pa.array(tf.astype(np.int32))
+
+    def run(batches):
+        names, numbers = wanted["tok"].combine_chunks(), wanted["at"].to_numpy()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(lo, TEXTS)
+                toks = part.column(1)
+                dl = np.asarray(pc.list_value_length(toks)).astype(np.int64)
+                coded = toks.flatten().dictionary_encode()
+                words = coded.dictionary
+                row, code, tf = counted(np.repeat(np.arange(len(dl)), dl), coded.indices.to_numpy().astype(np.int64), max(1, len(words)))
+                place = pc.index_in(words, value_set=names.cast(words.type)).fill_null(-1).to_numpy(zero_copy_only=False)[code]
+                own = place >= 0
+                columns = [part.column(0), pa.array(dl), *lists(row[own], len(dl), pa.array(numbers[place[own]]), tf.filter(pa.array(own)))]
+                if every:
+                    columns += lists(row, len(dl), words.take(pa.array(code)), tf)
+                yield pa.record_batch([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _counted(corpus: DataFrame, queries: DataFrame, tokenizer: str, dup_terms: bool, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``doc_id, dl, at, tf`` of documents, ``qid, tok, qtf, at`` of questions, and the statistics.
+
+    ``at`` and ``tf`` are the numbers of a text's words that some question has, and how often they stand in it; with
+    ``every``, ``toks`` and ``tfs`` are all of its words. A text is counted where it is, so no word of it is a
+    shuffled row, unless ids repeat or questions have more than ``WORDS`` words.
+    """
+    terms = stored(query_terms(queries, tokenizer, dup_terms), "terms")
+    numbers = stored(terms.select("tok").distinct().select("tok", F.monotonically_increasing_id().alias("at")), "numbers")
+    few = numbers.count() <= WORDS
+    wanted, every = (numbers if few else numbers.limit(0)).toArrow(), every or not few
+    doc = corpus.schema["doc_id"].dataType.simpleString()
+    kinds = f"doc_id {doc}, dl long, at array<long>, tf array<int>" + ", toks array<string>, tfs array<int>" * every
+    rows = stored(corpus.select("doc_id", TOKENIZERS[tokenizer]("text").alias("toks")).mapInArrow(_counts(wanted, every, kinds), kinds), "counts")
+    stats = rows.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    if not few or not rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        rows = stored(_merged(rows, numbers, every), "merged")
+    return rows, terms.join(numbers, "tok"), stats
+
+
+def _merged(rows: DataFrame, numbers: DataFrame, every: bool) -> DataFrame:
+    """Rows of one id and length as one document."""
+    each = _entries(rows, "toks", "tfs", "doc_id", "dl") if every else _entries(rows, "at", "tf", "doc_id", "dl")
+    each = each.groupBy("doc_id", "dl", "key").agg(F.sum("tf").cast("int").alias("tf"))
+    if not every:
+        found = each.groupBy("doc_id", "dl").agg(F.collect_list(F.struct("key", "tf")).alias("e"))
+        return found.select("doc_id", "dl", F.col("e.key").alias("at"), F.col("e.tf").alias("tf"))
+    each = each.join(numbers.withColumnRenamed("tok", "key"), "key", "left")
+    found = each.groupBy("doc_id", "dl").agg(F.collect_list(F.struct("key", "tf", "at")).alias("e"))
+    own = F.filter("e", lambda x: x["at"].isNotNull())
+    return found.select("doc_id", "dl", own["at"].alias("at"), own["tf"].alias("tf"), F.col("e.key").alias("toks"), F.col("e.tf").alias("tfs"))
+
+
+def _entries(rows: DataFrame, key: str, tf: str, *keep: str) -> DataFrame:
+    pair = F.explode(F.arrays_zip(F.col(key).alias("key"), F.col(tf).alias("n"))).alias("e")
+    return rows.select(*keep, pair).select(*keep, F.col("e.key").alias("key"), F.col("e.n").alias("tf"))
+
+
+def _frequencies(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """``name, df`` of all numbers or words."""
+    return rows.select(F.explode(key).alias(name)).groupBy(name).agg(F.count("*").alias("df"))
+
+
+def _asked(terms: DataFrame, weights: DataFrame, weight: Column) -> DataFrame:
+    """``qid, at, w`` of questions, as arrays."""
+    return stored(best.packed(terms.join(weights, "at").select("qid", "at", weight.alias("w")), "qid"), "asked")
+
+
+def _bm25_vectors(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    weight = F.transform("tf", lambda tf: scores.bm25_weight(tf, F.col("dl"), F.col("avgdl")))
+    return rows.crossJoin(F.broadcast(stats)).select("doc_id", "at", weight.alias("w"))
+
+
 def bm25_top(corpus: DataFrame, queries: DataFrame, k: int, tokenizer: str = "w", dup_terms: bool = False, tie: str = "asc") -> DataFrame:
     """The first ``k`` of ``bm25_scores``, ranked, without a row for any other pair."""
-    weighed, asked = _weighed(corpus, queries, tokenizer, dup_terms)
-    asked = asked.select("qid", "at", (F.col("idf") * F.col("qtf")).alias("w"))
-    return top_k(best.best(best.packed(weighed, "doc_id"), best.packed(asked, "qid"), k, tie), k, tie)
+    rows, terms, stats = _counted(corpus, queries, tokenizer, dup_terms)
+    idf = _frequencies(rows, "at", "at").crossJoin(F.broadcast(stats)).select("at", scores.idf(F.col("n_docs"), F.col("df")).alias("idf"))
+    return top_k(best.best(_bm25_vectors(rows, stats), _asked(terms, idf, F.col("idf") * F.col("qtf")), k, tie), k, tie)
 
 
 def okapi_scores(corpus: DataFrame, queries: DataFrame, tokenizer: str = "w", epsilon: float = 0.25) -> DataFrame:
@@ -108,6 +201,28 @@ def okapi_scores(corpus: DataFrame, queries: DataFrame, tokenizer: str = "w", ep
     return hits.groupBy("qid", "doc_id").agg(F.round(F.sum(weight), DIGITS).alias("score"))
 
 
+def okapi_top(corpus: DataFrame, queries: DataFrame, k: int, tokenizer: str = "w", epsilon: float = 0.25) -> DataFrame:
+    """The first ``k`` of ``okapi_scores``, ranked, without a row for any other pair.
+
+    Scores of 0 or less only come from words that weigh no more. Questions that have one, and fewer than ``k`` documents
+    above 0, are scored by themselves.
+    """
+    rows, terms, stats = _counted(corpus, queries, tokenizer, True, every=True)
+    plain = F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+    idf = lambda df: df.crossJoin(F.broadcast(stats)).withColumn("idf", plain)
+    mean = idf(_frequencies(rows, "toks", "tok")).agg((F.avg("idf") * epsilon).alias("floor"))
+    own = idf(_frequencies(rows, "at", "at")).crossJoin(F.broadcast(mean))
+    own = stored(own.select("at", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf")), "idf")
+    found = top_k(best.best(_bm25_vectors(rows, stats), _asked(terms, own, F.col("idf") * F.col("qtf")), k), k)
+    low = own.where("idf <= 0")
+    if low.isEmpty():
+        return found
+    found = stored(found, "found")
+    short = terms.join(low, "at").select("qid").distinct().join(found.groupBy("qid").count().where(F.col("count") >= k), "qid", "left_anti")
+    rest = top_k(okapi_scores(corpus, queries.join(short, "qid", "left_semi"), tokenizer, epsilon), k)
+    return found.join(short, "qid", "left_anti").select(rest.columns).unionAll(rest)
+
+
 def ranked(found: DataFrame, tie: str = "asc") -> DataFrame:
     """``rank`` per question by score, then by id ascending or descending."""
     last = F.col("doc_id").asc() if tie == "asc" else F.col("doc_id").desc()
@@ -183,6 +298,61 @@ def tfidf_cosine(corpus: DataFrame, queries: DataFrame, tokenizer: str = "a") ->
     return dots.join(norms, "doc_id").join(qn, "qid").select("qid", "doc_id", F.round(scores.cosine(F.col("d"), F.col("dn"), F.col("qn")), DIGITS).alias("score"))
 
 
+def _norms(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """``doc_id, norm`` of the documents' vectors. Words that many documents have are broadcast, fewer than ``WORDS``; others are shuffled."""
+    total = words.agg(F.sum("df")).first()[0] or 0
+    hot = F.broadcast(words.where(F.col("df") * WORDS > total).select("key", "idf"))
+    each = _entries(rows, "toks", "tfs", "doc_id", "dl")
+    cold = each.join(hot, "key", "left_anti").join(words.where(F.col("df") * WORDS <= total).select("key", "idf").hint("merge"), "key")
+    square = F.pow(F.col("tf") / F.col("dl") * F.col("idf"), 2)
+    part = lambda df: df.groupBy("doc_id").agg(F.sum(square).alias("s"))
+    return part(each.join(hot, "key")).unionAll(part(cold)).groupBy("doc_id").agg(F.sqrt(F.sum("s")).alias("norm"))
+
+
+def _tfidf(corpus: DataFrame, queries: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, at, w, norm`` and ``qid, at, w, norm``: vectors in places that some question has, and how long they are in all places."""
+    rows, terms, stats = _counted(corpus, queries, tokenizer, True, every=True)
+    n = F.broadcast(stats.select("n_docs"))
+    idf = lambda df: df.crossJoin(n).withColumn("idf", scores.smoothed_idf(F.col("n_docs"), F.col("df")))
+    norms = stored(_norms(rows, stored(idf(_frequencies(rows, "toks", "key")), "words")), "norms")
+    own = stored(idf(_frequencies(rows, "at", "at")).select("at", "idf"), "idf")
+    # Words that no document has count for a question's length, as it stands in its weights.
+    ql = terms.groupBy("qid").agg(F.sum("qtf").alias("ql"))
+    q = terms.join(ql, "qid").join(own, "at").select("qid", "at", (F.col("qtf") / F.col("ql") * F.col("idf")).alias("w"))
+    asked = best.packed(q, "qid").where("qid IS NOT NULL").withColumn("norm", F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x)))
+    each = _entries(rows.where("size(at) > 0"), "at", "tf", "doc_id", "dl").withColumnRenamed("key", "at")
+    return stored(best.packed(each.join(F.broadcast(own) if own.count() <= WORDS else own, "at").select("doc_id", "at", (F.col("tf") / F.col("dl") * F.col("idf")).alias("w")), "doc_id").join(norms, "doc_id"), "vectors"), stored(asked, "asked")
+
+
+def tfidf_top(corpus: DataFrame, queries: DataFrame, k: int, tokenizer: str = "a") -> DataFrame:
+    """The first ``k`` of ``tfidf_cosine``, ranked, without a row for any other pair."""
+    return _tfidf_first(*_tfidf(corpus, queries, tokenizer), k)
+
+
+def _tfidf_first(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    return top_k(best.best(docs, asked, k), k)
+
+
+def _tfidf_pairs(docs: DataFrame, asked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``qid, doc_id, score`` of given pairs alone, those that share a term."""
+    q = asked.select("qid", F.arrays_zip("at", "w").alias("q"), F.col("norm").alias("qn"))
+    d = docs.select("doc_id", F.arrays_zip("at", "w").alias("d"), F.col("norm").alias("dn"))
+    both = pairs.select("qid", "doc_id").distinct().join(d, "doc_id").join(q, "qid").select("qid", "doc_id", "q", "qn", "dn", F.explode("d").alias("d"))
+    both = both.select("qid", "doc_id", "qn", "dn", "d", F.explode(F.filter("q", lambda x: x["at"] == F.col("d.at"))).alias("q"))
+    dots = both.groupBy("qid", "doc_id", "qn", "dn").agg(F.sum(F.col("d.w") * F.col("q.w")).alias("dot"))
+    return dots.select("qid", "doc_id", F.round(scores.cosine(F.col("dot"), F.col("dn"), F.col("qn")), DIGITS).alias("score"))
+
+
+def pooled(corpus: DataFrame, queries: DataFrame, k: int, first: int | None = None) -> DataFrame:
+    """The first ``k`` by BM25, then by TF-IDF; with ``first``, so many of them, in the order of their cosines."""
+    vectors = _tfidf(corpus, queries, "a")
+    pool = pool_union(bm25(corpus, queries, k), _tfidf_first(*vectors, k))
+    if first is None:
+        return pool
+    pool = stored(pool, "pool")
+    return rerank(pool, _tfidf_pairs(*vectors, pool)).where(F.col("rank") <= first)
+
+
 # -- dense vectors -----------------------------------------------------------------------------------
 
 

@@ -67,8 +67,8 @@ def _defaults() -> None:
 
     register_retriever("bm25", lambda c, q, k: relevance.bm25(c, q, k))
     register_retriever("bm25_terms", lambda c, q, k: relevance.bm25(c, q, k, tokenizer="a", dup_terms=True))
-    register_retriever("okapi", lambda c, q, k: relevance.top_k(relevance.okapi_scores(c, q), k))
-    register_retriever("tfidf", lambda c, q, k: relevance.top_k(relevance.tfidf_cosine(c, q), k))
+    register_retriever("okapi", lambda c, q, k: relevance.okapi_top(c, q, k))
+    register_retriever("tfidf", lambda c, q, k: relevance.tfidf_top(c, q, k))
 
 
 _defaults()

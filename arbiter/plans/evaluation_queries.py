@@ -12,7 +12,7 @@ from arbiter.sources.io import table
 
 
 def okapi_top5(spark: SparkSession, d: str) -> DataFrame:
-    return relevance.top_k(relevance.okapi_scores(corpus(spark, d), questions(spark, d)), 5).select("qid", "rank", "doc_id", "score")
+    return relevance.okapi_top(corpus(spark, d), questions(spark, d), 5).select("qid", "rank", "doc_id", "score")
 
 
 def pairs(spark, d) -> DataFrame:

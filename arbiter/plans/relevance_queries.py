@@ -99,7 +99,7 @@ def collection_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tfidf_top5(spark: SparkSession, d: str) -> DataFrame:
-    return relevance.top_k(relevance.tfidf_cosine(corpus(spark, d), questions(spark, d)), 5).select(OUT)
+    return relevance.tfidf_top(corpus(spark, d), questions(spark, d), 5).select(OUT)
 
 
 def dense_top5(spark: SparkSession, d: str) -> DataFrame:
@@ -171,19 +171,12 @@ def entity_probe_top10(spark: SparkSession, d: str) -> DataFrame:
     return relevance.entity_probe(docs, q, ["lang", "source"], 10).select("qid", "doc_id", "rank")
 
 
-def _bm25_20(spark, d):
-    return relevance.bm25(corpus(spark, d), questions(spark, d), 20)
-
-
 def pool_union(spark: SparkSession, d: str) -> DataFrame:
-    dense = relevance.top_k(relevance.tfidf_cosine(corpus(spark, d), questions(spark, d)), 20)
-    return relevance.pool_union(_bm25_20(spark, d), dense)
+    return relevance.pooled(corpus(spark, d), questions(spark, d), 20)
 
 
 def pool_rerank(spark: SparkSession, d: str) -> DataFrame:
-    cosine = relevance.tfidf_cosine(corpus(spark, d), questions(spark, d))
-    pool = relevance.pool_union(_bm25_20(spark, d), relevance.top_k(cosine, 20))
-    return relevance.rerank(pool, cosine).where("rank <= 5").select("qid", "doc_id", "rank")
+    return relevance.pooled(corpus(spark, d), questions(spark, d), 20, 5).select("qid", "doc_id", "rank")
 
 
 def gold_ranks(spark: SparkSession, d: str) -> DataFrame:
