@@ -134,14 +134,22 @@ def _counted(corpus: DataFrame, queries: DataFrame, tokenizer: str, dup_terms: b
     terms = stored(query_terms(queries, tokenizer, dup_terms), "terms")
     numbers = stored(terms.select("tok").distinct().select("tok", F.monotonically_increasing_id().alias("at")), "numbers")
     few = numbers.count() <= WORDS
-    wanted, every = (numbers if few else numbers.limit(0)).toArrow(), every or not few
+    rows, stats = _texts(corpus, tokenizer, numbers if few else numbers.limit(0), every or not few)
+    if not few or _repeated(rows):
+        rows = stored(_merged(rows, numbers, every or not few), "merged")
+    return rows, terms.join(numbers, "tok"), stats
+
+
+def _texts(corpus: DataFrame, tokenizer: str, numbers: DataFrame, every: bool) -> tuple[DataFrame, DataFrame]:
+    """Counts of each row of the corpus, and its statistics."""
     doc = corpus.schema["doc_id"].dataType.simpleString()
     kinds = f"doc_id {doc}, dl long, at array<long>, tf array<int>" + ", toks array<string>, tfs array<int>" * every
-    rows = stored(corpus.select("doc_id", TOKENIZERS[tokenizer]("text").alias("toks")).mapInArrow(_counts(wanted, every, kinds), kinds), "counts")
-    stats = rows.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    if not few or not rows.groupBy("doc_id").count().where("count > 1").isEmpty():
-        rows = stored(_merged(rows, numbers, every), "merged")
-    return rows, terms.join(numbers, "tok"), stats
+    rows = stored(corpus.select("doc_id", TOKENIZERS[tokenizer]("text").alias("toks")).mapInArrow(_counts(numbers.toArrow(), every, kinds), kinds), "counts")
+    return rows, rows.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+
+
+def _repeated(rows: DataFrame) -> bool:
+    return not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
 def _merged(rows: DataFrame, numbers: DataFrame, every: bool) -> DataFrame:
@@ -167,6 +175,15 @@ def _frequencies(rows: DataFrame, key: str, name: str) -> DataFrame:
     return rows.select(F.explode(key).alias(name)).groupBy(name).agg(F.count("*").alias("df"))
 
 
+def _summed(each: DataFrame, words: DataFrame, value: Column, *keys: str) -> DataFrame:
+    """``s``, the sum of a value of rows and their words' ``key, df, idf``. Words that many documents have are broadcast, fewer than ``WORDS``; others are shuffled."""
+    total = words.agg(F.sum("df")).first()[0] or 0
+    hot = F.broadcast(words.where(F.col("df") * WORDS > total).select("key", "idf"))
+    cold = each.join(hot, "key", "left_anti").join(words.where(F.col("df") * WORDS <= total).select("key", "idf").hint("merge"), "key")
+    part = lambda df: df.groupBy(*keys).agg(F.sum(value).alias("s"))
+    return part(each.join(hot, "key")).unionAll(part(cold)).groupBy(*keys).agg(F.sum("s").alias("s"))
+
+
 def _asked(terms: DataFrame, weights: DataFrame, weight: Column) -> DataFrame:
     """``qid, at, w`` of questions, as arrays."""
     return stored(best.packed(terms.join(weights, "at").select("qid", "at", weight.alias("w")), "qid"), "asked")
@@ -259,18 +276,51 @@ def filled(top: DataFrame, corpus: DataFrame, queries: DataFrame, k: int) -> Dat
     return top.select("qid", "doc_id", "score", "rank").unionAll(rest)
 
 
-def bm25_pairs(pairs: DataFrame, corpus: DataFrame, tokenizer: str = "l2") -> DataFrame:
+def _shared(kinds: str):
+    """Of each pair's document the words that its question has."""
+    schema = to_arrow_schema(StructType.fromDDL(kinds))
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(lo, TEXTS)
+                asked, toks, tfs = (part.column(c) for c in (3, 4, 5))
+                words = toks.flatten().dictionary_encode()
+                own = pc.index_in(asked.flatten(), value_set=words.dictionary.cast(asked.type.value_type)).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = lambda c: np.repeat(np.arange(len(c)), np.asarray(pc.list_value_length(c)))
+                width, at = max(1, len(words.dictionary)), row(toks)
+                both = np.isin(at * width + words.indices.to_numpy(), (row(asked) * width + own)[own >= 0])
+                columns = [part.column(c).take(pa.array(at[both])) for c in (0, 1, 2)] + [toks.flatten().filter(pa.array(both)), tfs.flatten().filter(pa.array(both))]
+                yield pa.record_batch([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def pair_words(pairs: DataFrame, tokenizer: str = "l2") -> DataFrame:
+    """``qid, doc_id, words`` of ``qid, query, doc_id``: each pair once, with its question's words."""
+    words = F.array_distinct(F.flatten(F.transform("queries", TOKENIZERS[tokenizer])))
+    asked = pairs.groupBy("qid").agg(F.collect_set("query").alias("queries")).select("qid", words.alias("words"))
+    return stored(pairs.select("qid", "doc_id").distinct().join(asked, "qid"), "wanted")
+
+
+def bm25_pairs(pairs: DataFrame, corpus: DataFrame, tokenizer: str = "l2", wanted: DataFrame | None = None) -> DataFrame:
     """Scores of given ``qid, query, doc_id`` pairs only; pairs without a shared term score 0.
 
-    Terms meet their own document only, so that as many questions as documents cost no pair of others.
+    Texts are split once. A pair meets its own document as a whole, and only words that both have become rows.
+    ``wanted`` are the ``pair_words``, where several corpora are asked.
     """
-    terms = query_terms(pairs.select("qid", "query").distinct(), tokenizer)
-    wanted = pairs.select("qid", "doc_id").distinct().join(terms, "qid")
-    tf = postings(corpus, tokenizer)
-    df = tf.groupBy("tok").agg(F.count("*").alias("df"))
-    hits = wanted.join(tf, ["doc_id", "tok"]).join(df, "tok").join(lengths(corpus, tokenizer), "doc_id").crossJoin(F.broadcast(collection_stats(corpus, tokenizer)))
-    weight = scores.idf(F.col("n_docs"), F.col("df")) * scores.bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))
-    found = hits.groupBy("qid", "doc_id").agg(F.round(F.sum(weight * F.col("qtf")), DIGITS).alias("score"))
+    nothing = corpus.sparkSession.createDataFrame([], "tok string, at long")
+    rows, stats = _texts(corpus, tokenizer, nothing, True)
+    if _repeated(rows):
+        rows = stored(_merged(rows, nothing, True), "merged")
+    wanted = pair_words(pairs, tokenizer) if wanted is None else wanted
+    kind = lambda c: wanted.schema[c].dataType.simpleString()
+    kinds = f"qid {kind('qid')}, doc_id {kind('doc_id')}, dl long, key string, tf int"
+    both = wanted.join(rows, "doc_id").select("qid", "doc_id", "dl", "words", "toks", "tfs")
+    idf = _frequencies(rows, "toks", "key").crossJoin(F.broadcast(stats)).withColumn("idf", scores.idf(F.col("n_docs"), F.col("df")))
+    each = stored(both.mapInArrow(_shared(kinds), kinds).crossJoin(F.broadcast(stats)), "shared")
+    found = _summed(each, stored(idf, "words"), F.col("idf") * scores.bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl")), "qid", "doc_id")
+    found = found.select("qid", "doc_id", F.round("s", DIGITS).alias("score"))
     return pairs.select("qid", "doc_id").join(found, ["qid", "doc_id"], "left").select("qid", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -299,14 +349,9 @@ def tfidf_cosine(corpus: DataFrame, queries: DataFrame, tokenizer: str = "a") ->
 
 
 def _norms(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """``doc_id, norm`` of the documents' vectors. Words that many documents have are broadcast, fewer than ``WORDS``; others are shuffled."""
-    total = words.agg(F.sum("df")).first()[0] or 0
-    hot = F.broadcast(words.where(F.col("df") * WORDS > total).select("key", "idf"))
-    each = _entries(rows, "toks", "tfs", "doc_id", "dl")
-    cold = each.join(hot, "key", "left_anti").join(words.where(F.col("df") * WORDS <= total).select("key", "idf").hint("merge"), "key")
+    """``doc_id, norm`` of the documents' vectors."""
     square = F.pow(F.col("tf") / F.col("dl") * F.col("idf"), 2)
-    part = lambda df: df.groupBy("doc_id").agg(F.sum(square).alias("s"))
-    return part(each.join(hot, "key")).unionAll(part(cold)).groupBy("doc_id").agg(F.sqrt(F.sum("s")).alias("norm"))
+    return _summed(_entries(rows, "toks", "tfs", "doc_id", "dl"), words, square, "doc_id").select("doc_id", F.sqrt("s").alias("norm"))
 
 
 def _tfidf(corpus: DataFrame, queries: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame]:

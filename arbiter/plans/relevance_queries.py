@@ -209,11 +209,12 @@ def labels_wilson(spark: SparkSession, d: str) -> DataFrame:
 
 def _thirds(spark, d) -> DataFrame:
     """``id, query, disclosure, patch``: the thirds of every document's words; no word is cut or left out."""
-    w = F.split(F.coalesce("text", F.lit("")), r"\s+")
-    n = F.size(w)
+    # A column of its own, as a text is split once then, not at each use.
+    split = table(spark, d, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), r"\s+").alias("w"))
+    w, n = F.col("w"), F.size("w")
     a, b = F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int")
     part = lambda lo, hi: F.array_join(F.slice(w, lo + 1, hi - lo), " ")
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), part(F.lit(0), a).alias("query"), part(a, b).alias("disclosure"), part(b, n).alias("patch"))
+    return split.select(F.col("doc_id").alias("id"), part(F.lit(0), a).alias("query"), part(a, b).alias("disclosure"), part(b, n).alias("patch"))
 
 
 def jaccard_gap(spark: SparkSession, d: str) -> DataFrame:
@@ -227,7 +228,8 @@ def jaccard_summary(spark: SparkSession, d: str) -> DataFrame:
 def bm25_gap(spark: SparkSession, d: str) -> DataFrame:
     t = _thirds(spark, d)
     q = t.select(F.col("id").alias("qid"), "query", F.col("id").alias("doc_id"))
-    one = lambda c: relevance.bm25_pairs(q, t.select(F.col("id").alias("doc_id"), F.col(c).alias("text")))
+    wanted = relevance.pair_words(q)
+    one = lambda c: relevance.bm25_pairs(q.drop("query"), t.select(F.col("id").alias("doc_id"), F.col(c).alias("text")), wanted=wanted)
     return vocab.bm25_gap(one("disclosure"), one("patch"))
 
 
