@@ -16,6 +16,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,7 +25,8 @@ from pyspark.sql.types import StructType
 
 from arbiter.functions import scores
 from arbiter.functions.text import TOKENIZERS
-from arbiter.operators import relevance
+from arbiter.operators import best, relevance
+from arbiter.sources.shared import stored
 
 #: Postings of a block, folders that words are dealt to, places for a word that all texts have, and postings that a task holds.
 BLOCK, BUCKETS, PLACES, HELD = 128, 32, 64, 1 << 20
@@ -93,36 +95,52 @@ def _lists(kinds: str):
 def _blocks(kinds: str):
     schema = _schema(kinds)
 
-    def cut(bucket, tok, parts):
-        """Blocks of a word's lists, the heaviest postings first."""
-        docs = pa.concat_arrays([p[0] for p in parts])
-        tf, dl = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
-        if tok is None:
-            return [[bucket, tok, [], tf.tolist(), dl.tolist(), 0, 0, 0]]
-        order = np.lexsort((np.arange(len(tf)), -(tf / (tf + dl))))
-        docs, tf, dl = docs.take(pa.array(order)).to_pylist(), tf[order], dl[order]
-        return [[bucket, tok, docs[i : i + BLOCK], tf[i : i + BLOCK].tolist(), dl[i : i + BLOCK].tolist(), len(tf[i : i + BLOCK]), int(tf[i : i + BLOCK].max()), int(dl[i : i + BLOCK].min())] for i in range(0, len(tf), BLOCK)]
-
-    def batch_of(done):
-        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
+    def batch_of(*columns):
+        return pa.record_batch([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def cut(rows):
+        """Blocks of each word's lists, the heaviest postings first."""
+        words = rows["tok"].combine_chunks().dictionary_encode()
+        code = words.indices.to_numpy().astype(np.int64)
+        docs, tf, dl = (rows[c].combine_chunks().flatten() for c in ("docs", "tfs", "dls"))
+        tf, dl = tf.to_numpy().astype(np.int64), dl.to_numpy().astype(np.int64)
+        word = np.repeat(code, pc.list_value_length(rows["tfs"].combine_chunks()).to_numpy())
+        order = np.lexsort((-(tf / (tf + dl)), word))
+        word, tf, dl = word[order], tf[order], dl[order]
+        place = np.arange(len(word)) - np.searchsorted(word, word)
+        first = np.flatnonzero(place % BLOCK == 0)
+        at = np.append(first, len(word))
+        bucket = rows["bucket"].combine_chunks().take(pa.array(np.searchsorted(code, word[first])))
+        lists = [_listed(v, at, schema.field(c).type) for c, v in (("docs", docs.take(pa.array(order))), ("tfs", pa.array(tf.astype(np.int32))), ("dls", pa.array(dl.astype(np.int32))))]
+        numbers = [pa.array(x.astype(np.int32)) for x in (np.diff(at), np.maximum.reduceat(tf, first), np.minimum.reduceat(dl, first))]
+        return batch_of(bucket, words.dictionary.take(pa.array(word[first])), *lists, *numbers)
 
     def run(batches):
-        key, parts, held, done, waiting = None, [], 0, [], 0
+        waiting, held = [], 0
         for batch in batches:
-            for i, now in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if parts and (now != key or held >= HELD):
-                    done += cut(*key, parts)
-                    waiting, parts, held = waiting + held, [], 0
-                    if waiting >= HELD:
-                        yield batch_of(done)
-                        done, waiting = [], 0
-                key = now
-                parts.append((batch.column(2)[i].values, *(batch.column(c)[i].values.to_numpy().astype(np.int64) for c in (3, 4))))
-                held += max(1, len(parts[-1][1]))
-        if parts:
-            done += cut(*key, parts)
-        if done:
-            yield batch_of(done)
+            told = batch.filter(pc.is_null(batch.column(1)))
+            if told.num_rows:
+                sums = [told.column(c).flatten() for c in (3, 4)]
+                yield batch_of(told.column(0)[:1], told.column(1)[:1], told.column(2)[:1], *(_listed(x, np.array([0, len(x)]), schema.field(c).type) for x, c in zip(sums, ("tfs", "dls"), strict=True)), *[pa.array([0])] * 3)
+            batch = batch.filter(pc.is_valid(batch.column(1)))
+            if not batch.num_rows:
+                continue
+            waiting.append(batch)
+            held += len(batch.column(3).flatten())
+            if held < HELD:
+                continue
+            rows = pa.Table.from_batches(waiting)
+            # The last word may go on; one of very many postings is cut all the same.
+            start = pc.index(rows["tok"], rows["tok"][-1]).as_py()
+            rest = rows.slice(start)
+            if start and (left := pc.sum(pc.list_value_length(rest["tfs"])).as_py()) < HELD:
+                yield cut(rows.slice(0, start))
+                waiting, held = rest.to_batches(), left
+            else:
+                yield cut(rows)
+                waiting, held = [], 0
+        if waiting:
+            yield cut(pa.Table.from_batches(waiting))
 
     return run
 
@@ -133,42 +151,49 @@ def statistics(spark: SparkSession, path: str) -> DataFrame:
     return s.agg(F.sum("n_docs").alias("n_docs"), F.try_divide(F.sum("total"), F.sum("n_docs")).alias("avgdl"))
 
 
-def _wanted(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
-    """Blocks of the searched words, with the bound that each gives to a question."""
+def _needed(spark: SparkSession, path: str, queries: DataFrame, k: int, tokenizer: str, dup_terms: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks of the searched words, those that can lift a document to the first ``k`` of some question, and ``qid, tok, weight``.
+
+    A block bounds a document's weight the same way for every question, so blocks meet words and no questions.
+    """
     live = F.broadcast(spark.read.parquet(f"{path}/stats").select("segment"))  # a row for each addition
     blocks = spark.read.parquet(f"{path}/blocks").join(live, "segment", "left_semi")
-    named = terms.withColumn("bucket", _bucket("tok"))
-    hits = blocks.join(named.select("bucket", "tok").distinct(), ["bucket", "tok"], "left_semi")
-    df = hits.groupBy("tok").agg(F.sum("n").alias("df"))
-    weighed = terms.join(df, "tok").crossJoin(F.broadcast(statistics(spark, path)))
-    weighed = weighed.select("qid", "tok", _bucket("tok").alias("bucket"), "avgdl", (scores.idf(F.col("n_docs"), F.col("df")) * F.col("qtf")).alias("weight"))
-    bound = F.col("weight") * scores.bm25_weight(F.col("max_tf"), F.col("min_dl"), F.col("avgdl"))
-    return hits.join(weighed, ["bucket", "tok"]).withColumn("bound", bound)
-
-
-def _scored(blocks: DataFrame) -> DataFrame:
-    """``qid, doc_id, raw``: what the given blocks add up to."""
-    each = blocks.select("qid", "weight", "avgdl", F.explode(F.arrays_zip("docs", "tfs", "dls")).alias("p"))
+    terms = stored(relevance.query_terms(queries, tokenizer, dup_terms), "terms")
+    stats = F.broadcast(statistics(spark, path))
+    named = terms.select(_bucket("tok").alias("bucket"), "tok").distinct()
+    hits = blocks.join(named, ["bucket", "tok"], "left_semi").crossJoin(stats)
+    hits = hits.withColumn("unit", scores.bm25_weight(F.col("max_tf"), F.col("min_dl"), F.col("avgdl")))
+    heads = hits.groupBy("tok").agg(F.sum("n").alias("df"), F.max("unit").alias("unit"), F.max_by(F.struct("docs", "tfs", "dls"), F.struct("unit", "segment", F.col("docs")[0])).alias("b"))
+    heads = stored(heads.crossJoin(stats).select("*", scores.idf(F.col("n_docs"), F.col("df")).alias("idf")), "heads")
+    asked = terms.join(heads.select("tok", "unit", "idf"), "tok").select("qid", "tok", (F.col("idf") * F.col("qtf")).alias("weight"), (F.col("idf") * F.col("qtf") * F.col("unit")).alias("most"))
+    asked = stored(asked, "weights")
+    # What the best blocks of a question's words add up to, of no more postings than a block has for each.
+    best_of = asked.join(heads.select("tok", "avgdl", "b"), "tok").select("qid", "weight", "avgdl", F.explode(F.arrays_zip("b.docs", "b.tfs", "b.dls")).alias("p"))
     one = F.col("weight") * scores.bm25_weight(F.col("p.tfs"), F.col("p.dls"), F.col("avgdl"))
-    return each.groupBy("qid", F.col("p.docs").alias("doc_id")).agg(F.sum(one).alias("raw"))
+    reached = best_of.groupBy("qid", F.col("p.docs").alias("doc_id")).agg(F.sum(one).alias("raw"))
+    at = F.row_number().over(W.partitionBy("qid").orderBy(F.col("raw").desc()))
+    least = reached.withColumn("at", at).where(F.col("at") == k).select("qid", F.col("raw").alias("least"))
+    total = asked.groupBy("qid").agg(F.sum("most").alias("total"))
+    # What a document of the block can reach: the block's bound and the most of all other words.
+    floor = (F.coalesce("least", F.lit(0.0)) - (F.col("total") - F.col("most")) - 2 * ROUNDING) / F.col("weight")
+    limits = stored(asked.join(total, "qid").join(least, "qid", "left").groupBy("tok").agg(F.min(floor).alias("limit")), "limits")
+    return hits, hits.join(limits, "tok").where("unit >= limit"), asked.select("qid", "tok", "weight")
 
 
 def needed_blocks(spark: SparkSession, path: str, queries: DataFrame, k: int, tokenizer: str = "w", dup_terms: bool = False) -> tuple[DataFrame, DataFrame]:
     """All blocks of the searched words, and those that can lift a document to the first ``k``."""
-    every = _wanted(spark, path, relevance.query_terms(queries, tokenizer, dup_terms))
-    best = every.groupBy("qid", "tok").agg(F.max_by(F.struct("docs", "tfs", "dls", "weight", "avgdl"), F.struct("bound", "segment", F.col("docs")[0])).alias("b"), F.max("bound").alias("most"))
-    reached = _scored(best.select("qid", "b.*"))
-    at = F.row_number().over(W.partitionBy("qid").orderBy(F.col("raw").desc()))
-    least = reached.withColumn("at", at).where(F.col("at") == k).select("qid", F.col("raw").alias("least"))
-    total = best.groupBy("qid").agg(F.sum("most").alias("total"))
-    limits = best.select("qid", "tok", "most").join(total, "qid").join(least, "qid", "left")
-    # What a document of the block can reach: the block's bound and the most of all other words.
-    limits = limits.select("qid", "tok", (F.coalesce("least", F.lit(0.0)) - (F.col("total") - F.col("most")) - 2 * ROUNDING).alias("floor"))
-    return every, every.join(limits, ["qid", "tok"]).where("bound >= floor")
+    return _needed(spark, path, queries, k, tokenizer, dup_terms)[:2]
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int, tokenizer: str = "w", dup_terms: bool = False, tie: str = "asc") -> DataFrame:
-    """``qid, doc_id, score, rank``: the first ``k`` by BM25 for ``queries(qid, query)``."""
-    _, needed = needed_blocks(spark, path, queries, k, tokenizer, dup_terms)
-    found = _scored(needed).select("qid", "doc_id", F.round("raw", relevance.DIGITS).alias("score"))
-    return relevance.top_k(found, k, tie)
+    """``qid, doc_id, score, rank``: the first ``k`` by BM25 for ``queries(qid, query)``.
+
+    Postings of the needed blocks are put together by document, each once however many questions have its word.
+    """
+    _, needed, weights = _needed(spark, path, queries, k, tokenizer, dup_terms)
+    numbers = stored(weights.select("tok").distinct().select("tok", F.monotonically_increasing_id().alias("at")), "numbers")
+    each = needed.join(numbers, "tok").select("at", "avgdl", F.explode(F.arrays_zip("docs", "tfs", "dls")).alias("p"))
+    each = each.select(F.col("p.docs").alias("doc_id"), "at", scores.bm25_weight(F.col("p.tfs"), F.col("p.dls"), F.col("avgdl")).alias("w"))
+    docs = stored(best.packed(each, "doc_id"), "vectors")
+    asked = stored(best.packed(weights.join(numbers, "tok").select("qid", "at", F.col("weight").alias("w")), "qid"), "asked")
+    return relevance.top_k(best.best(docs, asked, k, tie), k, tie)
