@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from arbiter.operators import relevance
 
-#: Rows that centres are fitted on, the most lists, and rows of a piece.
-SAMPLE, LISTS, PIECE = 20_000, 256, 4096
+#: Rows that centres are fitted on, the most lists, rows and components of a piece, and products of questions with a piece at once.
+SAMPLE, LISTS, PIECE, VALUES, PRODUCTS = 20_000, 256, 20_000, 2_000_000, 4_000_000
 #: Questions that tell how many lists a stated recall takes.
 TRIALS = 256
 #: What rounding may add to a score: half of its last digit, twice.
@@ -46,6 +46,11 @@ class VectorIndex:
     lists: Lists
 
 
+def _piece(width: int) -> int:
+    """Rows of a piece, and questions that meet it together. The fewer pieces there are, the fewer times a vector travels."""
+    return max(1, min(PIECE, VALUES // max(1, width)))
+
+
 def _matrix(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -89,7 +94,7 @@ def build(vectors: DataFrame, path: str, lists: int | None = None, sample: int =
     n, radius, longest = (np.zeros(len(centres)) for _ in range(3))
     for r in dealt.groupBy("list").agg(F.count("*").alias("n"), F.max("away").alias("away"), F.max("length").alias("length")).collect():  # a row for each list
         n[r.list], radius[r.list], longest[r.list] = r.n, r.away, r.length
-    pieces = np.ceil(n / PIECE).astype(int)
+    pieces = np.ceil(n / _piece(width)).astype(int)
     of = F.element_at(F.array(*(F.lit(int(max(1, p))) for p in pieces)), F.col("list") + 1)
     return VectorIndex(dealt.select("list", F.pmod(F.xxhash64("doc_id"), of).cast("int").alias("piece"), "doc_id", "vector"), Lists(centres, radius, longest, pieces))
 
@@ -120,10 +125,17 @@ def _scored(index: VectorIndex, asked: DataFrame, blocks: int, k: int) -> DataFr
     rows = index.rows.join(wanted, (F.col("list") == F.col("of")) & (F.col("piece") == F.col("at"))).select("of", "at", "to", "doc_id", "vector")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        product = _matrix(left.column("vector")) @ _matrix(right.column("vector")).T if len(left) and len(right) else np.zeros((0, 0))
-        kth = np.partition(product, -k, 1)[:, -k, None] if product.shape[1] > k else -np.inf
-        q, d = np.nonzero(product >= kth - ROUNDING)
-        found = {"qid": left.column("qid").take(pa.array(q)), "doc_id": right.column("doc_id").take(pa.array(d)), "raw": product[q, d]}
+        parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if len(left) and len(right):
+            x, y = _matrix(left.column("vector")), _matrix(right.column("vector"))
+            step = max(1, PRODUCTS // len(y))
+            for at in range(0, len(x), step):
+                product = x[at : at + step] @ y.T
+                kth = np.partition(product, -k, 1)[:, -k, None] if product.shape[1] > k else -np.inf
+                q, d = np.nonzero(product >= kth - ROUNDING)
+                parts.append((q + at, d, product[q, d]))
+        q, d, raw = map(np.concatenate, zip(*parts, strict=True))
+        found = {"qid": left.column("qid").take(pa.array(q)), "doc_id": right.column("doc_id").take(pa.array(d)), "raw": raw}
         return pa.table(found | {"list": pa.array(np.full(len(q), left.column("list")[0].as_py() if len(left) else 0, np.int32))})
 
     kinds = f"qid {asked.schema['qid'].dataType.simpleString()}, doc_id {index.rows.schema['doc_id'].dataType.simpleString()}, raw double, list int"
@@ -132,7 +144,7 @@ def _scored(index: VectorIndex, asked: DataFrame, blocks: int, k: int) -> DataFr
 
 def _questions(index: VectorIndex, queries: DataFrame) -> tuple[DataFrame, int]:
     q = queries.select("qid", F.col("vector").cast("array<double>").alias("vector")).where(F.size("vector") == index.lists.centres.shape[1])
-    return q.withColumn("least", F.lit(float("-inf"))), max(1, math.ceil(q.count() / PIECE))
+    return q.withColumn("least", F.lit(float("-inf"))), max(1, math.ceil(q.count() / _piece(index.lists.centres.shape[1])))
 
 
 def _ranks(lists: Lists, x: np.ndarray) -> np.ndarray:
