@@ -13,14 +13,18 @@ least common shingle of two similar sets is either of the second kind, and so th
 first, and so they are a pair that is met in both plain prefixes; that pair is counted ``COMMON`` times, less
 the shingles of the second kind that both have in their prefixes. Other pairs go. A pair that stays is a group
 too. Frequent shingles that no plain prefix has, as of a passage in many documents, make no hub. Near copies
-share most of their shingles and so few hubs. A class's set travels once to each of its groups, not once for each shingle or pair, and
-there pairs are verified: a pair belongs to the least group that both are in, passes the length and the
-suffix filter and is then verified once, by exact intersection, unless links found before already join its
-classes. What comes out are spanning links, fewer than the group has classes, which give exactly the
-components of all links.
+share most of their shingles and so few hubs.
+
+What travels to a class's groups first is its bitmap, at most a sixteenth of its set: each shingle sets a bit, so
+what one class has alone is at least the bits that it alone has set. A pair belongs to the least group that both
+are in. Only classes with a pair there that passes the length and the bitmap filter stay in the group, and their
+sets alone travel to it, once for each such group. There pairs pass the length and the suffix filter and are then
+verified once, by exact intersection, unless links found before already join their classes. What comes out are
+spanning links, fewer than the group has classes, which give exactly the components of all links.
 
 A group is sorted by size, so that a set meets those alone whose sizes fit. A group of more than two beyond
-``GROUP`` shingles, where a member counts for ``MEMBER`` more, is dealt to chunks, each with the hub; classes that neither the hub nor
+``GROUP`` shingles, where a member counts for ``MEMBER`` more, is dealt to chunks. Bitmaps meet those of each chunk; sets, if those that
+stay are still as many, meet a leader in each chunk, the hub if it stays; classes that neither the leader nor
 its links in the chunk reach are then compared with the other chunks, block by block.
 
 Shingles are told apart by 64-bit hashes, sets by 128-bit digests. A text of fewer words is one shingle;
@@ -61,7 +65,7 @@ MEMBER = 200
 CUTS = 16
 
 
-_ROWS = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("hash", pa.int64()), ("class", pa.binary()), ("name", pa.int64()), ("n", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+_ROWS = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("hash", pa.int64()), ("class", pa.binary()), ("name", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -73,28 +77,49 @@ def name_of(d: bytes) -> int:
     return int.from_bytes(d[:8], "little", signed=True)
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A set's bits, packed: two to four for each shingle, a power of two, of which its low bits choose one."""
+    flags = np.zeros(1 << max(3, (2 * len(s) - 1).bit_length()), bool)
+    flags[(s & np.uint64(len(flags) - 1)).astype(np.int64)] = True
+    return np.packbits(flags)
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps as they are with so many bytes."""
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
+
+
 def _rows(batches):
-    """``doc_id, key, hash, class, name, n`` of every row, and then, in rows of their own, the task's part of the sketch.
+    """``doc_id, key, hash, class, name, n, bits`` of every row, and then, in rows of their own, the task's part of the sketch.
 
-    The sketch counts, for each place, the task's classes that have shingles there.
+    A class's first row of the task has its bitmap. The sketch counts, for each place, the task's classes that have shingles there.
     """
     counts, seen = np.zeros(1 << SKETCH, np.int32), set()
     for batch in slices(batches, 1024, 1 << 22):
         sets = [shingle_set(t) for t in binary_texts(batch.column(3))]
         digests = [digest(x) if len(x) else None for x in sets]
-        places = [(x >> np.uint64(64 - SKETCH)).astype(np.int64) for x, d in zip(sets, digests, strict=True) if d and not (d in seen or seen.add(d))]
+        first = [d is not None and not (d in seen or seen.add(d)) for d in digests]
+        places = [(x >> np.uint64(64 - SKETCH)).astype(np.int64) for x, new in zip(sets, first, strict=True) if new]
         if places:
             counts += np.bincount(np.concatenate(places), minlength=1 << SKETCH).astype(np.int32)
         none = pa.nulls(len(sets))
-        columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(digests, pa.binary()), pa.array([d and name_of(d) for d in digests], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())]
+        columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(digests, pa.binary()), pa.array([d and name_of(d) for d in digests], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([bitmap(x).tobytes() if new else None for x, new in zip(sets, first, strict=True)], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())]
         yield pa.record_batch(columns, schema=_ROWS)
     blocks = [k for k in range((1 << SKETCH) // _BLOCK) if counts[k * _BLOCK : (k + 1) * _BLOCK].any()]
     columns = [pa.nulls(len(blocks)).cast(f.type) for f in list(_ROWS)[:-2]]
-    yield pa.record_batch([*columns, pa.array(blocks, pa.int32()), pa.array([counts[k * _BLOCK : (k + 1) * _BLOCK].tobytes() for k in blocks], pa.binary())], schema=_ROWS)
+    yield pa.record_batch([*columns, pa.array(blocks, pa.int32()), pa.array([_packed(counts[k * _BLOCK : (k + 1) * _BLOCK]) for k in blocks], pa.binary())], schema=_ROWS)
+
+
+def _packed(block: np.ndarray) -> bytes:
+    """A block's counts in as few bytes each as the largest takes."""
+    return block.astype(np.min_scalar_type(block.max())).tobytes()
 
 
 def _add_blocks(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in table.column("counts").to_pylist())
+    total = sum(np.frombuffer(x, f"u{len(x) // _BLOCK}").astype(np.int64) for x in table.column("counts").to_pylist())
     return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
@@ -341,6 +366,71 @@ def spanning_links(hub: int, group: list[Member], across: bool = False) -> tuple
     return links, label[np.argsort(order)]
 
 
+class Candidate:
+    """A class within a group by its bitmap: its row, size, hubs, and the chunk of the group that it is in."""
+
+    __slots__ = ("bits", "chunk", "hubs", "n", "row")
+
+    def __init__(self, row: int, n: int, hubs: list[int], bits: bytes, chunk: int = 0):
+        self.row, self.n, self.hubs, self.bits, self.chunk = row, n, frozenset(hubs), np.frombuffer(bits, np.uint8), chunk
+
+
+def promising(hub: int, group: list[Candidate]) -> list[int]:
+    """Rows of the classes that, by size and bitmap, can be similar to one with which the group has charge of their pair.
+
+    Of two chunks, only pairs of both are looked at.
+    """
+    n, chunk = np.array([c.n for c in group]), np.array([c.chunk for c in group])
+    two = (chunk != chunk[0]).any()
+    width = np.array([len(c.bits) for c in group])
+    same = {w: np.flatnonzero(width == w) for w in set(width.tolist())}
+    maps = {w: np.stack([group[j].bits for j in at]) for w, at in same.items()}
+    maps = {(w, size): folded(m, size) for w, m in maps.items() for size in (w, w // 2) if size}
+    number = {}
+    kind = np.array([number.setdefault(c.hubs, len(number)) for c in group])
+    found = np.zeros(len(group), bool)
+    for i, c in enumerate(group):
+        # Sizes that fit differ by less than two, and so do bitmaps' by two at most.
+        for w in () if found[i] else (len(c.bits) // 2, len(c.bits), 2 * len(c.bits)):
+            if w not in same:
+                continue
+            js, size = same[w], min(w, len(c.bits))
+            ok = _fits(n[js], c.n) & ((chunk[js] != chunk[i]) if two else (js != i))
+            js, mine, theirs = js[ok], folded(c.bits, size), maps[w, size][ok]
+            # What one alone has is at least the bits that it alone has set.
+            common = np.minimum(c.n - np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64), n[js] - np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64))
+            js = js[(NUM + DEN) * common >= NUM * (n[js] + c.n)]
+            # One of each set of hubs tells for all of them.
+            for j in js[np.unique(kind[js], return_index=True)[1]].tolist():
+                if min(c.hubs & group[j].hubs) == hub:
+                    found[i] = found[j] = True
+                    break
+            if found[i]:
+                break
+    return [c.row for c, yes in zip(group, found.tolist(), strict=True) if yes]
+
+
+def _promising(batches):
+    """Rows ``hub, cell, row, n, hubs, bits, chunk`` in the order of the first two to ``hub, row`` of those that are promising."""
+    key, group, out = None, [], []
+
+    def made():
+        return pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["hub", "row"])
+
+    for batch in slices(batches, 1024, 1 << 22):
+        for hub, cell, *member in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            if (hub, cell) != key:
+                out += [(key[0], row) for row in promising(key[0], group)] if group else []
+                key, group = (hub, cell), []
+            group.append(Candidate(*member))
+        if len(out) > 20_000:
+            yield made()
+            out = []
+    if group:
+        out += [(key[0], row) for row in promising(key[0], group)]
+    yield made()
+
+
 _FOUND = "a long, b long, rest_of long"
 
 
@@ -352,7 +442,7 @@ def _grouped(across: bool, lead_only: bool):
     """
 
     def done(hub, group):
-        # The hub leads: most of a group of near copies are joined with it.
+        # The hub leads, or who stands for it: most of a group of near copies are joined with it.
         if lead_only:
             group.sort(key=lambda m: m.part == CHUNK)
         links, label = spanning_links(hub, group, across)
@@ -399,8 +489,8 @@ def class_links(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame,
     spark = docs.sparkSession
     hashed = docs.select("doc_id", "key", F.xxhash64("text").alias("hash"), "text")
     kinds = "doc_id long, key binary, hash long, class binary, name long, n long"
-    made = work.save(hashed.mapInArrow(_rows, kinds + ", block int, counts binary").withColumn("row", F.monotonically_increasing_id()))
-    rows = made.where("block IS NULL").drop("block", "counts")
+    made = work.save(hashed.mapInArrow(_rows, kinds + ", bits binary, block int, counts binary").withColumn("row", F.monotonically_increasing_id()))
+    rows = made.where("block IS NULL").drop("bits", "block", "counts")
     total = rows.where("class IS NOT NULL").agg(F.sum(F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1)).first()[0] or 0
     # A class's row is its first; the text of that row is where its set comes from.
     first = F.min(F.struct("row", "doc_id", "hash", "name", "n")).alias("at")
@@ -411,7 +501,6 @@ def class_links(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame,
     hot = _Held(counts - 4 * int(counts.mean()) > HOT_ROWS)
     under = work.save(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared(hot), "kind byte, x long, y long, n long, plain long"))
     work.free()
-    sizes = classes.groupBy("name").agg(F.max("n").alias("n"))
     loose = under.where(F.col("kind") == LOOSE).select(F.col("x").alias("token"), F.col("y").alias("name"))
     lead = loose.groupBy("token").agg(F.expr("min_by(name, xxhash64(name))").alias("hub"), F.count("*").alias("k")).where("k > 1").select("token", "hub")
     own = under.where(F.col("kind") == HUB).select(F.col("x").alias("hub"), F.col("y").alias("name")).unionAll(loose.join(lead, "token").select("hub", "name"))
@@ -423,32 +512,49 @@ def class_links(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame,
     chosen = chosen.select(F.xxhash64("x", "y", F.lit("pair")).alias("hub"), F.explode(F.array("x", "y")).alias("name"))
     # One row for each class in a group: its groups are no more than its prefix has shingles, times ``FEW``.
     members = own.unionAll(chosen).groupBy("name").agg(F.sort_array(F.collect_set("hub")).alias("hubs"))
-    members = work.save(members.join(sizes, "name"))
+    needed = work.save(members.join(classes, "name").select("doc_id", "hash", "class", "row", "name", "n", "hubs"))
     work.drop(under)
-    weights = members.select(F.explode("hubs").alias("hub"), "n").groupBy("hub").agg(F.sum(F.col("n") + MEMBER).alias("weight"), F.count("*").alias("k")).where((F.col("weight") > GROUP) & (F.col("k") > 2))
-    large = work.save(weights.select("hub", F.ceil(F.col("weight") / GROUP).cast("long").alias("chunks")))
-    needed = work.save(members.select("name", "hubs").join(classes, "name").select("doc_id", "hash", "class", "row", "name", "hubs"))
-    work.drop(members)
+
+    def large_of(df: DataFrame, hubs: str) -> DataFrame:
+        """Groups of very many shingles by these hubs: in how many chunks, and which class leads them."""
+        weight, leads = F.sum(F.col("n") + MEMBER).alias("weight"), F.coalesce(F.max(F.when(F.col("name") == F.col("hub"), F.col("name"))), F.min("name")).alias("lead")
+        weights = df.select(F.explode(hubs).alias("hub"), "name", "n").groupBy("hub").agg(weight, leads, F.count("*").alias("k")).where((F.col("weight") > GROUP) & (F.col("k") > 2))
+        return work.save(weights.select("hub", F.ceil(F.col("weight") / GROUP).cast("long").alias("chunks"), "lead"))
+
+    # Bitmaps first; one of a large group meets those of each chunk.
+    large = large_of(needed, "hubs")
+    bits = made.where("bits IS NOT NULL").select("row", "bits").join(bounded(needed.select("row", "n", "hubs"), 100), "row")
+    bits = bits.select(F.explode("hubs").alias("hub"), "row", "n", "hubs", "bits")
+    bits = bits.withColumn("chunks", F.lit(1).cast("long")) if large.isEmpty() else bits.join(bounded(large, 24), "hub", "left").fillna(1, ["chunks"])
+    cells = F.expr("transform(sequence(0L, chunks - 1), x -> least(x, chunk) * chunks + greatest(x, chunk))")
+    bits = bits.withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks"))).withColumn("cell", F.explode(cells))
+    bits = bits.select("hub", "cell", "row", "n", "hubs", "bits", "chunk").repartition("hub", "cell").sortWithinPartitions("hub", "cell")
+    staying = work.save(bits.mapInArrow(_promising, "hub long, row long"))
+    work.free()
+    every = needed
+    needed = work.save(every.join(staying.groupBy("row").agg(F.collect_set("hub").alias("own")), "row"))
+    work.drop(every, staying, large)
+    large = large_of(needed, "own")
     some_large = not large.isEmpty()
 
     def sets(wanted: DataFrame) -> DataFrame:
-        side = bounded(wanted.withColumnRenamed("doc_id", "_id").withColumnRenamed("hash", "_hash"), 200)
+        side = bounded(wanted.drop("n").withColumnRenamed("doc_id", "_id").withColumnRenamed("hash", "_hash"), 200)
         found = hashed.select("doc_id", "hash", "text").join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
-        return found.select("text", "class", "row", "name", "hubs").mapInArrow(_fetched, "row long, name long, hubs array<long>, set binary")
+        return found.select("text", "class", "row", "name", "hubs", "own").mapInArrow(_fetched, "row long, name long, hubs array<long>, own array<long>, set binary")
 
     def grouped(placed: DataFrame, across: bool, lead_only: bool) -> DataFrame:
         dealt = placed.select("hub", "chunk", "row", "set", "hubs", "part").repartition("hub", "chunk")
         return work.save(dealt.sortWithinPartitions("hub", "chunk", "row").mapInArrow(_grouped(across, lead_only), _FOUND))
 
-    placed = sets(needed).select(F.explode("hubs").alias("hub"), "row", "set", "hubs")
-    placed = placed.join(bounded(large, 16), "hub", "left_anti") if some_large else placed
+    placed = sets(needed).select(F.explode("own").alias("hub"), "row", "set", "hubs")
+    placed = placed.join(bounded(large, 24), "hub", "left_anti") if some_large else placed
     links = grouped(placed.withColumn("chunk", F.lit(0).cast("long")).withColumn("part", F.lit(CHUNK)), False, False).select("a", "b")
     work.free()
     if some_large:
-        # Each chunk has the hub itself as its one member of the other part.
-        within = needed.withColumn("own", F.explode("hubs")).join(bounded(large, 16), F.col("own") == F.col("hub"), "left_semi").select(needed.columns).distinct()
-        big = work.save(sets(within)).select(F.explode("hubs").alias("hub"), "row", "name", "set", "hubs").join(bounded(large, 16), "hub")
-        is_hub = F.col("name") == F.col("hub")
+        # Each chunk has the leader as its one member of the other part.
+        within = needed.withColumn("hub", F.explode("own")).join(bounded(large, 24), "hub", "left_semi").select(needed.columns).distinct()
+        big = work.save(sets(within)).select(F.explode("own").alias("hub"), "row", "name", "set", "hubs").join(bounded(large, 24), "hub")
+        is_hub = F.col("name") == F.col("lead")
         every_chunk = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
         own = F.pmod(F.xxhash64("row"), F.col("chunks"))
         chunk = F.explode(F.when(is_hub, every_chunk).otherwise(F.array(own))).alias("chunk")
