@@ -43,6 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import Workspace, binary_texts, bounded, mix, shingle_set, shuffle_parts, slices
 from .components import connected_components
 
@@ -538,8 +539,12 @@ def class_links(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame,
     some_large = not large.isEmpty()
 
     def sets(wanted: DataFrame) -> DataFrame:
+        texts, hashes = hashed.select("doc_id", "hash", "text"), wanted.select("hash").distinct()
+        # Where the wanted classes are too many to be broadcast, their hashes may not be, so that no other texts are shuffled.
+        if 200 * wanted.count() > common.BROADCAST_LIMIT >= 16 * hashes.count():
+            texts = texts.join(F.broadcast(hashes), "hash", "left_semi")
         side = bounded(wanted.drop("n").withColumnRenamed("doc_id", "_id").withColumnRenamed("hash", "_hash"), 200)
-        found = hashed.select("doc_id", "hash", "text").join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
+        found = texts.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
         return found.select("text", "class", "row", "name", "hubs", "own").mapInArrow(_fetched, "row long, name long, hubs array<long>, own array<long>, set binary")
 
     def grouped(placed: DataFrame, across: bool, lead_only: bool) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from arbiter.llm import ngram_join
+from arbiter.llm import common, ngram_join
 from arbiter.llm.common import Workspace
 
 
@@ -97,3 +97,14 @@ def test_rows_carry_one_bitmap_of_each_class():
     batch = pa.record_batch([pa.array([1, 2, 3, 4]), pa.nulls(4).cast(pa.binary()), pa.array([7, 7, 8, 9]), pa.array(["a b c", "a  b c", "d", None])], names=["doc_id", "key", "hash", "text"])
     rows = [x for b in ngram_join._rows(iter([batch])) for x in b.to_pylist() if x["block"] is None]
     assert [x["bits"] is not None for x in rows] == [True, False, True, False]
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_texts_are_fetched_whatever_is_broadcast(spark, monkeypatch, limit):
+    """With 1,000 bytes the classes are too many to be broadcast and their hashes are not; with none, neither is."""
+    monkeypatch.setattr(common, "BROADCAST_LIMIT", limit)
+    words = [[f"k{k}w{i}" for i in range(60)] for k in range(10)]
+    rows = [(3 * k + j, " ".join(["x"] * (j == 1) + w + ["y"] * (j == 2))) for k, w in enumerate(words) for j in range(3)]
+    rows += [(None, rows[4][1]), (4, rows[4][1]), (100, "alone " * 20)]
+    got = Counter((x["doc_id"], x["component_id"]) for x in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter((d, 3 if d is None else d if d == 100 else d - d % 3) for d, _ in rows)
