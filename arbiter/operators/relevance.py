@@ -194,11 +194,16 @@ def _bm25_vectors(rows: DataFrame, stats: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(stats)).select("doc_id", "at", weight.alias("w"))
 
 
-def bm25_top(corpus: DataFrame, queries: DataFrame, k: int, tokenizer: str = "w", dup_terms: bool = False, tie: str = "asc") -> DataFrame:
-    """The first ``k`` of ``bm25_scores``, ranked, without a row for any other pair."""
+def bm25_vectors(corpus: DataFrame, queries: DataFrame, tokenizer: str = "w", dup_terms: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Documents and questions whose products of vectors are ``bm25_scores``, for ``best``."""
     rows, terms, stats = _counted(corpus, queries, tokenizer, dup_terms)
     idf = _frequencies(rows, "at", "at").crossJoin(F.broadcast(stats)).select("at", scores.idf(F.col("n_docs"), F.col("df")).alias("idf"))
-    return top_k(best.best(_bm25_vectors(rows, stats), _asked(terms, idf, F.col("idf") * F.col("qtf")), k, tie), k, tie)
+    return _bm25_vectors(rows, stats), _asked(terms, idf, F.col("idf") * F.col("qtf"))
+
+
+def bm25_top(corpus: DataFrame, queries: DataFrame, k: int, tokenizer: str = "w", dup_terms: bool = False, tie: str = "asc") -> DataFrame:
+    """The first ``k`` of ``bm25_scores``, ranked, without a row for any other pair."""
+    return top_k(best.best(*bm25_vectors(corpus, queries, tokenizer, dup_terms), k, tie), k, tie)
 
 
 def okapi_scores(corpus: DataFrame, queries: DataFrame, tokenizer: str = "w", epsilon: float = 0.25) -> DataFrame:

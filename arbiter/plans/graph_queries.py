@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbiter.functions import scores
-from arbiter.operators import graph, metrics, pipelines, relevance, sweep
+from arbiter.operators import best, graph, metrics, pipelines, relevance, sweep
 from arbiter.plans import adapters
 from arbiter.plans.relevance_queries import bm25_ctes
 from arbiter.plans.rules import EVENTS, depth
@@ -215,10 +213,6 @@ def conversation_questions(spark, d) -> DataFrame:
     return c.groupBy(F.col("conv_id").alias("qid")).agg(F.min_by("text", "turn").alias("query"))
 
 
-def stage1_scores(spark, d) -> DataFrame:
-    return relevance.bm25_scores(records(spark, d).select("doc_id", "text"), conversation_questions(spark, d))
-
-
 def stage1(spark, d, k: int) -> DataFrame:
     """The first ``k`` of each question, stored, as more than one step reads them: what follows can't reach the first ``k`` of a re-ranking."""
     top = relevance.bm25_top(records(spark, d).select("doc_id", "text"), conversation_questions(spark, d), k)
@@ -250,16 +244,15 @@ def _picked(spark, d, *picks) -> list[DataFrame]:
     return [records(spark, d).where(F.col("record_type") == kind).groupBy(F.col("conv_id").alias("qid")).agg(pick("doc_id").alias("doc_id")) for kind, pick in picks]
 
 
-def _own(spark, d, *picks) -> list[DataFrame]:
-    """``qid, doc_id, rank`` of ``_picked``; all of them are ranked at once."""
-    of = _picked(spark, d, *picks)
-    every = reduce(DataFrame.unionAll, of)
-    ranks = stored(relevance.rank_by_count(stage1_scores(spark, d), every.select("qid", "doc_id").distinct(), records(spark, d).count()), "ranks")
-    return [one.join(ranks, ["qid", "doc_id"]).select("qid", "doc_id", "rank") for one in of]
-
-
 def analytic_rank(spark: SparkSession, d: str) -> DataFrame:
-    return pipelines.analytic_rank(*_own(spark, d, ("user", F.min), ("assistant", F.max)), 3)
+    """Ranks of goals are counted where they are asked for, of questions whose anchor isn't among the first three."""
+    n = records(spark, d).count()
+    docs, asked = relevance.bm25_vectors(records(spark, d).select("doc_id", "text"), conversation_questions(spark, d))
+    anchors, goals = _picked(spark, d, ("user", F.min), ("assistant", F.max))
+    first = relevance.top_k(best.best(docs, asked, 3), 3).select("qid", "doc_id", "rank")
+    anchor = stored(relevance.rank_of(first, anchors, n), "anchors")
+    ranks = best.ranks(docs, asked, goals.join(anchor.where("rank > 3"), "qid", "left_semi"))
+    return pipelines.analytic_rank(anchor, relevance.rank_of(ranks, goals, n), 3)
 
 
 def error_categories(spark: SparkSession, d: str) -> DataFrame:
