@@ -264,7 +264,8 @@ def top_k(found: DataFrame, k: int, tie: str = "asc") -> DataFrame:
 def bm25(corpus, queries, k: int | None = None, tokenizer="w", dup_terms=False, tie="asc", unmatched="drop") -> DataFrame:
     if k is not None:
         top = bm25_top(corpus, queries, k, tokenizer, dup_terms, tie)
-        return filled(top, corpus, queries, k) if unmatched == "append" else top
+        # Filling up reads the first k three times.
+        return filled(stored(top, "top"), corpus, queries, k) if unmatched == "append" else top
     found = bm25_scores(corpus, queries, tokenizer, dup_terms)
     return ranked(with_unmatched(found, corpus, queries) if unmatched == "append" else found, tie)
 
